@@ -42,7 +42,7 @@ def normalize_pairs(spark, sf):
         length(summary) AS sum_chars, round(ratio, 9) AS ratio FROM words""",
 )
 def word_stats(spark, sf):
-    return filters.with_lengths(pairs(spark, sf)).select(
+    return filters.with_lengths(pairs(spark, sf), normalized=True).select(
         "row_id",
         F.col("dw").alias("doc_words"),
         F.col("sw").alias("sum_words"),
@@ -59,7 +59,7 @@ def doc_hash(spark, sf):
 
 @query("hard_filter", f"WITH {WORDS} SELECT row_id, split, dw, sw FROM words WHERE {HARD}")
 def hard_filter(spark, sf):
-    return filters.hard_filter(filters.with_lengths(pairs(spark, sf))).select(
+    return filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True)).select(
         "row_id", "split", "dw", "sw"
     )
 
@@ -77,7 +77,7 @@ fences AS (
         FROM fences""",
 )
 def iqr_fences(spark, sf):
-    kept = filters.hard_filter(filters.with_lengths(pairs(spark, sf)))
+    kept = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
     fences = quantiles.iqr_fences(kept, ["split"], {"ratio": F.col("ratio")})
     return fences.select(
         "split", "n", *[F.round(c, 9).alias(c) for c in ("q1", "q3", "iqr", "lo", "hi")]
@@ -92,7 +92,7 @@ def iqr_fences(spark, sf):
               OR ratio BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))""",
 )
 def iqr_filter(spark, sf):
-    kept = filters.hard_filter(filters.with_lengths(pairs(spark, sf)))
+    kept = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
     return filters.iqr_filter(kept).select("row_id", "split", F.round("ratio", 9).alias("ratio"))
 
 
@@ -159,7 +159,7 @@ final AS (
         FROM words w GROUP BY split""",
 )
 def prep_funnel(spark, sf):
-    return corpus.prep_funnel(pairs(spark, sf))
+    return corpus.prep_funnel(pairs(spark, sf), normalized=True)
 
 
 _SHARDED = f"""{_STAGES},
@@ -176,7 +176,7 @@ sharded AS (
 def processed(spark, sf):
     """The cleaned corpus, written as shards and read back."""
     out = work_path(spark, "corpus")
-    corpus.process(pairs(spark, sf), out, ROWS_PER_SHARD, MIN_SHARDS)
+    corpus.process(pairs(spark, sf), out, ROWS_PER_SHARD, MIN_SHARDS, normalized=True)
     return out
 
 

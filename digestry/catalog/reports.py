@@ -131,7 +131,7 @@ _OUT = "(ratio < ratio1 - 1.5 * (ratio3 - ratio1) OR ratio > ratio3 + 1.5 * (rat
     f"WITH {WORDS}, {_QUARTS} SELECT row_id, split, {_OUT} AS is_outlier FROM masked",
 )
 def outlier_mask(spark, sf):
-    rows = filters.with_lengths(pairs(spark, sf))
+    rows = filters.with_lengths(pairs(spark, sf), normalized=True)
     return filters.outlier_mask(rows).select("row_id", "split", "is_outlier")
 
 

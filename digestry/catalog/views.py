@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.functions import text
+from digestry.operators.filters import to_pairs
 from digestry.operators.summarize import STRATEGIES
 
 SYSTEMS = ("base", "adapter")
@@ -18,34 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, source, split, document, summary``: the first line stands in for the summary."""
-    docs = table(spark, sf_dir, "documents")
     tenth = F.col("doc_id") % 10
-    return docs.select(
+    raw = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"),
         "source",
         F.when(tenth == 0, "validation").when(tenth == 1, "test").otherwise("train").alias("split"),
-        text.squash(F.col("text")).alias("document"),
-        text.squash(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("summary"),
-    ).where((F.length("document") > 0) & (F.length("summary") > 0))
+        "text",
+        F.substring_index("text", "\n", 1).alias("first_line"),
+    )
+    return to_pairs(raw, "text", "first_line", ("row_id", "source", "split"), "documents")
 
 
 def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each answer with the user turn just before it; keyed by turn, so a long talk is no hot key."""
     turns = table(spark, sf_dir, "conversations")
-    answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("d"))
-    asked = turns.where("role = 'user'").select(
-        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("s")
+    answers = turns.where("role = 'assistant'").select(
+        F.col("conv_id").alias("row_id"), F.col("turn").alias("part"), F.col("text").alias("answer")
     )
-    return (
-        answers.join(asked, ["conv_id", "turn"])
-        .select(
-            F.col("conv_id").alias("row_id"),
-            F.col("turn").alias("part"),
-            text.squash(F.col("d")).alias("document"),
-            text.squash(F.col("s")).alias("summary"),
-        )
-        .where((F.length("document") > 0) & (F.length("summary") > 0))
+    asked = turns.where("role = 'user'").select(
+        F.col("conv_id").alias("row_id"),
+        (F.col("turn") + 1).alias("part"),
+        F.col("text").alias("question"),
     )
+    met = answers.join(asked, ["row_id", "part"])
+    return to_pairs(met, "answer", "question", ("row_id", "part"), "conversations")
 
 
 def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +50,12 @@ def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.regexp_replace(
         html, r"(?s)<(script|style|title)[^>]*>.*?</(script|style|title)>", " "
     )
-    return (
-        table(spark, sf_dir, "pages")
-        .select(
-            F.col("page_id").alias("row_id"),
-            text.squash(F.regexp_replace(bare, r"<[^>]+>", " ")).alias("document"),
-            text.squash(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)).alias("summary"),
-        )
-        .where((F.length("document") > 0) & (F.length("summary") > 0))
+    raw = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("row_id"),
+        F.regexp_replace(bare, r"<[^>]+>", " ").alias("body"),
+        F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1).alias("title"),
     )
+    return to_pairs(raw, "body", "title", ("row_id",), "pages")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

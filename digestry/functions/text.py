@@ -27,7 +27,15 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_RUN, " "))
 
 
-def word_count(text: Column) -> Column:
+def has_ink(text: Column) -> Column:
+    """Is there anything but whitespace? Stops at the first such character."""
+    return F.coalesce(F.regexp_like(text, F.lit(r"(?U)[^\s\x1c-\x1f]")), F.lit(False))
+
+
+def word_count(text: Column, normalized: bool = False) -> Column:
+    """Whitespace-separated words. Normalized text needs no regular expression."""
+    if normalized:
+        return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
     return F.coalesce(F.regexp_count(text, F.lit(INK_RUN)), F.lit(0))
 
 

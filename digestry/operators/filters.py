@@ -30,23 +30,29 @@ def require_columns(df: DataFrame, columns: Sequence[str], name: str = "source")
 def to_pairs(
     df: DataFrame, document: str, summary: str, keep: Sequence[str] = (), name: str = "source"
 ) -> DataFrame:
-    """Project, rename, normalize, and drop pairs with an empty side."""
+    """Project, rename, normalize, and drop pairs that would have an empty side.
+
+    The emptiness test looks at the raw text, so that no text is normalized twice.
+    """
     require_columns(df, [document, summary, *keep], name)
-    return df.select(
+    return df.where(text.has_ink(F.col(document)) & text.has_ink(F.col(summary))).select(
         *keep,
         text.squash(F.col(document)).alias("document"),
         text.squash(F.col(summary)).alias("summary"),
-    ).where((F.length("document") > 0) & (F.length("summary") > 0))
+    )
 
 
 def with_source(df: DataFrame, name: str) -> DataFrame:
     return df if "source" in df.columns else df.withColumn("source", F.lit(name))
 
 
-def with_lengths(df: DataFrame) -> DataFrame:
+def with_lengths(df: DataFrame, normalized: bool = False) -> DataFrame:
     """Adds word counts ``dw``, ``sw`` and their ``ratio``, once, for every later stage."""
     return df.withColumns(
-        {"dw": text.word_count(F.col("document")), "sw": text.word_count(F.col("summary"))}
+        {
+            "dw": text.word_count(F.col("document"), normalized),
+            "sw": text.word_count(F.col("summary"), normalized),
+        }
     ).withColumn("ratio", text.length_ratio(F.col("sw"), F.col("dw")))
 
 

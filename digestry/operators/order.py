@@ -77,11 +77,17 @@ def row_window(
     edges = {r["pos"]: r for r in ranked.where(F.col("pos").isin(wanted)).collect()}
     if offset not in edges:
         return df.limit(0)
+    lead, lead_type = order_by[0], df.schema[order_by[0]].dataType
     out = df
     if offset:
-        out = out.where(_key(order_by) >= _literal(edges[offset], order_by, df))
+        first = edges[offset]
+        # The bound on the leading column alone can prune partitions and row groups.
+        out = out.where(F.col(lead) >= F.lit(first[lead]).cast(lead_type))
+        out = out.where(_key(order_by) >= _literal(first, order_by, df))
     if limit is not None and wanted[-1] in edges:
-        out = out.where(_key(order_by) <= _literal(edges[wanted[-1]], order_by, df))
+        last = edges[wanted[-1]]
+        out = out.where(F.col(lead) <= F.lit(last[lead]).cast(lead_type))
+        out = out.where(_key(order_by) <= _literal(last, order_by, df))
     return out
 
 

@@ -38,13 +38,15 @@ FEATURES = {
 }
 
 
-def measures(pairs: DataFrame, keep: Sequence[str] = ("split",)) -> DataFrame:
+def measures(
+    pairs: DataFrame, keep: Sequence[str] = ("split",), normalized: bool = False
+) -> DataFrame:
     """Word and character counts per row; no text leaves this projection."""
     document, summary = F.col("document"), F.col("summary")
     return pairs.select(
         *keep,
-        text.word_count(document).alias("dw"),
-        text.word_count(summary).alias("sw"),
+        text.word_count(document, normalized).alias("dw"),
+        text.word_count(summary, normalized).alias("sw"),
         F.coalesce(F.char_length(document), F.lit(0)).alias("dc"),
         F.coalesce(F.char_length(summary), F.lit(0)).alias("sc"),
     ).withColumn("ratio", text.length_ratio(F.col("sw"), F.col("dw")))

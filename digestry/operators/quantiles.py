@@ -1,6 +1,6 @@
 """Exact interpolated quantiles without holding a group's values in one task.
 
-Values are first collapsed to (value, count), which removes hot values map-side. Equal-width
+Values are first collapsed to (value, count), which removes hot values map-side. Logarithmic
 buckets of the value range then locate the wanted ranks; only the buckets that hold one are
 sorted, each on its own.
 """
@@ -12,7 +12,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS_PER_E = 64
+# Magnitudes below this share one bucket with zero.
+TINY = 1e-9
+
+
+def _bucket(x: Column) -> Column:
+    """A non-decreasing function of ``x`` with buckets about 1.6% wide."""
+    magnitude = F.floor(F.ln(F.greatest(F.abs(x), F.lit(TINY)) / F.lit(TINY)) * BUCKETS_PER_E)
+    return F.when(x < 0, -magnitude).otherwise(magnitude).cast("int")
 
 
 def exact_quantiles(
@@ -29,7 +37,6 @@ def exact_quantiles(
     ``closed`` says that the groups come from a closed set, such as the splits, so that per-group
     rows may be broadcast. Pass False when the number of groups grows with the data.
     """
-    small = F.broadcast if closed else (lambda d: d)
     by = list(by)
     group = [*by, "feature"]
     each = F.explode(
@@ -47,78 +54,43 @@ def exact_quantiles(
         .where(F.col("x").isNotNull())
         .groupBy(*group, "x")
         .agg(F.sum("w").alias("w"))
+        .withColumn("bucket", _bucket(F.col("x")))
     )
-    spans = counted.groupBy(*group).agg(
-        F.min("x").alias("min_value"), F.max("x").alias("max_value"), F.sum("w").alias("n")
-    )
-    width = F.col("max_value") - F.col("min_value")
-    bucket = F.when(
-        width > 0,
-        F.least(
-            F.floor((F.col("x") - F.col("min_value")) / width * BUCKETS), F.lit(BUCKETS - 1)
-        ),
-    ).otherwise(F.lit(0))
-    bucketed = counted.join(small(spans), group).withColumn("bucket", bucket.cast("int"))
-
-    ranks = F.explode(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.array(F.floor(_rank(p)), F.ceil(_rank(p))),
-                        _rank_struct(i),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        )
-    )
-    preceding = (
-        Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    wanted = (
-        bucketed.groupBy(*group, "bucket", "n")
-        .agg(F.sum("w").alias("in_bucket"))
-        .withColumn("before", F.coalesce(F.sum("in_bucket").over(preceding), F.lit(0)))
-        .select(*group, "bucket", "before", "in_bucket", ranks.alias("t"))
-        .where(
-            (F.col("t.rank") >= F.col("before"))
-            & (F.col("t.rank") < F.col("before") + F.col("in_bucket"))
+    whole = Window.partitionBy(*group)
+    preceding = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        counted.groupBy(*group, "bucket")
+        .agg(F.sum("w").alias("held"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .select(
+            *group,
+            "bucket",
+            "held",
+            F.sum("held").over(whole).alias("n"),
+            F.min("low").over(whole).alias("min_value"),
+            F.max("high").over(whole).alias("max_value"),
+            F.coalesce(F.sum("held").over(preceding), F.lit(0)).alias("before"),
         )
-        .groupBy(*group, "bucket", "before")
-        .agg(F.collect_set("t").alias("targets"))  # at most two per probability
     )
+    begin, end = F.col("before"), F.col("before") + F.col("held")
+    ranks = [f(_rank(p)) for p in probs for f in (F.floor, F.ceil)]
+    wanted = buckets.where(_any((rank >= begin) & (rank < end) for rank in ranks)).drop("held")
+    # At most two buckets per group and probability.
+    joined = counted.join(F.broadcast(wanted) if closed else wanted, [*group, "bucket"])
     upto = F.sum("w").over(
         Window.partitionBy(*group, "bucket")
         .orderBy("x")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    statistics = (
-        bucketed.join(small(wanted), [*group, "bucket"])
-        .withColumn("upto", F.col("before") + upto)
-        .withColumn(
-            "t",
-            F.explode(
-                F.filter(
-                    "targets",
-                    lambda t: (t["rank"] >= F.col("upto") - F.col("w"))
-                    & (t["rank"] < F.col("upto")),
-                )
-            ),
-        )
-        .groupBy(*group, "min_value", "max_value", "n", F.col("t.i").alias("i"))
-        .agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    placed = joined.withColumn("upto", F.col("before") + upto)
+    statistics = placed.groupBy(*group, "n", "min_value", "max_value").agg(
+        *[F.max(F.when(_holds(rank), F.col("x"))).alias(f"_s{i}") for i, rank in enumerate(ranks)]
     )
-    p = F.element_at(F.array(*[F.lit(float(v)) for v in probs]), F.col("i") + 1)
-    h = (F.col("n") - 1) * p
-    value = F.col("low") + (F.col("high") - F.col("low")) * (h - F.floor(h))
-    return (
-        statistics.withColumn("value", value)
-        .groupBy(*group, "n", "min_value", "max_value")
-        .agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("_q"))
-        .select(
-            *group, "n", "min_value", "max_value", F.col("_q.value").alias("q")
-        )
+    values = []
+    for i, p in enumerate(probs):
+        low, high = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
+        values.append(low + (high - low) * (_rank(p) - F.floor(_rank(p))))
+    return statistics.select(
+        *group, "n", "min_value", "max_value", F.array(*values).alias("q")
     )
 
 
@@ -126,8 +98,16 @@ def _rank(p: float) -> Column:
     return (F.col("n") - 1) * F.lit(float(p))
 
 
-def _rank_struct(index: int):
-    return lambda r: F.struct(F.lit(index).alias("i"), r.alias("rank"))
+def _holds(rank: Column) -> Column:
+    """Does the row's run of equal values cover this 0-based rank?"""
+    return (rank >= F.col("upto") - F.col("w")) & (rank < F.col("upto"))
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for condition in conditions:
+        out = out | condition
+    return out
 
 
 def iqr_fences(

@@ -42,7 +42,9 @@ def prepare(
     write_pairs(pairs, out)
 
 
-def staged_groups(pairs: DataFrame, bounds: WordBounds = WordBounds()) -> DataFrame:
+def staged_groups(
+    pairs: DataFrame, bounds: WordBounds = WordBounds(), normalized: bool = False
+) -> DataFrame:
     """The funnel's working table: copies collapsed, with a flag per stage.
 
     Rows of one split with equal document digest, ``dw`` and ``sw`` pass or fail every stage
@@ -56,8 +58,8 @@ def staged_groups(pairs: DataFrame, bounds: WordBounds = WordBounds()) -> DataFr
             "split",
             "row_id",
             text.content_key(F.col("document")).alias("_key"),
-            text.word_count(F.col("document")).alias("dw"),
-            text.word_count(F.col("summary")).alias("sw"),
+            text.word_count(F.col("document"), normalized).alias("dw"),
+            text.word_count(F.col("summary"), normalized).alias("sw"),
         )
         .groupBy("split", "_key", "dw", "sw")
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
@@ -74,10 +76,12 @@ def staged_groups(pairs: DataFrame, bounds: WordBounds = WordBounds()) -> DataFr
     ).drop("lo", "hi", "iqr", "_x")
 
 
-def survivors(pairs: DataFrame, bounds: WordBounds = WordBounds()) -> DataFrame:
+def survivors(
+    pairs: DataFrame, bounds: WordBounds = WordBounds(), normalized: bool = False
+) -> DataFrame:
     """``split, row_id`` of the rows that the corpus build keeps."""
     return (
-        staged_groups(pairs, bounds)
+        staged_groups(pairs, bounds, normalized)
         .where("iqr_ok")
         .groupBy("split", "_key")
         .agg(F.min("row_id").alias("row_id"))
@@ -85,14 +89,16 @@ def survivors(pairs: DataFrame, bounds: WordBounds = WordBounds()) -> DataFrame:
     )
 
 
-def prep_funnel(pairs: DataFrame, bounds: WordBounds = WordBounds()) -> DataFrame:
+def prep_funnel(
+    pairs: DataFrame, bounds: WordBounds = WordBounds(), normalized: bool = False
+) -> DataFrame:
     """Rows per split that enter and leave each stage."""
 
     def passed(flag: str):
         return F.sum(F.when(F.col(flag), F.col("n")).otherwise(F.lit(0)))
 
     per_key = (
-        staged_groups(pairs, bounds)
+        staged_groups(pairs, bounds, normalized)
         .groupBy("split", "_key")
         .agg(
             F.sum("n").alias("input"),
@@ -118,6 +124,7 @@ def process(
     min_shards: int = 1,
     bounds: WordBounds = WordBounds(),
     source: str = "unknown",
+    normalized: bool = False,
 ) -> None:
     """Clean, render prompts and write ``out/split=/shard=``.
 
@@ -125,7 +132,7 @@ def process(
     surviving row ids and their shard numbers.
     """
     assigned = assign_shards(
-        survivors(pairs, bounds), ["row_id"], ["split"], rows_per_shard, min_shards
+        survivors(pairs, bounds, normalized), ["row_id"], ["split"], rows_per_shard, min_shards
     )
     texts = with_source(pairs, source).select(
         "split",
