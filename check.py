@@ -40,8 +40,11 @@ def oracle_rows(sf_dir: str, sql: str):
 
 
 def compare(df, sf_dir: str, sql: str) -> str:
+    start = time.time()
     rows = [tuple(r) for r in df.collect()]
+    middle = time.time()
     names, expected = oracle_rows(sf_dir, sql)
+    took = f"(spark {middle - start:.1f}s sql {time.time() - middle:.1f}s)"
     if sorted(df.columns) != sorted(names):
         return f"COLUMNS {sorted(df.columns)} != {sorted(names)}"
 
@@ -51,7 +54,7 @@ def compare(df, sf_dir: str, sql: str) -> str:
 
     mine, theirs = canon(df.columns, rows), canon(names, expected)
     if mine == theirs:
-        return f"ok {len(rows)}"
+        return f"ok {len(rows)} {took}"
     missing = [r for r in theirs if r not in set(mine)][:2]
     extra = [r for r in mine if r not in set(theirs)][:2]
     return f"DIFF {len(rows)} vs {len(expected)} spark={str(extra)[:600]} sql={str(missing)[:600]}"

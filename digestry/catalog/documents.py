@@ -25,6 +25,7 @@ OPTIONS = dict(
     min_summary=MIN_SUMMARY,
     max_summary=MAX_SUMMARY,
     boundary="none",
+    tokenizer=tokens.CLEAN_WORDS,
 )
 
 
@@ -175,12 +176,18 @@ generated AS (
           {wc("document")} <= {ROOM} AS fits FROM pairs""",
 )
 def fits_context(spark, sf):
-    n = tokens.WORDS.count(F.col("document"))
+    n = tokens.CLEAN_WORDS.count(F.col("document"))
     return pairs(spark, sf).select(
         "row_id", n.alias("n_tokens"), tokens.fits(n, CONTEXT, MAX_SUMMARY).alias("fits")
     )
 
 
+def chunked(spark, sf, boundary="none"):
+    return chunks.with_chunks(
+        pairs(spark, sf), SIZE, OVERLAP, boundary, tokenizer=tokens.CLEAN_WORDS
+    )
+
+
 @query(
     "chunk_chars",
     f"""WITH {PAIRS}, {chunk_ctes("pairs", "document", "doc")}
@@ -188,14 +195,12 @@ def fits_context(spark, sf):
                CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS pos FROM chunked_doc""",
 )
 def chunk_chars(spark, sf):
-    cut = chunks.with_chunks(pairs(spark, sf), SIZE, OVERLAP, boundary="none")
-    return chunks.explode_chunks(cut, ["row_id"])
+    return chunks.explode_chunks(chunked(spark, sf), ["row_id"]).drop("is_last")
 
 
 @query("chunk_words")
 def chunk_words(spark, sf):
-    cut = chunks.with_chunks(pairs(spark, sf), SIZE, OVERLAP, boundary="word")
-    return chunks.explode_chunks(cut, ["row_id"])
+    return chunks.explode_chunks(chunked(spark, sf, "word"), ["row_id"]).drop("is_last")
 
 
 @query(
@@ -205,9 +210,7 @@ def chunk_words(spark, sf):
                generate_subscripts(chunks, 1) = len(chunks) AS is_last FROM chunked_doc""",
 )
 def last_chunk(spark, sf):
-    cut = chunks.with_chunks(pairs(spark, sf), SIZE, OVERLAP, boundary="none")
-    rows = chunks.explode_chunks(cut, ["row_id"]).select("row_id", "pos")
-    return summarize.last_chunk_flags(rows, "row_id")
+    return chunks.explode_chunks(chunked(spark, sf), ["row_id"]).drop("chunk")
 
 
 @query(
@@ -218,8 +221,9 @@ def last_chunk(spark, sf):
                array_to_string(list_slice(w, start + 1, start + {SIZE}), ' ') AS chunk FROM opened""",
 )
 def token_windows(spark, sf):
-    windows = chunks.token_windows(F.col("document"), SIZE, OVERLAP)
-    return chunks.explode_chunks(pairs(spark, sf).withColumn("chunks", windows), ["row_id"])
+    windows = chunks.token_windows(F.col("document"), SIZE, OVERLAP, normalized=True)
+    rows = pairs(spark, sf).select("row_id", windows.alias("chunks"))
+    return chunks.explode_chunks(rows, ["row_id"]).drop("is_last")
 
 
 @query(
@@ -256,7 +260,7 @@ def textrank_topk(spark, sf):
         FROM pairs, (VALUES {", ".join(f"('{s}')" for s in summarize.STRATEGIES)}) v(s)""",
 )
 def route_documents(spark, sf):
-    n = tokens.WORDS.count(F.col("document"))
+    n = tokens.CLEAN_WORDS.count(F.col("document"))
     fan = F.explode(F.array(*[F.lit(s) for s in summarize.STRATEGIES]))
     return (
         pairs(spark, sf)
@@ -275,7 +279,7 @@ def route_documents(spark, sf):
         {fold_ctes("doc")} SELECT row_id, summary FROM folded_doc""",
 )
 def map_refine_lead(spark, sf):
-    cut = chunks.with_chunks(pairs(spark, sf), SIZE, OVERLAP, boundary="none")
+    cut = chunked(spark, sf)
     folded = summarize.refine(
         F.col("chunks"), summarize.lead(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
     )
@@ -288,7 +292,7 @@ _MERGED = f"""WITH RECURSIVE {PAIRS}, {ONE_LEAD}, {chunk_ctes("pairs", "document
 
 @query("hier_merge_lead", _MERGED)
 def hier_merge_lead(spark, sf):
-    cut = chunks.with_chunks(pairs(spark, sf), SIZE, OVERLAP, boundary="none")
+    cut = chunked(spark, sf)
     merged = summarize.merge_tree(
         F.col("chunks"), summarize.lead(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
     )
@@ -297,7 +301,7 @@ def hier_merge_lead(spark, sf):
 
 @query("hier_merge_rounds", _MERGED)
 def hier_merge_rounds(spark, sf):
-    cut = chunks.with_chunks(pairs(spark, sf), SIZE, OVERLAP, boundary="none")
+    cut = chunked(spark, sf)
     return summarize.merge_by_rounds(
         chunks.explode_chunks(cut, ["row_id"]),
         "row_id",

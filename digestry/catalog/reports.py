@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from digestry.catalog.registry import query
-from digestry.catalog.views import PAIRS, WORDS, pairs
+from digestry.catalog.views import PAIRS, WORDS, pairs, table
 from digestry.operators import dedup, filters, profile, quantiles
 
 SAMPLE_ROWS = 300
@@ -57,9 +57,9 @@ def five_number(spark, sf):
         FROM five JOIN heads USING (split)""",
 )
 def profile_split(spark, sf):
-    table = profile.profile_pairs(pairs(spark, sf), sample_rows=SAMPLE_ROWS)
+    profiled = profile.profile_pairs(pairs(spark, sf), sample_rows=SAMPLE_ROWS)
     return _rounded_five(
-        table, "n_rows", "sample_size", "empty_document_ratio", "empty_summary_ratio"
+        profiled, "n_rows", "sample_size", "empty_document_ratio", "empty_summary_ratio"
     )
 
 
@@ -70,7 +70,7 @@ def profile_split(spark, sf):
         FROM documents GROUP BY lang""",
 )
 def blank_rates(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(
+    docs = table(spark, sf, "documents").select(
         F.col("lang").alias("split"),
         F.split_part(F.col("text"), F.lit("\n"), F.lit(2)).alias("second"),
     )

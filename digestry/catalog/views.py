@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from digestry.functions import text
 from digestry.operators.filters import to_pairs
 from digestry.operators.summarize import STRATEGIES
+from digestry.session import spread
 
 SYSTEMS = ("base", "adapter")
 PREDICTION_WORDS = 20
 
 
+KEYS = {
+    "documents": ("doc_id",),
+    "conversations": ("conv_id", "turn"),
+    "pages": ("page_id",),
+    "embeddings": ("vec_id",),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *KEYS[name])
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

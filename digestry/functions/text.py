@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ INK_RUN = r"(?U)[^\s\x1c-\x1f]+"
 ROUGE_BREAK = r"[^a-z0-9]+"
 LETTER_WORD = r"\p{L}+(?:['-]\p{L}+)*"
 
-# The "13a" tokenization rules, applied in this order.
+# The "13a" tokenization rules, applied in this order. The first set leaves the
+# space out: padding a space with spaces changes no token.
 ENTITY_UNESCAPES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 RULES_13A = (
-    (r"([\{-~\[-` -&\(-\+:-@/])", " $1 "),
+    (r"([\{-~\[-`!-&\(-\+:-@/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -39,9 +42,9 @@ def word_count(text: Column, normalized: bool = False) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(INK_RUN)), F.lit(0))
 
 
-def words(text: Column) -> Column:
+def words(text: Column, normalized: bool = False) -> Column:
     """Whitespace-separated words; an empty array for blank text."""
-    return F.filter(F.split(squash(text), " "), lambda w: w != "")
+    return F.array_remove(F.split(text if normalized else squash(text), " "), "")
 
 
 def length_ratio(summary_words: Column, document_words: Column) -> Column:
@@ -63,7 +66,7 @@ def short_name(path: Column) -> Column:
 
 def rouge_tokens(text: Column) -> Column:
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), ROUGE_BREAK)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def bleu_tokens(text: Column) -> Column:
@@ -82,13 +85,22 @@ def bleu_tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Cut after ``.``, ``!`` or ``?`` followed by whitespace."""
     marked = F.regexp_replace(squash(text), r"([.!?]) ", "$1\n")
-    return F.filter(F.split(marked, "\n"), lambda s: s != "")
+    return F.array_remove(F.split(marked, "\n"), "")
 
 
 def letter_words(sentence: Column) -> Column:
     return F.regexp_extract_all(F.lower(sentence), F.lit(LETTER_WORD), F.lit(0))
 
 
+def bind(build: Callable[[Column], Column], **values: Column) -> Column:
+    """``build`` over a struct of values that are evaluated once per row.
+
+    Inside a higher-order function an inlined expression would run again for every element.
+    """
+    record = F.struct(*[value.alias(name) for name, value in values.items()])
+    return F.get(F.transform(F.array(record), build), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams of a token array, each as one string; empty when the array is too short."""
     if n == 1:

@@ -13,16 +13,23 @@ from digestry.functions.prompts import SUMMARIZE
 
 
 class WordTokenizer:
-    """Whitespace tokens; every method is a plain Column expression."""
+    """Whitespace tokens; every method is a plain Column expression.
+
+    ``normalized`` promises single-space text, whose words need no regular expression.
+    """
+
+    def __init__(self, normalized: bool = False):
+        self.normalized = normalized
 
     def count(self, value: Column) -> Column:
-        return text.word_count(value)
+        return text.word_count(value, self.normalized)
 
     def count_text(self, value: str) -> int:
         return len(value.split())
 
     def head(self, value: Column, n: Column) -> Column:
-        return F.array_join(F.slice(text.words(value), F.lit(1), F.greatest(n, F.lit(0))), " ")
+        listed = text.words(value, self.normalized)
+        return F.array_join(F.slice(listed, F.lit(1), F.greatest(n, F.lit(0))), " ")
 
 
 class EncoderTokenizer:
@@ -55,6 +62,7 @@ class EncoderTokenizer:
 
 
 WORDS = WordTokenizer()
+CLEAN_WORDS = WordTokenizer(normalized=True)
 
 
 def fits(document_tokens: Column, context: int, reserve: int, tokenizer=WORDS) -> Column:

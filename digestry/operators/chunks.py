@@ -23,13 +23,22 @@ def char_budgets(
 
 def strided_chunks(document: Column, size: Column, overlap: Column) -> Column:
     """Fixed-width chunks; the last one is the first that reaches the end. Blank ones drop out."""
-    length = F.char_length(document)
-    step = F.greatest(size - overlap, F.lit(1))
-    last = F.greatest(F.ceil((length - size) / step), F.lit(0)).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.substring(document, i * step + 1, size)
+
+    def cut(v: Column) -> Column:
+        last = F.greatest(F.ceil((v["length"] - v["size"]) / v["step"]), F.lit(0)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.substring(v["document"], i * v["step"] + 1, v["size"]),
+        )
+
+    pieces = text.bind(
+        cut,
+        document=document,
+        length=F.char_length(document),
+        size=size,
+        step=F.greatest(size - overlap, F.lit(1)),
     )
-    return F.filter(cut, lambda c: text.squash(c) != "")
+    return F.filter(pieces, text.has_ink)
 
 
 def cut_at_spaces(value: str, size: int, overlap: int) -> list[str]:
@@ -92,17 +101,22 @@ def with_chunks(
 
 
 def explode_chunks(df: DataFrame, keys: list[str], chunks: str = "chunks") -> DataFrame:
-    return df.select(*keys, F.posexplode(chunks).alias("pos", "chunk"))
+    """``keys, pos, chunk, is_last``. The outer form keeps Spark from cutting twice to test size."""
+    rows = df.select(*keys, F.size(chunks).alias("_n"), F.posexplode_outer(chunks).alias("pos", "chunk"))
+    return rows.where(F.col("chunk").isNotNull()).select(
+        *keys, "pos", "chunk", (F.col("pos") == F.col("_n") - 1).alias("is_last")
+    )
 
 
-def token_windows(document: Column, size: int, overlap: int) -> Column:
+def token_windows(document: Column, size: int, overlap: int, normalized: bool = False) -> Column:
     """Overlapping windows of whole tokens, stepping until the tokens run out."""
-    toks = text.words(document)
     step = max(1, size - overlap)
-    return F.when(
-        F.size(toks) > 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0)), F.lit(step)),
-            lambda i: F.array_join(F.slice(toks, i + 1, F.lit(size)), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def cut(v: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(v["t"]) - 1, F.lit(0)), F.lit(step)),
+            lambda i: F.array_join(F.slice(v["t"], i + 1, F.lit(size)), " "),
+        )
+
+    windows = text.bind(cut, t=text.words(document, normalized))
+    return F.array_remove(windows, "")

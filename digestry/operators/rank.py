@@ -124,22 +124,28 @@ def _ranks(lines: pd.Series) -> pd.Series:
 
 
 def word_incidence(df: DataFrame, key: str) -> DataFrame:
-    """``key, i, word, times, length`` from ``word_lines``."""
-    sentence = df.select(key, F.posexplode("word_lines").alias("i", "line")).where("line != ''")
-    tokens = F.split("line", " ")
+    """``key, i, word, times, length`` from ``word_lines``.
+
+    The outer form of explode keeps Spark from evaluating an array twice to test its size.
+    """
+    lines = df.select(key, F.posexplode_outer("word_lines").alias("i", "line"))
+    listed = lines.select(key, "i", F.split("line", " ").alias("ws"))
+    words = listed.select(key, "i", F.size("ws").alias("length"), F.explode_outer("ws").alias("word"))
     return (
-        sentence.select(key, "i", F.size(tokens).alias("length"), F.explode(tokens).alias("word"))
+        words.where("word != ''")
         .groupBy(key, "i", "length", "word")
         .agg(F.count(F.lit(1)).alias("times"))
     )
 
 
-def graph_step(incidence: DataFrame, vector: DataFrame, key: str) -> DataFrame:
-    """``key, i, value``: the weight matrix applied to ``vector`` (``key, i, value``)."""
-    sums = (
-        incidence.join(vector, [key, "i"])
-        .groupBy(key, "word", F.col("length").alias("other"))
-        .agg(F.sum(F.col("value") * F.col("times")).alias("mass"))
+def graph_step(incidence: DataFrame, key: str, vector: DataFrame | None = None) -> DataFrame:
+    """``key, i, value``: the weight matrix applied to ``vector`` (``key, i, value``), or to ones."""
+    if vector is None:
+        held = incidence.withColumn("value", F.lit(1.0))
+    else:
+        held = incidence.join(vector, [key, "i"])
+    sums = held.groupBy(key, "word", F.col("length").alias("other")).agg(
+        F.sum(F.col("value") * F.col("times")).alias("mass")
     )
     norm = F.ln("length") + F.ln("other")
     divisor = F.when((F.col("length") == 1) & (F.col("other") == 1), 1.0).otherwise(norm)
@@ -152,9 +158,7 @@ def graph_step(incidence: DataFrame, vector: DataFrame, key: str) -> DataFrame:
 
 def sentence_degrees(df: DataFrame, key: str) -> DataFrame:
     """``key, i, value``: the total edge weight of every sentence that has words."""
-    incidence = word_incidence(df, key)
-    ones = df.select(key, F.posexplode("word_lines").alias("i", "line")).where("line != ''")
-    return graph_step(incidence, ones.select(key, "i", F.lit(1.0).alias("value")), key)
+    return graph_step(word_incidence(df, key), key)
 
 
 def rank_by_rounds(df: DataFrame, key: str) -> DataFrame:
@@ -164,10 +168,11 @@ def rank_by_rounds(df: DataFrame, key: str) -> DataFrame:
     """
     incidence = durable(word_incidence(df, key))
     nodes = durable(
-        df.select(key, F.size("word_lines").alias("n"), F.posexplode("word_lines").alias("i", "_l"))
-        .drop("_l")
+        df.select(
+            key, F.size("word_lines").alias("n"), F.posexplode_outer("word_lines").alias("i", "_l")
+        ).drop("_l")
     )
-    degree = graph_step(incidence, nodes.select(key, "i", F.lit(1.0).alias("value")), key)
+    degree = graph_step(incidence, key)
     state = durable(
         nodes.join(degree.withColumnRenamed("value", "degree"), [key, "i"], "left").select(
             key,
@@ -181,7 +186,7 @@ def rank_by_rounds(df: DataFrame, key: str) -> DataFrame:
     settled = state.limit(0)
     for _ in range(MAX_ROUNDS):
         share = state.select(key, "i", (F.col("rank") / F.col("degree")).alias("value"))
-        moved = state.join(graph_step(incidence, share, key), [key, "i"], "left").withColumn(
+        moved = state.join(graph_step(incidence, key, share), [key, "i"], "left").withColumn(
             "following",
             (1 - DAMPING) / F.col("n") + DAMPING * F.coalesce("value", F.lit(0.0)),
         )

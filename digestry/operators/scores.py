@@ -28,21 +28,32 @@ def f_measure(match: Column, predicted: Column, expected: Column) -> Column:
 
 
 def clipped_matches(
-    pairs: DataFrame, ids: Sequence[str], orders: Sequence[int], carry: Sequence[str] = ()
+    pairs: DataFrame,
+    ids: Sequence[str],
+    families: dict[str, tuple[str, str, Sequence[int]]],
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``ids, carry, match_n...``: clipped n-gram overlap of token arrays ``_p`` and ``_r``."""
+    """``ids, carry, <family>_match_<n>``: clipped n-gram overlap per pair.
+
+    A family names two token-array columns and the n-gram orders to count over them. All families
+    are counted in one pass.
+    """
+    wanted = [(name, n) for name, (_, _, orders) in families.items() for n in orders]
     grams = []
-    for n in orders:
-        for side, column in ((1, "_p"), (0, "_r")):
-            grams.append(
-                F.transform(text.ngrams(F.col(column), n), _tagged_gram(n, side))
-            )
+    for slot, (name, n) in enumerate(wanted):
+        prediction, reference, _ = families[name]
+        for side, column in ((1, prediction), (0, reference)):
+            grams.append(F.transform(text.ngrams(F.col(column), n), _tagged_gram(slot, side)))
     keys = [*ids, *carry]
+    # The n-grams weigh many times their text: a fixed partition count keeps AQE from merging
+    # partitions by the size of the text.
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays = list(dict.fromkeys(c for p, r, _ in families.values() for c in (p, r)))
     return (
-        pairs.select(*keys, "_p", "_r")
-        .repartition(*ids)
+        pairs.select(*keys, *arrays)
+        .repartition(partitions, *ids)
         .select(*keys, F.explode_outer(F.flatten(F.array(*grams))).alias("g"))
-        .groupBy(*keys, F.col("g.n").alias("_n"), F.col("g.gram").alias("_gram"))
+        .groupBy(*keys, F.col("g.slot").alias("_slot"), F.col("g.gram").alias("_gram"))
         .agg(
             F.count_if(F.col("g.side") == 1).alias("_cp"),
             F.count_if(F.col("g.side") == 0).alias("_cr"),
@@ -51,16 +62,16 @@ def clipped_matches(
         .agg(
             *[
                 F.coalesce(
-                    F.sum(F.when(F.col("_n") == n, F.least("_cp", "_cr"))), F.lit(0)
-                ).alias(f"match_{n}")
-                for n in orders
+                    F.sum(F.when(F.col("_slot") == slot, F.least("_cp", "_cr"))), F.lit(0)
+                ).alias(f"{name}_match_{n}")
+                for slot, (name, n) in enumerate(wanted)
             ]
         )
     )
 
 
-def _tagged_gram(n: int, side: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram"))
+def _tagged_gram(slot: int, side: int):
+    return lambda g: F.struct(F.lit(slot).alias("slot"), F.lit(side).alias("side"), g.alias("gram"))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -83,17 +94,45 @@ def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x.split(), y.split()) for x, y in zip(a, b)], dtype="int32")
 
 
-def _rouge_tokens(pairs: DataFrame, stemmed: bool) -> DataFrame:
-    """Adds space-joined token lines ``_pl``/``_rl`` and arrays ``_p``/``_r``."""
+# Columns that the token stage adds. ROUGE: arrays _p, _r, their sizes and the common
+# subsequence. BLEU: arrays _bp, _br and their sizes.
+ROUGE_CARRY = ("_np", "_nr", "_lcs")
+BLEU_CARRY = ("_bnp", "_bnr")
+
+
+def _rouge_tokens(pairs: DataFrame, stemmed: bool, subsequence: bool = True) -> DataFrame:
     lines = pairs
     for side, line in (("prediction", "_pl"), ("reference", "_rl")):
         joined = F.array_join(text.rouge_tokens(F.col(side)), " ")
         lines = lines.withColumn(line, stem_line(joined) if stemmed else joined)
-    for line, tokens in (("_pl", "_p"), ("_rl", "_r")):
-        lines = lines.withColumn(
-            tokens, F.filter(F.split(F.col(line), " "), lambda w: w != "")
-        )
-    return lines
+    arrays = lines.withColumns(
+        {
+            "_p": F.array_remove(F.split("_pl", " "), ""),
+            "_r": F.array_remove(F.split("_rl", " "), ""),
+            "_lcs": _lcs(F.col("_pl"), F.col("_rl")) if subsequence else F.lit(0),
+        }
+    )
+    return arrays.withColumns({"_np": F.size("_p"), "_nr": F.size("_r")}).drop("_pl", "_rl")
+
+
+def _bleu_tokens(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns(
+        {
+            "_bp": text.bleu_tokens(F.col("prediction")),
+            "_br": text.bleu_tokens(F.col("reference")),
+        }
+    ).withColumns({"_bnp": F.size("_bp"), "_bnr": F.size("_br")})
+
+
+def _rouge_value(kind: str) -> Column:
+    if kind == "rougeL":
+        return f_measure(F.col("_lcs"), F.col("_np"), F.col("_nr"))
+    n = int(kind[-1])
+    return f_measure(F.col(f"rouge_match_{n}"), _total("_np", n), _total("_nr", n))
+
+
+def _total(length: str, n: int) -> Column:
+    return F.greatest(F.col(length) - (n - 1), F.lit(0))
 
 
 def rouge_pairs(
@@ -103,29 +142,11 @@ def rouge_pairs(
     stemmed: bool = True,
 ) -> DataFrame:
     """``ids`` and the F measure of each kind, per pair."""
-    tokens = _rouge_tokens(pairs, stemmed).withColumns(
-        {
-            "_np": F.size("_p"),
-            "_nr": F.size("_r"),
-            "_lcs": _lcs(F.col("_pl"), F.col("_rl")) if "rougeL" in kinds else F.lit(0),
-        }
-    )
+    tokens = _rouge_tokens(pairs, stemmed, "rougeL" in kinds)
     orders = [n for n in (1, 2) if f"rouge{n}" in kinds]
-    carry = ["_np", "_nr", "_lcs"]
-    scored = clipped_matches(tokens, ids, orders, carry) if orders else tokens
-    columns = []
-    for kind in kinds:
-        if kind == "rougeL":
-            value = f_measure(F.col("_lcs"), F.col("_np"), F.col("_nr"))
-        else:
-            n = int(kind[-1])
-            value = f_measure(
-                F.col(f"match_{n}"),
-                F.greatest(F.col("_np") - (n - 1), F.lit(0)),
-                F.greatest(F.col("_nr") - (n - 1), F.lit(0)),
-            )
-        columns.append(value.alias(kind))
-    return scored.select(*ids, *columns)
+    if orders:
+        tokens = clipped_matches(tokens, ids, {"rouge": ("_p", "_r", orders)}, ROUGE_CARRY)
+    return tokens.select(*ids, *[_rouge_value(kind).alias(kind) for kind in kinds])
 
 
 def rouge(
@@ -140,24 +161,20 @@ def rouge(
     return per_pair.groupBy(*by).agg(*[F.avg(k).alias(k) for k in kinds])
 
 
+def _bleu_sums() -> list[Column]:
+    return [
+        F.sum("_bnp").alias("sys_len"),
+        F.sum("_bnr").alias("ref_len"),
+        *[F.sum(f"bleu_match_{n}").alias(f"match_{n}") for n in BLEU_ORDERS],
+        *[F.sum(_total("_bnp", n)).alias(f"total_{n}") for n in BLEU_ORDERS],
+    ]
+
+
 def bleu_counts(pairs: DataFrame, ids: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Corpus sums per group: lengths, clipped matches and totals for n = 1..4."""
-    tokens = pairs.withColumns(
-        {
-            "_p": text.bleu_tokens(F.col("prediction")),
-            "_r": text.bleu_tokens(F.col("reference")),
-        }
-    ).withColumns({"_np": F.size("_p"), "_nr": F.size("_r")})
-    counted = clipped_matches(tokens, ids, BLEU_ORDERS, ["_np", "_nr"])
-    return counted.groupBy(*by).agg(
-        F.sum("_np").alias("sys_len"),
-        F.sum("_nr").alias("ref_len"),
-        *[F.sum(f"match_{n}").alias(f"match_{n}") for n in BLEU_ORDERS],
-        *[
-            F.sum(F.greatest(F.col("_np") - (n - 1), F.lit(0))).alias(f"total_{n}")
-            for n in BLEU_ORDERS
-        ],
-    )
+    families = {"bleu": ("_bp", "_br", BLEU_ORDERS)}
+    counted = clipped_matches(_bleu_tokens(pairs), ids, families, BLEU_CARRY)
+    return counted.groupBy(*by).agg(*_bleu_sums())
 
 
 def bleu_score() -> Column:
@@ -259,13 +276,8 @@ def _harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r != 0, 2 * p * r / F.nullif(p + r, F.lit(0.0))).otherwise(0.0)
 
 
-def encoded_match(
-    pairs: DataFrame, ids: Sequence[str], encode: Callable[[list[str]], list[np.ndarray]]
-) -> DataFrame:
-    """``ids, precision, recall, f1`` with a user's encoder: texts to token-vector matrices.
-
-    Vectors are made and matched in the same task; only three numbers per pair leave it.
-    """
+def encoder_udf(encode: Callable[[list[str]], list[np.ndarray]]):
+    """A UDF of prediction and reference that gives ``precision, recall, f1``."""
 
     @F.pandas_udf("struct<precision: double, recall: double, f1: double>")
     def match(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
@@ -280,10 +292,20 @@ def encoded_match(
             out.append((a, b, 2 * a * b / (a + b) if a + b else 0.0))
         return pd.DataFrame(out, columns=["precision", "recall", "f1"])
 
-    scored = pairs.select(
-        *ids, match(F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))).alias("m")
+    return match
+
+
+def encoded_match(
+    pairs: DataFrame, ids: Sequence[str], encode: Callable[[list[str]], list[np.ndarray]]
+) -> DataFrame:
+    """``ids, precision, recall, f1`` with a user's encoder: texts to token-vector matrices.
+
+    Vectors are made and matched in the same task; only three numbers per pair leave it.
+    """
+    matched = encoder_udf(encode)(
+        F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))
     )
-    return scored.select(*ids, "m.precision", "m.recall", "m.f1")
+    return pairs.select(*ids, matched.alias("m")).select(*ids, "m.precision", "m.recall", "m.f1")
 
 
 # Decimals of each reported metric.
@@ -298,14 +320,32 @@ def score(
     encode: Callable[[list[str]], list[np.ndarray]] | None = None,
     rounded: bool = True,
 ) -> DataFrame:
-    """All metrics per group, one column each. The embedding metric needs an encoder."""
+    """All metrics per group, one column each. The embedding metric needs an encoder.
+
+    Everything is computed in one pass over the pairs, so that predictions made upstream in the
+    same plan are made once.
+    """
     by = list(by)
-    table = rouge(pairs, ids, by, stemmed=stemmed).join(bleu(pairs, ids, by), by)
+    carry = [*ROUGE_CARRY, *BLEU_CARRY]
+    tokens = _bleu_tokens(_rouge_tokens(pairs, stemmed))
     if encode is not None:
-        matched = encoded_match(pairs, ids, encode).groupBy(*by).agg(
-            F.avg("f1").alias("bertscore_f1")
+        matched = encoder_udf(encode)(
+            F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))
+        )
+        tokens = tokens.withColumn("_f1", matched["f1"])
+        carry.append("_f1")
+    families = {"rouge": ("_p", "_r", (1, 2)), "bleu": ("_bp", "_br", BLEU_ORDERS)}
+    kinds = ("rouge1", "rouge2", "rougeL")
+    sums = (
+        clipped_matches(tokens, ids, families, carry)
+        .groupBy(*by)
+        .agg(
+            *[F.avg(_rouge_value(kind)).alias(kind) for kind in kinds],
+            *_bleu_sums(),
+            *([F.avg("_f1").alias("bertscore_f1")] if encode is not None else []),
         )
-        table = table.join(matched, by)
+    )
+    table = sums.withColumn("bleu4", bleu_score())
     metrics = [m for m in DECIMALS if m in table.columns]
     return table.select(
         *by, *[(F.round(m, DECIMALS[m]) if rounded else F.col(m)).alias(m) for m in metrics]

@@ -134,12 +134,6 @@ def merge_by_rounds(
     return done
 
 
-def last_chunk_flags(chunk_rows: DataFrame, key: str) -> DataFrame:
-    """Marks each document's last chunk; chunk counts are joined, so no document sits in one task."""
-    ends = chunk_rows.groupBy(key).agg(F.max("pos").alias("_end"))
-    return chunk_rows.join(ends, key).withColumn("is_last", F.col("pos") == F.col("_end")).drop("_end")
-
-
 def with_extract_chunks(
     df: DataFrame, key: str, size: int, boundary: str, tokenizer=tokens.WORDS
 ) -> DataFrame:

@@ -65,6 +65,15 @@ def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return df
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give heavy per-row work all cores when a file scan has fewer splits than there are.
+
+    Only for plain scans. A scan with enough splits, as any large table has, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per application."""
     sc = spark.sparkContext
