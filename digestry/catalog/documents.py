@@ -248,9 +248,8 @@ def sentence_degrees(spark, sf):
 )
 def textrank_topk(spark, sf):
     ranked = rank.textrank(pairs(spark, sf), "row_id")
-    return ranked.select("row_id", F.explode("extract").alias("e")).select(
-        "row_id", "e.pos", "e.sentence", F.round("e.rank", 8).alias("rank")
-    )
+    rows = ranked.select("row_id", F.explode_outer("extract").alias("e")).where("e is not null")
+    return rows.select("row_id", "e.pos", "e.sentence", F.round("e.rank", 8).alias("rank"))
 
 
 @query(
@@ -406,7 +405,6 @@ def result_json(spark, sf):
         evaluate.predictions(
             pairs(spark, sf), {s: summarize.lead(n) for s, n in LEADS.items()}, **OPTIONS
         ),
-        IDS,
         BY,
     )
     return results.scores_json(scores.long_scores(table, BY))

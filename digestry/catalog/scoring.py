@@ -161,7 +161,7 @@ scored AS (
         SELECT system, strategy, round(avg(rouge1), {DIGITS}) AS rouge1 FROM rouge_n GROUP BY ALL""",
 )
 def rouge1(spark, sf):
-    table = scores.rouge(predictions(spark, sf), IDS, BY, ("rouge1",), stemmed=False)
+    table = scores.rouge(predictions(spark, sf), BY, ("rouge1",), stemmed=False)
     return table.withColumn("rouge1", F.round("rouge1", DIGITS))
 
 
@@ -171,7 +171,7 @@ def rouge1(spark, sf):
         SELECT system, strategy, round(avg(rouge2), {DIGITS}) AS rouge2 FROM rouge_n GROUP BY ALL""",
 )
 def rouge2(spark, sf):
-    table = scores.rouge(predictions(spark, sf), IDS, BY, ("rouge2",), stemmed=False)
+    table = scores.rouge(predictions(spark, sf), BY, ("rouge2",), stemmed=False)
     return table.withColumn("rouge2", F.round("rouge2", DIGITS))
 
 
@@ -181,7 +181,7 @@ def rouge2(spark, sf):
         SELECT system, strategy, round(avg(rougeL), {DIGITS}) AS rougeL FROM rouge_l GROUP BY ALL""",
 )
 def rouge_l(spark, sf):
-    table = scores.rouge(predictions(spark, sf), IDS, BY, ("rougeL",), stemmed=False)
+    table = scores.rouge(predictions(spark, sf), BY, ("rougeL",), stemmed=False)
     return table.withColumn("rougeL", F.round("rougeL", DIGITS))
 
 
@@ -200,7 +200,7 @@ def rouge_per_pair(spark, sf):
 
 @query("rouge_stemmed")
 def rouge_stemmed(spark, sf):
-    return scores.rouge(predictions(spark, sf), IDS, BY)
+    return scores.rouge(predictions(spark, sf), BY)
 
 
 @query(
@@ -211,7 +211,7 @@ def rouge_stemmed(spark, sf):
         FROM bleu_sums""",
 )
 def bleu_counts(spark, sf):
-    return scores.bleu_counts(predictions(spark, sf), IDS, BY)
+    return scores.bleu_counts(predictions(spark, sf), BY)
 
 
 @query(
@@ -220,7 +220,7 @@ def bleu_counts(spark, sf):
         SELECT system, strategy, round(bleu4, {DIGITS}) AS bleu4 FROM bleu_by""",
 )
 def bleu4(spark, sf):
-    table = scores.bleu(predictions(spark, sf), IDS, BY)
+    table = scores.bleu(predictions(spark, sf), BY)
     return table.withColumn("bleu4", F.round("bleu4", DIGITS))
 
 
@@ -253,7 +253,7 @@ def bertscore_greedy(spark, sf):
         SELECT * FROM scored""",
 )
 def score_all(spark, sf):
-    return scores.score(predictions(spark, sf), IDS, BY, stemmed=False)
+    return scores.score(predictions(spark, sf), BY, stemmed=False)
 
 
 def compare_sql(src: str = "scored") -> str:
@@ -273,7 +273,7 @@ FROM both_systems"""
     f"WITH RECURSIVE {PREDICTIONS}, {score_ctes('predictions', IDS, BY)}, {compare_sql()}",
 )
 def compare_systems(spark, sf):
-    table = scores.score(predictions(spark, sf), IDS, BY, stemmed=False)
+    table = scores.score(predictions(spark, sf), BY, stemmed=False)
     compared = scores.compare_systems(scores.long_scores(table, BY), ["strategy", "metric"])
     return compared.withColumn("delta", F.round("delta", DIGITS))
 

@@ -6,8 +6,9 @@ only, so one step of the walk is: sum rank over (word, sentence length), then re
 through each sentence's words. That is exact and linear in the words of a document, where the pair
 list is quadratic in its sentences.
 
-Documents are one row each and are ranked inside it. Documents above a sentence limit go through
-the same step written as joins and aggregates, which spreads one document over many tasks.
+Documents are one row each and are ranked inside it, in memory linear in their words. On request,
+documents above a sentence limit go through the same step written as joins and aggregates, which
+spreads one document over many tasks.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ STOP = 1e-4
 MAX_ROUNDS = math.ceil(math.log(STOP / 2) / math.log(DAMPING)) + 1
 RANK_DECIMALS = 10
 
-ROW_SENTENCES = 20_000
 EXPANDED_ENTRIES = 8_000_000
 
 
@@ -209,17 +209,20 @@ def rank_by_rounds(df: DataFrame, key: str) -> DataFrame:
 
 
 def with_ranks(
-    df: DataFrame, key: str, column: str = "document", row_sentences: int = ROW_SENTENCES
+    df: DataFrame, key: str, column: str = "document", row_sentences: int | None = None
 ) -> DataFrame:
-    """Adds ``sentences`` and ``ranks``."""
+    """Adds ``sentences`` and ``ranks``.
+
+    With ``row_sentences``, documents of more sentences than that are ranked by rounds.
+    """
     listed = with_sentences(df, column)
+    if row_sentences is None:
+        return listed.withColumn("ranks", _ranks("word_lines")).drop("word_lines")
     size = F.size("sentences")
     in_row = listed.where(size <= row_sentences).withColumn("ranks", _ranks("word_lines"))
     large = listed.where(size > row_sentences)
-    if not large.isEmpty():
-        ranked = rank_by_rounds(large.select(key, "word_lines"), key)
-        in_row = in_row.unionByName(large.join(ranked, key))
-    return in_row.drop("word_lines")
+    ranked = rank_by_rounds(large.select(key, "word_lines"), key)
+    return in_row.unionByName(large.join(ranked, key)).drop("word_lines")
 
 
 def best_sentences(sentences: Column, ranks: Column, k: Column) -> Column:
@@ -247,7 +250,7 @@ def textrank(
     key: str,
     column: str = "document",
     k: Column | None = None,
-    row_sentences: int = ROW_SENTENCES,
+    row_sentences: int | None = None,
 ) -> DataFrame:
     """Adds ``extract``, the array of best sentences, and ``extracted``, their text."""
     ranked = with_ranks(df, key, column, row_sentences)

@@ -1,7 +1,7 @@
 """ROUGE, BLEU and embedding-match scores, and comparisons of systems.
 
-A pair table has unique ``ids`` plus ``prediction`` and ``reference``. The text of a pair is
-shuffled once, on its ids; n-gram counting and clipping then run inside that partitioning.
+Pairs have ``prediction`` and ``reference``. Everything about one pair is computed in its row, so a
+corpus score shuffles only one partial sum per task and group.
 """
 
 from __future__ import annotations
@@ -27,51 +27,48 @@ def f_measure(match: Column, predicted: Column, expected: Column) -> Column:
     return F.when(total > 0, 2 * precision * recall / F.nullif(total, F.lit(0.0))).otherwise(0.0)
 
 
-def clipped_matches(
-    pairs: DataFrame,
-    ids: Sequence[str],
-    families: dict[str, tuple[str, str, Sequence[int]]],
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """``ids, carry, <family>_match_<n>``: clipped n-gram overlap per pair.
+def _repeats(ordered: Column) -> Column:
+    """Of a sorted array, every element that equals the one before it."""
+    return F.filter(ordered, lambda x, i: (i > 0) & (x == F.get(ordered, i - 1)))
 
-    A family names two token-array columns and the n-gram orders to count over them. All families
-    are counted in one pass.
+
+def clipped_overlap(left: Column, right: Column) -> Column:
+    """Size of the multiset intersection of two string arrays, in about linear time.
+
+    The distinct elements are intersected by hashing; then the second occurrences, the third ones
+    and so on. Round k only looks at elements that occur at least k times.
     """
-    wanted = [(name, n) for name, (_, _, orders) in families.items() for n in orders]
-    grams = []
-    for slot, (name, n) in enumerate(wanted):
-        prediction, reference, _ = families[name]
-        for side, column in ((1, prediction), (0, reference)):
-            grams.append(F.transform(text.ngrams(F.col(column), n), _tagged_gram(slot, side)))
-    keys = [*ids, *carry]
-    # The n-grams weigh many times their text: a fixed partition count keeps AQE from merging
-    # partitions by the size of the text.
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrays = list(dict.fromkeys(c for p, r, _ in families.values() for c in (p, r)))
-    return (
-        pairs.select(*keys, *arrays)
-        .repartition(partitions, *ids)
-        .select(*keys, F.explode_outer(F.flatten(F.array(*grams))).alias("g"))
-        .groupBy(*keys, F.col("g.slot").alias("_slot"), F.col("g.gram").alias("_gram"))
-        .agg(
-            F.count_if(F.col("g.side") == 1).alias("_cp"),
-            F.count_if(F.col("g.side") == 0).alias("_cr"),
-        )
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.coalesce(
-                    F.sum(F.when(F.col("_slot") == slot, F.least("_cp", "_cr"))), F.lit(0)
-                ).alias(f"{name}_match_{n}")
-                for slot, (name, n) in enumerate(wanted)
-            ]
+
+    def peel(v: Column) -> Column:
+        rounds = F.least(F.size(v["left2"]), F.size(v["right2"]))
+        start = F.struct(
+            v["left2"].alias("left"),
+            v["right2"].alias("right"),
+            F.size(F.array_intersect(v["left"], v["right"])).alias("shared"),
         )
-    )
 
+        def again(held: Column, _: Column) -> Column:
+            return F.struct(
+                _repeats(held["left"]).alias("left"),
+                _repeats(held["right"]).alias("right"),
+                (
+                    held["shared"] + F.size(F.array_intersect(held["left"], held["right"]))
+                ).alias("shared"),
+            )
+
+        turns = F.slice(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), F.lit(1), rounds)
+        return F.aggregate(turns, start, again, lambda held: held["shared"])
+
+    def second(v: Column) -> Column:
+        return F.struct(
+            v["left"].alias("left"),
+            v["right"].alias("right"),
+            _repeats(v["left"]).alias("left2"),
+            _repeats(v["right"]).alias("right2"),
+        )
 
-def _tagged_gram(slot: int, side: int):
-    return lambda g: F.struct(F.lit(slot).alias("slot"), F.lit(side).alias("side"), g.alias("gram"))
+    ordered = text.bind(second, left=F.sort_array(left), right=F.sort_array(right))
+    return F.get(F.transform(F.array(ordered), peel), F.lit(0))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -94,13 +91,11 @@ def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x.split(), y.split()) for x, y in zip(a, b)], dtype="int32")
 
 
-# Columns that the token stage adds. ROUGE: arrays _p, _r, their sizes and the common
-# subsequence. BLEU: arrays _bp, _br and their sizes.
-ROUGE_CARRY = ("_np", "_nr", "_lcs")
-BLEU_CARRY = ("_bnp", "_bnr")
+ROUGE_KINDS = ("rouge1", "rouge2", "rougeL")
 
 
-def _rouge_tokens(pairs: DataFrame, stemmed: bool, subsequence: bool = True) -> DataFrame:
+def _with_rouge(pairs: DataFrame, kinds: Sequence[str], stemmed: bool) -> DataFrame:
+    """Adds one F measure column per kind."""
     lines = pairs
     for side, line in (("prediction", "_pl"), ("reference", "_rl")):
         joined = F.array_join(text.rouge_tokens(F.col(side)), " ")
@@ -109,26 +104,40 @@ def _rouge_tokens(pairs: DataFrame, stemmed: bool, subsequence: bool = True) ->
         {
             "_p": F.array_remove(F.split("_pl", " "), ""),
             "_r": F.array_remove(F.split("_rl", " "), ""),
-            "_lcs": _lcs(F.col("_pl"), F.col("_rl")) if subsequence else F.lit(0),
+            "_lcs": _lcs(F.col("_pl"), F.col("_rl")) if "rougeL" in kinds else F.lit(0),
         }
-    )
-    return arrays.withColumns({"_np": F.size("_p"), "_nr": F.size("_r")}).drop("_pl", "_rl")
-
-
-def _bleu_tokens(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns(
+    ).withColumns({"_np": F.size("_p"), "_nr": F.size("_r")})
+    values = {}
+    for kind in kinds:
+        if kind == "rougeL":
+            values[kind] = f_measure(F.col("_lcs"), F.col("_np"), F.col("_nr"))
+            continue
+        n = int(kind[-1])
+        arrays = arrays.withColumn(f"_m{n}", _gram_overlap("_p", "_r", n))
+        values[kind] = f_measure(F.col(f"_m{n}"), _total("_np", n), _total("_nr", n))
+    scored = arrays.withColumns(values)
+    return scored.drop("_pl", "_rl", "_p", "_r", "_lcs", "_np", "_nr", "_m1", "_m2")
+
+
+def _with_bleu(pairs: DataFrame) -> DataFrame:
+    """Adds the token counts ``_bnp``, ``_bnr`` and the matches ``_bm1`` to ``_bm4``."""
+    tokens = pairs.withColumns(
         {
             "_bp": text.bleu_tokens(F.col("prediction")),
             "_br": text.bleu_tokens(F.col("reference")),
         }
-    ).withColumns({"_bnp": F.size("_bp"), "_bnr": F.size("_br")})
+    )
+    return tokens.withColumns(
+        {
+            "_bnp": F.size("_bp"),
+            "_bnr": F.size("_br"),
+            **{f"_bm{n}": _gram_overlap("_bp", "_br", n) for n in BLEU_ORDERS},
+        }
+    ).drop("_bp", "_br")
 
 
-def _rouge_value(kind: str) -> Column:
-    if kind == "rougeL":
-        return f_measure(F.col("_lcs"), F.col("_np"), F.col("_nr"))
-    n = int(kind[-1])
-    return f_measure(F.col(f"rouge_match_{n}"), _total("_np", n), _total("_nr", n))
+def _gram_overlap(left: str, right: str, n: int) -> Column:
+    return clipped_overlap(text.ngrams(F.col(left), n), text.ngrams(F.col(right), n))
 
 
 def _total(length: str, n: int) -> Column:
@@ -138,43 +147,36 @@ def _total(length: str, n: int) -> Column:
 def rouge_pairs(
     pairs: DataFrame,
     ids: Sequence[str],
-    kinds: Sequence[str] = ("rouge1", "rouge2", "rougeL"),
+    kinds: Sequence[str] = ROUGE_KINDS,
     stemmed: bool = True,
 ) -> DataFrame:
     """``ids`` and the F measure of each kind, per pair."""
-    tokens = _rouge_tokens(pairs, stemmed, "rougeL" in kinds)
-    orders = [n for n in (1, 2) if f"rouge{n}" in kinds]
-    if orders:
-        tokens = clipped_matches(tokens, ids, {"rouge": ("_p", "_r", orders)}, ROUGE_CARRY)
-    return tokens.select(*ids, *[_rouge_value(kind).alias(kind) for kind in kinds])
+    return _with_rouge(pairs, kinds, stemmed).select(*ids, *kinds)
 
 
 def rouge(
     pairs: DataFrame,
-    ids: Sequence[str],
     by: Sequence[str],
-    kinds: Sequence[str] = ("rouge1", "rouge2", "rougeL"),
+    kinds: Sequence[str] = ROUGE_KINDS,
     stemmed: bool = True,
 ) -> DataFrame:
-    """Mean F measure per group; ``by`` must be among ``ids``."""
-    per_pair = rouge_pairs(pairs, ids, kinds, stemmed)
-    return per_pair.groupBy(*by).agg(*[F.avg(k).alias(k) for k in kinds])
+    """Mean F measure per group."""
+    scored = _with_rouge(pairs, kinds, stemmed)
+    return scored.groupBy(*by).agg(*[F.avg(k).alias(k) for k in kinds])
 
 
 def _bleu_sums() -> list[Column]:
     return [
         F.sum("_bnp").alias("sys_len"),
         F.sum("_bnr").alias("ref_len"),
-        *[F.sum(f"bleu_match_{n}").alias(f"match_{n}") for n in BLEU_ORDERS],
+        *[F.sum(f"_bm{n}").alias(f"match_{n}") for n in BLEU_ORDERS],
         *[F.sum(_total("_bnp", n)).alias(f"total_{n}") for n in BLEU_ORDERS],
     ]
 
 
-def bleu_counts(pairs: DataFrame, ids: Sequence[str], by: Sequence[str]) -> DataFrame:
+def bleu_counts(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Corpus sums per group: lengths, clipped matches and totals for n = 1..4."""
-    families = {"bleu": ("_bp", "_br", BLEU_ORDERS)}
-    counted = clipped_matches(_bleu_tokens(pairs), ids, families, BLEU_CARRY)
-    return counted.groupBy(*by).agg(*_bleu_sums())
+    return _with_bleu(pairs).groupBy(*by).agg(*_bleu_sums())
 
 
 def bleu_score() -> Column:
@@ -202,8 +204,8 @@ def bleu_score() -> Column:
     return F.when(any_match, brevity * F.exp(logs / F.greatest(usable, F.lit(1)))).otherwise(zero)
 
 
-def bleu(pairs: DataFrame, ids: Sequence[str], by: Sequence[str]) -> DataFrame:
-    return bleu_counts(pairs, ids, by).select(*by, bleu_score().alias("bleu4"))
+def bleu(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    return bleu_counts(pairs, by).select(*by, bleu_score().alias("bleu4"))
 
 
 def greedy_match(pred: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +316,6 @@ DECIMALS = {"rouge1": 4, "rouge2": 4, "rougeL": 4, "bleu4": 2, "bertscore_f1": 4
 
 def score(
     pairs: DataFrame,
-    ids: Sequence[str],
     by: Sequence[str],
     stemmed: bool = True,
     encode: Callable[[list[str]], list[np.ndarray]] | None = None,
@@ -322,28 +323,20 @@ def score(
 ) -> DataFrame:
     """All metrics per group, one column each. The embedding metric needs an encoder.
 
-    Everything is computed in one pass over the pairs, so that predictions made upstream in the
-    same plan are made once.
+    One pass over the pairs: predictions made upstream in the same plan are made once.
     """
     by = list(by)
-    carry = [*ROUGE_CARRY, *BLEU_CARRY]
-    tokens = _bleu_tokens(_rouge_tokens(pairs, stemmed))
+    rows = pairs
+    extra = []
     if encode is not None:
         matched = encoder_udf(encode)(
             F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))
         )
-        tokens = tokens.withColumn("_f1", matched["f1"])
-        carry.append("_f1")
-    families = {"rouge": ("_p", "_r", (1, 2)), "bleu": ("_bp", "_br", BLEU_ORDERS)}
-    kinds = ("rouge1", "rouge2", "rougeL")
-    sums = (
-        clipped_matches(tokens, ids, families, carry)
-        .groupBy(*by)
-        .agg(
-            *[F.avg(_rouge_value(kind)).alias(kind) for kind in kinds],
-            *_bleu_sums(),
-            *([F.avg("_f1").alias("bertscore_f1")] if encode is not None else []),
-        )
+        rows = rows.withColumn("_f1", matched["f1"])
+        extra = [F.avg("_f1").alias("bertscore_f1")]
+    scored = _with_bleu(_with_rouge(rows, ROUGE_KINDS, stemmed))
+    sums = scored.groupBy(*by).agg(
+        *[F.avg(kind).alias(kind) for kind in ROUGE_KINDS], *_bleu_sums(), *extra
     )
     table = sums.withColumn("bleu4", bleu_score())
     metrics = [m for m in DECIMALS if m in table.columns]

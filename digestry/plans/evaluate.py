@@ -72,9 +72,7 @@ def evaluate(
 ) -> DataFrame:
     """``strategy, system, metric, value`` in long form."""
     rows = predictions(pairs, systems, **options)
-    table = score(
-        rows, ["row_id", "strategy", "system"], ["strategy", "system"], stemmed, encode
-    )
+    table = score(rows, ["strategy", "system"], stemmed, encode)
     return long_scores(table, ["strategy", "system"])
 
 
@@ -127,4 +125,4 @@ def cross_comparison(
 ) -> DataFrame:
     """Each strategy pair of each document, scored as a corpus of one."""
     ids = ["row_id", "pair"]
-    return score(strategy_pairs(rows, strategies), ids, ids, stemmed, encode, rounded)
+    return score(strategy_pairs(rows, strategies), ids, stemmed, encode, rounded)
