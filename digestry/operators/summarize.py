@@ -148,7 +148,7 @@ def summarize(
     key: str,
     summarizer: Summarizer,
     strategies: tuple[str, ...] = STRATEGIES,
-    context: int = 1024,
+    context: int = 32_768,
     max_sequence: int = 1024,
     min_summary: int = 64,
     max_summary: int = 1024,
@@ -172,7 +172,7 @@ def stage(
     df: DataFrame,
     key: str,
     strategies: tuple[str, ...] = STRATEGIES,
-    context: int = 1024,
+    context: int = 32_768,
     max_sequence: int = 1024,
     max_summary: int = 1024,
     boundary: str = "word",

@@ -27,7 +27,7 @@ def predictions(
     pairs: DataFrame,
     systems: dict[str, Summarizer],
     strategies: tuple[str, ...] = STRATEGIES,
-    context: int = 1024,
+    context: int = 32_768,
     max_sequence: int = 1024,
     min_summary: int = 64,
     max_summary: int = 1024,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from digestry.operators.dedup import SPLITS
 from digestry.operators.filters import to_pairs
+from digestry.sources import read_tree
 
 # Folder names that never count as datasets.
 RESERVED = ("all", "processed", "processed_tokenized")
@@ -69,9 +70,7 @@ def write_pairs(df: DataFrame, path: str) -> None:
 
 
 def _table(spark: SparkSession, root: str) -> DataFrame:
-    table = spark.read.option("basePath", root).parquet(root)
-    if not {"dataset", "split"} <= set(table.columns):
-        raise FileNotFoundError(f"no dataset=/split= folders under {root}")
+    table = read_tree(spark, root, {"dataset", "split"})
     return table.where(~F.col("dataset").isin(*RESERVED) & F.col("split").isin(*SPLITS))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from digestry.operators.order import positions
 from digestry.session import broadcast_checked
+from digestry.sources import read_tree
 
 
 def shard_label(shard: Column, shards: Column) -> Column:
@@ -116,9 +117,7 @@ def scan_shards(
 
     An explicit list wins over the offset, keeps its order, and ignores absent shards.
     """
-    table = spark.read.parquet(path)
-    if "shard" not in table.columns:
-        raise FileNotFoundError(f"no shards under {path}")
+    table = read_tree(spark, path, {"shard"})
     if shards is not None:
         if any(i < 0 for i in shards):
             raise ValueError("shard indices must not be negative")
