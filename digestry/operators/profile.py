@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from digestry.functions import text
 from digestry.operators.filters import attach_fences, outside_fences
 from digestry.operators.order import group_head, row_window
-from digestry.operators.quantiles import five_number
+from digestry.operators.quantiles import five_number, iqr_fences
+from digestry.session import durable
 
 # The threshold checks, in report order.
 CHECKS = (
@@ -38,10 +39,19 @@ FEATURES = {
 }
 
 
+MEASURES = ("dw", "sw", "dc", "sc", "ratio")
+
+
 def measures(
     pairs: DataFrame, keep: Sequence[str] = ("split",), normalized: bool = False
 ) -> DataFrame:
-    """Word and character counts per row; no text leaves this projection."""
+    """Word and character counts per row; no text leaves this projection.
+
+    A table that holds the measures already is only narrowed, so that several reports can share
+    one reading of the texts.
+    """
+    if set(MEASURES) <= set(pairs.columns):
+        return pairs.select(*keep, *MEASURES)
     document, summary = F.col("document"), F.col("summary")
     return pairs.select(
         *keep,
@@ -64,20 +74,21 @@ def collapsed(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
 def profile_pairs(
     pairs: DataFrame, order_by: Sequence[str] = ("row_id",), sample_rows: int | None = 5000
 ) -> DataFrame:
-    """Per split: row count, sample size, blank rates and five-number summaries of the sample."""
-    if pairs.isEmpty():
+    """Per split: row count, sample size, blank rates and five-number summaries of the sample.
+
+    The lengths are materialized once; every figure comes from that narrow table.
+    """
+    rows = durable(measures(pairs, ["split", *order_by]))
+    if rows.isEmpty():
         raise ValueError("nothing to profile")
-    sample = pairs if sample_rows is None else group_head(pairs, ["split"], order_by, sample_rows)
-    counts = pairs.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    per_row = measures(sample)
-    rates = per_row.groupBy("split").agg(
+    sample = rows if sample_rows is None else group_head(rows, ["split"], order_by, sample_rows)
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    rates = sample.groupBy("split").agg(
         F.count(F.lit(1)).alias("sample_size"),
         F.avg(F.when(F.col("dw") == 0, 1.0).otherwise(0.0)).alias("empty_document_ratio"),
         F.avg(F.when(F.col("sw") == 0, 1.0).otherwise(0.0)).alias("empty_summary_ratio"),
     )
-    blocks = five_number(
-        per_row, ["split"], {name: F.col(c) for name, c in FEATURES.items()}
-    )
+    blocks = five_number(sample, ["split"], {name: F.col(c) for name, c in FEATURES.items()})
     # All three tables hold one row per split (and feature).
     return blocks.drop("n").join(F.broadcast(counts), "split").join(F.broadcast(rates), "split")
 
@@ -115,11 +126,24 @@ def _percent(count: Column, n: Column) -> Column:
 def validation_report(pairs: DataFrame) -> DataFrame:
     """``split, check, count, pct, flagged``: seven thresholds and two outlier checks."""
     grouped = collapsed(pairs, ["dw", "sw", "ratio"])
-    fenced = grouped
-    for column in ("ratio", "dw"):
-        fenced = attach_fences(fenced, ["split"], column, weight=F.col("n")).withColumn(
-            f"out_{column}", outside_fences(F.col(column))
-        ).drop("lo", "hi", "iqr")
+    watched = ("ratio", "dw")
+    fences = (
+        iqr_fences(grouped, ["split"], {c: F.col(c) for c in watched}, weight=F.col("n"))
+        .groupBy("split")
+        .agg(
+            *[
+                F.max(F.when(F.col("feature") == c, F.col(edge))).alias(f"{edge}_{c}")
+                for c in watched
+                for edge in ("lo", "hi")
+            ]
+        )
+    )
+    fenced = grouped.join(F.broadcast(fences), "split").withColumns(  # one row per split
+        {
+            f"out_{c}": (F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}"))
+            for c in watched
+        }
+    )
     rules = [(name, F.expr(rule), CHECK_FLAG_PCT) for name, rule in CHECKS] + [
         ("IQR outlier on ratio", F.col("out_ratio"), OUTLIER_FLAG_PCT),
         ("IQR outlier on doc_words", F.col("out_dw"), OUTLIER_FLAG_PCT),
@@ -221,5 +245,3 @@ def scatter_sample(
     """Word counts of the first ``n`` rows; only their texts are read for counting."""
     head = row_window(pairs, order_by, 0, n)
     return measures(head, order_by).select(*order_by, "dw", "sw")
-
-

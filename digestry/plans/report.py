@@ -7,22 +7,25 @@ from pyspark.sql import DataFrame
 from digestry.operators.dedup import duplicate_report, split_overlap
 from digestry.operators.profile import (
     histogram,
+    measures,
     outlier_counts,
     profile_pairs,
     scatter_sample,
     validation_report,
 )
+from digestry.session import durable
 
 
 def corpus_report(pairs: DataFrame, sample_rows: int | None = None) -> dict[str, DataFrame]:
-    """Named report tables; each is lazy and reads only the columns it needs."""
+    """Named report tables. The texts are read once for lengths and once for digests."""
+    lengths = durable(measures(pairs, ["split", "row_id"]))
     return {
-        "profile": profile_pairs(pairs, sample_rows=sample_rows),
-        "validation": validation_report(pairs),
-        "outliers": outlier_counts(pairs),
-        "histograms": histogram(pairs, bins=50),
-        "split_histograms": histogram(pairs, bins=60),
-        "scatter": scatter_sample(pairs),
+        "profile": profile_pairs(lengths, sample_rows=sample_rows),
+        "validation": validation_report(lengths),
+        "outliers": outlier_counts(lengths),
+        "histograms": histogram(lengths, bins=50),
+        "split_histograms": histogram(lengths, bins=60),
+        "scatter": scatter_sample(lengths),
         "duplicates": duplicate_report(pairs),
         "overlap": split_overlap(pairs),
     }
