@@ -151,7 +151,7 @@ _NAMES = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(summarize.STRATEG
 STRATEGY_CTES = f"""{WALK}, {chunk_ctes("pairs", "document", "doc")},
 {chunk_ctes("extracts", "extracted", "ext")},
 {fold_ctes("doc")}, {tree_ctes("doc")}, {fold_ctes("ext")},
-generated AS (
+generated AS MATERIALIZED (
   SELECT p.row_id, l.system, CASE k.rank {_NAMES} END AS strategy, k.rank AS strategy_rank,
          p.summary AS reference, p.document,
          CASE WHEN {wc("p.document")} <= {ROOM} THEN '{summarize.DIRECT}'

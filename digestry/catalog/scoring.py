@@ -35,25 +35,24 @@ def bleu_list(c: str) -> str:
     return kept(f"string_split({norm(line)}, ' ')")
 
 
-def gram_list(tokens: str, n: int) -> str:
-    if n == 1:
-        return tokens
-    return (
-        f"list_transform(range(1, len({tokens}) - {n - 2}), "
-        f"lambda i: array_to_string(list_slice({tokens}, i, i + {n - 1}), ' '))"
-    )
-
-
 def clip_ctes(src: str, ids: str, tokens, orders, tag: str) -> str:
     """CTEs ``tok_tag`` (token lists p, r) and ``clip_tag`` (ids, n, m)."""
+    sides = " UNION ALL ".join(
+        f"SELECT {ids}, '{side}' AS side, unnest({side}) AS w1, generate_subscripts({side}, 1) AS i "
+        f"FROM tok_{tag}"
+        for side in ("p", "r")
+    )
+    leads = "".join(f", lead(w1, {k}) OVER (PARTITION BY {ids}, side ORDER BY i) AS w{k + 1}"
+                    for k in range(1, max(orders)))
     grams = " UNION ALL ".join(
-        f"SELECT {ids}, {n} AS n, '{side}' AS side, unnest({gram_list(side, n)}) AS g FROM tok_{tag}"
+        f"SELECT {ids}, {n} AS n, side, {' || chr(32) || '.join(f'w{k}' for k in range(1, n + 1))} AS g "
+        f"FROM led_{tag} WHERE w{n} IS NOT NULL"
         for n in orders
-        for side in ("p", "r")
     )
     return f"""
-tok_{tag} AS (
+tok_{tag} AS MATERIALIZED (
   SELECT {ids}, {tokens("prediction")} AS p, {tokens("reference")} AS r FROM {src}),
+led_{tag} AS MATERIALIZED (SELECT *{leads} FROM ({sides})),
 gram_{tag} AS ({grams}),
 clip_{tag} AS (
   SELECT {ids}, n, sum(least(cp, cr)) AS m FROM (
@@ -89,7 +88,7 @@ def lcs_ctes(src: str, ids: list[str]) -> str:
     """``rouge_l``: the smallest end position in the reference per common length, word by word."""
     names = ", ".join(ids)
     return f"""
-tok_l AS (
+tok_l AS MATERIALIZED (
   SELECT row_number() OVER () AS k, {names}, {rouge_list("prediction")} AS p,
          {rouge_list("reference")} AS r FROM {src}),
 pt AS (SELECT k, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM tok_l),

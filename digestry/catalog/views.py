@@ -164,7 +164,7 @@ _OPTIONS = ", ".join(
     for rank, strategy in enumerate(STRATEGIES)
 )
 PREDICTIONS = f"""{PAIRS},
-predictions AS (
+predictions AS MATERIALIZED (
   SELECT row_id, system, strategy, strategy_rank,
          array_to_string(list_slice({word_list("document")}, start, start + {PREDICTION_WORDS - 1}), ' ')
            AS prediction, summary AS reference
