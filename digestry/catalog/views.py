@@ -69,7 +69,7 @@ def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed word windows of the document stand in for model output, per system and strategy."""
-    w = text.words(F.col("document"))
+    w = text.words(F.col("document"), normalized=True)
     options = F.explode(
         F.array(
             *[
