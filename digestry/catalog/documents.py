@@ -195,12 +195,12 @@ def chunked(spark, sf, boundary="none"):
                CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS pos FROM chunked_doc""",
 )
 def chunk_chars(spark, sf):
-    return chunks.explode_chunks(chunked(spark, sf), ["row_id"]).drop("is_last")
+    return chunks.explode_chunks(chunked(spark, sf), ["row_id"]).select("row_id", "pos", "chunk")
 
 
 @query("chunk_words")
 def chunk_words(spark, sf):
-    return chunks.explode_chunks(chunked(spark, sf, "word"), ["row_id"]).drop("is_last")
+    return chunks.explode_chunks(chunked(spark, sf, "word"), ["row_id"]).select("row_id", "pos", "chunk")
 
 
 @query(
@@ -210,7 +210,7 @@ def chunk_words(spark, sf):
                generate_subscripts(chunks, 1) = len(chunks) AS is_last FROM chunked_doc""",
 )
 def last_chunk(spark, sf):
-    return chunks.explode_chunks(chunked(spark, sf), ["row_id"]).drop("chunk")
+    return chunks.explode_chunks(chunked(spark, sf), ["row_id"]).select("row_id", "pos", "is_last")
 
 
 @query(
@@ -223,7 +223,7 @@ def last_chunk(spark, sf):
 def token_windows(spark, sf):
     windows = chunks.token_windows(F.col("document"), SIZE, OVERLAP, normalized=True)
     rows = pairs(spark, sf).select("row_id", windows.alias("chunks"))
-    return chunks.explode_chunks(rows, ["row_id"]).drop("is_last")
+    return chunks.explode_chunks(rows, ["row_id"]).select("row_id", "pos", "chunk")
 
 
 @query(

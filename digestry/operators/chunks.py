@@ -101,10 +101,15 @@ def with_chunks(
 
 
 def explode_chunks(df: DataFrame, keys: list[str], chunks: str = "chunks") -> DataFrame:
-    """``keys, pos, chunk, is_last``. The outer form keeps Spark from cutting twice to test size."""
-    rows = df.select(*keys, F.size(chunks).alias("_n"), F.posexplode_outer(chunks).alias("pos", "chunk"))
+    """``keys, pos, chunk, parts, is_last``; ``parts`` counts the document's chunks.
+
+    The outer form of explode keeps Spark from cutting twice to test the size.
+    """
+    rows = df.select(
+        *keys, F.size(chunks).alias("parts"), F.posexplode_outer(chunks).alias("pos", "chunk")
+    )
     return rows.where(F.col("chunk").isNotNull()).select(
-        *keys, "pos", "chunk", (F.col("pos") == F.col("_n") - 1).alias("is_last")
+        *keys, "pos", "chunk", "parts", (F.col("pos") == F.col("parts") - 1).alias("is_last")
     )
 
 

@@ -99,38 +99,32 @@ def merge_by_rounds(
     min_tokens: int,
     max_tokens: int,
 ) -> DataFrame:
-    """``key, summary`` from ``key, pos, chunk`` rows, one driver round per tree level.
+    """``key, summary`` from ``explode_chunks`` rows, one driver round per tree level.
 
-    A group holds at most two rows, so the chunks of a huge document are spread over the cluster.
-    Positions must be dense from 0 within each document.
+    A group holds at most two rows and the part count travels with the rows, so the chunks of a
+    huge document stay spread over the cluster. Positions are dense from 0 within a document.
     """
-    state = durable(
-        chunk_rows.select(
-            key, "pos", summarizer(F.col("chunk"), None, F.lit(0), max_tokens).alias("summary")
-        )
-    )
-    sizes = state.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    state = durable(state.join(sizes, key))
-    done = state.where(F.col("_n") == 1).select(key, "summary")
-    state = state.where(F.col("_n") > 1)
+    leaf = summarizer(F.col("chunk"), None, F.lit(0), max_tokens)
+    state = durable(chunk_rows.select(key, "pos", F.col("parts").cast("long"), leaf.alias("summary")))
+    done = state.where("parts = 1").select(key, "summary")
+    state = state.where("parts > 1")
+    floor = F.when(F.col("parts") <= 2, F.lit(min_tokens)).otherwise(F.lit(0))
     while not state.isEmpty():
-        ordered = F.sort_array(F.collect_list(F.struct("pos", "summary")))
-        floor = F.when(F.col("_n") <= 2, F.lit(min_tokens)).otherwise(F.lit(0))
         joined = (
-            state.groupBy(key, "_n", F.floor(F.col("pos") / 2).alias("pos"))
-            .agg(ordered.alias("_two"))
+            state.groupBy(key, "parts", F.floor(F.col("pos") / 2).alias("pos"))
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "summary"))).alias("_two"))
             .withColumn("_joined", F.array_join(F.col("_two.summary"), "\n\n"))
         )
         merged = durable(
             joined.select(
                 key,
                 "pos",
+                F.ceil(F.col("parts") / 2).alias("parts"),
                 summarizer(F.col("_joined"), None, floor, max_tokens).alias("summary"),
-                F.ceil(F.col("_n") / 2).alias("_n"),
             )
         )
-        done = done.unionByName(merged.where(F.col("_n") == 1).select(key, "summary"))
-        state = merged.where(F.col("_n") > 1)
+        done = done.unionByName(merged.where("parts = 1").select(key, "summary"))
+        state = merged.where("parts > 1")
     return done
 
 
