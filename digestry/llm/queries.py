@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.llm import bpe, packing
+from digestry.llm import bpe, packing, pii, rules, shards, simhash
 from digestry.llm.common import body
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *[pii.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share_vocabulary(spark, VOCABULARY)
@@ -44,6 +56,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    fields = (*rules.BASE, "base_failed", "kept")
+    return judged.select("doc_id", *[F.col(f"quality.{field}").alias(field) for field in fields])
+
+
+SHARDS = 16
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.assign(documents(spark, sf_dir), "doc_id", "text", SHARDS)
+    return shards.number(rows, "shard").withColumn("law", F.lit("key"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), "doc_id", "text", 3, 3)
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share_vocabulary(spark, VOCABULARY)
