@@ -24,21 +24,20 @@ from pathlib import Path
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from digestry.llm.common import ready
+from digestry.llm.common import body, ready
 
 NEVER = np.int64(1) << 40
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Texts are encoded together up to so many bytes.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Words of up to so many bytes are merged side by side in one array.
 SIDE_BY_SIDE = 32
 WORD_END = "</w>"
@@ -96,10 +95,11 @@ class Coder:
         alphabet = [bytes([b]) for b in range(256)]
         self.base_inner = np.array([self.inner[b] for b in alphabet])
         self.base_final = np.array([self.final[b] for b in alphabet])
-        self.names = np.full(self.size, "", dtype=object)
+        names = [""] * self.size
         self.specials = {t["content"]: t["id"] for t in known["added_tokens"]}
         for name, token in {**vocab, **self.specials}.items():
-            self.names[token] = name
+            names[token] = name
+        self.token_names = pa.array(names, pa.large_string())
         self.rank = np.full(self.size, -1, dtype=np.int64)
         self.left = np.zeros(self.size, dtype=np.int64)
         self.right = np.zeros(self.size, dtype=np.int64)
@@ -314,16 +314,6 @@ class Coder:
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         texts = pc.fill_null(texts, "")
-        out, first, size = [], 0, 0
-        for at, n in enumerate(pc.binary_length(texts).to_pylist()):
-            size += n
-            if size > CHUNK:
-                out.append(self._encode_chunk(texts.slice(first, at + 1 - first)))
-                first, size = at + 1, 0
-        out.append(self._encode_chunk(texts.slice(first)))
-        return pa.concat_arrays(out)
-
-    def _encode_chunk(self, texts: pa.Array) -> pa.Array:
         odd = {i: t for i, t in enumerate(texts.to_pylist()) if not self.is_usual(t)}
         if odd:
             texts = pc.if_else(np.isin(np.arange(len(texts)), list(odd)), "", texts)
@@ -348,8 +338,14 @@ class Coder:
             rows[i] = b"".join([known[p] for p in pieces])
         return pa.array(rows, pa.binary())
 
-    def decode(self, ids: bytes | None) -> str:
-        return " ".join(self.names[np.frombuffer(ids or b"", dtype="<u4")].tolist())
+    def decode(self, packed: pa.Array) -> pa.Array:
+        """The text of each packed list of ids: their tokens, with spaces between."""
+        packed = pc.fill_null(packed, b"")
+        ends = np.cumsum([0, *pc.binary_length(packed).to_pylist()]) // 4
+        ids = np.frombuffer(b"".join(packed.to_pylist()), dtype="<u4")
+        tokens = self.token_names.take(pa.array(ids))
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), tokens)
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 _CODERS: dict[str, Coder] = {}
@@ -366,22 +362,47 @@ def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return ready(spark).sparkContext.broadcast(Path(path).read_text())
 
 
-def encode(text: Column, vocabulary: Broadcast) -> Column:
-    """Token ids of a text as packed little-endian unsigned 32-bit integers."""
-
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        packed = coder(vocabulary.value).encode(pa.array(texts, pa.string(), from_pandas=True))
-        return pd.Series(packed.to_pylist(), dtype=object)
-
-    return ids(text)
-
-
-def decode(ids: Column, vocabulary: Broadcast) -> Column:
-    """The text that packed token ids stand for."""
-
-    @F.pandas_udf("string")
-    def text(packed: pd.Series) -> pd.Series:
-        return pd.Series([coder(vocabulary.value).decode(p) for p in packed], dtype=object)
-
-    return text(ids)
+def code(
+    docs: DataFrame, key: str, text: str, vocabulary: Broadcast, decoded: bool = True
+) -> DataFrame:
+    """``key, ids`` and with ``decoded`` also ``decoded``: the token ids of each text as packed
+    little-endian unsigned 32-bit integers, and the text that these ids stand for."""
+    bare = docs.select(F.col(key), body(text).alias("ids"))
+    kind = bare.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(vocabulary.value)
+        for batch in batches:
+            for keys, texts in slices(*batch.columns):
+                ids = own.encode(texts)
+                columns = [keys, ids, own.decode(ids)] if decoded else [keys, ids]
+                names = [key, "ids", "decoded"][: len(columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return bare.mapInArrow(run, f"`{key}` {kind}, ids binary" + ", decoded string" * decoded)
+
+
+def decode(coded: DataFrame, key: str, ids: str, vocabulary: Broadcast) -> DataFrame:
+    """``key, decoded``: the text that packed token ids stand for; null ids stand for none."""
+    bare = coded.select(F.col(key), F.col(ids).alias("decoded"))
+    kind = bare.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, packed in slices(*batch.columns):
+                text = coder(vocabulary.value).decode(packed)
+                yield pa.RecordBatch.from_arrays([keys, text], names=[key, "decoded"])
+
+    return bare.mapInArrow(run, f"`{key}` {kind}, decoded string")
+
+
+def slices(keys: pa.Array, values: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Runs of rows with about ``CHUNK`` bytes of values each."""
+    first, size = 0, 0
+    for at, n in enumerate(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
+        size += n
+        if size > CHUNK:
+            yield keys.slice(first, at + 1 - first), values.slice(first, at + 1 - first)
+            first, size = at + 1, 0
+    if first < len(values):
+        yield keys.slice(first), values.slice(first)

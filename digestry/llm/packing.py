@@ -23,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from digestry.llm.bpe import coder
+from digestry.llm.bpe import coder, slices
 from digestry.llm.common import body, ready, save
 
 WINDOW = 2048
@@ -134,11 +134,10 @@ def pack(
                     [("doc_id", got.schema.field("doc_id").type)]
                     + [(n, pa.binary() if n == "ids" else pa.int64()) for n in names[1:]]
                 )
-            encoded = coder(vocabulary.value).encode(got.column("text"))
-            for at in range(0, len(encoded), 1000):
+            for keys, texts in slices(got.column("doc_id"), got.column("text")):
+                encoded = coder(vocabulary.value).encode(texts)
                 closed: list[tuple[int, list[Piece]]] = []
-                keys = got.column("doc_id").slice(at, 1000).to_pylist()
-                for name, ids in zip(keys, encoded.slice(at, 1000).to_pylist()):
+                for name, ids in zip(keys.to_pylist(), encoded.to_pylist()):
                     for piece in cut(name, ids + end, window):
                         lean = piece if keep_ids else (*piece[:5], b"")
                         closed.extend(held.place(lean))

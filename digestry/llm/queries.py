@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.llm import bpe, packing, pii, rules, shards, simhash
-from digestry.llm.common import body
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,11 +42,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share_vocabulary(spark, VOCABULARY)
-    coded = (
-        documents(spark, sf_dir)
-        .select("doc_id", bpe.encode(body("text"), shared).alias("ids"))
-        .select("doc_id", "ids", bpe.decode(F.col("ids"), shared).alias("decoded"))
-    )
+    coded = bpe.code(documents(spark, sf_dir), "doc_id", "text", shared)
     return coded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
