@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.llm import bpe, packing, pii, rules, shards, simhash
+from digestry.llm import ann, bpe, brown, gam, packing, pii, rules, shards, simhash, toxicity
+from digestry.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NEAREST = 20
+
+
+@query
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, "vec_id", "embedding", F.col("id") % 20 == 0, NEAREST)
+
+
+@query
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(documents(spark, sf_dir))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share_vocabulary(spark, VOCABULARY)
@@ -58,6 +73,23 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{field}").alias(field) for field in fields])
 
 
+def verdicts(scored: DataFrame, parts: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", parts) == held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op6_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = gam.score(docs, "doc_id", "text", model)
+    return verdicts(scored, gam.PARTS, gam.HELD_OUT, gam.THRESHOLD)
+
+
 SHARDS = 16
 
 
@@ -76,3 +108,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share_vocabulary(spark, VOCABULARY)
     return packing.pack(documents(spark, sf_dir), "doc_id", "text", shared)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), "text", model, "score")
+    return verdicts(scored, toxicity.PARTS, toxicity.HELD_OUT, toxicity.THRESHOLD)

@@ -3,8 +3,9 @@
 For toxic and for ordinary texts, the next character of a word is predicted from up to five before
 it. A class counts in how many of its texts a word stands; what it has rarely seen it takes from
 continuation counts that both classes share, so a spelling that neither knows tells nothing. The
-difference of the two log-likelihoods of a word, of the whole text divided by its length, and of the
-words that stand out most are weighed by a logistic curve that is fitted on the sample.
+difference of the two log-likelihoods of the whole text divided by its length, of the words that
+stand out most, and of all that stand out are weighed by a logistic curve. The curve is fitted on
+differences that come from the other half of the sample.
 
 The fit uses at most ``SAMPLE`` labelled texts of each class; the model holds at most ``ENTRIES``
 character sequences. Every text is scored whole.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,14 +35,17 @@ from digestry.llm.samples import labelled_sample
 SAMPLE = 10_000
 ENTRIES = 400_000
 CONTEXT = 5
-#: A context counts from so many texts on.
-LEAST_TEXTS = 8
+#: A class has its own counts for a context from so many of its texts on.
+LEAST_TEXTS = 5
 DISCOUNT = 0.75
 HELD_OUT, PARTS = 2, 4
 THRESHOLD = 0.3
 #: Distinct words whose difference a Python worker remembers.
 REMEMBERED = 300_000
 TOP = 3
+#: A word stands out above this difference.
+STANDS_OUT = 1.5
+FEATURES = 5
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,8 +59,8 @@ class Model:
 
     def __init__(self, grams: dict[str, float], contexts: dict[str, float]):
         self.grams, self.contexts = grams, contexts
-        self.weights = np.zeros(5)
-        self.shift, self.scale = np.zeros(4), np.ones(4)
+        self.weights = np.zeros(FEATURES + 1)
+        self.shift, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
         self.words: dict[str, float] = {}
 
     def __reduce__(self):
@@ -69,21 +74,24 @@ class Model:
             total += self.contexts.get(line[first:i], 0.0) if value is None else value
         return total
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """Difference per character, of the most telling word and of the top few, log length."""
+    def features(self, text: str) -> tuple[float, ...]:
+        """Difference per character, of the most telling word and of the top few different ones, of
+        all different words that stand out, and log length."""
         words = tokens(text)
         if not words:
-            return 0.0, 0.0, 0.0, 0.0
-        found = list(map(self.words.get, words))
+            return (0.0,) * FEATURES
+        times = Counter(words)
+        found = list(map(self.words.get, times))
         if None in found:
             if len(self.words) > REMEMBERED:
                 self.words = {}
-            self.words.update((w, self.word(w)) for w in set(words) if w not in self.words)
-            found = list(map(self.words.__getitem__, words))
-        values = np.array(found)
-        top = np.partition(values, -min(TOP, len(values)))[-TOP:]
+            self.words.update((w, self.word(w)) for w in times if w not in self.words)
+            found = list(map(self.words.__getitem__, times))
+        values, counts = np.array(found), np.array(list(times.values()))
+        top = np.append(np.partition(values, -min(TOP, len(values)))[-TOP:], [0.0] * TOP)[:TOP]
+        out = np.maximum(values - STANDS_OUT, 0).sum()
         size = sum(map(len, words)) + len(words)
-        return values.sum() / size, top.max(), top.mean(), math.log1p(len(words))
+        return values @ counts / size, top.max(), top.mean(), np.log1p(out), np.log1p(len(words))
 
     def standard(self, features: np.ndarray) -> np.ndarray:
         bounded = np.column_stack([features[:, :1], np.clip(features[:, 1:], -20, 20)])
@@ -97,7 +105,7 @@ class Model:
         bounded = self.standard(features)[:, 1:]
         self.shift, self.scale = bounded.mean(axis=0), bounded.std(axis=0) + 1e-9
         x = self.standard(features)
-        ridge = np.diag([1e-6, *[1e-2] * 4]) * weight.sum() / 100
+        ridge = np.diag([1e-6, *[1e-2] * FEATURES]) * weight.sum() / 100
         for _ in range(25):
             p = self.scores(features)
             step = np.linalg.solve(
@@ -115,29 +123,31 @@ def _rebuild(grams, contexts, weights, shift, scale) -> Model:
     return model
 
 
+#: Texts of either class in either half of the sample.
+COUNTS = ("toxic_0", "ordinary_0", "toxic_1", "ordinary_1")
+
+
+def half(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8")) & 1
+
+
 def spelling_counts(sample: DataFrame) -> DataFrame:
-    """``gram, toxic, ordinary``: contexts with their next character, by texts of each class."""
+    """``gram`` and ``COUNTS``: contexts with their next character, by texts of each class."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = (Counter(), Counter())
+            seen = [Counter() for _ in COUNTS]
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                seen[label].update(set(tokens(text)))
-            names = list(seen[0] | seen[1])
+                seen[2 * half(text) + 1 - label].update(set(tokens(text)))
+            names = list(set().union(*seen))
+            counts = [pa.array([c[w] for w in names], pa.int64()) for c in seen]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names, pa.string()),
-                    pa.array([seen[1][w] for w in names], pa.int64()),
-                    pa.array([seen[0][w] for w in names], pa.int64()),
-                ],
-                names=["word", "toxic", "ordinary"],
+                [pa.array(names, pa.string()), *counts], names=["word", *COUNTS]
             )
 
-    counted = (
-        sample.mapInArrow(words, "word string, toxic long, ordinary long")
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    )
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    kinds = ", ".join(f"{c} long" for c in COUNTS)
+    counted = sample.mapInArrow(words, f"word string, {kinds}").groupBy("word").agg(*sums)
     line = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = F.transform(
         F.sequence(F.lit(2), F.length(line)),
@@ -145,11 +155,7 @@ def spelling_counts(sample: DataFrame) -> DataFrame:
             line, F.greatest(i - CONTEXT, F.lit(1)), F.least(i, F.lit(CONTEXT + 1))
         ),
     )
-    return (
-        counted.select(F.explode(grams).alias("gram"), "toxic", "ordinary")
-        .groupBy("gram")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    )
+    return counted.select(F.explode(grams).alias("gram"), *COUNTS).groupBy("gram").agg(*sums)
 
 
 def shared_counts(grams: DataFrame) -> DataFrame:
@@ -165,47 +171,53 @@ def shared_counts(grams: DataFrame) -> DataFrame:
     )
 
 
-def differences(grams: pd.DataFrame, shared: pd.DataFrame) -> Model:
-    """The two models' difference for every sequence whose context enough texts have."""
-    kinds = dict(zip(shared["gram"], shared["kinds"]))
-    total, types = Counter(), Counter()
-    for gram, n in kinds.items():
-        total[gram[:-1]] += n
-        types[gram[:-1]] += 1
-    letters = max(1, sum(1 for g in kinds if len(g) == 1))
+class Shared:
+    """Interpolated Kneser-Ney probabilities from the continuation counts of both classes."""
+
+    def __init__(self, counts: pd.DataFrame):
+        self.kinds = dict(zip(counts["gram"], counts["kinds"]))
+        self.total, self.types = Counter(), Counter()
+        for gram, n in self.kinds.items():
+            self.total[gram[:-1]] += n
+            self.types[gram[:-1]] += 1
+        self.letters = max(1, self.types[""])
 
-    def backoff(gram: str) -> float:
-        """Interpolated shared probability of the last character after the others."""
-        lower = 1 / letters if len(gram) == 1 else backoff(gram[1:])
+    def __call__(self, gram: str) -> float:
+        """The probability of the last character after the others."""
+        lower = 1 / self.letters if len(gram) == 1 else self(gram[1:])
         context = gram[:-1]
-        if not total[context]:
+        total = self.total[context]
+        if not total:
             return lower
-        seen = max(kinds.get(gram, 0) - DISCOUNT, 0.0)
-        return (seen + DISCOUNT * types[context] * lower) / total[context]
-
-    context = grams["gram"].str[:-1]
-    by_context = grams.assign(context=context).groupby("context")
-    sums = by_context[["toxic", "ordinary"]].sum()
-    sorts = by_context[["toxic", "ordinary"]].agg(lambda c: int((c > 0).sum()))
-    sums = sums[sums.sum(axis=1) >= LEAST_TEXTS]
-    spare: dict[str, tuple[float, float]] = {}
-    whole: dict[str, tuple[int, int]] = {}
-    for name, n, k in zip(sums.index, sums.values.tolist(), sorts.loc[sums.index].values.tolist()):
-        whole[name] = n
-        spare[name] = tuple(DISCOUNT * k[c] / n[c] if n[c] else 1.0 for c in (0, 1))
-    contexts = {c: math.log(t / o) for c, (t, o) in spare.items()}
+        seen = max(self.kinds.get(gram, 0) - DISCOUNT, 0.0)
+        return (seen + DISCOUNT * self.types[context] * lower) / total
+
+
+def differences(grams: pd.DataFrame, shared: Shared) -> Model:
+    """The difference of the two classes, ``toxic`` and ``ordinary``, for every sequence whose
+    context enough texts of either class have."""
+    names = ["toxic", "ordinary"]
+    by_context = grams.assign(context=grams["gram"].str[:-1]).groupby("context")
+    sums = by_context[names].sum()
+    types = (grams[names] > 0).groupby(grams["gram"].str[:-1]).sum()
+    known = sums[(sums >= LEAST_TEXTS).any(axis=1)]
+    whole = dict(zip(known.index, known.values.tolist()))
+    spare = {
+        c: [DISCOUNT * t / n if n >= LEAST_TEXTS else 1.0 for t, n in zip(k, whole[c])]
+        for c, k in zip(known.index, types.loc[known.index].values.tolist())
+    }
     found: dict[str, float] = {}
-    for gram, toxic, ordinary in grams[["gram", "toxic", "ordinary"]].itertuples(index=False):
-        c = gram[:-1]
-        if c not in whole:
+    for gram, *seen in grams[["gram", *names]].itertuples(index=False):
+        context = gram[:-1]
+        if context not in whole:
             continue
-        lower = backoff(gram[1:])
+        lower = shared(gram[1:])
         p = [
-            (max(n - DISCOUNT, 0.0) / whole[c][i] if whole[c][i] else 0.0) + spare[c][i] * lower
-            for i, n in enumerate((toxic, ordinary))
+            (max(n - DISCOUNT, 0.0) / all_ if all_ >= LEAST_TEXTS else 0.0) + rest * lower
+            for n, all_, rest in zip(seen, whole[context], spare[context])
         ]
         found[gram] = math.log(p[0] / p[1])
-    return Model(found, contexts)
+    return Model(found, {c: math.log(t / o) for c, (t, o) in spare.items()})
 
 
 def most_frequent(counts: DataFrame, by: Column) -> pd.DataFrame:
@@ -223,13 +235,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model.weights[0] = math.log((share + 1e-9) / (1 - min(share, 1 - 1e-9)))
         return model
     grams = save(spelling_counts(sample), "spelling")
-    frequent = most_frequent(grams, F.col("toxic") + F.col("ordinary"))
-    model = differences(frequent, most_frequent(shared_counts(grams), F.col("kinds")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    table = most_frequent(grams, sum((F.col(c) for c in COUNTS), F.lit(0)))
+    common = Shared(most_frequent(shared_counts(grams), F.col("kinds")))
+
+    def of(halves: tuple[int, ...]) -> Model:
+        sums = {
+            c: sum(table[f"{c}_{h}"] for h in halves) for c in ("toxic", "ordinary")
+        }
+        return differences(pd.DataFrame({"gram": table["gram"], **sums}), common)
+
+    model = of((0, 1))
+    others = docs.sparkSession.sparkContext.broadcast([of((1,)), of((0,))])
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(shared.value.features(t)) for t in texts])
+        return pd.Series([[float(v) for v in others.value[half(t)].features(t)] for t in texts])
 
     rows = sample.select(features("text").alias("x"), "label").toPandas()
     label = rows["label"].to_numpy(dtype=float)
