@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on a bounded sample of ``labels`` (``key, quality``) outside the held-out remainder."""
     ready(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, key, text, "quality", PARTS, HELD_OUT, SAMPLE)
-    rows = sample.select(features(F.col("text")).alias("x"), "label").toPandas()
+    rows = sample.select(features(F.col("text")).alias("x"), "label").toArrow().to_pandas()
     counts = rows["label"].value_counts().to_dict()
     if len(counts) < 2:
         only = 0.0 if not counts else (60.0 if 1 in counts else -60.0)

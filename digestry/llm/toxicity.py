@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from digestry.llm.common import body, ready, save
 from digestry.llm.samples import labelled_sample
 
-SAMPLE = 10_000
-ENTRIES = 400_000
+SAMPLE = 5_000
+ENTRIES = 200_000
 CONTEXT = 5
 #: A class has its own counts for a context from so many of its texts on.
 LEAST_TEXTS = 5
@@ -221,7 +221,7 @@ def differences(grams: pd.DataFrame, shared: Shared) -> Model:
 
 
 def most_frequent(counts: DataFrame, by: Column) -> pd.DataFrame:
-    return counts.orderBy(by.desc(), "gram").limit(ENTRIES).toPandas()
+    return counts.orderBy(by.desc(), "gram").limit(ENTRIES).toArrow().to_pandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -244,14 +244,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         }
         return differences(pd.DataFrame({"gram": table["gram"], **sums}), common)
 
-    model = of((0, 1))
     others = docs.sparkSession.sparkContext.broadcast([of((1,)), of((0,))])
+    model = of((0, 1))
+    del table, common
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(v) for v in others.value[half(t)].features(t)] for t in texts])
 
-    rows = sample.select(features("text").alias("x"), "label").toPandas()
+    rows = sample.select(features("text").alias("x"), "label").toArrow().to_pandas()
     label = rows["label"].to_numpy(dtype=float)
     weight = np.where(label == 1, sizes[1] / in_sample[1], sizes[0] / in_sample[0])
     model.fit_curve(np.array(rows["x"].tolist()), label, weight / weight.mean())
