@@ -10,7 +10,7 @@ from digestry.catalog.views import PAIRS, WORDS, pairs, word_list
 from digestry.functions import prompts, tokens
 from digestry.operators import dedup, filters, order, quantiles
 from digestry.plans import evaluate, feed
-from digestry.session import durable, work_path
+from digestry.session import stored, work_path
 from digestry.streaming.feed import clean, start_feed
 
 OFFSET, LIMIT, EPOCHS, SEED, MAX_LENGTH = 37, 250, 3, 42, 128
@@ -127,10 +127,10 @@ SELECT split, row_id, source, document, summary, {PROMPT_SQL} AS text FROM fed""
 
 def frozen_references(rows):
     """The train digests and the fences that a feed is started with."""
-    keys = durable(dedup.document_keys(rows.where("split = 'train'")))
+    keys = stored(dedup.document_keys(rows.where("split = 'train'")))
     kept = filters.hard_filter(filters.with_lengths(rows, normalized=True))
     fences = quantiles.iqr_fences(kept, ["split"], {"ratio": F.col("ratio")})
-    return keys, durable(fences.select("split", "lo", "hi", "iqr"))
+    return keys, stored(fences.select("split", "lo", "hi", "iqr"))
 
 
 @query("stream_feed", _CLEAN)

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.functions import text
 from digestry.operators.filters import to_pairs
 from digestry.operators.summarize import STRATEGIES
-from digestry.session import spread
 
 SYSTEMS = ("base", "adapter")
-PREDICTION_WORDS = 20
-
-
-KEYS = {
-    "documents": ("doc_id",),
-    "conversations": ("conv_id", "turn"),
-    "pages": ("page_id",),
-    "embeddings": ("vec_id",),
-}
+#: The strategy of rank r leaves out every (DROPPED + r)-th word of the document.
+DROPPED = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *KEYS[name])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +61,17 @@ def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_pairs(raw, "body", "title", ("row_id",), "pages")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed word windows of the document stand in for model output, per system and strategy."""
+def talk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chat_pairs`` with one id for a turn: short whole texts, for the metrics with slow SQL."""
+    turn_id = (F.col("row_id") * 10_000 + F.col("part")).alias("row_id")
+    return chat_pairs(spark, sf_dir).select(turn_id, "document", "summary")
+
+
+def predictions(
+    spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = pairs
+) -> DataFrame:
+    """The whole document without some of its words stands in for model output: every few words,
+    by strategy and system, one is left out."""
     w = text.words(F.col("document"), normalized=True)
     options = F.explode(
         F.array(
@@ -77,16 +80,19 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(system).alias("system"),
                     F.lit(strategy).alias("strategy"),
                     F.lit(rank).alias("strategy_rank"),
-                    F.lit(1 + 3 * rank + (5 if system == "base" else 0)).alias("start"),
+                    F.lit(1 if system == "base" else 0).alias("shift"),
+                    F.lit(DROPPED + rank).alias("every"),
                 )
                 for system in SYSTEMS
                 for rank, strategy in enumerate(STRATEGIES)
             ]
         )
     )
-    prediction: Column = F.array_join(F.slice(F.col("_w"), F.col("o.start"), PREDICTION_WORDS), " ")
+    prediction: Column = F.array_join(
+        F.filter("_w", lambda _, i: (i + F.col("o.shift")) % F.col("o.every") != 0), " "
+    )
     return (
-        pairs(spark, sf_dir)
+        source(spark, sf_dir)
         .select("row_id", F.col("summary").alias("reference"), w.alias("_w"))
         .select("row_id", "reference", "_w", options.alias("o"))
         .select(
@@ -159,13 +165,24 @@ all_sources AS (
   WHERE document <> '' AND summary <> '')"""
 
 _OPTIONS = ", ".join(
-    f"('{system}', '{strategy}', {rank}, {1 + 3 * rank + (5 if system == 'base' else 0)})"
+    f"('{system}', '{strategy}', {rank}, {1 if system == 'base' else 0}, {3 + rank})"
     for system in SYSTEMS
     for rank, strategy in enumerate(STRATEGIES)
 )
-PREDICTIONS = f"""{PAIRS},
+TALKS = f"""
+talks AS (
+  SELECT * FROM (
+    SELECT a.conv_id * 10000 + a.turn AS row_id, {norm("a.text")} AS document,
+           {norm("u.text")} AS summary
+    FROM conversations a JOIN conversations u
+      ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' AND a.role = 'assistant')
+  WHERE document <> '' AND summary <> '')"""
+_PREDICTED = f"""
 predictions AS MATERIALIZED (
   SELECT row_id, system, strategy, strategy_rank,
-         array_to_string(list_slice({word_list("document")}, start, start + {PREDICTION_WORDS - 1}), ' ')
+         array_to_string(list_filter({word_list("document")},
+                                     lambda w, i: (i - 1 + shift) % every <> 0), ' ')
            AS prediction, summary AS reference
-  FROM pairs, (VALUES {_OPTIONS}) o(system, strategy, strategy_rank, start))"""
+  FROM SOURCE, (VALUES {_OPTIONS}) o(system, strategy, strategy_rank, shift, every))"""
+PREDICTIONS = f"{PAIRS},{_PREDICTED.replace('SOURCE', 'pairs')}"
+TALK_PREDICTIONS = f"{TALKS},{_PREDICTED.replace('SOURCE', 'talks')}"

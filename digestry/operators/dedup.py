@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digestry.functions import text
-from digestry.session import broadcast_checked, durable
+from digestry.session import stored
 
 SPLITS = ("train", "validation", "test")
 
@@ -46,15 +46,15 @@ def document_keys(df: DataFrame) -> DataFrame:
 def drop_known(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows whose document digest is not among ``known`` (distinct ``_key``).
 
-    The digests on both sides meet first, each once; a small batch of rows is broadcast against
-    the known set instead of shuffling it. Only the overlap then meets the rows: broadcast when
-    its count is small, otherwise a join whose hot keys AQE splits. The digests are materialized,
+    The digests on both sides meet first, each once; Catalyst broadcasts a small batch of rows
+    against the known set instead of shuffling it, by its size in bytes. Only the overlap then
+    meets the rows, in a join whose hot keys AQE splits. The digests are written,
     so the texts are read once for them and once for the result.
     """
-    mine = broadcast_checked(durable(document_keys(rows)))
-    overlap = durable(known.join(mine, "_key", "left_semi"))
+    mine = stored(document_keys(rows), "keys")
+    overlap = stored(known.join(mine, "_key", "left_semi"), "overlap")
     keyed = rows.withColumn("_key", text.content_key(F.col("document")))
-    return keyed.join(broadcast_checked(overlap), "_key", "left_anti").drop("_key")
+    return keyed.join(overlap, "_key", "left_anti").drop("_key")
 
 
 def split_key_counts(df: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestry.functions import text
+from digestry.operators.dedup import SPLITS
 from digestry.operators.quantiles import iqr_fences
-from digestry.session import broadcast_checked, durable
+from digestry.session import stored
 
 
 @dataclass(frozen=True)
@@ -85,17 +86,19 @@ def attach_fences(
     column: str,
     k: float = 1.5,
     weight: Column | None = None,
-    closed: bool = True,
+    closed: bool = False,
 ) -> DataFrame:
     """``lo``, ``hi`` and ``iqr`` of the row's group on every row.
 
-    With a closed set of groups the fences are a handful of rows and are broadcast in one plan,
-    so the source is read once. Otherwise they are materialized and their count decides.
+    With the closed set of splits the fences of these are broadcast in one plan, so the source is
+    read once; rows of any other group get none. Otherwise the fences are written, and their size
+    in bytes decides how they are joined.
     """
     fences = iqr_fences(df, by, {column: F.col(column)}, k, weight, closed)
     fences = fences.select(*by, "lo", "hi", "iqr")
-    small = F.broadcast(fences) if closed else broadcast_checked(durable(fences))
-    return df.join(small, list(by), "left")
+    if closed and list(by) == ["split"]:
+        return df.join(F.broadcast(fences.where(F.col("split").isin(*SPLITS))), "split", "left")
+    return df.join(stored(fences, "fences"), list(by), "left")
 
 
 def iqr_filter(
@@ -103,7 +106,7 @@ def iqr_filter(
     by: Sequence[str] = ("split",),
     column: str = "ratio",
     k: float = 1.5,
-    closed: bool = True,
+    closed: bool = False,
 ) -> DataFrame:
     fenced = attach_fences(df, by, column, k, closed=closed)
     return fenced.where(inside_fences(F.col(column))).drop("lo", "hi", "iqr")
@@ -114,7 +117,7 @@ def outlier_mask(
     by: Sequence[str] = ("split",),
     column: str = "ratio",
     k: float = 1.5,
-    closed: bool = True,
+    closed: bool = False,
 ) -> DataFrame:
     fenced = attach_fences(df, by, column, k, closed=closed)
     return fenced.withColumn("is_outlier", outside_fences(F.col(column))).drop("lo", "hi", "iqr")

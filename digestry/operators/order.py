@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from digestry.session import broadcast_checked, durable
+from digestry.session import stored
 
 _LOCAL_BITS = 33
 
@@ -21,12 +21,12 @@ def positions(
 ) -> DataFrame:
     """``by + order_by + out``: the dense 0-based position of each key, within each ``by`` group.
 
-    The sorted keys are checkpointed before their partition numbers are used: range boundaries
+    The sorted keys are written before their partition numbers are used: range boundaries
     come from sampling, and a recomputed partition must not land on other boundaries.
     """
     keys = [*by, *order_by]
     ranged = df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    slotted = durable(ranged.withColumn("_slot", F.monotonically_increasing_id()))
+    slotted = stored(ranged.withColumn("_slot", F.monotonically_increasing_id()), "slots")
     placed = slotted.select(
         *keys,
         F.shiftright("_slot", _LOCAL_BITS).alias("_part"),
@@ -44,7 +44,7 @@ def positions(
     starts = totals.select(
         *by, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    return placed.join(broadcast_checked(starts), [*by, "_part"]).select(
+    return placed.join(stored(starts, "starts"), [*by, "_part"]).select(
         *keys, (F.col("_local") + F.col("_shift")).alias(out)
     )
 
@@ -100,7 +100,7 @@ def group_head(df: DataFrame, by: Sequence[str], order_by: Sequence[str], n: int
         .where(F.col("pos") == n - 1)
         .select(*by, _key(order_by).alias("_cutoff"))
     )
-    kept = df.join(broadcast_checked(cutoff), list(by), "left").where(
+    kept = df.join(stored(cutoff, "cutoffs"), list(by), "left").where(
         F.col("_cutoff").isNull() | (_key(order_by) <= F.col("_cutoff"))
     )
     return kept.drop("_cutoff")

@@ -15,7 +15,7 @@ from digestry.functions import text
 from digestry.operators.filters import attach_fences, outside_fences
 from digestry.operators.order import group_head, row_window
 from digestry.operators.quantiles import five_number, iqr_fences
-from digestry.session import durable
+from digestry.session import stored
 
 # The threshold checks, in report order.
 CHECKS = (
@@ -78,7 +78,7 @@ def profile_pairs(
 
     The lengths are materialized once; every figure comes from that narrow table.
     """
-    rows = durable(measures(pairs, ["split", *order_by]))
+    rows = stored(measures(pairs, ["split", *order_by]))
     if rows.isEmpty():
         raise ValueError("nothing to profile")
     sample = rows if sample_rows is None else group_head(rows, ["split"], order_by, sample_rows)
@@ -89,8 +89,8 @@ def profile_pairs(
         F.avg(F.when(F.col("sw") == 0, 1.0).otherwise(0.0)).alias("empty_summary_ratio"),
     )
     blocks = five_number(sample, ["split"], {name: F.col(c) for name, c in FEATURES.items()})
-    # All three tables hold one row per split (and feature).
-    return blocks.drop("n").join(F.broadcast(counts), "split").join(F.broadcast(rates), "split")
+    # All three tables hold one row per split (and feature); AQE joins them by their size.
+    return blocks.drop("n").join(counts, "split").join(rates, "split")
 
 
 def profile_wide(profile: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from digestry.operators.dedup import SPLITS
+
 BUCKETS_PER_E = 64
 # Magnitudes below this share one bucket with zero.
 TINY = 1e-9
@@ -29,13 +31,13 @@ def exact_quantiles(
     features: Mapping[str, Column],
     probs: Sequence[float],
     weight: Column | None = None,
-    closed: bool = True,
+    closed: bool = False,
 ) -> DataFrame:
     """One row per group and feature: ``n, min_value, max_value`` and ``q`` (array, as ``probs``).
 
     Linear interpolation between the neighbouring order statistics; nulls are left out.
-    ``closed`` says that the groups come from a closed set, such as the splits, so that per-group
-    rows may be broadcast. Pass False when the number of groups grows with the data.
+    ``closed`` says that the groups are the known splits: only these are kept, and their rows are
+    broadcast. Other groupings are joined by size.
     """
     by = list(by)
     group = [*by, "feature"]
@@ -75,7 +77,9 @@ def exact_quantiles(
     ranks = [f(_rank(p)) for p in probs for f in (F.floor, F.ceil)]
     wanted = buckets.where(_any((rank >= begin) & (rank < end) for rank in ranks)).drop("held")
     # At most two buckets per group and probability.
-    joined = counted.join(F.broadcast(wanted) if closed else wanted, [*group, "bucket"])
+    if closed and by == ["split"]:
+        wanted = F.broadcast(wanted.where(F.col("split").isin(*SPLITS)))
+    joined = counted.join(wanted, [*group, "bucket"])
     upto = F.sum("w").over(
         Window.partitionBy(*group, "bucket")
         .orderBy("x")
@@ -116,7 +120,7 @@ def iqr_fences(
     features: Mapping[str, Column],
     k: float = 1.5,
     weight: Column | None = None,
-    closed: bool = True,
+    closed: bool = False,
 ) -> DataFrame:
     """``n, q1, q3, iqr, lo, hi`` per group and feature."""
     q1, q3 = F.col("q")[0], F.col("q")[1]
@@ -133,7 +137,7 @@ def five_number(
     by: Sequence[str],
     features: Mapping[str, Column],
     weight: Column | None = None,
-    closed: bool = True,
+    closed: bool = False,
 ) -> DataFrame:
     """Minimum, quartiles and maximum per group and feature."""
     q = F.col("q")

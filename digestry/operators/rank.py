@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from digestry.functions import text
-from digestry.session import durable
+from digestry.session import drop_stored, stored
 
 # Damping, guard against empty rows, stop threshold on the change's Euclidean norm.
 DAMPING = 0.85
@@ -164,16 +164,16 @@ def sentence_degrees(df: DataFrame, key: str) -> DataFrame:
 def rank_by_rounds(df: DataFrame, key: str) -> DataFrame:
     """``key, ranks`` by driver-stepped rounds over all documents at once.
 
-    Every round is checkpointed; documents that have settled leave the walk.
+    Every round is written and its predecessor removed; documents that have settled leave the walk.
     """
-    incidence = durable(word_incidence(df, key))
-    nodes = durable(
+    incidence = stored(word_incidence(df, key))
+    nodes = stored(
         df.select(
             key, F.size("word_lines").alias("n"), F.posexplode_outer("word_lines").alias("i", "_l")
         ).drop("_l")
     )
     degree = graph_step(incidence, key)
-    state = durable(
+    state = stored(
         nodes.join(degree.withColumnRenamed("value", "degree"), [key, "i"], "left").select(
             key,
             "i",
@@ -183,26 +183,30 @@ def rank_by_rounds(df: DataFrame, key: str) -> DataFrame:
             F.lit(False).alias("settled"),
         )
     )
-    settled = state.limit(0)
+    settled = df.sparkSession.createDataFrame([], state.schema)
     for _ in range(MAX_ROUNDS):
-        share = state.select(key, "i", (F.col("rank") / F.col("degree")).alias("value"))
-        moved = state.join(graph_step(incidence, key, share), [key, "i"], "left").withColumn(
+        walking = state.where("not settled")
+        share = walking.select(key, "i", (F.col("rank") / F.col("degree")).alias("value"))
+        moved = walking.join(graph_step(incidence, key, share), [key, "i"], "left").withColumn(
             "following",
             (1 - DAMPING) / F.col("n") + DAMPING * F.coalesce("value", F.lit(0.0)),
         )
         change = moved.groupBy(key).agg(
             (F.sqrt(F.sum(F.pow(F.col("following") - F.col("rank"), 2))) <= STOP).alias("_done")
         )
-        advanced = durable(
+        advanced = stored(
             moved.join(change, key).select(
                 key, "i", "n", "degree", F.col("following").alias("rank"), F.col("_done").alias("settled")
             )
         )
-        settled = settled.unionByName(advanced.where("settled"))
-        state = advanced.where("not settled")
-        if state.isEmpty():
+        finished = advanced.where("settled")
+        if not finished.isEmpty():
+            settled = settled.unionByName(stored(finished, "settled"))
+        drop_stored(state)
+        state = advanced
+        if state.where("not settled").isEmpty():
             break
-    final = settled.unionByName(state)
+    final = settled.unionByName(state.where("not settled"))
     return final.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "rank"))), lambda e: e["rank"]).alias("ranks")
     )

@@ -6,6 +6,7 @@ corpus score shuffles only one partial sum per task and group.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -27,48 +28,26 @@ def f_measure(match: Column, predicted: Column, expected: Column) -> Column:
     return F.when(total > 0, 2 * precision * recall / F.nullif(total, F.lit(0.0))).otherwise(0.0)
 
 
-def _repeats(ordered: Column) -> Column:
-    """Of a sorted array, every element that equals the one before it."""
-    return F.filter(ordered, lambda x, i: (i > 0) & (x == F.get(ordered, i - 1)))
+def shared_counts(left: list[str], right: list[str], orders: Sequence[int]) -> list[int]:
+    """For each order, the size of the multiset intersection of the n-grams; linear in the tokens."""
+    shared = []
+    for n in orders:
+        seen = Counter(zip(*(left[i:] for i in range(n))))
+        other = Counter(zip(*(right[i:] for i in range(n))))
+        small, large = sorted((seen, other), key=len)
+        shared.append(sum(min(k, large[gram]) for gram, k in small.items() if gram in large))
+    return shared
 
 
-def clipped_overlap(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two string arrays, in about linear time.
+def clipped_overlap(left: Column, right: Column, orders: Sequence[int]) -> Column:
+    """The clipped n-gram matches of two lines of space-parted tokens, as an array by ``orders``."""
+    wanted = tuple(orders)
 
-    The distinct elements are intersected by hashing; then the second occurrences, the third ones
-    and so on. Round k only looks at elements that occur at least k times.
-    """
-
-    def peel(v: Column) -> Column:
-        rounds = F.least(F.size(v["left2"]), F.size(v["right2"]))
-        start = F.struct(
-            v["left2"].alias("left"),
-            v["right2"].alias("right"),
-            F.size(F.array_intersect(v["left"], v["right"])).alias("shared"),
-        )
-
-        def again(held: Column, _: Column) -> Column:
-            return F.struct(
-                _repeats(held["left"]).alias("left"),
-                _repeats(held["right"]).alias("right"),
-                (
-                    held["shared"] + F.size(F.array_intersect(held["left"], held["right"]))
-                ).alias("shared"),
-            )
-
-        turns = F.slice(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), F.lit(1), rounds)
-        return F.aggregate(turns, start, again, lambda held: held["shared"])
-
-    def second(v: Column) -> Column:
-        return F.struct(
-            v["left"].alias("left"),
-            v["right"].alias("right"),
-            _repeats(v["left"]).alias("left2"),
-            _repeats(v["right"]).alias("right2"),
-        )
+    @F.pandas_udf("array<int>")
+    def matches(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([shared_counts(x.split(), y.split(), wanted) for x, y in zip(a, b)])
 
-    ordered = text.bind(second, left=F.sort_array(left), right=F.sort_array(right))
-    return F.get(F.transform(F.array(ordered), peel), F.lit(0))
+    return matches(left, right)
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -92,6 +71,7 @@ def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 ROUGE_KINDS = ("rouge1", "rouge2", "rougeL")
+ROUGE_ORDERS = (1, 2)
 
 
 def _with_rouge(pairs: DataFrame, kinds: Sequence[str], stemmed: bool) -> DataFrame:
@@ -105,6 +85,7 @@ def _with_rouge(pairs: DataFrame, kinds: Sequence[str], stemmed: bool) -> DataFr
             "_p": F.array_remove(F.split("_pl", " "), ""),
             "_r": F.array_remove(F.split("_rl", " "), ""),
             "_lcs": _lcs(F.col("_pl"), F.col("_rl")) if "rougeL" in kinds else F.lit(0),
+            "_m": clipped_overlap(F.col("_pl"), F.col("_rl"), ROUGE_ORDERS),
         }
     ).withColumns({"_np": F.size("_p"), "_nr": F.size("_r")})
     values = {}
@@ -113,10 +94,10 @@ def _with_rouge(pairs: DataFrame, kinds: Sequence[str], stemmed: bool) -> DataFr
             values[kind] = f_measure(F.col("_lcs"), F.col("_np"), F.col("_nr"))
             continue
         n = int(kind[-1])
-        arrays = arrays.withColumn(f"_m{n}", _gram_overlap("_p", "_r", n))
-        values[kind] = f_measure(F.col(f"_m{n}"), _total("_np", n), _total("_nr", n))
+        match = F.get("_m", F.lit(ROUGE_ORDERS.index(n)))
+        values[kind] = f_measure(match, _total("_np", n), _total("_nr", n))
     scored = arrays.withColumns(values)
-    return scored.drop("_pl", "_rl", "_p", "_r", "_lcs", "_np", "_nr", "_m1", "_m2")
+    return scored.drop("_pl", "_rl", "_p", "_r", "_lcs", "_np", "_nr", "_m")
 
 
 def _with_bleu(pairs: DataFrame) -> DataFrame:
@@ -131,13 +112,13 @@ def _with_bleu(pairs: DataFrame) -> DataFrame:
         {
             "_bnp": F.size("_bp"),
             "_bnr": F.size("_br"),
-            **{f"_bm{n}": _gram_overlap("_bp", "_br", n) for n in BLEU_ORDERS},
+            "_bm": clipped_overlap(
+                F.array_join("_bp", " "), F.array_join("_br", " "), BLEU_ORDERS
+            ),
         }
-    ).drop("_bp", "_br")
-
-
-def _gram_overlap(left: str, right: str, n: int) -> Column:
-    return clipped_overlap(text.ngrams(F.col(left), n), text.ngrams(F.col(right), n))
+    ).select(
+        "*", *[F.get("_bm", F.lit(i)).alias(f"_bm{n}") for i, n in enumerate(BLEU_ORDERS)]
+    ).drop("_bp", "_br", "_bm")
 
 
 def _total(length: str, n: int) -> Column:
@@ -234,9 +215,23 @@ def embedding_match(
         .select(*pair, "side", "blk", F.col("rows.pos").alias("pos"), F.col("rows.embedding").alias("v"))
     )
 
-    def side(name: str, tag: str) -> DataFrame:
-        return blocks.where(F.col("side") == name).select(
-            *pair, F.col("pos").alias(f"{tag}_pos"), F.col("v").alias(f"{tag}_v")
+    # Every block learns how many the other side has, so that block pairs are keys of their own.
+    counts = blocks.groupBy(*pair).agg(
+        *[
+            F.max(F.when(F.col("side") == name, F.col("blk"))).alias(f"{tag}_last")
+            for name, tag in (("pred", "p"), ("ref", "r"))
+        ]
+    )
+    spread = blocks.join(counts.where("p_last IS NOT NULL AND r_last IS NOT NULL"), pair)
+
+    def side(name: str, tag: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_last")))
+        return spread.where(F.col("side") == name).select(
+            *pair,
+            F.col("blk").alias(f"{tag}_blk"),
+            every.alias(f"{other}_blk"),
+            F.col("pos").alias(f"{tag}_pos"),
+            F.col("v").alias(f"{tag}_v"),
         )
 
     @F.pandas_udf("struct<p: array<double>, r: array<double>>")
@@ -247,7 +242,7 @@ def embedding_match(
         ]
         return pd.DataFrame({"p": [x for x, _ in rows], "r": [y for _, y in rows]})
 
-    met = side("pred", "p").join(side("ref", "r"), pair).select(
+    met = side("pred", "p", "r").join(side("ref", "r", "p"), [*pair, "p_blk", "r_blk"]).select(
         *pair, "p_pos", "r_pos", best("p_v", "r_v").alias("b")
     )
     each = F.explode(

@@ -17,7 +17,7 @@ from digestry.functions import text, tokens
 from digestry.functions.prompts import MERGE, REFINE, SUMMARIZE, Template
 from digestry.operators.chunks import with_chunks
 from digestry.operators.rank import textrank
-from digestry.session import durable
+from digestry.session import drop_stored, stored
 
 STRATEGIES = ("map-refine", "hierarchical", "extract-abstract")
 DIRECT = "direct"
@@ -105,17 +105,16 @@ def merge_by_rounds(
     huge document stay spread over the cluster. Positions are dense from 0 within a document.
     """
     leaf = summarizer(F.col("chunk"), None, F.lit(0), max_tokens)
-    state = durable(chunk_rows.select(key, "pos", F.col("parts").cast("long"), leaf.alias("summary")))
-    done = state.where("parts = 1").select(key, "summary")
-    state = state.where("parts > 1")
+    state = stored(chunk_rows.select(key, "pos", F.col("parts").cast("long"), leaf.alias("summary")))
+    done = stored(state.where("parts = 1").select(key, "summary"), "merged")
     floor = F.when(F.col("parts") <= 2, F.lit(min_tokens)).otherwise(F.lit(0))
-    while not state.isEmpty():
+    while not state.where("parts > 1").isEmpty():
         joined = (
-            state.groupBy(key, "parts", F.floor(F.col("pos") / 2).alias("pos"))
+            state.where("parts > 1").groupBy(key, "parts", F.floor(F.col("pos") / 2).alias("pos"))
             .agg(F.sort_array(F.collect_list(F.struct("pos", "summary"))).alias("_two"))
             .withColumn("_joined", F.array_join(F.col("_two.summary"), "\n\n"))
         )
-        merged = durable(
+        merged = stored(
             joined.select(
                 key,
                 "pos",
@@ -123,8 +122,11 @@ def merge_by_rounds(
                 summarizer(F.col("_joined"), None, floor, max_tokens).alias("summary"),
             )
         )
-        done = done.unionByName(merged.where("parts = 1").select(key, "summary"))
-        state = merged.where("parts > 1")
+        done = done.unionByName(
+            stored(merged.where("parts = 1").select(key, "summary"), "merged")
+        )
+        drop_stored(state)
+        state = merged
     return done
 
 

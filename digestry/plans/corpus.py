@@ -70,7 +70,7 @@ def staged_groups(
         "hard", F.col("clean") & within_bounds(bounds)
     )
     counted = flagged.withColumn("_x", F.when(F.col("hard"), F.col("ratio")))
-    fenced = attach_fences(counted, ["split"], "_x", weight=F.col("n"))
+    fenced = attach_fences(counted, ["split"], "_x", weight=F.col("n"), closed=True)
     return fenced.withColumn(
         "iqr_ok", F.col("hard") & inside_fences(F.col("ratio"))
     ).drop("lo", "hi", "iqr", "_x")
@@ -134,12 +134,6 @@ def process(
     assigned = assign_shards(
         survivors(pairs, bounds, normalized), ["row_id"], ["split"], rows_per_shard, min_shards
     )
-    texts = with_source(pairs, source).select(
-        "split",
-        "row_id",
-        "source",
-        "document",
-        "summary",
-        training_text(F.col("document"), F.col("summary")).alias("text"),
-    )
-    write_sharded(texts, out, ["row_id"], ["split"], assigned=assigned)
+    texts = with_source(pairs, source).select("split", "row_id", "source", "document", "summary")
+    prompt = {"text": training_text(F.col("document"), F.col("summary"))}
+    write_sharded(texts, out, ["row_id"], ["split"], assigned=assigned, derived=prompt)

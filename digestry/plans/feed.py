@@ -39,8 +39,8 @@ def training_feed(
 ) -> DataFrame:
     """Selected rows, each epoch in its own reproducible order, rendered."""
     rows = row_window(scan_shards(spark, path, shards, shard_offset), ORDER, offset, max_rows)
-    shuffled = seeded_shuffle(repeat_epochs(rows, epochs), "row_id", seed, "epoch")
-    return render(shuffled, max_length, tokenizer)
+    rendered = render(rows, max_length, tokenizer)  # only the cut text is repeated and sorted
+    return seeded_shuffle(repeat_epochs(rendered, epochs), "row_id", seed, "epoch")
 
 
 def validation_feed(

@@ -13,12 +13,12 @@ from digestry.operators.profile import (
     scatter_sample,
     validation_report,
 )
-from digestry.session import durable
+from digestry.session import stored
 
 
 def corpus_report(pairs: DataFrame, sample_rows: int | None = None) -> dict[str, DataFrame]:
     """Named report tables. The texts are read once for lengths and once for digests."""
-    lengths = durable(measures(pairs, ["split", "row_id"]))
+    lengths = stored(measures(pairs, ["split", "row_id"]))
     return {
         "profile": profile_pairs(lengths, sample_rows=sample_rows),
         "validation": validation_report(lengths),

@@ -8,9 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
@@ -23,6 +21,8 @@ def build_session(name: str = "digestry", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -30,48 +30,43 @@ def build_session(name: str = "digestry", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session may do without the setting; it then gets a temporary folder.
-    """
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which
+    the driver and all executors share as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if sc.applicationId not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="digestry-")
-    return _LOCAL_SCRATCH[sc.applicationId]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return (configured or f"{warehouse.rstrip('/')}/_intermediate").rstrip("/")
 
 
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def _gone_at_exit(spark: SparkSession, path: str) -> str:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so lost executors cannot change the rows."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path under the shared folder; it is removed when the session's JVM ends."""
+    return _gone_at_exit(spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast when a bounded count shows that ``df`` is small; else leave it to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give heavy per-row work all cores when a file scan has fewer splits than there are.
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut the lineage with a written table, so lost executors cannot change the rows.
 
-    Only for plain scans. A scan with enough splits, as any large table has, is left as it is.
+    Catalyst then knows its size in bytes: a join broadcasts it below the session's threshold.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Remove the files of a table that ``stored`` has written and nobody reads any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        remove(df.sparkSession, folder)
 
 
 def ship_package(spark: SparkSession) -> None:

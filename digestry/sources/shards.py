@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from digestry.operators.order import positions
-from digestry.session import broadcast_checked
+from digestry.session import stored
 from digestry.sources import read_tree
 
 
@@ -55,7 +55,7 @@ def assign_shards(
     totals = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     sized = _sized(totals, rows_per_shard, min_shards).select(*by, "shard_size", "shards")
     if by:
-        placed = ranked.join(broadcast_checked(sized), list(by))
+        placed = ranked.join(stored(sized, "sizes"), list(by))
     else:
         row = sized.first()
         placed = ranked.withColumns(
@@ -73,34 +73,37 @@ def write_sharded(
     rows_per_shard: int = 100_000,
     min_shards: int = 1,
     assigned: DataFrame | None = None,
+    derived: Mapping[str, Column] | None = None,
 ) -> None:
     """Write ``path/[by=.../]shard=N``; rows inside a shard keep the order.
 
     ``assigned`` may hold precomputed ``assign_shards`` keys; rows without one are left out.
+    ``derived`` columns are made from the others after the last exchange.
     """
     keys = [*by, *order_by]
     if assigned is None:
         assigned = assign_shards(df, order_by, by, rows_per_shard, min_shards)
+    assigned = stored(assigned.drop("pos"), "assigned")
     # One task per (group, shard), numbered densely, so that no two shards share a task by chance.
-    slots = assigned.groupBy(*by).agg((F.max("shard") + 1).alias("_n"))
-    numbered = slots.collect() if by else [slots.first()]
-    bases, total = [], 0
-    for row in numbered:
-        bases.append((row, total))
-        total += row["_n"] or 0
+    before = Window.orderBy(*by or [F.lit(0)]).rowsBetween(Window.unboundedPreceding, -1)
+    bases = stored(
+        assigned.groupBy(*by)
+        .agg((F.max("shard") + 1).alias("_n"))
+        .withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))),
+        "bases",
+    )
+    total = bases.agg(F.sum("_n")).first()[0] or 0
     if total == 0:
-        df.limit(0).withColumn("shard", F.lit(0)).write.mode("overwrite").parquet(path)
+        empty = df.limit(0).withColumns(derived or {}).withColumn("shard", F.lit(0))
+        empty.write.mode("overwrite").parquet(path)
         return
-    base = F.lit(0)
-    for row, start in bases:
-        match = F.lit(True)
-        for c in by:
-            match = match & (F.col(c) == F.lit(row[c]))
-        base = F.when(match, F.lit(start)).otherwise(base)
+    placed = assigned.join(bases, list(by)) if by else assigned.withColumn("_base", F.lit(0))
     (
-        df.join(assigned.drop("pos"), keys)
-        .repartitionById(total, (base + F.col("shard")).cast("int"))
+        df.join(placed, keys)
+        .repartitionById(total, (F.col("_base") + F.col("shard")).cast("int"))
         .sortWithinPartitions(*by, "shard", *order_by)
+        .drop("_base", "_n")
+        .withColumns(derived or {})
         .write.mode("overwrite")
         .partitionBy(*by, "shard")
         .parquet(path)
@@ -115,18 +118,22 @@ def scan_shards(
 ) -> DataFrame:
     """Rows of the chosen shards with ``shard_rank``; order by ``(shard_rank, row key)``.
 
-    An explicit list wins over the offset, keeps its order, and ignores absent shards.
+    An explicit list wins over the offset, keeps its order, and ignores absent shards. A shard that
+    is listed twice is read twice, under either rank.
     """
     table = read_tree(spark, path, {"shard"})
     if shards is not None:
         if any(i < 0 for i in shards):
             raise ValueError("shard indices must not be negative")
-        picked = list(dict.fromkeys(shards))
-        if len(picked) != len(shards):
-            raise ValueError("shard indices must be distinct")
-        rank = F.array_position(F.array(*[F.lit(i) for i in picked]), F.col("shard")) - 1
-        chosen = table.where(F.col("shard").isin(picked)) if picked else table.limit(0)
-        return chosen.withColumn("shard_rank", rank.cast("int") if picked else F.lit(0))
+        if not shards:
+            return table.limit(0).withColumn("shard_rank", F.lit(0))
+        listed = F.array(*[F.lit(i) for i in shards])
+        places = F.filter(
+            F.transform(listed, lambda x, i: F.when(x == F.col("shard"), i)),
+            lambda i: i.isNotNull(),
+        )
+        chosen = table.where(F.col("shard").isin(list(dict.fromkeys(shards))))
+        return chosen.withColumn("shard_rank", F.explode(places))
     if shard_offset < 0:
         raise ValueError("shard_offset must not be negative")
     chosen = table.where(F.col("shard") >= shard_offset)

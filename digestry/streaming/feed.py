@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from digestry.functions.prompts import training_text
-from digestry.operators.dedup import drop_known
+from digestry.operators.dedup import SPLITS, drop_known
 from digestry.operators.filters import WordBounds, inside_fences, to_pairs, with_lengths, within_bounds
 
 RAW_SCHEMA = "split string, row_id long, source string, document string, summary string"
@@ -23,7 +23,8 @@ def clean(
     """
     pairs = to_pairs(raw, "document", "summary", keep=("split", "row_id", "source"))
     bounded = with_lengths(pairs).where(within_bounds(bounds))
-    fenced = bounded.join(F.broadcast(fences), "split").where(inside_fences(F.col("ratio")))
+    known = F.broadcast(fences.where(F.col("split").isin(*SPLITS)))  # one row per split
+    fenced = bounded.join(known, "split").where(inside_fences(F.col("ratio")))
     train, evals = fenced.where(F.col("split") == "train"), fenced.where(F.col("split") != "train")
     return (
         train.unionByName(drop_known(evals, train_keys))

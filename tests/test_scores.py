@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -112,8 +113,22 @@ def test_overlap_of_multisets(spark):
             tuple([rng.choice(alphabet) for _ in range(rng.randint(0, 40))] for _ in range(2))
         )
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
-    got = df.select("i", scores.clipped_overlap(F.col("a"), F.col("b")).alias("m")).orderBy("i").collect()
-    assert [r["m"] for r in got] == [sum((Counter(a) & Counter(b)).values()) for a, b in cases]
+    lines = [F.array_join(c, " ") for c in ("a", "b")]
+    got = df.select("i", scores.clipped_overlap(*lines, (1, 2)).alias("m")).orderBy("i").collect()
+
+    def brute(a, b, n):
+        grams = [Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (a, b)]
+        return sum((grams[0] & grams[1]).values())
+
+    assert [r["m"] for r in got] == [[brute(a, b, n) for n in (1, 2)] for a, b in cases]
+
+
+def test_overlap_of_one_repeated_token_is_quick():
+    start = time.perf_counter()
+    assert scores.shared_counts(["a"] * 20_000, ["a"] * 20_000, (1, 2, 3, 4)) == [
+        20_000, 19_999, 19_998, 19_997,
+    ]
+    assert time.perf_counter() - start < 1
 
 
 words = st.lists(st.sampled_from("abcd"), max_size=30)

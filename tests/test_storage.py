@@ -59,7 +59,9 @@ def test_shard_choice(spark):
     assert shards.scan_shards(spark, path, []).count() == 0
     text = listed._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in text and "IN (3,1,99)" in text.replace("cast(", "")
-    for bad in ([-1], [1, 1]):
+    twice = shards.scan_shards(spark, path, [1, 3, 1]).groupBy("shard_rank", "shard").count()
+    assert {tuple(r) for r in twice.collect()} == {(0, 1, 10), (1, 3, 10), (2, 1, 10)}
+    for bad in ([-1],):
         with pytest.raises(ValueError):
             shards.scan_shards(spark, path, bad)
 
