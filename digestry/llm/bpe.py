@@ -163,8 +163,6 @@ class Coder:
 
     def learn(self, new: list[str]) -> None:
         """Remember the ids of space-parted words that are not known yet."""
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.forget()
         findall = self.plain.findall
         split = [
             w if isinstance(w, tuple) else (w,) if w.isalpha() else findall(w) for w in new
@@ -304,10 +302,11 @@ class Coder:
         """Ids of words or pieces, each given once."""
         found = list(map(self.ids.get, keys))
         if None in found:
-            before = self.ids
-            self.learn([p for p, ids in zip(keys, found) if ids is None])
-            if self.ids is not before:  # the memory started anew: all are needed again
-                self.learn([p for p in keys if p not in self.ids])
+            new = [p for p, ids in zip(keys, found) if ids is None]
+            if len(self.ids) + len(new) > REMEMBERED:
+                self.forget()
+                new = keys
+            self.learn(new)
             found = list(map(self.ids.__getitem__, keys))
         return found
 
