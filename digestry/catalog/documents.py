@@ -15,7 +15,7 @@ from digestry.sources import results
 
 # A small context, so that the long-document strategies run on the documents at hand.
 CONTEXT, MAX_SEQUENCE, MIN_SUMMARY, MAX_SUMMARY = 160, 1024, 14, 48
-LEADS = {"base": 10, "adapter": 18}
+LEADS = {"base": 30, "adapter": 40}
 OVERHEAD = tokens.WORDS.count_text(prompts.SUMMARIZE.text(""))
 ROOM = CONTEXT - OVERHEAD - MAX_SUMMARY
 SIZE, OVERLAP = tokens.chunk_budget(CONTEXT, MAX_SEQUENCE, MAX_SUMMARY)
@@ -51,7 +51,11 @@ chunked_{tag} AS (
 
 
 def lead_sql(body: str, count: str) -> str:
-    return f"array_to_string(list_slice({word_list(body)}, 1, {count}), ' ')"
+    """``count`` words that lie evenly over the text."""
+    w = word_list(body)
+    k = f"least({count}, len({w}))"
+    places = f"list_transform(range({k}), lambda i: i * len({w}) // greatest({k}, 1) + 1)"
+    return f"array_to_string(list_select({w}, {places}), ' ')"
 
 
 def lead_count(n: str, least: str) -> str:
@@ -67,10 +71,10 @@ fold_{tag} AS (
          CAST(len(chunks) AS BIGINT) AS parts, {lead_sql("chunks[1]", lead_count("n", "0"))} AS s
   FROM chunked_{tag}, {leads}
   UNION ALL
-  SELECT row_id, system, lead, chunks, f.pos + 1, f.parts, array_to_string(list_concat(
-           list_slice({word_list("f.s")}, 1, {count} // 2),
-           list_slice({word_list("f.chunks[f.pos + 1]")}, 1, {count} - {count} // 2)), ' ')
-  FROM fold_{tag} f WHERE f.pos < f.parts),
+  SELECT row_id, system, lead, chunks, f.pos + 1, f.parts, {lead_sql("f.joined", "f.wanted")}
+  FROM (
+    SELECT f.*, f.s || ' ' || {lead_sql("f.chunks[f.pos + 1]", "f.wanted // 4")} AS joined
+    FROM (SELECT f.*, {count} AS wanted FROM fold_{tag} f WHERE f.pos < f.parts) f) f),
 folded_{tag} AS (SELECT row_id, system, s AS summary FROM fold_{tag} WHERE pos = parts)"""
 
 
@@ -280,7 +284,7 @@ def route_documents(spark, sf):
 def map_refine_lead(spark, sf):
     cut = chunked(spark, sf)
     folded = summarize.refine(
-        F.col("chunks"), summarize.lead(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
+        F.col("chunks"), summarize.spaced(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
     )
     return cut.select("row_id", folded.alias("summary"))
 
@@ -293,7 +297,7 @@ _MERGED = f"""WITH RECURSIVE {PAIRS}, {ONE_LEAD}, {chunk_ctes("pairs", "document
 def hier_merge_lead(spark, sf):
     cut = chunked(spark, sf)
     merged = summarize.merge_tree(
-        F.col("chunks"), summarize.lead(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
+        F.col("chunks"), summarize.spaced(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
     )
     return cut.select("row_id", merged.alias("summary"))
 
@@ -304,7 +308,7 @@ def hier_merge_rounds(spark, sf):
     return summarize.merge_by_rounds(
         chunks.explode_chunks(cut, ["row_id"]),
         "row_id",
-        summarize.lead(LEADS["base"]),
+        summarize.spaced(LEADS["base"]),
         MIN_SUMMARY,
         MAX_SUMMARY,
     )
@@ -319,7 +323,7 @@ def extract_abstract(spark, sf):
     rows = summarize.summarize(
         pairs(spark, sf).select("row_id", "document"),
         "row_id",
-        summarize.lead(LEADS["base"]),
+        summarize.spaced(LEADS["base"]),
         ("extract-abstract",),
         **OPTIONS,
     )
@@ -329,7 +333,7 @@ def extract_abstract(spark, sf):
 @query(
     "gen_record",
     f"""WITH RECURSIVE {PAIRS}, {ONE_LEAD}, {STRATEGY_CTES}
-        SELECT row_id, strategy, prediction AS summary, 'lead-10' AS model,
+        SELECT row_id, strategy, prediction AS summary, 'spaced-30' AS model,
                {wc("document")} AS tokens_in, len({word_list("prediction")}) AS tokens_out
         FROM generated""",
 )
@@ -337,11 +341,11 @@ def gen_record(spark, sf):
     rows = summarize.summarize(
         pairs(spark, sf).select("row_id", "document"),
         "row_id",
-        summarize.lead(LEADS["base"]),
+        summarize.spaced(LEADS["base"]),
         **OPTIONS,
     )
-    named = rows.withColumn("path", F.lit("models/lead-10"))
-    records = summarize.generation_record(named, "lead-10")
+    named = rows.withColumn("path", F.lit("models/spaced-30"))
+    records = summarize.generation_record(named, "spaced-30")
     return records.select(
         "row_id",
         "strategy",
@@ -359,20 +363,20 @@ def gen_record(spark, sf):
 )
 def strategy_predictions(spark, sf):
     rows = evaluate.predictions(
-        pairs(spark, sf), {s: summarize.lead(n) for s, n in LEADS.items()}, **OPTIONS
+        pairs(spark, sf), {s: summarize.spaced(n) for s, n in LEADS.items()}, **OPTIONS
     )
     return rows.select("row_id", "system", "strategy", "route", "prediction")
 
 
 _EVALUATED = f"""WITH RECURSIVE {PAIRS}, {LEADS_SQL}, {STRATEGY_CTES},
-        {score_ctes("generated", IDS, BY)}"""
+        {score_ctes("generated", IDS, BY, "p")}"""
 
 
 @query("evaluate_all", f"{_EVALUATED}, {compare_sql()}")
 def evaluate_all(spark, sf):
     compared = evaluate.evaluate_and_compare(
         pairs(spark, sf),
-        {s: summarize.lead(n) for s, n in LEADS.items()},
+        {s: summarize.spaced(n) for s, n in LEADS.items()},
         stemmed=False,
         **OPTIONS,
     )
@@ -390,7 +394,7 @@ def result_table(spark, sf):
     for strategy in summarize.STRATEGIES:
         table = evaluate.evaluate(
             pairs(spark, sf),
-            {s: summarize.lead(n) for s, n in LEADS.items()},
+            {s: summarize.spaced(n) for s, n in LEADS.items()},
             stemmed=False,
             strategies=(strategy,),
             **OPTIONS,
@@ -399,12 +403,26 @@ def result_table(spark, sf):
     return spark.read.parquet(out).select("strategy", "system", "metric", "value")
 
 
-@query("result_json")
+@query(
+    "result_json",
+    f"""{_EVALUATED} SELECT strategy, system, metric, value FROM (
+        UNPIVOT scored ON rouge1, rouge2, rougeL, bleu4 INTO NAME metric VALUE value)""",
+)
 def result_json(spark, sf):
+    """The nested export, written and parsed back."""
     table = scores.score(
         evaluate.predictions(
-            pairs(spark, sf), {s: summarize.lead(n) for s, n in LEADS.items()}, **OPTIONS
+            pairs(spark, sf), {s: summarize.spaced(n) for s, n in LEADS.items()}, **OPTIONS
         ),
         BY,
+        stemmed=False,
+    )
+    out = work_path(spark, "json")
+    results.write_json(scores.long_scores(table, BY), out)
+    nested = F.from_json("value", "map<string,map<string,map<string,double>>>")
+    return (
+        spark.read.text(out)
+        .select(F.explode(nested).alias("strategy", "s"))
+        .select("strategy", F.explode("s").alias("system", "m"))
+        .select("strategy", "system", F.explode("m").alias("metric", "value"))
     )
-    return results.scores_json(scores.long_scores(table, BY))

@@ -92,16 +92,17 @@ rouge_n AS (
   SELECT {names}, {values} FROM tok_rg LEFT JOIN clip_rg USING ({names}) GROUP BY {names})"""
 
 
-def lcs_ctes(src: str, ids: list[str]) -> str:
-    """``rouge_l``: the smallest end position in the prediction per common length, for each word of
-    the reference, which is the shorter one here."""
+def lcs_ctes(src: str, ids: list[str], shorter: str = "r") -> str:
+    """``rouge_l``: the smallest end position in the longer side (p or r) per common length, for
+    each word of the shorter one."""
     names = ", ".join(ids)
+    longer = "p" if shorter == "r" else "r"
     return f"""
 tok_l AS MATERIALIZED (
   SELECT row_number() OVER () AS k, {names}, {rouge_list("prediction")} AS p,
          {rouge_list("reference")} AS r FROM {src}),
-pt AS (SELECT k, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM tok_l),
-rt AS (SELECT k, unnest(p) AS w, generate_subscripts(p, 1) AS j FROM tok_l),
+pt AS (SELECT k, unnest({shorter}) AS w, generate_subscripts({shorter}, 1) AS i FROM tok_l),
+rt AS (SELECT k, unnest({longer}) AS w, generate_subscripts({longer}, 1) AS j FROM tok_l),
 ends AS (
   SELECT k, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS j FROM tok_l
   UNION ALL
@@ -150,10 +151,10 @@ bleu_by AS (
   FROM bleu_sums)"""
 
 
-def score_ctes(src: str, ids: list[str], by: list[str]) -> str:
+def score_ctes(src: str, ids: list[str], by: list[str], shorter: str = "r") -> str:
     """``scored``: by and the four text metrics, rounded as reported."""
     names, group = ", ".join(ids), ", ".join(by)
-    return f"""{rouge_ctes(src, ids)}, {lcs_ctes(src, ids)}, {bleu_ctes(src, ids, by)},
+    return f"""{rouge_ctes(src, ids)}, {lcs_ctes(src, ids, shorter)}, {bleu_ctes(src, ids, by)},
 scored AS (
   SELECT {group}, round(avg(rouge1), 4) AS rouge1, round(avg(rouge2), 4) AS rouge2,
          round(avg(rougeL), 4) AS rougeL, round(max(bleu4), 2) AS bleu4

@@ -52,7 +52,7 @@ def cut_at_spaces(value: str, size: int, overlap: int) -> list[str]:
     out = []
     rest = value.strip()
     while len(rest) > size:
-        space = rest.rfind(" ", overlap + 1, size + 1)
+        space = rest.rfind(" ", max(overlap, 1), size + 1)  # further on than the overlap goes back
         if space < 0:
             out.append(rest[:size].rstrip())
             rest = rest[size - overlap :].lstrip()

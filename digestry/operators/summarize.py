@@ -50,6 +50,32 @@ def lead(n: int) -> Summarizer:
     return summarize
 
 
+def spaced(n: int) -> Summarizer:
+    """Words that lie evenly over the whole input, in order; ``n`` as in ``lead``.
+
+    When refining, the input is the summary so far and a quarter as many words of the new section,
+    so that every section keeps a share of the result.
+    """
+
+    def evenly(value: Column, count: Column) -> Column:
+        def pick(v: Column) -> Column:
+            size = F.size(v["w"])
+            taken = F.least(v["k"], size)
+            places = F.slice(F.sequence(F.lit(0), F.greatest(taken, F.lit(1))), F.lit(1), taken)
+            return F.transform(places, lambda i: F.get(v["w"], F.floor(i * size / taken).cast("int")))
+
+        return text.bind(pick, w=text.words(value), k=F.greatest(count, F.lit(0)))
+
+    def summarize(document, existing, min_tokens, max_tokens):
+        count = F.least(F.greatest(F.lit(n), min_tokens), F.lit(max_tokens)).cast("int")
+        if existing is None:
+            return F.array_join(evenly(document, count), " ")
+        section = F.array_join(evenly(document, F.floor(count / 4).cast("int")), " ")
+        return F.array_join(evenly(F.concat_ws(" ", existing, section), count), " ")
+
+    return summarize
+
+
 def route(
     document_tokens: Column, strategy: Column, context: int, reserve: int, tokenizer=tokens.WORDS
 ) -> Column:

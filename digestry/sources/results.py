@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,15 @@ def scores_json(scores: DataFrame) -> DataFrame:
 
 
 def write_json(scores: DataFrame, path: str) -> None:
-    scores_json(scores).select("json").write.mode("overwrite").text(path)
+    """One document ``{strategy: {system: {metric: value}}}``; its size is strategies x systems x
+    metrics."""
+    lines = scores_json(scores).select(
+        F.struct("strategy", F.from_json("json", "map<string,map<string,double>>").alias("v")).alias("e")
+    )
+    nested = lines.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("json"))
+    nested.coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_summaries(df: DataFrame, path: str) -> None:
-    df.select("summary").write.mode("overwrite").text(path)
+def write_summaries(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """One JSON object a line, so that line breaks inside a summary do not part it."""
+    df.select(F.to_json(F.struct(*keys, "summary")).alias("line")).write.mode("overwrite").text(path)

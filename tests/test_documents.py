@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from digestry.functions import prompts
 from digestry.operators import chunks, rank, summarize
 from digestry.plans import evaluate
+from digestry.session import shared_dir
 
 
 def dense_ranks(lines):
@@ -228,3 +230,24 @@ def test_generation_record_and_pairs(spark):
     assert pairs == [
         "map-refine vs hierarchical", "map-refine vs extract-abstract", "hierarchical vs extract-abstract",
     ]
+
+
+def test_every_chunk_changes_the_spaced_summary(spark):
+    parts = [" ".join(f"c{i}w{j}" for j in range(60)) for i in range(8)]
+    variants = [parts, *[[*parts[:i], "junk " * 60, *parts[i + 1 :]] for i in range(8)]]
+    df = spark.createDataFrame([(v,) for v in variants], "chunks array<string>")
+    for combine in (summarize.refine, summarize.merge_tree):
+        out = df.select(combine(F.col("chunks"), summarize.spaced(30), 14, 48).alias("s")).collect()
+        whole, *changed = [r["s"] for r in out]
+        assert all("junk" in s and s != whole for s in changed)
+
+
+def test_rounds_remove_their_predecessors(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    held = lambda: {p for p in folder.glob("table-*") if any(p.glob("*.parquet"))}
+    before = held()
+    chunks_ = spark.range(32).selectExpr(
+        "1 AS id", "id AS pos", "32L AS parts", "concat('c', id, ' x y') AS chunk"
+    )
+    merged = summarize.merge_by_rounds(chunks_, "id", summarize.spaced(30), 14, 48).collect()
+    assert len(merged) == 1 and len(held() - before) == 1

@@ -1,3 +1,4 @@
+import json
 import io
 import zipfile
 
@@ -178,9 +179,14 @@ def test_result_sinks(spark):
     got = {r["strategy"]: r["json"] for r in results.scores_json(back).collect()}
     assert got["a"] == '{"adapter":{"bleu4":1.0,"rouge1":1.0},"base":{"bleu4":1.0,"rouge1":1.0}}'
     results.write_json(back, json_path)
-    assert spark.read.text(json_path).count() == 2
-    results.write_summaries(spark.createDataFrame([("s1", 1)], "summary string, n int"), text_path)
-    assert [r["value"] for r in spark.read.text(text_path).collect()] == ["s1"]
+    (line,) = spark.read.text(json_path).collect()
+    each = {"base": {"bleu4": 1.0, "rouge1": 1.0}, "adapter": {"bleu4": 1.0, "rouge1": 1.0}}
+    assert json.loads(line["value"])["a"] == each and set(json.loads(line["value"])) == {"a", "b"}
+    results.write_summaries(
+        spark.createDataFrame([("s\n1", 1)], "summary string, n int"), text_path, ["n"]
+    )
+    lines = [json.loads(r["value"]) for r in spark.read.text(text_path).collect()]
+    assert lines == [{"n": 1, "summary": "s\n1"}]
 
 
 def test_stream_equals_batch_and_resumes(spark):
