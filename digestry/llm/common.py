@@ -12,7 +12,6 @@ from digestry.session import ship_package, work_path
 #: The characters that part words, as a Java character class and as plain characters.
 SPACE = r"[ \t-\r]"
 SPACES = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An Arrow batch of whole texts ends at this many bytes, so that long texts cannot fill a worker.
 BATCH_BYTES = 32 << 20
 

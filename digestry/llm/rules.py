@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from digestry.llm.common import LOWER, SPACES, UPPER, body, fresh, let, words
+from digestry.llm.common import SPACES, body, fresh, let, words
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,8 @@ STOP_WORDS = {
     "es": "el la los las de del y en que un una por con para se al es su",
 }
 ALL_STOP_WORDS = sorted({w for line in STOP_WORDS.values() for w in line.split()})
+#: A whole word without a letter, found at word starts only.
+NO_LETTER_WORD = r"(?<![^ \t-\r])[^ \t-\r\p{L}]++(?![^ \t-\r])"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -101,7 +103,7 @@ def measures(text: Column) -> Column:
 
     def build(v: Column) -> Column:
         t, w, lines = v["t"], v["w"], v["lines"]
-        stop = lambda x: F.translate(x, UPPER, LOWER).isin(ALL_STOP_WORDS)
+        stop = lambda x: F.lower(x).isin(ALL_STOP_WORDS)
         values = {
             "n_words": F.size(w),
             "word_chars": F.length(F.translate(t, SPACES, "")),
@@ -110,7 +112,7 @@ def measures(text: Column) -> Column:
             "n_repeat_words": repeated_words(w),
             "n_lines": F.size(lines),
             "n_stop_words": F.size(F.filter(w, stop)),
-            "n_letter_words": F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))),
+            "n_letter_words": F.size(w) - F.regexp_count(t, F.lit(NO_LETTER_WORD)),
             "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
             "n_capitals": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
             "n_exclamations": F.length(t) - F.length(F.translate(t, "!?", "")),

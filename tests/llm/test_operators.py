@@ -241,6 +241,8 @@ def test_rules_measures(spark, docs):
     for row in rows:
         expected = brute.measures(texts[row["doc_id"]])
         assert tuple(row[f] for f in rules.BASE) == expected
+        letters = sum(any(c.isalpha() for c in w) for w in brute.WORD.findall(texts[row["doc_id"]] or ""))
+        assert row["n_letter_words"] == letters
         bad = expected[0] < 50 or 100 * expected[4] > 50 * expected[0]
         assert row["base_failed"] == bad and row["kept"] == (not bad and not row["failed"])
     assert rules.judge(docs([]), "text").count() == 0
