@@ -35,9 +35,9 @@ from digestry.llm.common import body, ready
 
 NEVER = np.int64(1) << 40
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Texts are encoded together up to so many bytes.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 #: Words of up to so many bytes are merged side by side in one array.
 SIDE_BY_SIDE = 32
 WORD_END = "</w>"
