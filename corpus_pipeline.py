@@ -2,7 +2,8 @@
 
 Every stage takes the columns of ``documents``; all but the last give them back. Rows with a null or
 empty text are dropped by the quality rules (they have no words). Equal and repeated rows go as one
-near-duplicate group. An empty table gives an empty result.
+near-duplicate group; nothing can name a row with a null id there, so such rows are left out. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

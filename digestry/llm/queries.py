@@ -116,3 +116,63 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs.select("doc_id", "text"), "text", model, "score")
     return verdicts(scored, toxicity.PARTS, toxicity.HELD_OUT, toxicity.THRESHOLD)
+
+
+# ---- the same in SQL ------------------------------------------------------------------------------
+
+_STOP = (
+    "'the','of','and','to','a','in','is','it','that','for','as','was','with','be','by','on','this',"
+    "'from','at','or','an','le','la','les','de','des','du','un','une','et','en','que','qui','dans',"
+    "'pour','par','sur','au','est','avec','der','die','das','und','zu','den','von','mit','ist','im',"
+    "'auf','ein','eine','nicht','dem','es','sich','el','los','las','del','y','una','por','con',"
+    "'para','se','al','su'"
+)
+
+
+def _between(part: str, whole: str, least: float, most: float) -> str:
+    return f"coalesce({part} / nullif({whole}, 0), 0.0) BETWEEN {least} AND {most}"
+
+
+ORACLES["op5_rules"] = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parted AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l
+  FROM texts),
+token AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM parted),
+gram AS (
+  SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g
+  FROM token WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM gram WHERE g IS NOT NULL)
+  WHERE c > 1),
+again AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+m AS (
+  SELECT p.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         length(regexp_replace(t, '[ \t-\r]', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+         len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+         length(regexp_replace(t, '\P{{L}}', '', 'g')) AS n_letters,
+         length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS n_capitals,
+         length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_exclamations,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullet_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) AS n_open_lines
+  FROM parted p LEFT JOIN again USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {_between("word_chars", "n_words", 2.5, 12.0)}
+       AND {_between("n_symbols", "n_words", 0.0, 0.1)}
+       AND {_between("n_stop_words", "n_words", 0.03, 1.0)}
+       AND {_between("n_letter_words", "n_words", 0.7, 1.0)}
+       AND {_between("n_capitals", "n_letters", 0.0, 0.4)}
+       AND {_between("n_exclamations", "n_words", 0.0, 0.3)}
+       AND {_between("n_dup_lines", "n_lines", 0.0, 0.5)}
+       AND {_between("n_bullet_lines", "n_lines", 0.0, 0.9)}
+       AND {_between("n_open_lines", "n_lines", 0.0, 0.3)} AS kept
+FROM judged"""

@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from digestry.llm import pii, rules, simhash, toxicity
-from digestry.llm.queries import QUERIES
+from check import compare
+from digestry.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 from tests.llm.conftest import EDGES
 from tests.llm.test_operators import check_packed
@@ -46,6 +47,12 @@ def test_names_and_columns(spark):
         assert RESULTS[name] <= set(QUERIES[name](spark, SF).columns)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, name):
+    outcome = compare(QUERIES[name](spark, SF), SF, ORACLES[name])
+    assert outcome.startswith("ok"), outcome
+
+
 def test_bpe_and_pii_digests(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in rows(spark, "op4_bpe").itertuples():
