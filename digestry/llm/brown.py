@@ -1,13 +1,16 @@
 """Language-model scores from Brown word classes.
 
-Exchange clustering assigns words to classes: an item moves to the class that raises the likelihood
-of the class bigrams most, until no item moves. The most frequent words are items of their own; all
-other words, also unseen ones, belong to an item by their last bytes, so that every word has a class
-and the table of item bigrams has a fixed size. A text's probability multiplies, for each token, the
-smoothed transition from the class before to its class, and the emission of the word from the class.
-
-Counts cover all training texts. Frequent words meet their counts inside the tasks that hold the
-texts; only rare words, none of which is a hot key, are shuffled to theirs.
+Exchange clustering finds the classes on a core: an item moves to the class that raises the
+likelihood of the class bigrams most, until no item moves. The most frequent words are items of their
+own; the others belong to an item by their last bytes. Then every word of at least ``LEAST`` training
+tokens moves, in a few sweeps, to the class that suits its own neighbours best, counted by Spark over
+all training tokens. Only rarer and unseen words keep the class of their last bytes. A text's
+probability multiplies, for each token, the smoothed transition from the class before to its class,
+and the emission of the word from the class.
+
+Counts cover all training texts. Frequent words meet their counts and classes inside the tasks that
+hold the texts; only rare words, none of which is a hot key, are shuffled to theirs. Words that are
+not frequent stand as 64-bit hashes while classes are sought.
 
 Results for edge cases: a null or empty text is its end token alone. Equal and repeated rows are
 scored each for itself, rows with a null id are training rows. Without training texts counts and
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,8 @@ PARTS, HELD_OUT = 7, 2
 #: Words that are items of their own, and items for the other words by their last bytes.
 WORD_ITEMS, SUFFIX_ITEMS, SUFFIX = 1024, 512, 3
 CLASSES = 64
+#: A word has a class of its own from so many training tokens on; sweeps over all such words.
+LEAST, WORD_SWEEPS = 2, 2
 #: At most so many frequent words have their counts sent to every task.
 KNOWN_WORDS = 100_000
 SWEEPS = 12
@@ -222,103 +228,295 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return member
 
 
+def smoothed(table: np.ndarray) -> np.ndarray:
+    """log10 of the probability of a class after a class."""
+    frequency = (table.sum(axis=0) + 1) / (table.sum() + len(table))
+    return np.log10((table + PRIOR * frequency) / (table.sum(axis=1, keepdims=True) + PRIOR))
+
+
 def transitions(bigrams: np.ndarray, member: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """log10 of the probability of an item after a class, by class and item."""
     one_hot = np.zeros((len(bigrams), classes))
     one_hot[np.arange(len(bigrams)), member] = 1
-    table = one_hot.T @ bigrams @ one_hot
-    frequency = (table.sum(axis=0) + 1) / (table.sum() + classes)
-    step = (table + PRIOR * frequency) / (table.sum(axis=1, keepdims=True) + PRIOR)
     item = bigrams.sum(axis=0) + UNSEEN
     emission = item / (one_hot.T @ item)[member]
-    return np.log10(step[:, member] * emission)
+    return smoothed(one_hot.T @ bigrams @ one_hot)[:, member] + np.log10(emission)
+
+
+# ---- classes of all words -----------------------------------------------------------------------
+
+HASH_SEED = 42
+
+
+def word_id(word: bytes, known: dict[bytes, int]) -> int:
+    """The rank of a frequent word, or the hash of another one, as ``F.xxhash64`` has it."""
+    rank = known.get(word)
+    if rank is not None:
+        return rank
+    value = xxhash.xxh64_intdigest(word, HASH_SEED)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def neighbours(training: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """``a, b``: the ids of every two neighbouring training tokens, from an end token on."""
+    shared = training.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, memory = shared.value, {}
+        for batch in batches:
+            before, after = [], []
+            for text in batch.column("text").to_pylist():
+                ids = [0]
+                for word in split(text):
+                    at = memory.get(word)
+                    if at is None:
+                        if len(memory) > FLUSH:
+                            memory.clear()
+                        at = memory[word] = word_id(word, ranks)
+                    ids.append(at)
+                line = np.array(ids, dtype=np.int64)
+                before.append(line[:-1])
+                after.append(line[1:])
+            if before:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(before)), pa.array(np.concatenate(after))],
+                    names=["a", "b"],
+                )
+
+    return training.select("text").mapInArrow(run, "a long, b long")
+
+
+def beside(pairs: DataFrame, classes: DataFrame, ranks: int) -> DataFrame:
+    """``id, cell, n``: how often each word stands after (cell = class) and before a class
+    (``CLASSES`` + class). Frequent neighbours meet their class in a broadcast, the others in a join."""
+    sides = pairs.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("b").alias("id"), F.col("a").alias("near"), F.lit(0).alias("side")),
+                F.struct(F.col("a").alias("id"), F.col("b").alias("near"), F.lit(1).alias("side")),
+            )
+        ).alias("p")
+    ).select("p.*")
+    frequent_one = F.col("near").between(0, ranks - 1)
+    named = classes.select(F.col("id").alias("near"), F.col("class"))
+    few = named.where(frequent_one)
+    hit = sides.where(frequent_one).join(F.broadcast(few), "near")
+    miss = sides.where(~frequent_one).join(named.where(~frequent_one), "near")
+    cell = (F.col("side") * CLASSES + F.col("class")).alias("cell")
+    return (
+        hit.select("id", cell).unionByName(miss.select("id", cell))
+        .groupBy("id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def class_table(cells: DataFrame, classes: DataFrame) -> np.ndarray:
+    """Counts of neighbouring classes; at most ``CLASSES`` squared rows come to the driver."""
+    rows = (
+        cells.where(F.col("cell") < CLASSES).join(classes.select("id", "class"), "id")
+        .groupBy("cell", "class").agg(F.sum("n").alias("n")).toArrow()
+    )
+    table = np.zeros((CLASSES, CLASSES))
+    table[rows.column("cell").to_numpy(), rows.column("class").to_numpy()] = rows.column("n").to_numpy()
+    return table
+
+
+def best_classes(lists: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The likeliest class of each row of counts by left and by right class; never the end's."""
+    held = np.log(table + 0.1)
+    inside = np.log(table.sum(axis=0) + 1.0) + np.log(table.sum(axis=1) + 1.0)
+    left, right = lists[:, :CLASSES], lists[:, CLASSES:]
+    gain = left @ held + right @ held.T - left.sum(axis=1, keepdims=True) * inside[None, :]
+    gain[:, 0] = -np.inf
+    return gain.argmax(axis=1)
+
+
+def reassign(cells: DataFrame, classes: DataFrame, table: np.ndarray) -> DataFrame:
+    """``classes`` after every free word has moved to its best class."""
+    lists = cells.groupBy("id").agg(
+        F.collect_list("cell").alias("cells"), F.collect_list("n").alias("counts")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, counts = batch.column("cells"), batch.column("counts")
+            lengths = np.diff(places.offsets.to_numpy())
+            found = np.zeros((batch.num_rows, 2 * CLASSES))
+            rows = np.repeat(np.arange(batch.num_rows), lengths)
+            found[rows, places.flatten().to_numpy()] = counts.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(best_classes(found, table).astype(np.int32))],
+                names=["id", "best"],
+            )
+
+    best = lists.mapInArrow(run, "id long, best int")
+    return classes.join(best, "id", "left").select(
+        "id", "word", "n", "free",
+        F.when(F.col("free") & F.col("best").isNotNull(), F.col("best"))
+        .otherwise(F.col("class")).alias("class"),
+    )
+
+
+def word_classes(
+    training: DataFrame, counts: DataFrame, known: dict[bytes, int], start: np.ndarray, table: np.ndarray
+) -> tuple[DataFrame, np.ndarray]:
+    """``id, word, n, free, class`` of every training word, and the counts of neighbouring classes.
+
+    ``start`` has the class of each item, ``table`` the counts that belong to it.
+    """
+    spark = training.sparkSession
+    ranks = spark.createDataFrame(
+        pa.table({"word": [w.decode() for w in known], "rank": pa.array(known.values(), pa.int64())})
+    )
+    rank, free = F.col("rank"), (F.col("n") >= LEAST) & ~F.coalesce(F.col("rank") <= WORD_ITEMS, F.lit(False))
+    by_item = F.array(*[F.lit(int(c)) for c in start])
+    raw = F.col("word").cast("binary")
+    item = F.when(rank <= WORD_ITEMS, rank).otherwise(
+        1 + WORD_ITEMS + F.crc32(F.substring(raw, -SUFFIX, SUFFIX)) % SUFFIX_ITEMS
+    )
+    classes = save(
+        counts.join(F.broadcast(ranks), "word", "left").select(
+            F.coalesce(rank, F.xxhash64("word")).alias("id"), "word", "n", free.alias("free"),
+            F.get(by_item, item.cast("int")).alias("class"),
+        ),
+        "classes",
+    )
+    pairs = save(neighbours(training, known), "neighbours")
+    for sweep in range(WORD_SWEEPS):
+        cells = save(beside(pairs, classes, len(known)), "beside")
+        if sweep:
+            table = class_table(cells, classes)
+        classes = save(reassign(cells, classes, table), "classes")
+    return classes, class_table(beside(pairs, classes, len(known)), classes)
 
 
 @dataclass
 class Model:
-    items: Items
-    member: np.ndarray
-    table: np.ndarray
-    inside: np.ndarray  # log10 of tokens and words of each suffix item, with one for the unseen
-    counts: dict[bytes, int]
+    step: np.ndarray  # log10 of a class after a class
+    mass: np.ndarray  # log10 of the tokens of each class, with UNSEEN for each word and suffix item
+    words: dict[bytes, tuple[int, int]]  # count and class of frequent words; class -1: of its suffix
+    suffix_class: np.ndarray
+    suffix: np.ndarray  # log10 of the probability of an unseen word from its class, by suffix item
     tokens: int
     distinct: int
 
+    def emission(self, n: np.ndarray, own: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """log10 of a word from its class; ``own`` is -1 where the class is that of the suffix."""
+        return np.where(
+            own >= 0, np.log10(n + UNSEEN) - self.mass[own], self.suffix[item] + np.log10(n + 1)
+        )
+
+
+def build(
+    table: np.ndarray, own: np.ndarray, suffix_class: np.ndarray, left: np.ndarray, inside: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``step, mass, suffix`` of a model: ``own`` is the mass of the words with classes of their own
+    by class, ``left`` the tokens of the other words by suffix item, ``inside`` their counts with one
+    for each and one for the unseen."""
+    mass = own + np.bincount(suffix_class, left + UNSEEN, CLASSES)
+    mass = np.log10(np.maximum(mass, UNSEEN))
+    suffix = np.log10(left + UNSEEN) - mass[suffix_class] - np.log10(inside)
+    return smoothed(table), mass, suffix
+
 
-def fit(training: DataFrame, counts: DataFrame) -> Model:
-    known = frequent(counts, KNOWN_WORDS)
-    items = Items({w.encode(): 1 + i for i, (w, _) in enumerate(known[:WORD_ITEMS])})
+def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and ``word, n, class`` of all training words (-1: the class of the suffix)."""
+    frequent_words = frequent(counts, KNOWN_WORDS)
+    items = Items({w.encode(): 1 + i for i, (w, _) in enumerate(frequent_words[:WORD_ITEMS])})
     bigrams = item_bigrams(training, items)
     member = exchange(bigrams)
+    one_hot = np.eye(CLASSES)[member]
+    known = {b"": 0} | {w.encode(): 1 + i for i, (w, _) in enumerate(frequent_words)}
+    found, table = word_classes(training, counts, known, member, one_hot.T @ bigrams @ one_hot)
+    has_own = F.col("free") | F.col("id").between(0, WORD_ITEMS)
+    final = save(
+        found.select("id", "word", "n", F.when(has_own, F.col("class")).otherwise(-1).alias("class")),
+        "word-classes",
+    )
     total = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.count(F.lit(1)).alias("v"),
-        F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("ends"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")
     ).first()
+    own = np.zeros(CLASSES)
+    for row in (
+        final.where("class >= 0").groupBy("class")
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    ):  # at most CLASSES rows
+        own[row["class"]] = row["n"] + UNSEEN * row["v"]
+    left, inside = np.zeros(SUFFIX_ITEMS), np.ones(SUFFIX_ITEMS)
     raw = F.col("word").cast("binary")
-    own = [w for w, _ in known[:WORD_ITEMS]]
-    by_suffix = (
-        counts.where((F.col("word") != END) & ~F.col("word").isin(own))
+    for row in (
+        final.where("class < 0")
         .groupBy((F.crc32(F.substring(raw, -SUFFIX, SUFFIX)) % SUFFIX_ITEMS).alias("item"))
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
-        .collect()
-    )  # at most SUFFIX_ITEMS rows
-    inside = np.ones(SUFFIX_ITEMS)
-    for row in by_suffix:
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    ):  # at most SUFFIX_ITEMS rows
+        left[row["item"]] = row["n"]
         inside[row["item"]] += row["n"] + row["v"]
-    return Model(
-        items,
-        member,
-        transitions(bigrams, member),
-        np.log10(inside),
-        {w.encode(): n for w, n in known} | {b"": total["ends"]},
-        total["n"],
-        total["v"],
-    )
+    suffix_class = member[1 + WORD_ITEMS :]
+    step, mass, suffix = build(table, own, suffix_class, left, inside)
+    near = final.where(F.col("id").between(0, len(known) - 1)).select("word", "n", "class").toArrow()
+    words = {b"": (0, 0)} | {
+        w.encode(): (n, c)
+        for w, n, c in zip(*[near.column(name).to_pylist() for name in ("word", "n", "class")])
+    }
+    return Model(step, mass, words, suffix_class, suffix, total["n"], total["v"]), final
 
 
 LOCAL = "row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, score double"
-RARE = "array<struct<word:string,k:bigint>>"
+#: A rare token: its word, suffix item, place, and the classes beside it (-1: rare or none).
+RARE = "array<struct<word:string,item:int,at:int,before:int,after:int>>"
 
 
 def local_scores(docs: DataFrame, model: Model) -> DataFrame:
     """What a task can tell of each text by itself, and the rare words that it still has to look up."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memory = shared.value, {}
+        m = shared.value
+        names = {w: i for i, w in enumerate(m.words)}
+        number = np.array([n for n, _ in m.words.values()], dtype=float)
+        own = np.array([c for _, c in m.words.values()], dtype=np.int64)
+        item = np.array([suffix_item(w) for w in m.words], dtype=np.int64)
+        class_of = np.where(own >= 0, own, m.suffix_class[item])
+        emitted, basic = m.emission(number, own, item), np.log10(number + 1)
         row = TaskContext.get().partitionId() << 33
-        word_items = 1 + WORD_ITEMS
         for batch in batches:
-            local, rare = [], []
+            local, sizes = [], []
+            rare_words: list[bytes] = []
+            flat: list[np.ndarray] = []
             for text in batch.column("text").to_pylist():
                 words = split(text)
-                ids = np.array([0, *(m.items.of(w, memory) if w else 0 for w in words)])
-                score = m.table[m.member[ids[:-1]], ids[1:]].sum()
-                suffix = ids[1:][ids[1:] >= word_items] - word_items
-                score -= m.inside[suffix].sum()
-                known, base, unknown = 0, 0.0, []
-                for word, k in Counter(words).items():
-                    n = m.counts.get(word)
-                    if n is None:
-                        unknown.append({"word": word.decode("utf-8"), "k": k})
-                        continue
-                    part = k * np.log10(n + 1)
-                    base += part
-                    known += k if n else 0
-                    if word and word not in m.items.words:
-                        score += part
-                local.append((row, len(words), known, base, score))
-                rare.append(unknown)
+                ids = np.array([names.get(w, -1) for w in words])
+                seen = ids >= 0
+                classes = np.where(seen, class_of[ids], -1)
+                before = np.concatenate([[0], classes[:-1]])
+                after = np.concatenate([classes[1:], [-1]])
+                both = seen & (before >= 0)
+                score = m.step[before[both], classes[both]].sum() + emitted[ids[seen]].sum()
+                places = np.flatnonzero(~seen)
+                rare_words.extend(words[i] for i in places)
+                flat.append(np.stack([places, before[places], after[places]]))
+                sizes.append(len(places))
+                known = int((number[ids[seen]] > 0).sum())
+                local.append((row, len(words), known, basic[ids[seen]].sum(), score))
                 row += 1
             columns = list(zip(*local)) or [[]] * 5
+            joined = np.concatenate([np.empty((3, 0)), *flat], axis=1).astype(np.int32)
+            rare = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                pa.StructArray.from_arrays(
+                    [
+                        pa.array(rare_words, pa.binary()).cast(pa.string()),
+                        pa.array([suffix_item(w) for w in rare_words], pa.int32()),
+                        *[pa.array(column) for column in joined],
+                    ],
+                    names=["word", "item", "at", "before", "after"],
+                ),
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(columns[0], pa.int64()), batch.column("doc_id"),
                     batch.column("held_out"), pa.array(columns[1], pa.int64()),
                     pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64()),
-                    pa.array(columns[4], pa.float64()), pa.array(rare, rare_type),
+                    pa.array(columns[4], pa.float64()), rare,
                 ],
                 names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
@@ -327,6 +525,39 @@ def local_scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"{LOCAL.format(kind)}, rare {RARE}")
 
 
+def rare_scores(found: DataFrame, model: Model) -> DataFrame:
+    """``row, rare_known, rare_base, rare_score`` from the tokens of each row that were looked up."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+    names = ["at", "item", "before", "after", "n", "class"]
+    gathered = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("t"))
+    lists = gathered.select("row", *[F.col(f"t.{c}").alias(c) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            rows = np.repeat(
+                np.arange(batch.num_rows), np.diff(batch.column("at").offsets.to_numpy())
+            )
+            at, item, before, after, n, own = (
+                batch.column(c).flatten().to_numpy().astype(np.int64) for c in names
+            )
+            classes = np.where(own >= 0, own, m.suffix_class[item])
+            # a rare token just before has its class here
+            follows = np.flatnonzero((rows[1:] == rows[:-1]) & (at[1:] == at[:-1] + 1)) + 1
+            before[follows] = classes[follows - 1]
+            value = m.emission(n, own, item) + m.step[before, classes]
+            value += np.where(after >= 0, m.step[classes, after], 0.0)
+            sums = [
+                np.bincount(rows, v, batch.num_rows) for v in (n > 0, np.log10(n + 1), value)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                names=["row", "rare_known", "rare_base", "rare_score"],
+            )
+
+    return lists.mapInArrow(run, "row long, rare_known long, rare_base double, rare_score double")
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
     ready(docs.sparkSession)
@@ -337,29 +568,29 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
     training = rows.where(~F.col("held_out"))
     counts = save(word_counts(training), "words")
-    model = fit(training, counts)
+    model, classes = fit(training, counts)
     local = save(local_scores(rows, model), "local")
     # No rare word has more than a KNOWN_WORDS-th of the training tokens, so none is a hot key.
-    looked_up = (
+    found = (
         local.select("row", F.explode("rare").alias("r"))
-        .select("row", "r.word", "r.k")
-        .join(counts, "word")
-        .groupBy("row")
-        .agg(
-            F.sum("k").alias("rare_known"),
-            F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_sum"),
+        .select("row", "r.*")
+        .join(classes.select("word", "n", "class"), "word", "left")
+        .select(
+            "row", "at", "item", "before", "after",
+            F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).alias("class"),
         )
-    )
-    rare = F.coalesce("rare_sum", F.lit(0.0))
+    )
+    none = F.lit(0.0)
     all_mass = float(np.log10(model.tokens + model.distinct + 1))
-    total = F.col("score") + rare
-    return local.drop("rare").join(looked_up, "row", "left").select(
+    total = F.col("score") + F.coalesce("rare_score", none)
+    base = F.col("base") + F.coalesce("rare_base", none)
+    return local.drop("rare").join(rare_scores(found, model), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rare - F.col("n_tokens") * F.lit(all_mass)).alias("base_score"),
+        (base - F.col("n_tokens") * F.lit(all_mass)).alias("base_score"),
         total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )

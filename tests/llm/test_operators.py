@@ -143,6 +143,38 @@ def test_exchange_finds_alternating_classes():
     assert member[1] != member[11] and member[0] == 0
 
 
+def test_brown_every_word_gets_its_own_class(spark, docs, monkeypatch):
+    """Words beyond the core items follow their own neighbours, not their last bytes, whether they
+    are frequent or looked up; the model still sums to one."""
+    monkeypatch.setattr(brown, "KNOWN_WORDS", 1200)
+    rng = random.Random(5)
+    left, right = ([f"{side}{i}ing" for i in range(1200)] for side in "ab")
+    heavy = [4.0 if i < 500 else 1.0 for i in range(1200)]
+    texts = []
+    for _ in range(1500):
+        sides = zip(rng.choices(left, heavy, k=20), rng.choices(right, heavy, k=20))
+        texts.append(" ".join(f"the {a} of {b}" for a, b in sides))
+    rows = docs(texts).select("doc_id", "text", F.lit(False).alias("held_out"))
+    counts = brown.word_counts(rows).cache()
+    model, found = brown.fit(rows, counts)
+    classes = {r["word"]: r["class"] for r in found.collect()}
+    counts_of = {r["word"]: r["n"] for r in counts.collect()}
+    assert set(classes) == {*left, *right, "the", "of", ""} and min(classes.values()) >= 0
+    tail = sorted(classes, key=lambda w: -counts_of[w])[brown.WORD_ITEMS + 1 :]
+    sides = [Counter((classes[w], w[0]) for w in tail)[c, s] for c in set(classes.values()) for s in "ab"]
+    pure = sum(max(pair) for pair in zip(sides[::2], sides[1::2])) / len(tail)
+    assert pure > 0.9, pure
+    scored = brown.score(docs(texts)).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert scored["s"] > scored["b"]
+    every = {r["word"]: (r["n"], r["class"]) for r in found.collect()}
+    n, own = np.array([v[0] for v in every.values()]), np.array([v[1] for v in every.values()])
+    item = np.array([brown.suffix_item(w.encode()) for w in every])
+    share = 10 ** model.emission(n, own, item)
+    unseen = 10**model.suffix
+    sums = np.bincount(own, share, brown.CLASSES) + np.bincount(model.suffix_class, unseen, brown.CLASSES)
+    assert np.allclose(sums[sums > 0], 1.0) and np.allclose((10**model.step).sum(axis=1), 1.0)
+
+
 # ---- tokens and packing -------------------------------------------------------------------------
 
 
