@@ -2,9 +2,10 @@
 
 A vector is represented by the order in which it sees a fixed set of pivots. Each block of rows
 keeps, for every pivot, the posting list of the places at which its rows see that pivot. A query
-adds up, over the pivots' postings, how far its own places are from theirs (Spearman's footrule);
-the rows of least distance, with all ties of the last one, are ranked again by the exact inner
-product. Blocks of queries meet blocks of rows, both of bounded size.
+adds up, over the pivots' postings, how far its own places are from theirs (Spearman's footrule).
+Places tell the angle only, so the footrule as a correlation times the row's length stands for the
+inner product; the rows of the greatest such product, with all ties of the last one, are ranked again
+by the exact one. Blocks of queries meet blocks of rows, both of bounded size.
 
 The index covers every row. The pivots are a bounded sample: the ``PIVOTS`` vectors of least hash.
 ``SHARE`` and ``LEAST`` set how many rows of a block are ranked again; ``recall`` measures what
@@ -30,6 +31,8 @@ from digestry.llm.common import ready, save
 PIVOTS = 128
 SHARE, LEAST = 0.08, 128
 ROW_BLOCK, QUERY_BLOCK = 4096, 8192
+#: Added to the footrule correlation, about its error, so that long rows are not missed by it.
+MARGIN = 0.1
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -93,6 +96,13 @@ def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """To 16 bits, so that rows of unit length up to rounding tie."""
+    top = np.abs(vectors).max()
+    part, power = np.frexp(np.sqrt(((vectors / top) ** 2).sum(axis=1)))
+    return np.ldexp(np.round(part * 65536) / 65536, power)
+
+
 def search_block(queries: pa.Table, rows: pa.Table, nearest: int, share: float, least: int):
     """The best of one block of rows for one block of queries."""
     ids = rows.column("id").to_numpy()
@@ -100,6 +110,8 @@ def search_block(queries: pa.Table, rows: pa.Table, nearest: int, share: float,
     postings = np.ascontiguousarray(unpack(rows, "places", np.int16).T)  # one list per pivot
     depth = min(len(ids), int(np.ceil(share * len(ids))) + least)
     apart = np.empty_like(postings)
+    length = lengths(vectors)
+    expected = max(1.0, (len(postings) ** 2 - 1) / 3)  # the footrule of unrelated orders
     out: tuple[list, list, list] = ([], [], [])
     for query, vector, places in zip(
         queries.column("id").to_pylist(),
@@ -109,8 +121,9 @@ def search_block(queries: pa.Table, rows: pa.Table, nearest: int, share: float,
         np.subtract(postings, places[:, None], out=apart)
         np.abs(apart, out=apart)
         footrule = apart.sum(axis=0, dtype=np.int32)
-        worst = np.partition(footrule, depth - 1)[depth - 1]
-        near = np.flatnonzero((footrule <= worst) & (ids != query))
+        hope = length * (1 + MARGIN - footrule / expected)
+        worst = np.partition(hope, len(hope) - depth)[len(hope) - depth]
+        near = np.flatnonzero((hope >= worst) & (ids != query))
         score = inner_products(vectors[near], vector)
         best = np.lexsort((ids[near], -score))[:nearest]
         out[0].append(np.full(len(best), query))

@@ -96,6 +96,18 @@ def test_ann_recall_ties_and_rows_that_take_no_part(spark):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("kind", ["wide", "few_long"])
+def test_ann_recall_on_unequal_lengths(spark, kind):
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    long = np.exp(rng.normal(size=2000)) if kind == "wide" else np.where(rng.random(2000) < 0.01, 10.0, 1.0)
+    rows = [(i, v) for i, v in enumerate((unit * long[:, None]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    found = ann.search(df, "vec_id", "v", F.col("id") % 20 == 0, 20).cache()
+    assert ann.recall(found, df, "vec_id", "v", 20) >= 0.9
+
+
 # ---- language model -----------------------------------------------------------------------------
 
 
