@@ -7,8 +7,8 @@ difference of the two log-likelihoods of the whole text divided by its length, o
 stand out most, and of all that stand out are weighed by a logistic curve. The curve is fitted on
 differences that come from the other half of the sample.
 
-The fit uses at most ``SAMPLE`` labelled texts of each class; the model holds at most ``ENTRIES``
-character sequences. Every text is scored whole.
+The fit uses at most ``SAMPLE`` labelled texts of each class and all character sequences in them;
+the model holds those whose context enough texts have. Every text is scored whole.
 
 Results for edge cases: a null or empty text, or one without letters, is scored as ordinary text of
 length zero. Without labelled texts of both classes every score is the share of class 1 (0 if there
@@ -26,14 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digestry.llm.common import body, ready, save
 from digestry.llm.samples import labelled_sample
 
 SAMPLE = 5_000
-ENTRIES = 200_000
 CONTEXT = 5
 #: A class has its own counts for a context from so many of its texts on.
 LEAST_TEXTS = 5
@@ -171,57 +170,68 @@ def shared_counts(grams: DataFrame) -> DataFrame:
     )
 
 
-class Shared:
-    """Interpolated Kneser-Ney probabilities from the continuation counts of both classes."""
-
-    def __init__(self, counts: pd.DataFrame):
-        self.kinds = dict(zip(counts["gram"], counts["kinds"]))
-        self.total, self.types = Counter(), Counter()
-        for gram, n in self.kinds.items():
-            self.total[gram[:-1]] += n
-            self.types[gram[:-1]] += 1
-        self.letters = max(1, self.types[""])
-
-    def __call__(self, gram: str) -> float:
-        """The probability of the last character after the others."""
-        lower = 1 / self.letters if len(gram) == 1 else self(gram[1:])
-        context = gram[:-1]
-        total = self.total[context]
-        if not total:
-            return lower
-        seen = max(self.kinds.get(gram, 0) - DISCOUNT, 0.0)
-        return (seen + DISCOUNT * self.types[context] * lower) / total
-
-
-def differences(grams: pd.DataFrame, shared: Shared) -> Model:
-    """The difference of the two classes, ``toxic`` and ``ordinary``, for every sequence whose
-    context enough texts of either class have."""
-    names = ["toxic", "ordinary"]
-    by_context = grams.assign(context=grams["gram"].str[:-1]).groupby("context")
-    sums = by_context[names].sum()
-    types = (grams[names] > 0).groupby(grams["gram"].str[:-1]).sum()
-    known = sums[(sums >= LEAST_TEXTS).any(axis=1)]
-    whole = dict(zip(known.index, known.values.tolist()))
-    spare = {
-        c: [DISCOUNT * t / n if n >= LEAST_TEXTS else 1.0 for t, n in zip(k, whole[c])]
-        for c, k in zip(known.index, types.loc[known.index].values.tolist())
-    }
-    found: dict[str, float] = {}
-    for gram, *seen in grams[["gram", *names]].itertuples(index=False):
-        context = gram[:-1]
-        if context not in whole:
-            continue
-        lower = shared(gram[1:])
-        p = [
-            (max(n - DISCOUNT, 0.0) / all_ if all_ >= LEAST_TEXTS else 0.0) + rest * lower
-            for n, all_, rest in zip(seen, whole[context], spare[context])
-        ]
-        found[gram] = math.log(p[0] / p[1])
-    return Model(found, {c: math.log(t / o) for c, (t, o) in spare.items()})
-
-
-def most_frequent(counts: DataFrame, by: Column) -> pd.DataFrame:
-    return counts.orderBy(by.desc(), "gram").limit(ENTRIES).toArrow().to_pandas()
+def shared_probabilities(counts: DataFrame) -> DataFrame:
+    """``gram, lower``: the interpolated Kneser-Ney probability of the last character after the
+    others, from the continuation counts of both classes. Every shorter end of a sequence is one too.
+    """
+    context = F.expr("left(gram, length(gram) - 1)")
+    contexts = counts.groupBy(context.alias("context")).agg(
+        F.sum("kinds").alias("total"), F.count(F.lit(1)).alias("types")
+    )
+    placed = save(counts.withColumn("context", context).join(contexts, "context"), "placed")
+    found = None
+    for size in range(1, CONTEXT + 1):
+        level = placed.where(F.length("gram") == size)
+        if found is None:
+            level = level.withColumn("rest", 1 / F.col("types"))  # types: all letters
+        else:
+            shorter = found.select(F.col("gram").alias("end"), F.col("lower").alias("rest"))
+            level = level.withColumn("end", F.expr("substr(gram, 2)")).join(shorter, "end")
+        value = (F.col("kinds") - DISCOUNT + DISCOUNT * F.col("types") * F.col("rest")) / F.col("total")
+        level = save(level.select("gram", value.alias("lower")), "level")
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
+def differences(grams: DataFrame, lower: DataFrame, halves: tuple[int, ...]) -> Model:
+    """The difference of the two classes for every sequence of these halves of the sample whose
+    context enough texts of either class have; only these come to the driver."""
+    names = ("toxic", "ordinary")
+    seen = grams.select(
+        "gram",
+        F.expr("left(gram, length(gram) - 1)").alias("context"),
+        *[sum((F.col(f"{c}_{h}") for h in halves), F.lit(0)).alias(c) for c in names],
+    ).where("toxic + ordinary > 0")
+    sums = seen.groupBy("context").agg(
+        *[F.sum(c).alias(f"{c}_all") for c in names],
+        *[F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in names],
+    )
+    enough = {c: F.col(f"{c}_all") >= LEAST_TEXTS for c in names}
+    contexts = save(
+        sums.where(enough["toxic"] | enough["ordinary"]).select(
+            "*",
+            *[
+                F.when(enough[c], DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_all"))
+                .otherwise(1.0).alias(f"{c}_spare")
+                for c in names
+            ],
+        ),
+        "contexts",
+    )
+    p = [
+        F.when(enough[c], F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0)
+        + F.col(f"{c}_spare") * F.col("lower")
+        for c in names
+    ]
+    held = (
+        seen.join(contexts, "context")
+        .withColumn("end", F.expr("substr(gram, 2)"))
+        .join(lower.withColumnRenamed("gram", "end"), "end")
+        .select("gram", F.log(p[0] / p[1]).alias("value"))
+    )
+    spare = contexts.select("context", F.log(F.col("toxic_spare") / F.col("ordinary_spare")))
+    tables = [table.toArrow() for table in (held, spare)]
+    return Model(*[dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist())) for t in tables])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -235,18 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model.weights[0] = math.log((share + 1e-9) / (1 - min(share, 1 - 1e-9)))
         return model
     grams = save(spelling_counts(sample), "spelling")
-    table = most_frequent(grams, sum((F.col(c) for c in COUNTS), F.lit(0)))
-    common = Shared(most_frequent(shared_counts(grams), F.col("kinds")))
-
-    def of(halves: tuple[int, ...]) -> Model:
-        sums = {
-            c: sum(table[f"{c}_{h}"] for h in halves) for c in ("toxic", "ordinary")
-        }
-        return differences(pd.DataFrame({"gram": table["gram"], **sums}), common)
-
-    others = docs.sparkSession.sparkContext.broadcast([of((1,)), of((0,))])
-    model = of((0, 1))
-    del table, common
+    lower = shared_probabilities(shared_counts(grams))
+    others = docs.sparkSession.sparkContext.broadcast(
+        [differences(grams, lower, (1,)), differences(grams, lower, (0,))]
+    )
+    model = differences(grams, lower, (0, 1))
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:

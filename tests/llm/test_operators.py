@@ -344,6 +344,48 @@ def test_toxicity_held_out(spark, docs):
     assert edges[3]["found"] == edges[4]["found"]
 
 
+def test_toxicity_model_holds_every_sequence(spark, monkeypatch):
+    """Against the same formulas in plain Python, over all sequences."""
+    monkeypatch.setattr(toxicity, "ENTRIES", 50, raising=False)
+    rows, labels = labelled(spark, 200, lambda words, rng: [w + "x" for w in words])
+    model = toxicity.fit(rows, labels)
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    seen = [Counter(), Counter()]
+    for r in rows.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            for word in set(r["text"].split()):
+                line = f"^{word}$"
+                for i in range(1, len(line)):
+                    seen[1 - toxic[r["doc_id"]]][line[max(0, i - 5) : i + 1]] += 1
+    grams = set(seen[0]) | set(seen[1])
+    kinds = Counter(tail[1:] for tail in {g[-n:] for g in grams for n in range(2, len(g) + 1)})
+    total, types = Counter(), Counter()
+    for g, n in kinds.items():
+        total[g[:-1]] += n
+        types[g[:-1]] += 1
+
+    def lower(g):
+        rest = lower(g[1:]) if len(g) > 1 else 1 / types[""]
+        return (kinds[g] - 0.75 + 0.75 * types[g[:-1]] * rest) / total[g[:-1]]
+
+    whole, distinct = [Counter(), Counter()], [Counter(), Counter()]
+    for g in grams:
+        for k in (0, 1):
+            whole[k][g[:-1]] += seen[k][g]
+            distinct[k][g[:-1]] += seen[k][g] > 0
+    expected = {}
+    for g in grams:
+        c, p = g[:-1], []
+        if max(whole[0][c], whole[1][c]) < 5:
+            continue
+        for k in (0, 1):
+            n = whole[k][c]
+            p.append((max(seen[k][g] - 0.75, 0) + 0.75 * distinct[k][c] * lower(g[1:])) / n
+                     if n >= 5 else lower(g[1:]))
+        expected[g] = math.log(p[0] / p[1])
+    assert len(expected) > 1000 and model.grams == pytest.approx(expected)
+
+
 def test_gam_held_out(spark, docs):
     rows, labels = labelled(spark, 900, lambda words, rng: [w.upper() + "!!" for w in words])
     model = gam.fit(rows, labels)
