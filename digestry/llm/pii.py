@@ -105,9 +105,11 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
-def sums_before(lengths: Column) -> Column:
-    """For each element, the sum of those before it: in blocks of about sqrt(n), as an array that
-    grows inside a fold is copied at every step."""
+def sums_before(
+    lengths: Column, join: Callable[[Column, Column], Column] = lambda a, x: a + x
+) -> Column:
+    """For each element, the sum (or ``join``, from 0 on) of those before it: in blocks of about
+    sqrt(n), as an array that grows inside a fold is copied at every step."""
 
     def fold(values: Column, first: Column) -> Column:
         none = F.array().cast("array<bigint>")
@@ -115,7 +117,7 @@ def sums_before(lengths: Column) -> Column:
             values,
             F.struct(none.alias("out"), first.cast("long").alias("sum")),
             lambda s, x: F.struct(
-                F.concat(s["out"], F.array(s["sum"])).alias("out"), (s["sum"] + x).alias("sum")
+                F.concat(s["out"], F.array(s["sum"])).alias("out"), join(s["sum"], x).alias("sum")
             ),
             lambda s: s["out"],
         )
@@ -129,7 +131,7 @@ def sums_before(lengths: Column) -> Column:
             block=u_blocks(v, starts),
             total=F.transform(
                 u_blocks(v, starts),
-                lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x),
+                lambda b: F.aggregate(b, F.lit(0).cast("long"), join),
             ),
         )
 
@@ -206,36 +208,62 @@ def find(docs: DataFrame, text: str, out: str = "spans") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str) -> DataFrame:
-    """Replaces every reported span by its kind in angle brackets; null texts stay null.
+    """Replaces every span that ``find`` reports; null texts stay null.
 
-    Kinds are taken one after the other, so the spans of one kind are looked for in what the ones
-    before have left. All pieces of a text are joined once for a kind.
+    Spans that overlap are masked as one, by the kind of highest score and then of greatest length,
+    in angle brackets.
     """
 
-    def masked(kind: Kind, held: Column) -> Column:
-        def joined(v: Column) -> Column:
-            m, p = v["f"]["m"], v["f"]["p"]
-            parts = F.transform(
-                p,
-                lambda x, i: F.when(F.get(m, i).isNull(), x).otherwise(
-                    F.concat(
-                        x,
-                        F.when(
-                            _score(kind, F.get(m, i), x, F.get(p, i + 1)) >= THRESHOLD,
-                            F.lit(f"<{kind.name.upper()}>"),
-                        ).otherwise(F.get(m, i)),
-                    )
-                ),
+    def reached(v: Column) -> Column:
+        ends = F.transform(v["s"], lambda x: x["end"])
+        return let(opened, t=v["t"], s=v["s"], reach=sums_before(ends, lambda a, x: F.greatest(a, x)))
+
+    def opened(v: Column) -> Column:
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(v["s"]) - 1),
+            lambda i: F.get(v["s"], i)["start"] >= F.get(v["reach"], i),
+        )
+        return let(merged, t=v["t"], s=v["s"], reach=v["reach"], heads=heads)
+
+    def merged(v: Column) -> Column:
+        def one(h: Column, j: Column) -> Column:
+            following = F.get(v["heads"], j + 1)
+            inside = F.slice(v["s"], h + 1, F.coalesce(following, F.size(v["s"])) - h)
+            best = F.array_max(
+                F.transform(
+                    inside,
+                    lambda x: F.struct(
+                        x["score"], (x["end"] - x["start"]).alias("size"), (-x["start"]).alias("at"), x["kind"]
+                    ),
+                )
+            )
+            last = F.array_max(F.transform(v["s"], lambda x: x["end"]))
+            return F.struct(
+                F.get(v["s"], h)["start"].cast("int").alias("start"),
+                F.coalesce(F.get(v["reach"], following), last).cast("int").alias("end"),
+                best["kind"].alias("kind"),
             )
-            return F.when(v["f"].isNull(), v["t"]).otherwise(F.array_join(parts, ""))
 
-        return let(joined, f=_matches(held, kind), t=held)
+        return let(joined, c=F.transform(v["heads"], one), signs=F.split(v["t"], ""))
 
-    name = fresh(docs, "_masked")
-    out = docs.withColumn(name, F.col(text))
-    for kind in KINDS:
-        out = out.withColumn(name, masked(kind, F.col(name)))
-    return out.withColumn(text, F.col(name)).drop(name)
+    def joined(v: Column) -> Column:
+        def piece(x: Column, j: Column) -> Column:
+            at = F.coalesce(F.get(v["c"], j - 1)["end"], F.lit(0))
+            before = F.array_join(F.slice(v["signs"], at + 1, x["start"] - at), "")
+            return F.concat(before, F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+
+        at = F.element_at(v["c"], -1)["end"]
+        rest = F.array_join(F.slice(v["signs"], at + 1, F.size(v["signs"])), "")
+        return F.concat(F.array_join(F.transform(v["c"], piece), ""), rest)
+
+    held = fresh(docs, "_spans")
+    ordered = F.sort_array(
+        F.transform(held, lambda s: F.struct(s["start"], s["end"], s["score"], s["kind"]))
+    )
+    masked = F.when(F.size(held) == 0, F.col(text)).otherwise(
+        let(reached, t=F.col(text), s=ordered)
+    )
+    return find(docs, text, held).withColumn(text, masked).drop(held)
 
 
 def listed(spans: Column) -> Column:

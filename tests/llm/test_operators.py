@@ -72,6 +72,30 @@ def test_pii_many_spans_and_redaction(spark, docs):
     assert pii.find(docs([]), "text").count() == 0
 
 
+def test_redaction_masks_the_reported_spans(spark, docs):
+    """Also where kinds overlap."""
+    rng = random.Random(4)
+    noise = ["".join(rng.choice("ab1234.@+- ()😀") for _ in range(rng.randrange(80))) for _ in range(200)]
+    texts = ["+33.1.23.45.67.89", "a +33.1.23.45.67.89, b@c.de é😀 1.2.3.4.5", "1.2.3.4 " * 3000]
+    texts += PERSONAL + EDGES + noise
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs(texts), "text").collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs(texts), "text").collect()}
+    assert got[0] == "<PHONE>" and got[1].startswith("a <PHONE>, <EMAIL> é😀 <IP>")
+    for i, text in enumerate(texts):
+        groups = []
+        for s in sorted(spans[i], key=lambda s: s["start"]):
+            if groups and s["start"] < max(g["end"] for g in groups[-1]):
+                groups[-1].append(s)
+            else:
+                groups.append([s])
+        masked = text
+        for group in reversed(groups):
+            best = max(group, key=lambda s: (s["score"], s["end"] - s["start"], -s["start"], s["kind"]))
+            end = max(s["end"] for s in group)
+            masked = masked[: group[0]["start"]] + f"<{best['kind'].upper()}>" + masked[end:]
+        assert got[i] == masked
+
+
 # ---- neighbours ---------------------------------------------------------------------------------
 
 
