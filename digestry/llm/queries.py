@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.llm import ann, bpe, brown, gam, packing, pii, rules, shards, simhash, toxicity
+from digestry.llm import (
+    ann, bpe, brown, codes, gam, mixing, negatives, packing, pii, rules, shards, simhash, toxicity,
+)
 from digestry.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +120,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(scored, toxicity.PARTS, toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = embeddings(spark, sf_dir).withColumn("label", label)
+    return negatives.mine(rows, "vec_id", "label", "embedding", F.col("id") % 100 == 0)
+
+
+@query
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codes.kept(embeddings(spark, sf_dir), "vec_id", "embedding", "label")
+    books = codes.fit(rows)
+    return codes.with_label_error(codes.encode(rows, books)).select(
+        F.col("id").alias("vec_id"),
+        F.lower(F.hex("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"),
+    )
+
+
+@query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), "doc_id", "text", "source")
+    return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 # ---- the same in SQL ------------------------------------------------------------------------------
 
 _STOP = (
@@ -176,3 +208,76 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND {_between("n_bullet_lines", "n_lines", 0.0, 0.9)}
        AND {_between("n_open_lines", "n_lines", 0.0, 0.3)} AS kept
 FROM judged"""
+
+
+#: The first five of a kind, by score and then by id.
+ORACLES["op11_negatives"] = """
+WITH kept AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept),
+pairs AS (
+  SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same,
+         CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM flat a JOIN flat b ON a.d = b.d AND a.id <> b.id
+  WHERE a.id % 100 = 0 GROUP BY a.id, b.id, a.label, b.label),
+positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (
+         PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+def _floored(total: str, number: str) -> str:
+    """The floor of an exact quotient, also below zero."""
+    return f"(({total}) - ((({total}) % {number}) + {number}) % {number}) // {number}"
+
+
+def _round(of: int) -> str:
+    """SQL of one round: ``near`` has the nearest entry of each part, ``book`` the entries after it."""
+    moved = _floored("sum(x)", "count(*)")
+    return f"""
+apart{of} AS (
+  SELECT f.id, f.part, b.entry, CAST(sum((f.x - b.x) * (f.x - b.x)) AS BIGINT) AS far
+  FROM flat f JOIN book{of} b USING (part, place) GROUP BY f.id, f.part, b.entry),
+near{of} AS (
+  SELECT id, part, entry, far FROM apart{of}
+  QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY far, entry) = 1),
+moved{of} AS (
+  SELECT part, entry, place, CAST({moved} AS BIGINT) AS x
+  FROM near{of} JOIN flat USING (id, part) GROUP BY part, entry, place),
+book{of + 1} AS (
+  SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x
+  FROM book{of} b LEFT JOIN moved{of} m USING (part, entry, place))"""
+
+
+ORACLES["op12_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id AS id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (
+  SELECT id, (i - 1) // (n // 16) AS part, (i - 1) % (n // 16) AS place, x FROM (
+    SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i, len(v) AS n FROM kept)),
+first AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS entry FROM kept QUALIFY entry < 64),
+book0 AS (SELECT part, entry, place, x FROM first JOIN flat USING (id)),
+{_round(0)},{_round(1)},{_round(2)},
+coded AS (
+  SELECT id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code,
+         CAST(sum(far) AS BIGINT) AS error
+  FROM near2 GROUP BY id)
+SELECT k.id AS vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book2)
+         AS codebooks_sha256
+FROM coded JOIN kept k USING (id)"""

@@ -29,7 +29,11 @@ RESULTS = {
     "op8_simhash": {"doc_id", "fingerprint", "component_id"},
     "op9_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
-}
+    "op11_negatives": {
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    "op12_codes": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+    "op13_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+}
 
 
 @pytest.fixture(scope="module")
