@@ -3,14 +3,17 @@
 Exchange clustering finds the classes on a core: an item moves to the class that raises the
 likelihood of the class bigrams most, until no item moves. The most frequent words are items of their
 own; the others belong to an item by their last bytes. Then every word of at least ``LEAST`` training
-tokens moves, in a few sweeps, to the class that suits its own neighbours best, counted by Spark over
-all training tokens. Only rarer and unseen words keep the class of their last bytes. A text's
-probability multiplies, for each token, the smoothed transition from the class before to its class,
-and the emission of the word from the class.
-
-Counts cover all training texts. Frequent words meet their counts and classes inside the tasks that
-hold the texts; only rare words, none of which is a hot key, are shuffled to theirs. Words that are
-not frequent stand as 64-bit hashes while classes are sought.
+tokens moves to the class that suits its own neighbours best: frequent words in sweeps, each of which
+is kept only if it raises the likelihood of all training tokens, and the other words once, under the
+classes of the last sweep. Words of fewer tokens and unseen ones have the class of their last bytes. A
+text's probability multiplies, for each token, the smoothed transition from the class before to its
+class, and the emission of the word from the class. As the word before, a word that is not frequent
+stands for the class of its last bytes, which a task can tell by itself.
+
+Counts cover all training texts. These are coded once, four bytes a token; counts of frequent words with
+the classes beside them are added up in the tasks and cross the network as one row a task and word. Rare
+words, none of which is a hot key, are shuffled: in training as one row a task and word, in scoring to
+their counts and classes.
 
 Results for edge cases: a null or empty text is its end token alone. Equal and repeated rows are
 scored each for itself, rows with a null id are training rows. Without training texts counts and
@@ -28,24 +31,27 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestry.llm.common import body, ready, remainder, save
+from digestry.session import drop_stored
 
 PARTS, HELD_OUT = 7, 2
 #: Words that are items of their own, and items for the other words by their last bytes.
 WORD_ITEMS, SUFFIX_ITEMS, SUFFIX = 1024, 512, 3
-CLASSES = 64
-#: A word has a class of its own from so many training tokens on; sweeps over all such words.
-LEAST, WORD_SWEEPS = 2, 2
+CLASSES = 128
+#: A word has a class of its own from so many training tokens on; sweeps over the frequent ones.
+LEAST, WORD_SWEEPS = 2, 4
 #: At most so many frequent words have their counts sent to every task.
 KNOWN_WORDS = 100_000
 SWEEPS = 12
 #: Weight of the class frequencies in a transition, and of an unseen item in an emission.
-PRIOR, UNSEEN = 8.0, 0.5
-#: A task hands on its word counts at so many different words.
-FLUSH = 300_000
+PRIOR, UNSEEN = 20.0, 0.5
+#: A task hands on its word counts at so many different words, or at so many tokens of rare ones.
+FLUSH, RARE_FLUSH = 300_000, 1_000_000
+#: Training texts are coded in rows of about so many tokens, and read so many by one task.
+ROW_TOKENS, TASK_TOKENS = 1 << 18, 1 << 22
 END = ""  # the end token; no word is empty
 
 
@@ -60,27 +66,6 @@ def suffix_item(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % SUFFIX_ITEMS
 
 
-@dataclass
-class Items:
-    """Item numbers: 0 is the end token, then the word items, then the suffix items."""
-
-    words: dict[bytes, int]
-
-    @property
-    def count(self) -> int:
-        return 1 + WORD_ITEMS + SUFFIX_ITEMS
-
-    def of(self, word: bytes, memory: dict[bytes, int]) -> int:
-        item = self.words.get(word)
-        if item is None:
-            item = memory.get(word)
-            if item is None:
-                if len(memory) > FLUSH:
-                    memory.clear()
-                item = memory[word] = 1 + WORD_ITEMS + suffix_item(word)
-        return item
-
-
 def word_counts(training: DataFrame) -> DataFrame:
     """``word, n`` of all training tokens."""
 
@@ -129,37 +114,92 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(pairs, key=lambda p: (-p[1], p[0]))
 
 
-def item_bigrams(training: DataFrame, items: Items) -> np.ndarray:
-    """Counts of neighbouring items, from an end token on; a table of fixed size."""
-    shared = training.sparkSession.sparkContext.broadcast(items)
-    size = items.count
+#: Items: 0 is the end token, then the word items, then the suffix items.
+ITEMS = 1 + WORD_ITEMS + SUFFIX_ITEMS
+
+
+def items_of(ids: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Item of each id: the rank of a frequent word, or -1 - suffix item of another one. ``suffix``
+    has the suffix item of each rank."""
+    known = np.where(ids <= WORD_ITEMS, ids, 1 + WORD_ITEMS + suffix[np.maximum(ids, 0)])
+    return np.where(ids >= 0, known, WORD_ITEMS - ids)
+
+
+def coded_texts(training: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """``ids, rare, tokens``: rows of whole texts, each from an end token to an end token, as 32-bit
+    ids, and the 64-bit hashes of their rare words in order."""
+    shared = training.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memory = shared.value, {}
-        table = np.zeros(size * size, dtype=np.int64)
+        ranks = shared.value
+        ids, rare = [0], []
+
+        def flush() -> pa.RecordBatch:
+            row = [
+                pa.array([np.array(ids, dtype=np.int32).tobytes()], pa.binary()),
+                pa.array([np.array(rare, dtype=np.uint64).tobytes()], pa.binary()),
+                pa.array([len(ids) - 1], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(row, names=["ids", "rare", "tokens"])
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                ids = np.array([0, *(own.of(w, memory) if w else 0 for w in split(text))])
-                codes, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
-                table[codes] += n
-        found = np.flatnonzero(table)
-        for at in range(0, len(found), 1 << 18):
-            part = found[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(table[part])], names=["code", "n"]
+                words = split(text)
+                found = list(map(ranks.get, words))
+                if None in found:
+                    for at, rank in enumerate(found):
+                        if rank is None:
+                            word = words[at]
+                            found[at] = -1 - suffix_item(word)
+                            rare.append(xxhash.xxh64_intdigest(word, HASH_SEED))
+                ids.extend(found)
+                if len(ids) > ROW_TOKENS:
+                    yield flush()
+                    ids, rare = [0], []
+        if len(ids) > 1:
+            yield flush()
+
+    return training.select("text").mapInArrow(run, "ids binary, rare binary, tokens long")
+
+
+def coded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for ids, rare in zip(batch.column("ids"), batch.column("rare")):
+            yield (
+                np.frombuffer(ids.as_buffer(), dtype=np.int32),
+                np.frombuffer(rare.as_buffer(), dtype=np.int64),
             )
 
-    rows = (
-        training.select("text")
-        .mapInArrow(run, "code long, n long")
-        .groupBy("code")
-        .agg(F.sum("n").alias("n"))
-        .select(F.col("code").cast("int").alias("code"), "n")
-        .toArrow()
-    )  # at most size * size rows
-    table = np.zeros(size * size)
-    table[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
-    return table.reshape(size, size)
+
+def _small_table(rows: DataFrame, height: int, width: int) -> np.ndarray:
+    """``code, n`` added up into a table of fixed size."""
+    found = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(height * width)
+    table[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return table.reshape(height, width)
+
+
+def _cells(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    found = np.flatnonzero(table)
+    for at in range(0, len(found), 1 << 18):
+        part = found[at : at + (1 << 18)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(table.ravel()[part].astype(np.int64))], names=["code", "n"]
+        )
+
+
+def item_bigrams(coded: DataFrame, suffix: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring items, from an end token on; a table of fixed size."""
+    shared = coded.sparkSession.sparkContext.broadcast(suffix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(ITEMS * ITEMS, dtype=np.int64)
+        for ids, _ in coded_rows(batches):
+            items = items_of(ids, shared.value)
+            np.add.at(table, items[:-1] * ITEMS + items[1:], 1)
+        yield from _cells(table)
+
+    return _small_table(coded.mapInArrow(run, "code long, n long"), ITEMS, ITEMS)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -245,148 +285,224 @@ def transitions(bigrams: np.ndarray, member: np.ndarray, classes: int = CLASSES)
 
 # ---- classes of all words -----------------------------------------------------------------------
 
-HASH_SEED = 42
+HASH_SEED = 42  # that of F.xxhash64
+
 
+@dataclass
+class Classes:
+    """The class of each frequent word by rank, and of each suffix item."""
 
-def word_id(word: bytes, known: dict[bytes, int]) -> int:
-    """The rank of a frequent word, or the hash of another one, as ``F.xxhash64`` has it."""
-    rank = known.get(word)
-    if rank is not None:
-        return rank
-    value = xxhash.xxh64_intdigest(word, HASH_SEED)
-    return value - (1 << 64) if value >> 63 else value
+    words: np.ndarray
+    suffix: np.ndarray
 
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        known = self.words[np.maximum(ids, 0)]
+        return np.where(ids >= 0, known, self.suffix[np.maximum(-1 - ids, 0)])
 
-def neighbours(training: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """``a, b``: the ids of every two neighbouring training tokens, from an end token on."""
-    shared = training.sparkSession.sparkContext.broadcast(known)
+
+def likelihood(table: np.ndarray) -> float:
+    """What the classes decide of the log-likelihood of the tokens that ``table`` counts."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum())
+
+
+def class_table(coded: DataFrame, classes: Classes) -> np.ndarray:
+    """Counts of neighbouring classes, rare words standing for their suffix."""
+    shared = coded.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, memory = shared.value, {}
-        for batch in batches:
-            before, after = [], []
-            for text in batch.column("text").to_pylist():
-                ids = [0]
-                for word in split(text):
-                    at = memory.get(word)
-                    if at is None:
-                        if len(memory) > FLUSH:
-                            memory.clear()
-                        at = memory[word] = word_id(word, ranks)
-                    ids.append(at)
-                line = np.array(ids, dtype=np.int64)
-                before.append(line[:-1])
-                after.append(line[1:])
-            if before:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(before)), pa.array(np.concatenate(after))],
-                    names=["a", "b"],
-                )
-
-    return training.select("text").mapInArrow(run, "a long, b long")
-
-
-def beside(pairs: DataFrame, classes: DataFrame, ranks: int) -> DataFrame:
-    """``id, cell, n``: how often each word stands after (cell = class) and before a class
-    (``CLASSES`` + class). Frequent neighbours meet their class in a broadcast, the others in a join."""
-    sides = pairs.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("b").alias("id"), F.col("a").alias("near"), F.lit(0).alias("side")),
-                F.struct(F.col("a").alias("id"), F.col("b").alias("near"), F.lit(1).alias("side")),
-            )
-        ).alias("p")
-    ).select("p.*")
-    frequent_one = F.col("near").between(0, ranks - 1)
-    named = classes.select(F.col("id").alias("near"), F.col("class"))
-    few = named.where(frequent_one)
-    hit = sides.where(frequent_one).join(F.broadcast(few), "near")
-    miss = sides.where(~frequent_one).join(named.where(~frequent_one), "near")
-    cell = (F.col("side") * CLASSES + F.col("class")).alias("cell")
-    return (
-        hit.select("id", cell).unionByName(miss.select("id", cell))
-        .groupBy("id", "cell").agg(F.count(F.lit(1)).alias("n"))
-    )
+        table = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for ids, _ in coded_rows(batches):
+            own = shared.value.of(ids)
+            table += np.bincount(own[:-1] * CLASSES + own[1:], minlength=len(table))
+        yield from _cells(table)
 
+    return _small_table(coded.mapInArrow(run, "code long, n long"), CLASSES, CLASSES)
 
-def class_table(cells: DataFrame, classes: DataFrame) -> np.ndarray:
-    """Counts of neighbouring classes; at most ``CLASSES`` squared rows come to the driver."""
-    rows = (
-        cells.where(F.col("cell") < CLASSES).join(classes.select("id", "class"), "id")
-        .groupBy("cell", "class").agg(F.sum("n").alias("n")).toArrow()
-    )
-    table = np.zeros((CLASSES, CLASSES))
-    table[rows.column("cell").to_numpy(), rows.column("class").to_numpy()] = rows.column("n").to_numpy()
-    return table
+
+#: One row a task and word: how often the word stands beside each class. Cells below ``CLASSES`` are for
+#: the class before it, the others for the class after it.
+BESIDE = "id long, item int, cells binary, counts binary"
 
 
-def best_classes(lists: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The likeliest class of each row of counts by left and by right class; never the end's."""
+def _beside_rows(id_: np.ndarray, item: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``BESIDE`` from cells in the order of their words."""
+    first = np.flatnonzero(np.append(True, id_[1:] != id_[:-1])) if len(id_) else np.empty(0, np.int64)
+    starts = np.append(first, len(id_))
+
+    def lists(values: np.ndarray) -> pa.Array:
+        offsets = (starts * values.itemsize).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]
+        return pa.Array.from_buffers(pa.binary(), len(first), buffers)
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(id_[first].astype(np.int64)), pa.array(item[first].astype(np.int32)),
+            lists(cell.astype(np.uint8)), lists(n.astype(np.int32)),
+        ],
+        names=["id", "item", "cells", "counts"],
+    )
+
+
+def beside_frequent(coded: DataFrame, classes: Classes, free: np.ndarray) -> DataFrame:
+    """``BESIDE`` of the frequent words that are free to move, by rank."""
+    shared = coded.sparkSession.sparkContext.broadcast((classes, free))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, may_move = shared.value
+        flat = np.zeros(len(may_move) * 2 * CLASSES, dtype=np.int32)
+        table = flat.reshape(-1, 2 * CLASSES)
+        for ids, _ in coded_rows(batches):
+            own = held.of(ids)
+            at = np.flatnonzero((ids > 0) & may_move[np.maximum(ids, 0)])  # never the last token
+            cell = ids[at].astype(np.int64) * (2 * CLASSES)
+            np.add.at(flat, cell + own[at - 1], 1)
+            np.add.at(flat, cell + CLASSES + own[at + 1], 1)
+        words, cells = np.nonzero(table)
+        step = 1 << 20
+        for first in range(0, len(words), step):
+            w, c = words[first : first + step], cells[first : first + step]
+            yield _beside_rows(w, np.zeros_like(w), c, table[w, c])
+
+    return coded.select("ids", "rare").mapInArrow(run, BESIDE)
+
+
+def before_rare(coded: DataFrame, classes: Classes) -> DataFrame:
+    """``BESIDE`` of the rare words, by hash, with the classes before them only."""
+    shared = coded.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            id_, item, cell = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((cell, id_))
+            id_, item, cell = id_[order], item[order], cell[order]
+            new = np.append(True, (id_[1:] != id_[:-1]) | (cell[1:] != cell[:-1]))
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(id_)))
+            return _beside_rows(id_[first], item[first], cell[first], n)
+
+        for ids, rare in coded_rows(batches):
+            at = np.flatnonzero(ids < 0)
+            if len(at):
+                held.append((rare, -1 - ids[at], shared.value.of(ids[at - 1])))
+            if sum(len(h[0]) for h in held) > RARE_FLUSH:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    return coded.mapInArrow(run, BESIDE)
+
+
+def by_word(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, items and counts by cell of the words of one task, whose rows come sorted by id."""
+    last: tuple[int, int, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells, counts = batch.column("cells"), batch.column("counts")
+        id_, item = batch.column("id").to_numpy(), batch.column("item").to_numpy()
+        each = np.diff(np.frombuffer(cells.buffers()[1], dtype=np.int32)[cells.offset :][: len(cells) + 1])
+        new = np.append(True, id_[1:] != id_[:-1])
+        word = np.cumsum(new) - 1
+        sums = np.zeros((word[-1] + 1, 2 * CLASSES), dtype=np.int64)
+        flat = np.frombuffer(b"".join(cells.to_pylist()), dtype=np.uint8)
+        number = np.frombuffer(b"".join(counts.to_pylist()), dtype=np.int32)
+        np.add.at(sums, (np.repeat(word, each), flat), number)
+        ids, items = id_[new], item[new]
+        if last is not None:
+            if last[0] == ids[0]:
+                sums[0] += last[2]
+            else:
+                yield np.array([last[0]]), np.array([last[1]]), last[2][None, :]
+        last = (int(ids[-1]), int(items[-1]), sums[-1].copy())  # may go on in the next batch
+        yield ids[:-1], items[:-1], sums[:-1]
+    if last is not None:
+        yield np.array([last[0]]), np.array([last[1]]), last[2][None, :]
+
+
+def best_classes(beside: np.ndarray, table: np.ndarray, both: bool) -> np.ndarray:
+    """The likeliest class of each row of counts by the class before, and with ``both`` by the class
+    after; never the end's."""
     held = np.log(table + 0.1)
-    inside = np.log(table.sum(axis=0) + 1.0) + np.log(table.sum(axis=1) + 1.0)
-    left, right = lists[:, :CLASSES], lists[:, CLASSES:]
-    gain = left @ held + right @ held.T - left.sum(axis=1, keepdims=True) * inside[None, :]
+    left, right = beside[:, :CLASSES], beside[:, CLASSES:]
+    total = left.sum(axis=1, keepdims=True)
+    gain = left @ held - total * np.log(table.sum(axis=0) + 1.0)[None, :]
+    if both:
+        gain = gain + right @ held.T - total * np.log(table.sum(axis=1) + 1.0)[None, :]
     gain[:, 0] = -np.inf
     return gain.argmax(axis=1)
 
 
-def reassign(cells: DataFrame, classes: DataFrame, table: np.ndarray) -> DataFrame:
-    """``classes`` after every free word has moved to its best class."""
-    lists = cells.groupBy("id").agg(
-        F.collect_list("cell").alias("cells"), F.collect_list("n").alias("counts")
-    )
+def together(beside: DataFrame) -> DataFrame:
+    """All rows of a word in one task, one after the other."""
+    return beside.repartition("id").sortWithinPartitions("id")
+
+
+def moved(coded: DataFrame, classes: Classes, free: np.ndarray, table: np.ndarray) -> Classes:
+    """Every free frequent word in its best class; at most one row a frequent word reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, counts = batch.column("cells"), batch.column("counts")
-            lengths = np.diff(places.offsets.to_numpy())
-            found = np.zeros((batch.num_rows, 2 * CLASSES))
-            rows = np.repeat(np.arange(batch.num_rows), lengths)
-            found[rows, places.flatten().to_numpy()] = counts.flatten().to_numpy()
+        for ids, _, sums in by_word(batches):
+            best = best_classes(sums, table, both=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(best_classes(found, table).astype(np.int32))],
-                names=["id", "best"],
+                [pa.array(ids.astype(np.int32)), pa.array(best.astype(np.int32))], names=["id", "class"]
             )
 
-    best = lists.mapInArrow(run, "id long, best int")
-    return classes.join(best, "id", "left").select(
-        "id", "word", "n", "free",
-        F.when(F.col("free") & F.col("best").isNotNull(), F.col("best"))
-        .otherwise(F.col("class")).alias("class"),
-    )
+    rows = together(beside_frequent(coded, classes, free)).mapInArrow(run, "id int, class int").toArrow()
+    words = classes.words.copy()
+    words[rows.column("id").to_numpy()] = rows.column("class").to_numpy()
+    return Classes(words, classes.suffix)
 
 
-def word_classes(
-    training: DataFrame, counts: DataFrame, known: dict[bytes, int], start: np.ndarray, table: np.ndarray
-) -> tuple[DataFrame, np.ndarray]:
-    """``id, word, n, free, class`` of every training word, and the counts of neighbouring classes.
+def rare_classes(coded: DataFrame, classes: Classes, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """``id, class`` of the rare words with classes of their own, and by how much the counts of
+    neighbouring classes change when they take these."""
 
-    ``start`` has the class of each item, ``table`` the counts that belong to it.
-    """
-    spark = training.sparkSession
-    ranks = spark.createDataFrame(
-        pa.table({"word": [w.decode() for w in known], "rank": pa.array(known.values(), pa.int64())})
-    )
-    rank, free = F.col("rank"), (F.col("n") >= LEAST) & ~F.coalesce(F.col("rank") <= WORD_ITEMS, F.lit(False))
-    by_item = F.array(*[F.lit(int(c)) for c in start])
-    raw = F.col("word").cast("binary")
-    item = F.when(rank <= WORD_ITEMS, rank).otherwise(
-        1 + WORD_ITEMS + F.crc32(F.substring(raw, -SUFFIX, SUFFIX)) % SUFFIX_ITEMS
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = np.zeros((CLASSES, CLASSES), dtype=np.int64)
+        for ids, items, sums in by_word(batches):
+            left = sums[:, :CLASSES]
+            own = left.sum(axis=1) >= LEAST
+            ids, items, left = ids[own], items[own], left[own]
+            best = best_classes(sums[own], table, both=False)
+            np.add.at(change.T, best, left)
+            np.add.at(change.T, classes.suffix[items], -left)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(best.astype(np.int64)), pa.nulls(len(ids), pa.int64())],
+                names=["id", "code", "n"],
+            )
+        code = np.flatnonzero(change)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(code), pa.int64()), pa.array(code), pa.array(change.ravel()[code])],
+            names=["id", "code", "n"],
+        )
+
+    rows = save(
+        together(before_rare(coded, classes)).mapInArrow(run, "id long, code long, n long"),
+        "rare-classes",
     )
-    classes = save(
-        counts.join(F.broadcast(ranks), "word", "left").select(
-            F.coalesce(rank, F.xxhash64("word")).alias("id"), "word", "n", free.alias("free"),
-            F.get(by_item, item.cast("int")).alias("class"),
-        ),
-        "classes",
-    )
-    pairs = save(neighbours(training, known), "neighbours")
-    for sweep in range(WORD_SWEEPS):
-        cells = save(beside(pairs, classes, len(known)), "beside")
-        if sweep:
-            table = class_table(cells, classes)
-        classes = save(reassign(cells, classes, table), "classes")
-    return classes, class_table(beside(pairs, classes, len(known)), classes)
+    change = _small_table(rows.where("id IS NULL").select("code", "n"), CLASSES, CLASSES)
+    return rows.where("id IS NOT NULL").select("id", F.col("code").cast("int").alias("class")), change
+
+
+def frequent_classes(
+    coded: DataFrame, start: Classes, free: np.ndarray, table: np.ndarray
+) -> tuple[Classes, np.ndarray, list[float]]:
+    """The classes after the sweeps, their counts of neighbours, and the likelihood after each sweep;
+    a sweep that does not raise it is undone and the last one."""
+    classes, rising = start, [likelihood(table)]
+    for _ in range(WORD_SWEEPS if free.any() else 0):
+        tried = moved(coded, classes, free, table)
+        after = class_table(coded, tried)
+        if likelihood(after) <= rising[-1]:
+            break
+        classes, table = tried, after
+        rising.append(likelihood(table))
+    return classes, table, rising
 
 
 @dataclass
@@ -398,6 +514,8 @@ class Model:
     suffix: np.ndarray  # log10 of the probability of an unseen word from its class, by suffix item
     tokens: int
     distinct: int
+    least: int  # the least count of a frequent word
+    likelihoods: list[float]  # of the class bigrams, before the first sweep and after each
 
     def emission(self, n: np.ndarray, own: np.ndarray, item: np.ndarray) -> np.ndarray:
         """log10 of a word from its class; ``own`` is -1 where the class is that of the suffix."""
@@ -418,51 +536,74 @@ def build(
     return smoothed(table), mass, suffix
 
 
+def item_column() -> Column:
+    """``suffix_item`` of the column ``word``."""
+    return (F.crc32(F.substring(F.col("word").cast("binary"), -SUFFIX, SUFFIX)) % SUFFIX_ITEMS).cast("int")
+
+
 def fit(training: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and ``word, n, class`` of all training words (-1: the class of the suffix)."""
+    """The model, and ``word, n, class`` of the other training words (-1: the class of the suffix)."""
     frequent_words = frequent(counts, KNOWN_WORDS)
-    items = Items({w.encode(): 1 + i for i, (w, _) in enumerate(frequent_words[:WORD_ITEMS])})
-    bigrams = item_bigrams(training, items)
+    least = frequent_words[-1][1] if frequent_words else 1
+    listed = [b"", *(w.encode() for w, _ in frequent_words)]
+    known = {w: i for i, w in enumerate(listed)}
+    number = np.array([0, *(n for _, n in frequent_words)])
+    item = np.array([suffix_item(w) for w in listed])
+
+    written = save(coded_texts(training, known), "coded")
+    tokens = written.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    coded = written.coalesce(max(1, -(-tokens // TASK_TOKENS)))
+    bigrams = item_bigrams(coded, item)
     member = exchange(bigrams)
     one_hot = np.eye(CLASSES)[member]
-    known = {b"": 0} | {w.encode(): 1 + i for i, (w, _) in enumerate(frequent_words)}
-    found, table = word_classes(training, counts, known, member, one_hot.T @ bigrams @ one_hot)
-    has_own = F.col("free") | F.col("id").between(0, WORD_ITEMS)
+    ranks = np.arange(len(listed))
+    start = Classes(member[items_of(ranks, item)], member[1 + WORD_ITEMS :])
+    free = (ranks > WORD_ITEMS) & (number >= LEAST)
+    classes, table, rising = frequent_classes(coded, start, free, one_hot.T @ bigrams @ one_hot)
+    rare, change = rare_classes(coded, classes, table)
     final = save(
-        found.select("id", "word", "n", F.when(has_own, F.col("class")).otherwise(-1).alias("class")),
+        counts.where((F.col("n") < least) & (F.col("word") != END))
+        .withColumn("id", F.xxhash64("word"))
+        .join(rare, "id", "left")
+        .select("word", "n", F.coalesce("class", F.lit(-1)).alias("class")),
         "word-classes",
     )
+    drop_stored(written)
+
+    own_class = np.where((ranks <= WORD_ITEMS) | free, classes.words, -1)
     total = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")
     ).first()
-    own = np.zeros(CLASSES)
-    for row in (
-        final.where("class >= 0").groupBy("class")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    ):  # at most CLASSES rows
-        own[row["class"]] = row["n"] + UNSEEN * row["v"]
-    left, inside = np.zeros(SUFFIX_ITEMS), np.ones(SUFFIX_ITEMS)
-    raw = F.col("word").cast("binary")
-    for row in (
-        final.where("class < 0")
-        .groupBy((F.crc32(F.substring(raw, -SUFFIX, SUFFIX)) % SUFFIX_ITEMS).alias("item"))
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    ):  # at most SUFFIX_ITEMS rows
-        left[row["item"]] = row["n"]
-        inside[row["item"]] += row["n"] + row["v"]
+    ends = total["n"] - int(number.sum())
+    own, left, inside = np.zeros(CLASSES), np.zeros(SUFFIX_ITEMS), np.ones(SUFFIX_ITEMS)
+    has = own_class >= 0
+    np.add.at(own, own_class[has], number[has] + UNSEEN)
+    np.add.at(left, item[~has], number[~has])
+    np.add.at(inside, item[~has], number[~has] + 1)
+    others = final.groupBy("class", F.when(F.col("class") < 0, item_column()).alias("item")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")
+    )
+    for row in others.collect():  # at most CLASSES + SUFFIX_ITEMS rows
+        ends -= row["n"]
+        if row["class"] >= 0:
+            own[row["class"]] += row["n"] + UNSEEN * row["v"]
+        else:
+            left[row["item"]] += row["n"]
+            inside[row["item"]] += row["n"] + row["v"]
+    own[0] += ends  # what is left of the tokens are end tokens
     suffix_class = member[1 + WORD_ITEMS :]
-    step, mass, suffix = build(table, own, suffix_class, left, inside)
-    near = final.where(F.col("id").between(0, len(known) - 1)).select("word", "n", "class").toArrow()
-    words = {b"": (0, 0)} | {
-        w.encode(): (n, c)
-        for w, n, c in zip(*[near.column(name).to_pylist() for name in ("word", "n", "class")])
-    }
-    return Model(step, mass, words, suffix_class, suffix, total["n"], total["v"]), final
+    step, mass, suffix = build(table + change, own, suffix_class, left, inside)
+    words = dict(zip(listed, zip(number.tolist(), own_class.tolist())))
+    words[b""] = (ends, 0)
+    model = Model(
+        step, mass, words, suffix_class, suffix, total["n"], total["v"], least, rising
+    )
+    return model, final
 
 
 LOCAL = "row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, score double"
-#: A rare token: its word, suffix item, place, and the classes beside it (-1: rare or none).
-RARE = "array<struct<word:string,item:int,at:int,before:int,after:int>>"
+#: The rare words of a text: word, class before it, and how often it stands so.
+RARE = "array<struct<word:string,before:int,times:int>>"
 
 
 def local_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -475,40 +616,41 @@ def local_scores(docs: DataFrame, model: Model) -> DataFrame:
         number = np.array([n for n, _ in m.words.values()], dtype=float)
         own = np.array([c for _, c in m.words.values()], dtype=np.int64)
         item = np.array([suffix_item(w) for w in m.words], dtype=np.int64)
-        class_of = np.where(own >= 0, own, m.suffix_class[item])
+        classes = Classes(np.where(own >= 0, own, m.suffix_class[item]), m.suffix_class)
         emitted, basic = m.emission(number, own, item), np.log10(number + 1)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             local, sizes = [], []
-            rare_words: list[bytes] = []
-            flat: list[np.ndarray] = []
+            rare: tuple[list, list, list] = ([], [], [])
             for text in batch.column("text").to_pylist():
                 words = split(text)
-                ids = np.array([names.get(w, -1) for w in words])
+                found = [names.get(w, -1) for w in words]
+                ids = np.array(found)
+                places = np.flatnonzero(ids < 0)
+                others = [words[i] for i in places]
+                ids[places] = [-1 - suffix_item(w) for w in others]
+                context = classes.of(ids)
+                before = np.append(0, context[:-1])
                 seen = ids >= 0
-                classes = np.where(seen, class_of[ids], -1)
-                before = np.concatenate([[0], classes[:-1]])
-                after = np.concatenate([classes[1:], [-1]])
-                both = seen & (before >= 0)
-                score = m.step[before[both], classes[both]].sum() + emitted[ids[seen]].sum()
-                places = np.flatnonzero(~seen)
-                rare_words.extend(words[i] for i in places)
-                flat.append(np.stack([places, before[places], after[places]]))
-                sizes.append(len(places))
+                score = m.step[before[seen], context[seen]].sum() + emitted[ids[seen]].sum()
+                together = Counter(zip(others, before[places].tolist()))
+                rare[0].extend(w for w, _ in together)
+                rare[1].extend(c for _, c in together)
+                rare[2].extend(together.values())
+                sizes.append(len(together))
                 known = int((number[ids[seen]] > 0).sum())
                 local.append((row, len(words), known, basic[ids[seen]].sum(), score))
                 row += 1
             columns = list(zip(*local)) or [[]] * 5
-            joined = np.concatenate([np.empty((3, 0)), *flat], axis=1).astype(np.int32)
-            rare = pa.ListArray.from_arrays(
+            looked_up = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
                 pa.StructArray.from_arrays(
                     [
-                        pa.array(rare_words, pa.binary()).cast(pa.string()),
-                        pa.array([suffix_item(w) for w in rare_words], pa.int32()),
-                        *[pa.array(column) for column in joined],
+                        pa.array(rare[0], pa.binary()).cast(pa.string()),
+                        pa.array(rare[1], pa.int32()),
+                        pa.array(rare[2], pa.int32()),
                     ],
-                    names=["word", "item", "at", "before", "after"],
+                    names=["word", "before", "times"],
                 ),
             )
             yield pa.RecordBatch.from_arrays(
@@ -516,7 +658,7 @@ def local_scores(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(columns[0], pa.int64()), batch.column("doc_id"),
                     batch.column("held_out"), pa.array(columns[1], pa.int64()),
                     pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64()),
-                    pa.array(columns[4], pa.float64()), rare,
+                    pa.array(columns[4], pa.float64()), looked_up,
                 ],
                 names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
@@ -525,37 +667,37 @@ def local_scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"{LOCAL.format(kind)}, rare {RARE}")
 
 
-def rare_scores(found: DataFrame, model: Model) -> DataFrame:
-    """``row, rare_known, rare_base, rare_score`` from the tokens of each row that were looked up."""
-    shared = found.sparkSession.sparkContext.broadcast(model)
-    names = ["at", "item", "before", "after", "n", "class"]
-    gathered = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("t"))
-    lists = gathered.select("row", *[F.col(f"t.{c}").alias(c) for c in names])
+def _listed(values: np.ndarray) -> Column:
+    mark = "D" if values.dtype.kind == "f" else ""
+    return F.expr(f"array({','.join(f'{v!r}{mark}' for v in values.ravel().tolist())})")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            rows = np.repeat(
-                np.arange(batch.num_rows), np.diff(batch.column("at").offsets.to_numpy())
-            )
-            at, item, before, after, n, own = (
-                batch.column(c).flatten().to_numpy().astype(np.int64) for c in names
-            )
-            classes = np.where(own >= 0, own, m.suffix_class[item])
-            # a rare token just before has its class here
-            follows = np.flatnonzero((rows[1:] == rows[:-1]) & (at[1:] == at[:-1] + 1)) + 1
-            before[follows] = classes[follows - 1]
-            value = m.emission(n, own, item) + m.step[before, classes]
-            value += np.where(after >= 0, m.step[classes, after], 0.0)
-            sums = [
-                np.bincount(rows, v, batch.num_rows) for v in (n > 0, np.log10(n + 1), value)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                names=["row", "rare_known", "rare_base", "rare_score"],
-            )
 
-    return lists.mapInArrow(run, "row long, rare_known long, rare_base double, rare_score double")
+def rare_scores(local: DataFrame, classes: DataFrame, model: Model) -> DataFrame:
+    """``row, rare_known, rare_base, rare_score`` of the texts with rare words; columns only.
+
+    No rare word has more than a ``KNOWN_WORDS``-th of the training tokens, so none is a hot key, and
+    unseen ones have no counterpart that a hot one could be joined to in one task only.
+    """
+    item, own = item_column(), F.coalesce(F.col("class"), F.lit(-1))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    of_suffix = F.get(_listed(model.suffix_class), item)
+    emitted = F.when(
+        own >= 0, F.log10(n + F.lit(UNSEEN)) - F.get(_listed(model.mass), own)
+    ).otherwise(F.get(_listed(model.suffix), item) + F.log10(n + F.lit(1.0)))
+    looked_up = (
+        local.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+        .join(classes, "word", "left")
+        .select(
+            "row", "times", n.alias("n"), emitted.alias("emitted"),
+            (F.col("before") * CLASSES + F.when(own >= 0, own).otherwise(of_suffix)).alias("cell"),
+        )
+    )
+    value = F.col("emitted") + F.get(_listed(model.step), F.col("cell").cast("int"))
+    return looked_up.groupBy("row").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("rare_base"),
+        F.sum(F.col("times") * value).alias("rare_score"),
+    )
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -569,22 +711,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     training = rows.where(~F.col("held_out"))
     counts = save(word_counts(training), "words")
     model, classes = fit(training, counts)
+    drop_stored(counts)
     local = save(local_scores(rows, model), "local")
-    # No rare word has more than a KNOWN_WORDS-th of the training tokens, so none is a hot key.
-    found = (
-        local.select("row", F.explode("rare").alias("r"))
-        .select("row", "r.*")
-        .join(classes.select("word", "n", "class"), "word", "left")
-        .select(
-            "row", "at", "item", "before", "after",
-            F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).alias("class"),
-        )
-    )
     none = F.lit(0.0)
     all_mass = float(np.log10(model.tokens + model.distinct + 1))
     total = F.col("score") + F.coalesce("rare_score", none)
     base = F.col("base") + F.coalesce("rare_base", none)
-    return local.drop("rare").join(rare_scores(found, model), "row", "left").select(
+    return local.drop("rare").join(rare_scores(local, classes, model), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

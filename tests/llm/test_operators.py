@@ -164,6 +164,44 @@ def test_brown_probabilities_sum_to_one():
     assert np.allclose(table.sum(axis=1), 1.0)
 
 
+def test_brown_scores_match_a_walk_over_the_tokens(spark, docs, monkeypatch):
+    """Every score is the sum over its tokens, whether words are frequent, rare or unseen; the counts
+    of neighbouring classes are those of the classes that the model ends with."""
+    monkeypatch.setattr(brown, "KNOWN_WORDS", 1300)
+    rng = random.Random(8)
+    words = [f"{rng.choice('abcdefgh')}{i}{rng.choice(['ing', 'ed', 's', 'é'])}" for i in range(2500)]
+    heavy = [1 / (i + 40) for i in range(2500)]
+    texts = EDGES + [" ".join(rng.choices(words, heavy, k=rng.randrange(1, 150))) for _ in range(300)]
+    rows = docs(texts)
+    taught = rows.select("text").where(brown.remainder("doc_id", 7) != 2).select(brown.body("text").alias("text"))
+    model, found = brown.fit(taught, brown.save(brown.word_counts(taught), "counts"))
+    every = model.words | {r["word"].encode(): (r["n"], r["class"]) for r in found.collect()}
+    assert 1030 < len(model.words) <= 1301 and found.where("class >= 0").count() > 100
+
+    def own(word):
+        n, c = every.get(word, (0, -1))
+        return c if c >= 0 else int(model.suffix_class[brown.suffix_item(word)])
+
+    def context(word):
+        return own(word) if word in model.words else int(model.suffix_class[brown.suffix_item(word)])
+
+    table = np.zeros((brown.CLASSES, brown.CLASSES))
+    for i, text in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            line = brown.split(text or "")
+            for before, word in zip([b"", *line], line):
+                table[context(before), own(word)] += 1
+    assert np.allclose(brown.smoothed(table), model.step)
+    for row in brown.score(rows).collect():
+        line, total = brown.split(texts[row["doc_id"]] or ""), 0.0
+        for before, word in zip([b"", *line], line):
+            n, c = every.get(word, (0, -1))
+            item = np.array([brown.suffix_item(word)])
+            total += model.step[context(before), own(word)]
+            total += float(model.emission(np.array([n]), np.array([c]), item)[0])
+        assert row["score"] == pytest.approx(total, rel=1e-9), texts[row["doc_id"]]
+
+
 def test_exchange_finds_alternating_classes():
     """Words of two kinds that follow each other end up in different classes."""
     size = 21
@@ -193,16 +231,20 @@ def test_brown_every_word_gets_its_own_class(spark, docs, monkeypatch):
     rows = docs(texts).select("doc_id", "text", F.lit(False).alias("held_out"))
     counts = brown.word_counts(rows).cache()
     model, found = brown.fit(rows, counts)
-    classes = {r["word"]: r["class"] for r in found.collect()}
+    every = {w.decode(): v for w, v in model.words.items()} | {
+        r["word"]: (r["n"], r["class"]) for r in found.collect()
+    }
+    classes = {w: c for w, (_, c) in every.items()}
     counts_of = {r["word"]: r["n"] for r in counts.collect()}
+    assert {w: n for w, (n, _) in every.items()} == counts_of
     assert set(classes) == {*left, *right, "the", "of", ""} and min(classes.values()) >= 0
+    assert model.likelihoods == sorted(model.likelihoods)
     tail = sorted(classes, key=lambda w: -counts_of[w])[brown.WORD_ITEMS + 1 :]
     sides = [Counter((classes[w], w[0]) for w in tail)[c, s] for c in set(classes.values()) for s in "ab"]
     pure = sum(max(pair) for pair in zip(sides[::2], sides[1::2])) / len(tail)
     assert pure > 0.9, pure
     scored = brown.score(docs(texts)).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert scored["s"] > scored["b"]
-    every = {r["word"]: (r["n"], r["class"]) for r in found.collect()}
     n, own = np.array([v[0] for v in every.values()]), np.array([v[1] for v in every.values()])
     item = np.array([brown.suffix_item(w.encode()) for w in every])
     share = 10 ** model.emission(n, own, item)
