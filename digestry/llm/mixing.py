@@ -311,7 +311,10 @@ def slots(goals: DataFrame, per_shard: int, per_stretch: int, seed: int) -> Data
         names = ["shard", "slot", "number", "block"]
         return pa.table([pa.array(np.concatenate(c)) for c in out], names=names)
 
-    return stretches(goals, count).groupBy("stretch").applyInArrow(
+    # stated in number, so that few small rows, each of which becomes many, are not put into one task
+    tasks = min(count, 4 * goals.sparkSession.sparkContext.defaultParallelism)
+    dealt = stretches(goals, count).repartition(max(tasks, 1), "stretch")
+    return dealt.groupBy("stretch").applyInArrow(
         run, "shard long, slot long, number long, block long"
     )
 
