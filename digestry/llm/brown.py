@@ -42,7 +42,7 @@ PARTS, HELD_OUT = 7, 2
 WORD_ITEMS, SUFFIX_ITEMS, SUFFIX = 1024, 512, 3
 CLASSES = 128
 #: A word has a class of its own from so many training tokens on; sweeps over the frequent ones.
-LEAST, WORD_SWEEPS = 2, 4
+LEAST, WORD_SWEEPS = 2, 2
 #: At most so many frequent words have their counts sent to every task.
 KNOWN_WORDS = 100_000
 SWEEPS = 12
@@ -51,7 +51,9 @@ PRIOR, UNSEEN = 20.0, 0.5
 #: A task hands on its word counts at so many different words, or at so many tokens of rare ones.
 FLUSH, RARE_FLUSH = 300_000, 1_000_000
 #: Training texts are coded in rows of about so many tokens, and read so many by one task.
-ROW_TOKENS, TASK_TOKENS = 1 << 18, 1 << 22
+ROW_TOKENS, TASK_TOKENS = 1 << 18, 1 << 23
+#: Whole texts reach a task in batches of so many bytes.
+BATCH_BYTES = 8 << 20
 END = ""  # the end token; no word is empty
 
 
@@ -295,9 +297,11 @@ class Classes:
     words: np.ndarray
     suffix: np.ndarray
 
+    def __post_init__(self):
+        self.all = np.concatenate([self.suffix[::-1], self.words]).astype(np.int32)
+
     def of(self, ids: np.ndarray) -> np.ndarray:
-        known = self.words[np.maximum(ids, 0)]
-        return np.where(ids >= 0, known, self.suffix[np.maximum(-1 - ids, 0)])
+        return self.all[ids + len(self.suffix)]
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -357,11 +361,10 @@ def beside_frequent(coded: DataFrame, classes: Classes, free: np.ndarray) -> Dat
             cell = ids[at].astype(np.int64) * (2 * CLASSES)
             np.add.at(flat, cell + own[at - 1], 1)
             np.add.at(flat, cell + CLASSES + own[at + 1], 1)
-        words, cells = np.nonzero(table)
-        step = 1 << 20
-        for first in range(0, len(words), step):
-            w, c = words[first : first + step], cells[first : first + step]
-            yield _beside_rows(w, np.zeros_like(w), c, table[w, c])
+        for first in range(0, len(table), 4096):
+            words, cells = np.nonzero(table[first : first + 4096])
+            words += first
+            yield _beside_rows(words, np.zeros_like(words), cells, table[words, cells])
 
     return coded.select("ids", "rare").mapInArrow(run, BESIDE)
 
@@ -702,7 +705,7 @@ def rare_scores(local: DataFrame, classes: DataFrame, model: Model) -> DataFrame
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
-    ready(docs.sparkSession)
+    ready(docs.sparkSession, BATCH_BYTES)
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (remainder(key, PARTS) == HELD_OUT).alias("held_out"),

@@ -16,10 +16,10 @@ SPACES = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 32 << 20
 
 
-def ready(spark: SparkSession) -> SparkSession:
+def ready(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession:
     """Make the package importable in Python workers and bound their batches by bytes."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return spark
 
 
