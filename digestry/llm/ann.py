@@ -1,20 +1,22 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by the order in which it sees a fixed set of pivots. Each block of rows
-keeps, for every pivot, the posting list of the places at which its rows see that pivot. A query
-adds up, over the pivots' postings, how far its own places are from theirs (Spearman's footrule).
-Places tell the angle only, so the footrule as a correlation times the row's length stands for the
-inner product; the rows of the greatest such product, with all ties of the last one, are ranked again
-by the exact one. Blocks of queries meet blocks of rows, both of bounded size.
-
-The index covers every row. The pivots are a bounded sample: the ``PIVOTS`` vectors of least hash.
-``SHARE`` and ``LEAST`` set how many rows of a block are ranked again; ``recall`` measures what
-that finds against all rows.
+A vector is represented by its nearest pivots of a fixed set, in order. Each block of rows keeps a posting
+list for every pivot: the rows that have it among their nearest, and at which place. A query reads the
+postings of its own nearest pivots only and adds up by how much each row's footrule distance (Spearman's,
+pivots that are not listed standing behind the others) falls below that of a row without common pivots.
+Places tell the angle only, so this correlation times the row's length stands for the inner product; the
+rows of the greatest such product, with all ties of the last one, and the longest rows are ranked again by
+the exact one. Blocks of queries meet blocks of rows, both of bounded size.
+
+The index covers every row. The pivots are a bounded sample: the ``PIVOTS`` different vectors of least
+hash. ``SHARE`` and ``RERANKED`` set how many rows of a block are ranked again; a share of 1 ranks all of
+them and makes the search exact. ``recall`` measures what is found against all rows.
 
 Results for edge cases: vectors that are null, zero, of another length than the first pivot, or
 that hold a null or non-finite component take no part, nor do rows with a null id. Rows that repeat
-an id and vector count once; rows with the query's id are its own. Ties go to the smaller id. Other
-columns are ignored.
+an id and vector count once; rows with the query's id are its own. Ties go to the smaller id. A product
+beyond double range is infinite, and such products tie; where both signs overflow, the products of the
+scaled vectors tell which. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 
 from digestry.llm.common import ready, save
 
-PIVOTS = 128
-SHARE, LEAST = 0.08, 128
+#: Pivots (at most 256), and how many of them a row is listed with.
+PIVOTS, LISTED = 128, 40
+SHARE, RERANKED, LONGEST = 0.2, 128, 32
 ROW_BLOCK, QUERY_BLOCK = 4096, 8192
 #: Added to the footrule correlation, about its error, so that long rows are not missed by it.
-MARGIN = 0.1
+MARGIN = 0.15
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -49,38 +52,43 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Scaled by the largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
+
+
 def choose_pivots(rows: DataFrame, count: int) -> np.ndarray:
-    """The vectors of least hash of their id; at most ``count`` come to the driver."""
-    picked = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(count).collect()
+    """Unit vectors of the different vectors of least hash; at most ``count`` come to the driver."""
+    different = rows.select("vector").distinct()
+    picked = different.orderBy(F.xxhash64("vector"), "vector").limit(count).collect()
     width = len(picked[0]["vector"]) if picked else 0
-    return np.array([r["vector"] for r in picked if len(r["vector"]) == width])
+    return units(np.array([r["vector"] for r in picked if len(r["vector"]) == width]).reshape(-1, max(width, 1)))
 
 
-def represent(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``id, vector, places``: the vector's doubles and the place of each pivot, packed."""
+def represent(rows: DataFrame, pivots: np.ndarray, listed: int) -> DataFrame:
+    """``id, vector, nearest``: the vector's doubles and its ``listed`` nearest pivots, packed."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
             vectors = np.array(batch.column("vector").to_pylist()).reshape(-1, p.shape[1])
-            unit = vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
-            order = np.argsort(-(unit @ p.T), axis=1, kind="stable")
-            places = np.empty(order.shape, dtype=np.int16)
-            np.put_along_axis(
-                places, order, np.arange(len(p), dtype=np.int16)[None, :], axis=1
-            )
+            if not len(vectors):
+                continue
+            order = np.argsort(-(units(vectors) @ p.T), axis=1, kind="stable")
+            nearest = order[:, :listed].astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array([v.tobytes() for v in vectors], pa.binary()),
-                    pa.array([v.tobytes() for v in places], pa.binary()),
+                    pa.array([v.tobytes() for v in nearest], pa.binary()),
                 ],
-                names=["id", "vector", "places"],
+                names=["id", "vector", "nearest"],
             )
 
     whole = rows.where(F.size("vector") == pivots.shape[1])
-    return whole.mapInArrow(run, "id long, vector binary, places binary")
+    return whole.mapInArrow(run, "id long, vector binary, nearest binary")
 
 
 def unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -91,39 +99,68 @@ def unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
 def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """In double precision, adding component after component, so equal vectors score equally."""
     total = np.zeros(len(vectors))
-    for component, value in zip(vectors.T, query):
-        total += component * value
+    with np.errstate(over="ignore", invalid="ignore"):
+        for component, value in zip(vectors.T, query):
+            total += component * value
+    odd = np.flatnonzero(~np.isfinite(total))
+    if len(odd):
+        large, most = np.abs(vectors[odd]).max(axis=1), np.abs(query).max()
+        scaled = (vectors[odd] / large[:, None]) @ (query / most)
+        with np.errstate(over="ignore"):
+            total[odd] = scaled * large * most
     return total
 
 
 def lengths(vectors: np.ndarray) -> np.ndarray:
     """To 16 bits, so that rows of unit length up to rounding tie."""
-    top = np.abs(vectors).max()
-    part, power = np.frexp(np.sqrt(((vectors / top) ** 2).sum(axis=1)))
+    top = np.abs(vectors).max(axis=1)
+    with np.errstate(over="ignore"):
+        part, power = np.frexp(np.sqrt(((vectors / top[:, None]) ** 2).sum(axis=1)) * top)
     return np.ldexp(np.round(part * 65536) / 65536, power)
 
 
-def search_block(queries: pa.Table, rows: pa.Table, nearest: int, share: float, least: int):
+class Postings:
+    """For every pivot the rows of a block that list it, with its place there."""
+
+    def __init__(self, nearest: np.ndarray, pivots: int):
+        order = np.argsort(nearest.ravel(), kind="stable")
+        self.rows, self.places = order // nearest.shape[1], order % nearest.shape[1]
+        self.starts = np.append(0, np.cumsum(np.bincount(nearest.ravel(), minlength=pivots)))
+        self.count, self.listed = len(nearest), nearest.shape[1]
+        steps = np.arange(self.listed)
+        self.top = self.listed * (self.listed + 1)
+        # what rows of unrelated order have in common with a query
+        self.expected = float(((2 * steps + 1) * (self.listed - steps)).sum() * 2 / pivots / self.top)
+
+    def correlation(self, nearest: np.ndarray) -> np.ndarray:
+        """How much less than without common pivots the footrule is, as a share of the most possible."""
+        less = np.zeros(self.count, dtype=np.int64)
+        for place, pivot in enumerate(nearest.tolist()):
+            at = slice(self.starts[pivot], self.starts[pivot + 1])
+            less[self.rows[at]] += self.listed - np.maximum(self.places[at], place)
+        return 2 * less / self.top - self.expected
+
+
+def search_block(
+    queries: pa.Table, rows: pa.Table, nearest: int, share: float, reranked: int, pivots: int
+) -> pa.Table:
     """The best of one block of rows for one block of queries."""
     ids = rows.column("id").to_numpy()
     vectors = unpack(rows, "vector", np.float64)
-    postings = np.ascontiguousarray(unpack(rows, "places", np.int16).T)  # one list per pivot
-    depth = min(len(ids), int(np.ceil(share * len(ids))) + least)
-    apart = np.empty_like(postings)
+    postings = Postings(unpack(rows, "nearest", np.uint8), pivots)
+    depth = min(len(ids), int(np.ceil(share * len(ids))) + reranked)
     length = lengths(vectors)
-    expected = max(1.0, (len(postings) ** 2 - 1) / 3)  # the footrule of unrelated orders
+    longest = np.zeros(len(ids), dtype=bool)
+    longest[np.lexsort((ids, -length))[:LONGEST]] = True
     out: tuple[list, list, list] = ([], [], [])
-    for query, vector, places in zip(
+    for query, vector, listed in zip(
         queries.column("id").to_pylist(),
         unpack(queries, "vector", np.float64),
-        unpack(queries, "places", np.int16),
+        unpack(queries, "nearest", np.uint8),
     ):
-        np.subtract(postings, places[:, None], out=apart)
-        np.abs(apart, out=apart)
-        footrule = apart.sum(axis=0, dtype=np.int32)
-        hope = length * (1 + MARGIN - footrule / expected)
+        hope = length * (MARGIN + postings.correlation(listed))
         worst = np.partition(hope, len(hope) - depth)[len(hope) - depth]
-        near = np.flatnonzero((hope >= worst) & (ids != query))
+        near = np.flatnonzero(((hope >= worst) | longest) & (ids != query))
         score = inner_products(vectors[near], vector)
         best = np.lexsort((ids[near], -score))[:nearest]
         out[0].append(np.full(len(best), query))
@@ -142,7 +179,7 @@ def search(
     is_query: Column,
     nearest: int,
     share: float = SHARE,
-    least: int = LEAST,
+    reranked: int = RERANKED,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``is_query``, a condition on ``id``, the
     ``nearest`` other rows by inner product."""
@@ -153,7 +190,8 @@ def search(
     if not len(pivots):
         found = spark.createDataFrame([], result)
     else:
-        index = save(represent(rows, pivots), "index")
+        listed = min(LISTED, len(pivots))
+        index = save(represent(rows, pivots, listed), "index")
         sizes = index.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
         row_blocks = max(1, -(-sizes["n"] // ROW_BLOCK))
         query_blocks = max(1, -(-sizes["q"] // QUERY_BLOCK))
@@ -176,7 +214,7 @@ def search(
                     [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())],
                     names=["query_id", "vec_id", "score"],
                 )
-            return search_block(queries, rows, nearest, share, least)
+            return search_block(queries, rows, nearest, share, reranked, len(pivots))
 
         found = asked.groupBy(*on).cogroup(held.groupBy(*on)).applyInArrow(run, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

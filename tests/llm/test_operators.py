@@ -120,16 +120,63 @@ def test_ann_recall_ties_and_rows_that_take_no_part(spark):
     assert few.count() == 2
 
 
-@pytest.mark.parametrize("kind", ["wide", "few_long"])
-def test_ann_recall_on_unequal_lengths(spark, kind):
-    rng = np.random.default_rng(7)
-    unit = rng.normal(size=(2000, 64))
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    long = np.exp(rng.normal(size=2000)) if kind == "wide" else np.where(rng.random(2000) < 0.01, 10.0, 1.0)
-    rows = [(i, v) for i, v in enumerate((unit * long[:, None]).tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
-    found = ann.search(df, "vec_id", "v", F.col("id") % 20 == 0, 20).cache()
-    assert ann.recall(found, df, "vec_id", "v", 20) >= 0.9
+def unit_rows(rng, count=2000, width=64):
+    rows = rng.normal(size=(count, width))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+SHAPES = {
+    "unit": lambda r: unit_rows(r),
+    "wide": lambda r: unit_rows(r) * np.exp(r.normal(size=(2000, 1))),
+    "few_long": lambda r: unit_rows(r) * np.where(r.random((2000, 1)) < 0.01, 10.0, 1.0),
+    "positive": lambda r: np.abs(r.normal(size=(2000, 64))),
+    "shifted": lambda r: r.normal(size=(2000, 64)) + 1,
+    "uneven": lambda r: r.normal(size=(2000, 64)) * 1.15 ** -np.arange(64),
+    "clustered": lambda r: r.normal(size=(20, 64))[r.integers(20, size=2000)] + r.normal(size=(2000, 64)) / 3,
+    "repeated": lambda r: np.concatenate([np.repeat(unit_rows(r, 1), 600, axis=0), unit_rows(r, 1400)]),
+    "huge": lambda r: unit_rows(r) * 1e200,
+    "tiny": lambda r: unit_rows(r) * 1e-200,
+    "one_huge": lambda r: unit_rows(r) * np.where(np.arange(2000) == 777, 1e170, 1.0)[:, None],
+}
+
+
+@pytest.mark.parametrize("kind", SHAPES)
+def test_ann_recall_by_shape(spark, kind):
+    vectors = SHAPES[kind](np.random.default_rng(7))
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, v array<double>")
+    found = ann.search(df, "vec_id", "v", F.col("id") % 20 == 0, 20).toPandas()
+    with np.errstate(over="ignore"):
+        scores = np.array([ann.inner_products(vectors, vectors[q]) for q in range(0, 2000, 20)])
+    assert not np.isnan(scores).any()
+    hit = 0
+    for row, query in zip(scores, range(0, 2000, 20)):
+        got = found[found["query_id"] == query].sort_values("rank")
+        assert (got["score"].to_numpy() == row[got["vec_id"]]).all() and query not in set(got["vec_id"])
+        assert len(got) == 20 and got["score"].is_monotonic_decreasing
+        row[query] = -np.inf
+        hit += (got["score"] >= np.sort(row)[-20]).sum()
+        if kind == "one_huge" and row[777] == row.max() and query != 777:
+            assert got["vec_id"].iloc[0] == 777
+    assert hit >= 0.9 * 2000
+
+
+def test_ann_reads_few_postings_and_can_be_exact(spark):
+    vectors = unit_rows(np.random.default_rng(9), 1500, 24)
+    pivots = ann.units(vectors[:128])
+    order = np.argsort(-(vectors @ pivots.T), axis=1)[:, : ann.LISTED].astype(np.uint8)
+    postings = ann.Postings(order, 128)
+    read = [np.diff(postings.starts)[near].sum() for near in order[:100]]
+    assert np.mean(read) < 0.2 * 1500 * 128
+    for near in order[:5]:  # the footrule with absent pivots behind the listed ones
+        place = lambda line: {p: i for i, p in enumerate(line.tolist())}
+        own = place(near)
+        for row, got in zip(order, postings.correlation(near)):
+            other = place(row)
+            apart = sum(abs(own.get(p, 40) - other.get(p, 40)) for p in {**own, **other})
+            assert got == pytest.approx((40 * 41 - apart) / (40 * 41) - postings.expected)
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, v array<double>")
+    found = ann.search(df, "vec_id", "v", F.col("id") % 50 == 0, 10, share=1.0)
+    assert ann.recall(found, df, "vec_id", "v", 10) == 1.0
 
 
 # ---- language model -----------------------------------------------------------------------------
@@ -412,7 +459,6 @@ def test_toxicity_held_out(spark, docs):
 
 def test_toxicity_model_holds_every_sequence(spark, monkeypatch):
     """Against the same formulas in plain Python, over all sequences."""
-    monkeypatch.setattr(toxicity, "ENTRIES", 50, raising=False)
     rows, labels = labelled(spark, 200, lambda words, rng: [w + "x" for w in words])
     model = toxicity.fit(rows, labels)
     toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
@@ -563,3 +609,14 @@ def test_digest_of_spans(spark, docs):
     row = pii.find(docs(["a@b.cd 1.2.3.4"]), "text").select(pii.listed(F.col("spans")).alias("s")).first()
     assert row["s"] == "email:0:6,ip:7:14"
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_packing_keeps_large_ids_beside_null_ones(spark, vocabulary):
+    ids = [2**53 + 1, 2**53 + 3, None, 2**62 + 1, None]
+    given = spark.createDataFrame(
+        [(i, f"text number {n}") for n, i in enumerate(ids)], "doc_id long, text string"
+    )
+    for keep_ids in (False, True):
+        packed = packing.pack(given, "doc_id", "text", vocabulary, keep_ids=keep_ids).collect()
+        assert Counter(r["doc_id"] for r in packed) == Counter(ids)
+        assert len({r["sequence_id"] for r in packed}) == 1

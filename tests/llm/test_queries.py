@@ -124,3 +124,25 @@ def test_pipeline_stages_on_edge_rows(spark, docs):
         assert sum(r["text"] is None for r in masked) == (1 if masked else 0)
         corpus_pipeline.pack(spark, given, SF).count()
         assert pii.find(given, "text", "spans_").count() == given.count()
+
+
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    """Ids may be null and may repeat with other texts: no text is lost, none stays twice."""
+    a, b, c, d = "alpha beta gamma delta", "one two three four", "red green blue white", "uno dos tres"
+    rows = [(1, a), (1, b), (None, c), (2, b), (3, d), (3, d), (None, c), (4, None), (None, "")]
+    given = spark.createDataFrame(
+        [(i, t, "en", "s", 0) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    kept = corpus_pipeline.drop_near_copies(spark, given, SF)
+    assert kept.columns == given.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(left, key=repr) == sorted([(1, a), (1, b), (None, c), (3, d), (4, None)], key=repr)
+
+
+def test_pipeline_toxicity_on_edge_rows(spark, docs):
+    for given in (docs(EDGES), docs([])):
+        kept = corpus_pipeline.drop_toxic(spark, given, SF)
+        assert kept.columns == given.columns
+        left = [r["text"] for r in kept.collect()]
+        assert len(left) == len(EDGES) * (given.count() > 0)  # none of them is toxic
