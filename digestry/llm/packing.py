@@ -17,7 +17,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
@@ -145,23 +144,24 @@ def pack(
         if kinds is not None:
             yield batch((None, pieces) for _, pieces in held.rest())
 
-    def merge(group: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+    def merge(group: tuple, pieces: pa.Table) -> pa.Table:
         held = OpenWindows(window, None)
         whole: list[tuple[int, list[Piece]]] = []
-        order = pieces.sort_values(["length", "doc_id", "start"], ascending=[False, True, True])
-        ids = order["ids"] if keep_ids else [b""] * len(order)
-        fields = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-        for piece in zip(*(order[f].tolist() for f in fields), ids):
-            whole.extend(held.place(piece))
+        fields = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else []))
+        listed = list(zip(*(pieces.column(f).to_pylist() for f in fields)))
+        listed.sort(key=lambda p: (-p[2], p[0] is None, 0 if p[0] is None else p[0], p[1]))
+        for piece in listed:
+            whole.extend(held.place(piece if keep_ids else (*piece, b"")))
         whole.extend(held.rest())
-        first = MERGED + (int(group[0]) << 32)
-        return pd.DataFrame(
-            rows(((first + n, p) for n, p in whole), int(group[0]), keep_ids), columns=names
-        )
+        part = group[0].as_py()
+        first = MERGED + (part << 32)
+        lists = zip(*rows(((first + n, p) for n, p in whole), part, keep_ids))
+        kinds = pa.schema([pieces.schema.field(n) for n in names])
+        return pa.table([pa.array(c, t) for c, t in zip(lists, kinds.types)], schema=kinds)
 
     placed = save(bare.mapInArrow(online, columns), "packed")
     still_open = placed.where(F.col("sequence_id").isNull())
     merged = still_open.groupBy(
         F.expr(f"part div {MERGED_PARTITIONS}").alias("group")
-    ).applyInPandas(merge, columns)
+    ).applyInArrow(merge, columns)
     return placed.where(F.col("sequence_id").isNotNull()).unionByName(merged).drop("part")
