@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from digestry.llm.common import body, ready
+from digestry.llm.common import body, ready, remembered
 
 NEVER = np.int64(1) << 40
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
@@ -347,13 +347,12 @@ class Coder:
         return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(definition: str) -> Coder:
-    if definition not in _CODERS:
-        _CODERS[definition] = Coder(definition)
-    return _CODERS[definition]
+    coders: dict[str, Coder] = remembered("bpe")
+    if definition not in coders:
+        coders.clear()
+        coders[definition] = Coder(definition)
+    return coders[definition]
 
 
 def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def ready(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession:
     return spark
 
 
+_REMEMBERED: dict[str, Any] = {}
+
+
+def remembered(owner: str, make: Callable[[], Any] = dict) -> Any:
+    """What an operator keeps in this Python worker from one task to the next.
+
+    Only one operator keeps anything: workers serve many of them, and what each remembers must not add
+    up. Another one's memory is given back before this one starts.
+    """
+    if owner not in _REMEMBERED:
+        _REMEMBERED.clear()
+        pa.default_memory_pool().release_unused()
+        _REMEMBERED[owner] = make()
+    return _REMEMBERED[owner]
+
+
 def body(column: str | Column) -> Column:
     """A text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

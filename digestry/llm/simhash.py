@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from digestry.llm.common import body, ready, save
+from digestry.llm.common import body, fresh, ready, remembered, save
 from digestry.llm.components import components
 
 SEED = 42
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     bare = docs.select(F.col(key).alias("key"), body(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("simhash")  # nothing, but the worker gives back what others remember
         for batch in batches:
             found = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -212,3 +213,24 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_first(docs: DataFrame, key: str, text: str, words: int = 3, distance: int = 3) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, with all its columns: that of the least key,
+    null keys last, and of equal keys the one that comes first in the written table.
+
+    Rows are grouped by a number of their own, so keys may be null or repeat. Every text is written once
+    more and moves once, to the number that stays; decisions are made on numbers and fingerprints.
+    """
+    name = fresh(docs, "_number")
+    numbered = save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, name, text, words, distance)
+    keys = numbered.select(F.col(name).alias("doc_id"), F.col(key).alias("key"))
+    first = (
+        groups.join(keys, "doc_id")
+        .groupBy("component_id")
+        .agg(F.min(F.struct(F.col("key").isNull(), "key", "doc_id")).alias("first"))
+    )
+    stays = save(first.select(F.col("first.doc_id").alias(name)), "stays")
+    # the numbers that stay are hashed, so that no wide row is sorted
+    return numbered.join(stays.hint("shuffle_hash"), name, "left_semi").drop(name)

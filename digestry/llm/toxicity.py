@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from digestry.llm.common import body, ready, save
+from digestry.llm.common import body, ready, remembered, save
 from digestry.llm.samples import labelled_sample
 
 SAMPLE = 5_000
@@ -40,7 +40,9 @@ DISCOUNT = 0.75
 HELD_OUT, PARTS = 2, 4
 THRESHOLD = 0.3
 #: Distinct words whose difference a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Whole texts reach a task in batches of so many bytes.
+BATCH_BYTES = 8 << 20
 TOP = 3
 #: A word stands out above this difference.
 STANDS_OUT = 1.5
@@ -134,6 +136,7 @@ def spelling_counts(sample: DataFrame) -> DataFrame:
     """``gram`` and ``COUNTS``: contexts with their next character, by texts of each class."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity")
         for batch in batches:
             seen = [Counter() for _ in COUNTS]
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
@@ -236,7 +239,7 @@ def differences(grams: DataFrame, lower: DataFrame, halves: tuple[int, ...]) ->
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on a bounded sample of ``labels`` (``key, toxic``) outside the held-out remainder."""
-    ready(docs.sparkSession)
+    ready(docs.sparkSession, BATCH_BYTES)
     sample, sizes = labelled_sample(docs, labels, key, text, "toxic", PARTS, HELD_OUT, SAMPLE)
     in_sample = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(in_sample) < 2:
@@ -256,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pd.Series([[float(v) for v in others.value[half(t)].features(t)] for t in texts])
 
     rows = sample.select(features("text").alias("x"), "label").toArrow().to_pandas()
+    others.unpersist()
     label = rows["label"].to_numpy(dtype=float)
     weight = np.where(label == 1, sizes[1] / in_sample[1], sizes[0] / in_sample[0])
     model.fit_curve(np.array(rows["x"].tolist()), label, weight / weight.mean())
@@ -264,11 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, text: str, model: Model, out: str = "toxicity") -> DataFrame:
     """Adds the double ``out``, from 0 to 1."""
-    shared = ready(docs.sparkSession).sparkContext.broadcast(model)
+    shared = ready(docs.sparkSession, BATCH_BYTES).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         held = shared.value
+        remembered("toxicity")
         if not len(texts):
             return pd.Series([], dtype=float)
         return pd.Series(held.scores(np.array([held.features(t) for t in texts])))
