@@ -2,8 +2,8 @@
 
 Every stage takes the columns of ``documents``; all but the last give them back. Rows with a null or
 empty text are dropped by the quality rules (they have no words). Equal and repeated rows go as one
-near-duplicate group; nothing can name a row with a null id there, so such rows are left out. An
-empty table gives an empty result.
+near-duplicate group, whatever their ids are; null and repeated ids name nothing. Very long texts are
+scored, judged, masked and packed whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the toxicity model scores below its threshold."""
+    """Keep the documents that the toxicity model scores below its threshold. Null and empty texts have
+    no words and are scored as such; without labels of both classes all documents score alike."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = fresh(docs, "_toxicity")
     scored = toxicity.score(docs, "text", model, name)
@@ -27,21 +28,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that pass the quality rules."""
+    """Keep the documents that pass the quality rules; null and empty texts do not."""
     name = fresh(docs, "_quality")
     return rules.judge(docs, "text", name).where(F.col(f"{name}.kept")).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: that of the least id."""
-    found = simhash.near_duplicates(docs, "doc_id", "text")
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # ids of documents are keys; where rows repeat an id, one of them stays
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep one document of each near-duplicate group: that of the least id, null ids last. Documents
+    without words are one group."""
+    return simhash.keep_first(docs, "doc_id", "text")
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the kind of each personal span in its place."""
+    """Put the kind of each personal span in its place; a null text stays null."""
     masked = pii.redact(docs, "text")
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
