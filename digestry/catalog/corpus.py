@@ -114,6 +114,9 @@ def first_copies(spark, sf):
     return dedup.first_copies(pairs(spark, sf))
 
 
+INDEX_BUCKETS = 16
+
+
 @query(
     "leakage_anti",
     f"""WITH {PAIRS} SELECT split, row_id FROM pairs WHERE split <> 'train'
@@ -125,6 +128,23 @@ def leakage_anti(spark, sf):
     return dedup.drop_leaked(evals, train).select("split", "row_id")
 
 
+@query(
+    "leakage_indexed",
+    f"""WITH {PAIRS} SELECT split, row_id FROM pairs WHERE split <> 'train'
+        AND document NOT IN (SELECT document FROM pairs WHERE split = 'train')""",
+)
+def leakage_indexed(spark, sf):
+    """``leakage_anti`` against an index of train digests that grew by two deliveries, one of which the
+    index holds in part already."""
+    rows = pairs(spark, sf)
+    evals, train = rows.where("split != 'train'"), rows.where("split = 'train'")
+    path = work_path(spark, "digests")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    dedup.index_keys(train.where("row_id % 3 != 0"), name, path, INDEX_BUCKETS)
+    index = dedup.index_keys(train.where("row_id % 3 != 1"), name, path, INDEX_BUCKETS)
+    return dedup.drop_known(evals, index).select("split", "row_id")
+
+
 @query(
     "leakage_counts",
     f"""WITH {PAIRS} SELECT split, count(*) FILTER (WHERE document IN

@@ -15,7 +15,9 @@ from digestry.sources import results
 
 # A small context, so that the long-document strategies run on the documents at hand.
 CONTEXT, MAX_SEQUENCE, MIN_SUMMARY, MAX_SUMMARY = 160, 1024, 14, 48
-LEADS = {"base": 30, "adapter": 40}
+LEADS = {"base": 5, "adapter": 15}
+#: Words of each chunk after the first, as ``summarize.gathered`` takes them.
+SECTION = 2
 OVERHEAD = tokens.WORDS.count_text(prompts.SUMMARIZE.text(""))
 ROOM = CONTEXT - OVERHEAD - MAX_SUMMARY
 SIZE, OVERLAP = tokens.chunk_budget(CONTEXT, MAX_SEQUENCE, MAX_SUMMARY)
@@ -63,35 +65,42 @@ def lead_count(n: str, least: str) -> str:
 
 
 def fold_ctes(tag: str, leads: str = "leads") -> str:
-    """``folded_tag``: row_id, system, summary. Needs ``chunked_tag`` and ``leads(system, n)``."""
-    count = lead_count("lead", f"CASE WHEN f.pos + 1 = f.parts THEN {MIN_SUMMARY} ELSE 0 END")
+    """``folded_tag``: row_id, system, summary. Needs ``chunked_tag`` and ``leads(system, n)``.
+
+    The first chunk gives its words that lie evenly, each later one a few more, the last one as many as
+    the minimum still asks for.
+    """
+    count = f"CASE WHEN pos = parts AND pos > 1 THEN greatest(k, {MIN_SUMMARY} - before) ELSE k END"
     return f"""
-fold_{tag} AS (
-  SELECT row_id, system, n AS lead, chunks, CAST(1 AS BIGINT) AS pos,
-         CAST(len(chunks) AS BIGINT) AS parts, {lead_sql("chunks[1]", lead_count("n", "0"))} AS s
-  FROM chunked_{tag}, {leads}
-  UNION ALL
-  SELECT row_id, system, lead, chunks, f.pos + 1, f.parts, {lead_sql("f.joined", "f.wanted")}
-  FROM (
-    SELECT f.*, f.s || ' ' || {lead_sql("f.chunks[f.pos + 1]", "f.wanted // 4")} AS joined
-    FROM (SELECT f.*, {count} AS wanted FROM fold_{tag} f WHERE f.pos < f.parts) f) f),
-folded_{tag} AS (SELECT row_id, system, s AS summary FROM fold_{tag} WHERE pos = parts)"""
+opened_{tag} AS (
+  SELECT row_id, system, pos, parts, chunk, len({word_list("chunk")}) AS words,
+         CASE WHEN pos = 1 THEN {lead_count("n", "0")} ELSE {SECTION} END AS k
+  FROM (SELECT row_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS pos,
+               len(chunks) AS parts FROM chunked_{tag}), {leads}),
+held_{tag} AS (
+  SELECT *, CAST(coalesce(sum(least(k, words)) OVER (
+             PARTITION BY row_id, system ORDER BY pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM opened_{tag}),
+folded_{tag} AS (
+  SELECT row_id, system, string_agg({lead_sql("chunk", count)}, ' ' ORDER BY pos) AS summary
+  FROM held_{tag} GROUP BY row_id, system)"""
 
 
 def tree_ctes(tag: str, leads: str = "leads") -> str:
-    """``merged_tag``: row_id, system, summary."""
-    count = lead_count("lead", f"CASE WHEN parts <= 2 THEN {MIN_SUMMARY} ELSE 0 END")
+    """``merged_tag``: row_id, system, summary; each merge stands in brackets."""
     return f"""
 tree_{tag} AS (
-  SELECT row_id, system, n AS lead, CAST(pos AS BIGINT) AS pos, CAST(parts AS BIGINT) AS parts,
+  SELECT row_id, system, CAST(pos AS BIGINT) AS pos, CAST(parts AS BIGINT) AS parts,
          {lead_sql("chunk", lead_count("n", "0"))} AS s
   FROM (SELECT row_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS pos,
                len(chunks) AS parts FROM chunked_{tag}), {leads}
   UNION ALL
-  SELECT row_id, system, lead, pos, (parts + 1) // 2, {lead_sql("joined", count)} FROM (
-    SELECT row_id, system, lead, pos // 2 AS pos, parts,
+  SELECT row_id, system, pos, (parts + 1) // 2,
+         '[ ' || array_to_string({word_list("joined")}, ' ') || ' ]' FROM (
+    SELECT row_id, system, pos // 2 AS pos, parts,
            string_agg(s, chr(10) || chr(10) ORDER BY pos) AS joined
-    FROM tree_{tag} WHERE parts > 1 GROUP BY row_id, system, lead, pos // 2, parts)),
+    FROM tree_{tag} WHERE parts > 1 GROUP BY row_id, system, pos // 2, parts)),
 merged_{tag} AS (SELECT row_id, system, s AS summary FROM tree_{tag} WHERE parts = 1)"""
 
 
@@ -284,7 +293,7 @@ def route_documents(spark, sf):
 def map_refine_lead(spark, sf):
     cut = chunked(spark, sf)
     folded = summarize.refine(
-        F.col("chunks"), summarize.spaced(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
+        F.col("chunks"), summarize.gathered(LEADS["base"], SECTION), MIN_SUMMARY, MAX_SUMMARY
     )
     return cut.select("row_id", folded.alias("summary"))
 
@@ -297,7 +306,7 @@ _MERGED = f"""WITH RECURSIVE {PAIRS}, {ONE_LEAD}, {chunk_ctes("pairs", "document
 def hier_merge_lead(spark, sf):
     cut = chunked(spark, sf)
     merged = summarize.merge_tree(
-        F.col("chunks"), summarize.spaced(LEADS["base"]), MIN_SUMMARY, MAX_SUMMARY
+        F.col("chunks"), summarize.gathered(LEADS["base"], SECTION), MIN_SUMMARY, MAX_SUMMARY
     )
     return cut.select("row_id", merged.alias("summary"))
 
@@ -308,7 +317,7 @@ def hier_merge_rounds(spark, sf):
     return summarize.merge_by_rounds(
         chunks.explode_chunks(cut, ["row_id"]),
         "row_id",
-        summarize.spaced(LEADS["base"]),
+        summarize.gathered(LEADS["base"], SECTION),
         MIN_SUMMARY,
         MAX_SUMMARY,
     )
@@ -323,7 +332,7 @@ def extract_abstract(spark, sf):
     rows = summarize.summarize(
         pairs(spark, sf).select("row_id", "document"),
         "row_id",
-        summarize.spaced(LEADS["base"]),
+        summarize.gathered(LEADS["base"], SECTION),
         ("extract-abstract",),
         **OPTIONS,
     )
@@ -333,7 +342,7 @@ def extract_abstract(spark, sf):
 @query(
     "gen_record",
     f"""WITH RECURSIVE {PAIRS}, {ONE_LEAD}, {STRATEGY_CTES}
-        SELECT row_id, strategy, prediction AS summary, 'spaced-30' AS model,
+        SELECT row_id, strategy, prediction AS summary, 'gathered-5' AS model,
                {wc("document")} AS tokens_in, len({word_list("prediction")}) AS tokens_out
         FROM generated""",
 )
@@ -341,11 +350,11 @@ def gen_record(spark, sf):
     rows = summarize.summarize(
         pairs(spark, sf).select("row_id", "document"),
         "row_id",
-        summarize.spaced(LEADS["base"]),
+        summarize.gathered(LEADS["base"], SECTION),
         **OPTIONS,
     )
-    named = rows.withColumn("path", F.lit("models/spaced-30"))
-    records = summarize.generation_record(named, "spaced-30")
+    named = rows.withColumn("path", F.lit("models/gathered-5"))
+    records = summarize.generation_record(named, "gathered-5")
     return records.select(
         "row_id",
         "strategy",
@@ -363,7 +372,7 @@ def gen_record(spark, sf):
 )
 def strategy_predictions(spark, sf):
     rows = evaluate.predictions(
-        pairs(spark, sf), {s: summarize.spaced(n) for s, n in LEADS.items()}, **OPTIONS
+        pairs(spark, sf), {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()}, **OPTIONS
     )
     return rows.select("row_id", "system", "strategy", "route", "prediction")
 
@@ -376,7 +385,7 @@ _EVALUATED = f"""WITH RECURSIVE {PAIRS}, {LEADS_SQL}, {STRATEGY_CTES},
 def evaluate_all(spark, sf):
     compared = evaluate.evaluate_and_compare(
         pairs(spark, sf),
-        {s: summarize.spaced(n) for s, n in LEADS.items()},
+        {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()},
         stemmed=False,
         **OPTIONS,
     )
@@ -394,7 +403,7 @@ def result_table(spark, sf):
     for strategy in summarize.STRATEGIES:
         table = evaluate.evaluate(
             pairs(spark, sf),
-            {s: summarize.spaced(n) for s, n in LEADS.items()},
+            {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()},
             stemmed=False,
             strategies=(strategy,),
             **OPTIONS,
@@ -412,7 +421,7 @@ def result_json(spark, sf):
     """The nested export, written and parsed back."""
     table = scores.score(
         evaluate.predictions(
-            pairs(spark, sf), {s: summarize.spaced(n) for s, n in LEADS.items()}, **OPTIONS
+            pairs(spark, sf), {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()}, **OPTIONS
         ),
         BY,
         stemmed=False,

@@ -29,11 +29,11 @@ def row_window(spark, sf):
 
 @query(
     "eval_sample",
-    f"WITH {PAIRS} SELECT row_id, summary FROM pairs WHERE split = 'test' ORDER BY row_id LIMIT 500",
+    f"WITH {PAIRS} SELECT row_id, summary FROM pairs WHERE split = 'test' ORDER BY row_id LIMIT 40",
 )
 def eval_sample(spark, sf):
     tests = pairs(spark, sf).where("split = 'test'")
-    return evaluate.test_sample(tests, ["row_id"], 500).select("row_id", "summary")
+    return evaluate.test_sample(tests, ["row_id"], 40).select("row_id", "summary")
 
 
 @query(
@@ -94,6 +94,17 @@ def training_feed(spark, sf):
     ).select("shard", "shard_rank", "row_id", "epoch", "shuffle_key", "text")
 
 
+BUFFER = 64
+
+
+@query("buffer_feed")  # a walk with a buffer has no SQL form; tested against a plain one
+def buffer_feed(spark, sf):
+    rows = feed.scan_shards(spark, written_shards(spark, sf), [1, 3, 2])
+    return order.buffer_shuffle(rows, "shard", "row_id", BUFFER, SEED).select(
+        "shard", "shard_rank", "row_id", "pos", "document"
+    )
+
+
 @query(
     "validation_feed",
     f"""WITH {ALL_SHARDS}, late AS (SELECT *, shard - 1 AS shard_rank FROM sharded WHERE shard >= 1)
@@ -104,16 +115,27 @@ def validation_feed(spark, sf):
     return rows.select("shard_rank", "row_id", "text")
 
 
+@query("stored_row_count", "SELECT count(*) AS n_rows FROM documents")
+def stored_row_count(spark, sf):
+    return feed.stored_row_count(spark, f"{sf}/documents.parquet")
+
+
+#: Below the rows that are stored, so that both the offset and the cap decide.
+SKIPPED, MOST_ROWS = 100, 700
+
+
 @query(
     "step_plan",
-    f"""WITH {PAIRS}, n AS (SELECT least(greatest(count(*) - 100, 0), 10000) AS num_rows FROM pairs),
+    f"""WITH n AS (
+          SELECT least(greatest(count(*) - {SKIPPED}, 0), {MOST_ROWS}) AS num_rows FROM documents),
         s AS (SELECT num_rows, CAST(ceil(num_rows / 8.0) AS BIGINT) AS steps_per_epoch FROM n)
         SELECT num_rows, steps_per_epoch, steps_per_epoch * {EPOCHS} AS max_steps,
                CAST(greatest(1, floor(0.03::DOUBLE * (steps_per_epoch * {EPOCHS}))) AS BIGINT)
                  AS warmup_steps FROM s""",
 )
 def step_plan(spark, sf):
-    return feed.plan_steps(pairs(spark, sf), 100, 10_000, 2, 4, EPOCHS, 0.03)
+    counted = feed.stored_row_count(spark, f"{sf}/documents.parquet")
+    return feed.plan_steps(counted, SKIPPED, MOST_ROWS, 2, 4, EPOCHS, 0.03)
 
 
 _CLEAN = f"""WITH {WORDS}, fences AS (
@@ -133,15 +155,19 @@ def frozen_references(rows):
     return keys, stored(fences.select("split", "lo", "hi", "iqr"))
 
 
+#: Files of a micro-batch: as many tasks can work on one.
+FILES = 8
+
+
 @query("stream_feed", _CLEAN)
 def stream_feed(spark, sf):
     rows = pairs(spark, sf)
     keys, fences = frozen_references(rows)
     inbox, out = work_path(spark, "inbox"), work_path(spark, "fed")
     raw = rows.select("split", "row_id", "source", "document", "summary")
-    raw.repartition(3).write.parquet(inbox)
+    raw.repartition(2 * FILES).write.parquet(inbox)
     start_feed(
-        spark, inbox, out, work_path(spark, "progress"), keys, fences, files_per_trigger=1
+        spark, inbox, out, work_path(spark, "progress"), keys, fences, files_per_trigger=FILES
     ).awaitTermination()
     return spark.read.parquet(out).select(
         "split", "row_id", "source", "document", "summary", "text"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from digestry.catalog.registry import query
-from digestry.catalog.views import PAIRS, WORDS, pairs, table
+from digestry.catalog.views import PAIRS, WORDS, norm, pairs, raw_pairs, table
 from digestry.operators import dedup, filters, profile, quantiles
 
 SAMPLE_ROWS = 300
@@ -65,17 +65,23 @@ def profile_split(spark, sf):
 
 @query(
     "blank_rates",
-    r"""SELECT lang AS split, round(avg(CASE WHEN trim(regexp_replace(split_part(text, chr(10), 2),
-          '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) = '' THEN 1.0 ELSE 0.0 END), 9) AS blank_second
-        FROM documents GROUP BY lang""",
+    f"""WITH raw AS (
+          SELECT lang AS split, split_part(text, chr(10), 1) AS summary,
+                 CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1)
+                      ELSE '' END AS document
+          FROM documents
+          UNION ALL
+          SELECT t.role, u.text, t.text FROM conversations t LEFT JOIN conversations u
+            ON u.conv_id = t.conv_id AND u.turn + 1 = t.turn AND u.role = 'user')
+        SELECT split, round(avg(CASE WHEN {norm("coalesce(document, '')")} = '' THEN 1.0 ELSE 0.0 END), 9)
+                 AS blank_document,
+               round(avg(CASE WHEN {norm("coalesce(summary, '')")} = '' THEN 1.0 ELSE 0.0 END), 9)
+                 AS blank_summary
+        FROM raw GROUP BY split""",
 )
 def blank_rates(spark, sf):
-    docs = table(spark, sf, "documents").select(
-        F.col("lang").alias("split"),
-        F.split_part(F.col("text"), F.lit("\n"), F.lit(2)).alias("second"),
-    )
-    rates = profile.blank_rates(docs, ["second"])
-    return rates.select("split", F.round("blank_second", 9).alias("blank_second"))
+    rates = profile.blank_rates(raw_pairs(spark, sf))
+    return rates.select("split", *[F.round(c, 9).alias(c) for c in ("blank_document", "blank_summary")])
 
 
 _CHECK_SQL = [rule for _, rule in profile.CHECKS]
@@ -221,7 +227,7 @@ def shared_documents(spark, sf):
 
 @query(
     "scatter_sample",
-    f"WITH {WORDS} SELECT row_id, dw, sw FROM words ORDER BY row_id LIMIT 2000",
+    f"WITH {WORDS} SELECT row_id, dw, sw FROM words ORDER BY row_id LIMIT 300",
 )
 def scatter_sample(spark, sf):
-    return profile.scatter_sample(pairs(spark, sf))
+    return profile.scatter_sample(pairs(spark, sf), n=300)

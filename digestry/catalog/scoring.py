@@ -10,6 +10,7 @@ from digestry.catalog.views import (
     TALK_PREDICTIONS,
     kept,
     norm,
+    prediction_rows,
     predictions,
     talk_pairs,
     token_vectors,
@@ -151,6 +152,16 @@ bleu_by AS (
   FROM bleu_sums)"""
 
 
+def ngram_ctes(src: str, ids: list[str], by: list[str]) -> str:
+    """``scored``: by and the metrics that need no common subsequence, rounded as reported."""
+    names, group = ", ".join(ids), ", ".join(by)
+    return f"""{rouge_ctes(src, ids)}, {bleu_ctes(src, ids, by)},
+scored AS (
+  SELECT {group}, round(avg(rouge1), 4) AS rouge1, round(avg(rouge2), 4) AS rouge2,
+         round(max(bleu4), 2) AS bleu4
+  FROM rouge_n JOIN bleu_by USING ({group}) GROUP BY {group})"""
+
+
 def score_ctes(src: str, ids: list[str], by: list[str], shorter: str = "r") -> str:
     """``scored``: by and the four text metrics, rounded as reported."""
     names, group = ", ".join(ids), ", ".join(by)
@@ -184,27 +195,56 @@ def rouge2(spark, sf):
     return table.withColumn("rouge2", F.round("rouge2", DIGITS))
 
 
+# Common subsequences of two whole documents are too slow in SQL: these queries have it for the n-gram
+# metrics only, and the rest is tested by brute force. ``*_turns`` score conversation turns, with SQL for
+# all metrics.
+NGRAMS = ("rouge1", "rouge2")
+
+
+@query("rouge_l")
+def rouge_l(spark, sf):
+    return _mean_rouge_l(predictions(spark, sf))
+
+
 @query(
-    "rouge_l",
+    "rouge_l_turns",
     f"""WITH RECURSIVE {TALK_PREDICTIONS}, {lcs_ctes("predictions", IDS)}
         SELECT system, strategy, round(avg(rougeL), {DIGITS}) AS rougeL FROM rouge_l GROUP BY ALL""",
 )
-def rouge_l(spark, sf):
-    table = scores.rouge(predictions(spark, sf, talk_pairs), BY, ("rougeL",), stemmed=False)
+def rouge_l_turns(spark, sf):
+    return _mean_rouge_l(predictions(spark, sf, talk_pairs))
+
+
+def _mean_rouge_l(rows):
+    table = scores.rouge(rows, BY, ("rougeL",), stemmed=False)
     return table.withColumn("rougeL", F.round("rougeL", DIGITS))
 
 
 @query(
     "rouge_per_pair",
+    f"""WITH {PREDICTIONS}, {rouge_ctes("predictions", IDS)}
+        SELECT row_id, system, strategy, round(rouge1, {DIGITS}) AS rouge1,
+               round(rouge2, {DIGITS}) AS rouge2 FROM rouge_n""",
+)
+def rouge_per_pair(spark, sf):
+    return _pair_scores(predictions(spark, sf), NGRAMS)
+
+
+@query(
+    "rouge_per_pair_turns",
     f"""WITH RECURSIVE {TALK_PREDICTIONS}, {rouge_ctes("predictions", IDS)},
         {lcs_ctes("predictions", IDS)}
         SELECT row_id, system, strategy, round(rouge1, {DIGITS}) AS rouge1,
                round(rouge2, {DIGITS}) AS rouge2, round(rougeL, {DIGITS}) AS rougeL
         FROM rouge_n JOIN rouge_l USING (row_id, system, strategy)""",
 )
-def rouge_per_pair(spark, sf):
-    table = scores.rouge_pairs(predictions(spark, sf, talk_pairs), IDS, stemmed=False)
-    return table.select(*IDS, *[F.round(c, DIGITS).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+def rouge_per_pair_turns(spark, sf):
+    return _pair_scores(predictions(spark, sf, talk_pairs), scores.ROUGE_KINDS)
+
+
+def _pair_scores(rows, kinds):
+    table = scores.rouge_pairs(rows, IDS, kinds, stemmed=False)
+    return table.select(*IDS, *[F.round(c, DIGITS).alias(c) for c in kinds])
 
 
 @query("rouge_stemmed")
@@ -256,18 +296,31 @@ def bertscore_greedy(spark, sf):
     )
 
 
+@query("score_all")
+def score_all(spark, sf):
+    return scores.score(predictions(spark, sf), BY, stemmed=False)
+
+
+@query(
+    "score_ngrams",
+    f"WITH {PREDICTIONS}, {ngram_ctes('predictions', IDS, BY)} SELECT * FROM scored",
+)
+def score_ngrams(spark, sf):
+    return scores.score(predictions(spark, sf), BY, stemmed=False, kinds=NGRAMS)
+
+
 @query(
-    "score_all",
+    "score_all_turns",
     f"""WITH RECURSIVE {TALK_PREDICTIONS}, {score_ctes("predictions", IDS, BY)}
         SELECT * FROM scored""",
 )
-def score_all(spark, sf):
+def score_all_turns(spark, sf):
     return scores.score(predictions(spark, sf, talk_pairs), BY, stemmed=False)
 
 
-def compare_sql(src: str = "scored") -> str:
+def compare_sql(src: str = "scored", metrics: str = "rouge1, rouge2, rougeL, bleu4") -> str:
     return f"""
-long AS (UNPIVOT {src} ON rouge1, rouge2, rougeL, bleu4 INTO NAME metric VALUE value),
+long AS (UNPIVOT {src} ON {metrics} INTO NAME metric VALUE value),
 both_systems AS (
   SELECT b.strategy, b.metric, b.value AS base, a.value AS adapter, a.value - b.value AS delta
   FROM long b JOIN long a ON a.strategy = b.strategy AND a.metric = b.metric
@@ -279,10 +332,22 @@ FROM both_systems"""
 
 @query(
     "compare_systems",
-    f"WITH RECURSIVE {TALK_PREDICTIONS}, {score_ctes('predictions', IDS, BY)}, {compare_sql()}",
+    f"""WITH {PREDICTIONS}, {ngram_ctes('predictions', IDS, BY)},
+        {compare_sql(metrics="rouge1, rouge2, bleu4")}""",
 )
 def compare_systems(spark, sf):
-    table = scores.score(predictions(spark, sf, talk_pairs), BY, stemmed=False)
+    return _compared(scores.score(predictions(spark, sf), BY, stemmed=False, kinds=NGRAMS))
+
+
+@query(
+    "compare_systems_turns",
+    f"WITH RECURSIVE {TALK_PREDICTIONS}, {score_ctes('predictions', IDS, BY)}, {compare_sql()}",
+)
+def compare_systems_turns(spark, sf):
+    return _compared(scores.score(predictions(spark, sf, talk_pairs), BY, stemmed=False))
+
+
+def _compared(table):
     compared = scores.compare_systems(scores.long_scores(table, BY), ["strategy", "metric"])
     return compared.withColumn("delta", F.round("delta", DIGITS))
 
@@ -310,8 +375,9 @@ def strategy_pairs_lcs(spark, sf):
 
 
 def _strategy_scores(spark, sf, metrics):
-    rows = predictions(spark, sf).where("system = 'adapter'")
-    table = cross_comparison(rows, stemmed=False, rounded=False)
+    kinds = [m for m in metrics if m in scores.ROUGE_KINDS]
+    rows = prediction_rows(spark, sf, systems=("adapter",))
+    table = cross_comparison(rows, stemmed=False, rounded=False, kinds=kinds)
     return table.select("row_id", "pair", *[F.round(c, DIGITS).alias(c) for c in metrics])
 
 

@@ -33,6 +33,27 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_pairs(raw, "text", "first_line", ("row_id", "source", "split"), "documents")
 
 
+def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``split, document, summary`` before any preparation, blanks and nulls included: the rest of each
+    document beside its first line, and every turn beside the user turn just before, if there is one."""
+    documents, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    first_break = F.instr("text", "\n")
+    rest = F.when(first_break > 0, F.substr("text", first_break + 1)).otherwise("")
+    asked = turns.where("role = 'user'").select(
+        F.col("conv_id").alias("asked_in"), (F.col("turn") + 1).alias("answered_at"),
+        F.col("text").alias("summary"),
+    )
+    before = (F.col("conv_id") == F.col("asked_in")) & (F.col("turn") == F.col("answered_at"))
+    return documents.select(
+        F.col("lang").alias("split"), rest.alias("document"),
+        F.substring_index("text", "\n", 1).alias("summary"),
+    ).unionByName(
+        turns.join(asked, before, "left").select(
+            F.col("role").alias("split"), F.col("text").alias("document"), "summary"
+        )
+    )
+
+
 def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each answer with the user turn just before it; keyed by turn, so a long talk is no hot key."""
     turns = table(spark, sf_dir, "conversations")
@@ -67,39 +88,42 @@ def talk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_pairs(spark, sf_dir).select(turn_id, "document", "summary")
 
 
+def prediction_rows(
+    spark: SparkSession,
+    sf_dir: str,
+    source: Callable[[SparkSession, str], DataFrame] = pairs,
+    systems: tuple[str, ...] = SYSTEMS,
+) -> DataFrame:
+    """``row_id, reference, entries``: the whole document without some of its words stands in for model
+    output; every few words, by strategy and system, one is left out."""
+
+    def entry(words: Column, system: str, rank: int, strategy: str) -> Column:
+        shift = 1 if system == "base" else 0
+        kept_words = F.filter(words, lambda _, i: (i + shift) % (DROPPED + rank) != 0)
+        return F.struct(
+            F.lit(system).alias("system"), F.lit(strategy).alias("strategy"),
+            F.lit(rank).alias("strategy_rank"), F.array_join(kept_words, " ").alias("prediction"),
+        )
+
+    entries = text.bind(
+        lambda v: F.array(
+            *[entry(v["w"], s, rank, name) for s in systems for rank, name in enumerate(STRATEGIES)]
+        ),
+        w=text.words(F.col("document"), normalized=True),
+    )
+    return source(spark, sf_dir).select(
+        "row_id", F.col("summary").alias("reference"), entries.alias("entries")
+    )
+
+
 def predictions(
     spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = pairs
 ) -> DataFrame:
-    """The whole document without some of its words stands in for model output: every few words,
-    by strategy and system, one is left out."""
-    w = text.words(F.col("document"), normalized=True)
-    options = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(system).alias("system"),
-                    F.lit(strategy).alias("strategy"),
-                    F.lit(rank).alias("strategy_rank"),
-                    F.lit(1 if system == "base" else 0).alias("shift"),
-                    F.lit(DROPPED + rank).alias("every"),
-                )
-                for system in SYSTEMS
-                for rank, strategy in enumerate(STRATEGIES)
-            ]
-        )
+    """``prediction_rows``, one row a system and strategy."""
+    rows = prediction_rows(spark, sf_dir, source)
+    return rows.select("row_id", "reference", F.explode("entries").alias("e")).select(
+        "row_id", "e.system", "e.strategy", "e.strategy_rank", "e.prediction", "reference"
     )
-    prediction: Column = F.array_join(
-        F.filter("_w", lambda _, i: (i + F.col("o.shift")) % F.col("o.every") != 0), " "
-    )
-    return (
-        source(spark, sf_dir)
-        .select("row_id", F.col("summary").alias("reference"), w.alias("_w"))
-        .select("row_id", "reference", "_w", options.alias("o"))
-        .select(
-            "row_id", "o.system", "o.strategy", "o.strategy_rank",
-            prediction.alias("prediction"), "reference",
-        )
-    )
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from digestry.functions import text
 from digestry.functions.prompts import SUMMARIZE
+from digestry.functions.subwords import Measured, SubwordTokenizer
 
 
 class WordTokenizer:
@@ -77,12 +78,26 @@ def truncate_to_budget(
 
     A budget of zero or less leaves the document whole, as does a document within budget.
     """
-    overhead = tokenizer.count_text(SUMMARIZE.text("")) + 2
-    budget = F.lit(max_length - overhead) - tokenizer.count(summary)
+    budget = document_budget(tokenizer.count(summary), max_length, tokenizer)
     over = (budget > 0) & (budget < tokenizer.count(document))
     return F.when(over, tokenizer.head(document, budget)).otherwise(document)
 
 
+def document_budget(summary_tokens: Column, max_length: int, tokenizer=WORDS) -> Column:
+    """Tokens that prompt, summary and two closing tokens leave of ``max_length``."""
+    overhead = tokenizer.count_text(SUMMARIZE.text("")) + 2
+    return F.lit(max_length - overhead) - summary_tokens
+
+
+def truncate_measured(
+    document: Measured, summary: Measured, max_length: int, tokenizer: SubwordTokenizer
+) -> Column:
+    """``truncate_to_budget`` for texts that are measured already."""
+    budget = document_budget(summary.count(), max_length, tokenizer)
+    over = (budget > 0) & (budget < document.count())
+    return F.when(over, document.head(budget)).otherwise(document.text)
+
+
 def chunk_budget(
     context: int, max_sequence: int, max_summary: int, tokenizer=WORDS
 ) -> tuple[int, int]:

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from digestry.functions import text, tokens
+from digestry.operators.segments import segment_chunks
 
 
 def char_budgets(
-    document: Column, size_tokens: int, overlap_tokens: int, tokenizer=tokens.WORDS
+    document: Column,
+    size_tokens: int,
+    overlap_tokens: int,
+    tokenizer=tokens.WORDS,
+    per_token: Column | None = None,
 ) -> tuple[Column, Column]:
     """Token budgets turned into whole characters at the document's own average token length."""
-    per_token = tokens.chars_per_token(document, tokenizer)
+    if per_token is None:
+        per_token = tokens.chars_per_token(document, tokenizer)
     return (
         (F.lit(size_tokens) * per_token).cast("int"),
         (F.lit(overlap_tokens) * per_token).cast("int"),
@@ -85,16 +91,23 @@ def with_chunks(
     column: str = "document",
     out: str = "chunks",
     tokenizer=tokens.WORDS,
+    chars_per_token: Column | None = None,
 ) -> DataFrame:
-    """Adds the array of chunks, sized in tokens."""
+    """Adds the array of chunks, sized in tokens.
+
+    ``boundary``: ``segment`` for the hierarchy of separators, ``word`` for the last space, ``none`` for
+    fixed widths. ``chars_per_token`` replaces the tokenizer's count where texts are measured already.
+    """
     if size_tokens < 1:
         raise ValueError("no room for a chunk: enlarge the context or lower the reserve")
     overlap_tokens = size_tokens // 4 if overlap_tokens is None else overlap_tokens
     if not 0 <= overlap_tokens < size_tokens:
         raise ValueError("overlap must be smaller than the chunk")
-    size, overlap = char_budgets(F.col(column), size_tokens, overlap_tokens, tokenizer)
+    size, overlap = char_budgets(
+        F.col(column), size_tokens, overlap_tokens, tokenizer, chars_per_token
+    )
     sized = df.withColumns({"_size": size, "_overlap": overlap})
-    cut = {"word": spaced_chunks, "none": strided_chunks}[boundary]
+    cut = {"segment": segment_chunks, "word": spaced_chunks, "none": strided_chunks}[boundary]
     return sized.withColumn(out, cut(F.col(column), F.col("_size"), F.col("_overlap"))).drop(
         "_size", "_overlap"
     )

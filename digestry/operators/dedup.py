@@ -44,17 +44,41 @@ def document_keys(df: DataFrame) -> DataFrame:
 
 
 def drop_known(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows whose document digest is not among ``known`` (distinct ``_key``).
+    """Rows whose document digest is not among ``known`` (distinct ``_key``)."""
+    keyed = rows.withColumn("_key", text.content_key(F.col("document")))
+    return drop_known_keys(keyed, known).drop("_key")
+
+
+def drop_known_keys(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose digest ``_key`` is not among ``known`` (distinct ``_key``).
 
     The digests on both sides meet first, each once; Catalyst broadcasts a small batch of rows
     against the known set instead of shuffling it, by its size in bytes. Only the overlap then
     meets the rows, in a join whose hot keys AQE splits. The digests are written,
     so the texts are read once for them and once for the result.
     """
-    mine = stored(document_keys(rows), "keys")
+    mine = stored(keyed.select("_key").distinct(), "keys")
     overlap = stored(known.join(mine, "_key", "left_semi"), "overlap")
-    keyed = rows.withColumn("_key", text.content_key(F.col("document")))
-    return keyed.join(overlap, "_key", "left_anti").drop("_key")
+    return keyed.join(overlap, "_key", "left_anti")
+
+
+def index_keys(rows: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """Add the document digests of ``rows`` to the index ``name``, a table at ``path`` that is dealt by
+    digest into a fixed number of buckets, and return it.
+
+    A later join by digest reads the buckets as they lie: only the other side is shuffled, to as many
+    partitions. Digests that are in the index already are not added again, so they stay distinct.
+    """
+    spark = rows.sparkSession
+    keys = document_keys(rows)
+    if spark.catalog.tableExists(name):
+        keys = keys.join(spark.table(name), "_key", "left_anti")
+    (
+        keys.repartition(buckets, "_key").sortWithinPartitions("_key")
+        .write.mode("append").option("path", path)
+        .bucketBy(buckets, "_key").sortBy("_key").saveAsTable(name)
+    )
+    return spark.table(name)
 
 
 def split_key_counts(df: DataFrame) -> DataFrame:

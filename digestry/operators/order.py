@@ -6,10 +6,13 @@ and sorted; partition totals turn local ranks into positions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import random
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from digestry.session import stored
 
@@ -127,3 +130,62 @@ def repeat_epochs(df: DataFrame, epochs: int, out: str = "epoch") -> DataFrame:
     if epochs < 1:
         return df.withColumn(out, F.lit(0)).limit(0)
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias(out))
+
+
+def buffer_shuffle(
+    df: DataFrame,
+    shard: str,
+    row_id: str,
+    buffer: int = 10_000,
+    seed: int = 42,
+    epoch: int = 0,
+    out: str = "pos",
+) -> DataFrame:
+    """Rows in the order in which a bounded buffer gives them out, with their place there.
+
+    Rows of a shard come in stored order. A full buffer gives out a random one of its rows for every new
+    one; what is left at the end of the shard follows in random order. Nothing is exchanged, and a task
+    holds ``buffer`` rows at most. The order depends on seed, epoch, shard and rows alone, so a task that
+    is run again gives the same; a shard that several tasks read has a buffer, and places, in each.
+    A row is never given out more than ``buffer`` places before its own.
+    """
+    if buffer < 1:
+        raise ValueError("the buffer must hold a row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current, draw, place = None, random.Random(), 0
+        for batch in batches:
+            key, name = (batch.schema.get_field_index(c) for c in (shard, row_id))
+            given: list[tuple] = []
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if not place or row[key] != current:
+                    draw.shuffle(held)
+                    given += [(*r, n) for n, r in enumerate(held, place - len(held))]
+                    held, place, current = [], 0, row[key]
+                    draw = random.Random(f"{seed}:{epoch}:{current}:{row[name]}")
+                place += 1
+                if len(held) < buffer:
+                    held.append(row)
+                else:
+                    at = draw.randrange(buffer)
+                    given.append((*held[at], place - 1 - buffer))
+                    held[at] = row
+            schema = batch.schema.append(pa.field(out, pa.int64()))
+            if given:
+                yield _batch(given, schema)
+        draw.shuffle(held)
+        for first in range(0, len(held), GIVEN_ROWS):
+            part = held[first : first + GIVEN_ROWS]
+            yield _batch([(*r, n) for n, r in enumerate(part, place - len(held) + first)], schema)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
+
+
+#: Rows that are given out together when a buffer is emptied.
+GIVEN_ROWS = 1000
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)

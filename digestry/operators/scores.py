@@ -315,6 +315,7 @@ def score(
     stemmed: bool = True,
     encode: Callable[[list[str]], list[np.ndarray]] | None = None,
     rounded: bool = True,
+    kinds: Sequence[str] = ROUGE_KINDS,
 ) -> DataFrame:
     """All metrics per group, one column each. The embedding metric needs an encoder.
 
@@ -329,9 +330,9 @@ def score(
         )
         rows = rows.withColumn("_f1", matched["f1"])
         extra = [F.avg("_f1").alias("bertscore_f1")]
-    scored = _with_bleu(_with_rouge(rows, ROUGE_KINDS, stemmed))
+    scored = _with_bleu(_with_rouge(rows, kinds, stemmed))
     sums = scored.groupBy(*by).agg(
-        *[F.avg(kind).alias(kind) for kind in ROUGE_KINDS], *_bleu_sums(), *extra
+        *[F.avg(kind).alias(kind) for kind in kinds], *_bleu_sums(), *extra
     )
     table = sums.withColumn("bleu4", bleu_score())
     metrics = [m for m in DECIMALS if m in table.columns]

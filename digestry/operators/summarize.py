@@ -24,10 +24,16 @@ DIRECT = "direct"
 
 
 class Summarizer(Protocol):
-    """A Column-to-Column summarizer. ``existing`` is the summary so far when refining."""
+    """A Column-to-Column summarizer. ``existing`` is the summary so far when refining; ``merging`` says
+    that the document is summaries to be merged, for which a model has a prompt of its own."""
 
     def __call__(
-        self, document: Column, existing: Column | None, min_tokens: Column, max_tokens: int
+        self,
+        document: Column,
+        existing: Column | None,
+        min_tokens: Column,
+        max_tokens: int,
+        merging: bool = False,
     ) -> Column: ...
 
 
@@ -40,7 +46,7 @@ def lead(n: int) -> Summarizer:
     def first(value: Column, count: Column) -> Column:
         return F.slice(text.words(value), F.lit(1), F.greatest(count, F.lit(0)))
 
-    def summarize(document, existing, min_tokens, max_tokens):
+    def summarize(document, existing, min_tokens, max_tokens, merging=False):
         count = F.least(F.greatest(F.lit(n), min_tokens), F.lit(max_tokens)).cast("int")
         if existing is None:
             return F.array_join(first(document, count), " ")
@@ -50,6 +56,18 @@ def lead(n: int) -> Summarizer:
     return summarize
 
 
+def evenly(value: Column, count: Column) -> Column:
+    """``count`` words that lie evenly over a text, in order."""
+
+    def pick(v: Column) -> Column:
+        size = F.size(v["w"])
+        taken = F.least(v["k"], size)
+        places = F.slice(F.sequence(F.lit(0), F.greatest(taken, F.lit(1))), F.lit(1), taken)
+        return F.transform(places, lambda i: F.get(v["w"], F.floor(i * size / taken).cast("int")))
+
+    return text.bind(pick, w=text.words(value), k=F.greatest(count, F.lit(0)))
+
+
 def spaced(n: int) -> Summarizer:
     """Words that lie evenly over the whole input, in order; ``n`` as in ``lead``.
 
@@ -57,16 +75,7 @@ def spaced(n: int) -> Summarizer:
     so that every section keeps a share of the result.
     """
 
-    def evenly(value: Column, count: Column) -> Column:
-        def pick(v: Column) -> Column:
-            size = F.size(v["w"])
-            taken = F.least(v["k"], size)
-            places = F.slice(F.sequence(F.lit(0), F.greatest(taken, F.lit(1))), F.lit(1), taken)
-            return F.transform(places, lambda i: F.get(v["w"], F.floor(i * size / taken).cast("int")))
-
-        return text.bind(pick, w=text.words(value), k=F.greatest(count, F.lit(0)))
-
-    def summarize(document, existing, min_tokens, max_tokens):
+    def summarize(document, existing, min_tokens, max_tokens, merging=False):
         count = F.least(F.greatest(F.lit(n), min_tokens), F.lit(max_tokens)).cast("int")
         if existing is None:
             return F.array_join(evenly(document, count), " ")
@@ -76,6 +85,28 @@ def spaced(n: int) -> Summarizer:
     return summarize
 
 
+def gathered(n: int, section: int = 4) -> Summarizer:
+    """Shows every part of its input, for checks of the strategies: ``n`` words that lie evenly over a
+    document or first chunk; the summary so far with ``section`` more words of a later chunk (more, where
+    the minimum asks for it); and summaries to be merged whole, in brackets. The result grows with the
+    number of chunks, so the maximum holds for the first case only.
+    """
+    even = spaced(n)
+
+    def summarize(document, existing, min_tokens, max_tokens, merging=False):
+        if merging:
+            return F.array_join(
+                F.concat(F.array(F.lit("[")), text.words(document), F.array(F.lit("]"))), " "
+            )
+        if existing is None:
+            return even(document, None, min_tokens, max_tokens)
+        missing = min_tokens - F.size(text.words(existing))
+        count = F.greatest(F.lit(section), missing).cast("int")
+        return F.concat_ws(" ", existing, F.array_join(evenly(document, count), " "))
+
+    return summarize
+
+
 def route(
     document_tokens: Column, strategy: Column, context: int, reserve: int, tokenizer=tokens.WORDS
 ) -> Column:
@@ -111,7 +142,8 @@ def merge_tree(chunks: Column, summarizer: Summarizer, min_tokens: int, max_toke
         return F.transform(
             F.sequence(F.lit(0), F.floor((count - 1) / 2).cast("int")),
             lambda i: summarizer(
-                F.array_join(F.slice(held, 2 * i + 1, F.lit(2)), "\n\n"), None, floor, max_tokens
+                F.array_join(F.slice(held, 2 * i + 1, F.lit(2)), "\n\n"), None, floor, max_tokens,
+                merging=True,
             ),
         )
 
@@ -145,7 +177,7 @@ def merge_by_rounds(
                 key,
                 "pos",
                 F.ceil(F.col("parts") / 2).alias("parts"),
-                summarizer(F.col("_joined"), None, floor, max_tokens).alias("summary"),
+                summarizer(F.col("_joined"), None, floor, max_tokens, merging=True).alias("summary"),
             )
         )
         done = done.unionByName(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from digestry.functions import tokens
+from digestry.functions import text, tokens
 from digestry.operators.order import row_window
-from digestry.operators.scores import compare_systems, long_scores, score
+from digestry.operators.scores import ROUGE_KINDS, compare_systems, long_scores, score
 from digestry.operators.summarize import (
     STRATEGIES,
     Summarizer,
@@ -88,29 +89,35 @@ def evaluate_and_compare(
 def strategy_pairs(rows: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """``row_id, pair, prediction, reference``: each two strategies of a document, in order.
 
-    The strategies are a closed list, so a document's summaries meet in one row of fixed width
-    and the pairs are read off it. The earlier strategy is the prediction.
+    ``rows`` have the summaries of a document as ``entries`` (structs with ``strategy`` and
+    ``prediction``), from which the pairs are read in the row; or one row a strategy, which meet in one
+    row of fixed width first. The earlier strategy is the prediction.
     """
-    wide = (
-        rows.where(F.col("strategy").isin(*strategies))
-        .groupBy("row_id")
-        .agg(
+    if "entries" not in rows.columns:
+        rows = (
+            rows.where(F.col("strategy").isin(*strategies))
+            .groupBy("row_id")
+            .agg(F.collect_list(F.struct("strategy", "prediction")).alias("entries"))
+        )
+
+    def of(name: str, entries: Column) -> Column:
+        return F.get(F.filter(entries, lambda e: e["strategy"] == name), F.lit(0))["prediction"]
+
+    def paired(v: Column) -> Column:
+        return F.array(
             *[
-                F.max(F.when(F.col("strategy") == s, F.col("prediction"))).alias(f"_{i}")
-                for i, s in enumerate(strategies)
+                F.struct(
+                    F.lit(f"{a} vs {b}").alias("pair"),
+                    of(a, v["entries"]).alias("prediction"),
+                    of(b, v["entries"]).alias("reference"),
+                )
+                for a, b in combinations(strategies, 2)
             ]
         )
-    )
-    each = [
-        F.struct(
-            F.lit(f"{strategies[a]} vs {strategies[b]}").alias("pair"),
-            F.col(f"_{a}").alias("prediction"),
-            F.col(f"_{b}").alias("reference"),
-        )
-        for a, b in combinations(range(len(strategies)), 2)
-    ]
+
+    pairs = text.bind(paired, entries=F.col("entries"))
     return (
-        wide.select("row_id", F.explode(F.array(*each)).alias("e"))
+        rows.select("row_id", F.explode(pairs).alias("e"))
         .select("row_id", "e.*")
         .where(F.col("prediction").isNotNull() & F.col("reference").isNotNull())
     )
@@ -122,7 +129,8 @@ def cross_comparison(
     stemmed: bool = True,
     encode=None,
     rounded: bool = True,
+    kinds: Sequence[str] = ROUGE_KINDS,
 ) -> DataFrame:
     """Each strategy pair of each document, scored as a corpus of one."""
     ids = ["row_id", "pair"]
-    return score(strategy_pairs(rows, strategies), ids, stemmed, encode, rounded)
+    return score(strategy_pairs(rows, strategies), ids, stemmed, encode, rounded, kinds)

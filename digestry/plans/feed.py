@@ -58,6 +58,18 @@ def validation_feed(
     return render(rows, max_length, tokenizer)
 
 
+def stored_row_count(spark: SparkSession, path: str) -> DataFrame:
+    """``n_rows`` of stored shards from the footers of their files: no column is read.
+
+    The count is pushed into the file source, which the session's default reader does not do, so it runs
+    in a session of its own that shares everything else.
+    """
+    counting = spark.newSession()
+    counting.conf.set("spark.sql.sources.useV1SourceList", "")
+    counting.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return counting.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def plan_steps(
     rows: DataFrame,
     offset: int = 0,
@@ -67,8 +79,13 @@ def plan_steps(
     epochs: int = 1,
     warmup_ratio: float = 0.03,
 ) -> DataFrame:
-    """One row: ``num_rows, steps_per_epoch, max_steps, warmup_steps`` from the stored row count."""
-    left = F.greatest(F.count(F.lit(1)) - F.lit(offset), F.lit(0))
+    """One row: ``num_rows, steps_per_epoch, max_steps, warmup_steps``.
+
+    ``rows`` are the rows to train on, or one row with their stored count as ``n_rows``.
+    """
+    stored_count = rows.columns == ["n_rows"]
+    total = F.coalesce(F.sum("n_rows"), F.lit(0)) if stored_count else F.count(F.lit(1))
+    left = F.greatest(total - F.lit(offset), F.lit(0))
     num_rows = left if max_rows is None else F.least(left, F.lit(max_rows))
     per_step = batch_size * accumulation
     return (

@@ -7,32 +7,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from digestry.functions.prompts import training_text
-from digestry.operators.dedup import SPLITS, drop_known
+from digestry.functions.text import content_key
+from digestry.operators.dedup import SPLITS, drop_known_keys
 from digestry.operators.filters import WordBounds, inside_fences, to_pairs, with_lengths, within_bounds
 
 RAW_SCHEMA = "split string, row_id long, source string, document string, summary string"
 
 
-def clean(
-    raw: DataFrame, train_keys: DataFrame, fences: DataFrame, bounds: WordBounds = WordBounds()
-) -> DataFrame:
-    """Normalize, bound, drop leakage, apply fixed fences, render.
-
-    ``train_keys`` holds ``_key``, the distinct digests of the training documents; ``fences`` holds
-    ``split, lo, hi, iqr``, one row per split.
-    """
+def fenced(raw: DataFrame, fences: DataFrame, bounds: WordBounds = WordBounds()) -> DataFrame:
+    """Normalized rows within bounds and fences, with the digest ``_key`` of their document."""
     pairs = to_pairs(raw, "document", "summary", keep=("split", "row_id", "source"))
     bounded = with_lengths(pairs).where(within_bounds(bounds))
     known = F.broadcast(fences.where(F.col("split").isin(*SPLITS)))  # one row per split
-    fenced = bounded.join(known, "split").where(inside_fences(F.col("ratio")))
-    train, evals = fenced.where(F.col("split") == "train"), fenced.where(F.col("split") != "train")
+    kept = bounded.join(known, "split").where(inside_fences(F.col("ratio")))
+    return kept.select(
+        "split", "row_id", "source", "document", "summary",
+        content_key(F.col("document")).alias("_key"),
+    )
+
+
+def rendered(kept: DataFrame, train_keys: DataFrame) -> DataFrame:
+    """Drop evaluation rows whose digest is a training document's, and render."""
+    is_train = F.col("split") == "train"
+    evals = drop_known_keys(kept.where(~is_train), train_keys)
     return (
-        train.unionByName(drop_known(evals, train_keys))
+        kept.where(is_train).unionByName(evals)
         .withColumn("text", training_text(F.col("document"), F.col("summary")))
         .select("split", "row_id", "source", "document", "summary", "text")
     )
 
 
+def clean(
+    raw: DataFrame, train_keys: DataFrame, fences: DataFrame, bounds: WordBounds = WordBounds()
+) -> DataFrame:
+    """Normalize, bound, apply fixed fences, drop leakage, render.
+
+    ``train_keys`` holds ``_key``, the distinct digests of the training documents; ``fences`` holds
+    ``split, lo, hi, iqr``, one row per split.
+    """
+    return rendered(fenced(raw, fences, bounds), train_keys)
+
+
 def start_feed(
     spark: SparkSession,
     inbox: str,
@@ -49,11 +64,10 @@ def start_feed(
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
+        # texts are normalized, counted and digested once; the parts below read what is held
+        held = fenced(batch, fences, bounds).persist()
         try:
-            clean(held, train_keys, fences, bounds).write.mode("overwrite").parquet(
-                f"{out}/batch={number}"
-            )
+            rendered(held, train_keys).write.mode("overwrite").parquet(f"{out}/batch={number}")
         finally:
             held.unpersist()
 
