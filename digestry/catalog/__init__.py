@@ -1,6 +1,8 @@
 """Registered queries with their SQL equivalents."""
 
-from digestry.catalog import corpus, documents, feeds, reports, scoring, subwords  # noqa: F401
+from digestry.catalog import (  # noqa: F401
+    boundaries, corpus, documents, feeds, reports, scoring, subwords,
+)
 from digestry.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

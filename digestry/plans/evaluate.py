@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from digestry.functions import text, tokens
@@ -34,8 +35,9 @@ def predictions(
     max_summary: int = 1024,
     boundary: str = "word",
     tokenizer=tokens.WORDS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``row_id, system, strategy, strategy_rank, route, prediction, reference``.
+    """``row_id, system, strategy, strategy_rank, route, prediction, reference``, and ``keep``.
 
     Chunks and extracts are made once per document and shared by all systems; every system and
     strategy is a column of the document's row, so the fan-out needs no join.
@@ -54,9 +56,12 @@ def predictions(
             for name, summarizer in systems.items()
         ]
     )
-    by_system = staged.select("row_id", F.col("summary").alias("reference"), F.explode(each).alias("s"))
+    by_system = staged.select(
+        "row_id", *keep, F.col("summary").alias("reference"), F.explode(each).alias("s")
+    )
     return by_system.select(
-        "row_id", "reference", F.col("s.system").alias("system"), F.explode("s.entries").alias("e")
+        "row_id", *keep, "reference", F.col("s.system").alias("system"),
+        F.explode("s.entries").alias("e"),
     ).select(
         "row_id",
         "system",
@@ -65,9 +70,57 @@ def predictions(
         "e.route",
         F.col("e.summary").alias("prediction"),
         "reference",
+        *keep,
     )
 
 
+def timed_predictions(
+    pairs: DataFrame,
+    systems: dict[str, Summarizer],
+    out: str,
+    strategies: tuple[str, ...] = STRATEGIES,
+    tokenizer=tokens.WORDS,
+    **options,
+) -> DataFrame:
+    """Write the predictions of each strategy and system to ``out`` in a run of its own, and return what
+    the runs tell: ``strategy, system, metric, value`` with ``n_rows``, ``tokens_in`` and ``tokens_out``,
+    observed while rows were written, and ``duration_sec``.
+
+    Documents are cut and ranked by each run anew, as the time of a run is that of all its work. Compare
+    durations with ``lower_is_better=("duration_sec",)``.
+    """
+    spark = pairs.sparkSession
+    found = []
+    for strategy in strategies:
+        for name, summarizer in systems.items():
+            staged = stage_rows(pairs, summarizer, name, (strategy,), tokenizer, options)
+            seen = Observation(f"{strategy}/{name}")
+            watched = staged.observe(
+                seen,
+                F.count(F.lit(1)).alias("n_rows"),
+                F.sum("tokens_in").alias("tokens_in"),
+                F.sum(tokenizer.count(F.col("prediction"))).alias("tokens_out"),
+            )
+            start = time.perf_counter()
+            watched.drop("tokens_in").write.mode("overwrite").parquet(
+                f"{out}/strategy={strategy}/system={name}"
+            )
+            values = {**seen.get, "duration_sec": round(time.perf_counter() - start, 3)}
+            found += [(strategy, name, metric, float(v or 0)) for metric, v in values.items()]
+    return spark.createDataFrame(found, "strategy string, system string, metric string, value double")
+
+
+def stage_rows(
+    pairs: DataFrame, summarizer: Summarizer, name: str, strategies: tuple[str, ...], tokenizer, options: dict
+) -> DataFrame:
+    """``predictions`` of one system without its name, and the tokens of each document."""
+    rows = predictions(
+        pairs.withColumn("_in", tokenizer.count(F.col("document"))),
+        {name: summarizer}, strategies, tokenizer=tokenizer, keep=("_in",), **options,
+    )
+    return rows.select("row_id", "route", "prediction", "reference", F.col("_in").alias("tokens_in"))
+
+
 def evaluate(
     pairs: DataFrame, systems: dict[str, Summarizer], stemmed: bool = True, encode=None, **options
 ) -> DataFrame:
