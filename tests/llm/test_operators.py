@@ -620,3 +620,98 @@ def test_packing_keeps_large_ids_beside_null_ones(spark, vocabulary):
         packed = packing.pack(given, "doc_id", "text", vocabulary, keep_ids=keep_ids).collect()
         assert Counter(r["doc_id"] for r in packed) == Counter(ids)
         assert len({r["sequence_id"] for r in packed}) == 1
+
+
+def plain_tree(grad, curve, ridge, splits=2):
+    """Leaf values by bin: the best single cut of any leaf, found by trying all, ``splits`` times."""
+    edges = [0, len(grad)]
+
+    def worth(a, b):
+        return sum(grad[a:b]) ** 2 / (sum(curve[a:b]) + ridge)
+
+    for _ in range(splits):
+        tried = [
+            (worth(a, c) + worth(c, b) - worth(a, b), c)
+            for a, b in zip(edges, edges[1:]) for c in range(a + 1, b)
+        ]
+        best = max(tried, default=(0, 0), key=lambda t: t[0])
+        if best[0] <= 1e-12:
+            break
+        edges = sorted([*edges, best[1]])
+    return [
+        sum(grad[a:b]) / (sum(curve[a:b]) + ridge) for a, b in zip(edges, edges[1:]) for _ in range(a, b)
+    ]
+
+
+def test_gam_matches_plain_boosting(monkeypatch):
+    """Tables of the single features, round by round, and scores as sums of table cells."""
+    monkeypatch.setattr(gam, "ROUNDS", 3)
+    monkeypatch.setattr(gam, "PAIRS", 0)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(150, 3)), 1)
+    label = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=150) > 0.8).astype(float)
+    weight = rng.uniform(0.5, 1.5, size=150)
+    model = gam.train(x, label, weight)
+    share = sum(weight * label) / sum(weight)
+    base = math.log(share / (1 - share))
+    bins = [[sum(v >= c for c in model.cuts[f]) for f, v in enumerate(row)] for row in x.tolist()]
+    tables = [[0.0] * (len(c) + 1) for c in model.cuts]
+
+    def chance(row):
+        return 1 / (1 + math.exp(-(base + sum(tables[f][b] for f, b in enumerate(row)))))
+
+    for _ in range(3):
+        for f in range(3):
+            grad, curve = [0.0] * len(tables[f]), [0.0] * len(tables[f])
+            for row, y, w in zip(bins, label, weight):
+                p = chance(row)
+                grad[row[f]] += w * (y - p)
+                curve[row[f]] += w * p * (1 - p)
+            step = plain_tree(grad, curve, gam.RIDGE)
+            tables[f] = [t + gam.RATE * v for t, v in zip(tables[f], step)]
+    for found, expected in zip(model.tables, tables):
+        assert found == pytest.approx(expected, rel=1e-9, abs=1e-12)
+    assert model.scores(x) == pytest.approx([chance(row) for row in bins])
+
+
+def test_gam_pairs_are_the_best_quadrants():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        grad, curve = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, size=(4, 5))
+        gain, value = gam.quadrants(grad, curve)
+        best, whole = (0.0, None), grad.sum() ** 2 / (curve.sum() + gam.RIDGE)
+        for i in range(1, 4):
+            for j in range(1, 5):
+                cells = [(slice(*r), slice(*c)) for r in ((0, i), (i, 4)) for c in ((0, j), (j, 5))]
+                won = sum(grad[c].sum() ** 2 / (curve[c].sum() + gam.RIDGE) for c in cells) - whole
+                if won > best[0]:
+                    best = won, cells
+        assert gain == pytest.approx(best[0])
+        for c in best[1]:
+            assert value[c] == pytest.approx(grad[c].sum() / (curve[c].sum() + gam.RIDGE))
+
+
+def test_toxicity_score_is_a_curve_over_plain_features(spark):
+    rows, labels = labelled(spark, 200, lambda words, rng: [w + "x" for w in words])
+    model = toxicity.fit(rows, labels)
+    texts = [r["text"] for r in rows.limit(40).collect()] + ["", "one", "Two two TWO", "1 2 3", "zzzx qx"]
+
+    def features(value):
+        listed = toxicity.tokens(value)
+        if not listed:
+            return [0.0] * 5
+        each = {w: model.word(w) for w in listed}
+        top = sorted(each.values(), reverse=True)[:3]
+        top += [0.0] * (3 - len(top))
+        out = sum(max(v - toxicity.STANDS_OUT, 0) for v in each.values())
+        size = sum(len(w) + 1 for w in listed)
+        total = sum(each[w] for w in listed)
+        return [total / size, max(top), sum(top) / 3, math.log1p(out), math.log1p(len(listed))]
+
+    for value in texts:
+        plain = features(value)
+        assert list(model.features(value)) == pytest.approx(plain)
+        held = [plain[0], *[min(max(v, -20), 20) for v in plain[1:]]]
+        z = [1.0, *[(v - m) / s for v, m, s in zip(held, model.shift, model.scale)]]
+        line = sum(a * b for a, b in zip(z, model.weights))
+        assert model.scores(np.array([plain]))[0] == pytest.approx(1 / (1 + math.exp(-min(max(line, -30), 30))))
