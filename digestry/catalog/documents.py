@@ -114,7 +114,7 @@ sentence AS (
       regexp_replace(document, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda s: s <> '') AS ss
     FROM pairs)),
 lined AS (
-  SELECT *, regexp_extract_all(lower(s), '{text.LETTER_WORD.replace("'", "''")}') AS ws FROM sentence),
+  SELECT *, regexp_extract_all(lower(s), '\p{{L}}+(?:[''-]\p{{L}}+)*') AS ws FROM sentence),
 incidence AS (
   SELECT row_id, i, w, length, count(*) AS c FROM (
     SELECT row_id, i, unnest(ws) AS w, len(ws) AS length FROM lined) GROUP BY ALL)"""
@@ -127,16 +127,16 @@ degree AS (
   FROM incidence a JOIN mass0 b USING (row_id, w) GROUP BY a.row_id, a.i),
 node AS (
   SELECT row_id, i, count(*) OVER (PARTITION BY row_id) AS n,
-         coalesce(deg, 0.0) + {rank.ROW_GUARD} AS deg
+         coalesce(deg, 0.0) + 1e-7 AS deg
   FROM sentence LEFT JOIN degree USING (row_id, i)),
 walk AS (
   SELECT 0 AS t, row_id, i, n, deg, 1.0::DOUBLE / n AS r, false AS settled FROM node
   UNION ALL
   SELECT t, row_id, i, n, deg, following,
-         sqrt(sum((following - r) * (following - r)) OVER (PARTITION BY row_id)) <= {rank.STOP}
+         sqrt(sum((following - r) * (following - r)) OVER (PARTITION BY row_id)) <= 1e-4
   FROM (
     SELECT k.t + 1 AS t, k.row_id, k.i, k.n, k.deg, k.r,
-           (1 - {rank.DAMPING}::DOUBLE) / k.n + {rank.DAMPING}::DOUBLE * coalesce(x.v, 0.0) AS following
+           (1 - 0.85::DOUBLE) / k.n + 0.85::DOUBLE * coalesce(x.v, 0.0) AS following
     FROM walk k LEFT JOIN (
       SELECT a.row_id, a.i, sum(a.c * b.m / CASE WHEN a.length = 1 AND b.other = 1 THEN 1.0
                ELSE ln(a.length) + ln(b.other) END) AS v
@@ -145,12 +145,12 @@ walk AS (
         FROM incidence e JOIN walk k2 ON k2.row_id = e.row_id AND k2.i = e.i
         GROUP BY e.row_id, e.w, e.length) b ON a.row_id = b.row_id AND a.w = b.w
       GROUP BY a.row_id, a.i) x ON x.row_id = k.row_id AND x.i = k.i
-    WHERE NOT k.settled AND k.t < {rank.MAX_ROUNDS})),
+    WHERE NOT k.settled AND k.t < 62)),
 ranked AS (
-  SELECT row_id, i, n, r FROM walk WHERE settled OR t = {rank.MAX_ROUNDS}),
+  SELECT row_id, i, n, r FROM walk WHERE settled OR t = 62),
 best AS (
   SELECT row_id, i, r, s FROM ranked JOIN sentence USING (row_id, i)
-  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(r, {rank.RANK_DECIMALS}) DESC, i)
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(r, 10) DESC, i)
           <= greatest(5, n // 4)),
 extracts AS (
   SELECT row_id, string_agg(s, ' ' ORDER BY i) AS extracted FROM best GROUP BY row_id)"""

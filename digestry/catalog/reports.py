@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from digestry.catalog.registry import query
-from digestry.catalog.views import PAIRS, WORDS, norm, pairs, raw_pairs, table
+from digestry.catalog.views import PAIRS, WORDS, norm, pairs, raw_pairs
 from digestry.operators import dedup, filters, profile, quantiles
 
 SAMPLE_ROWS = 300

@@ -15,7 +15,6 @@ from digestry.catalog.views import (
     talk_pairs,
     token_vectors,
 )
-from digestry.functions import text
 from digestry.operators import scores
 from digestry.plans.evaluate import cross_comparison
 
@@ -30,17 +29,23 @@ def rouge_list(c: str) -> str:
     return kept(f"string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' ')")
 
 
-def _backrefs(replacement: str) -> str:
-    return replacement.replace("$", "\\")
+# The "13a" tokenization rules as SQL has them.
+ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+RULES = (
+    (r"([\{-~\[-`!-&\(-\+:-@/])", r" \1 "),
+    (r"([^0-9])([\.,])", r"\1 \2 "),
+    (r"([\.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+)
 
 
 def bleu_list(c: str) -> str:
     line = f"replace(replace(replace({c}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
-    for entity, plain in text.ENTITY_UNESCAPES:
+    for entity, plain in ENTITIES:
         line = f"replace({line}, '{entity}', '{plain}')"
     line = f"(' ' || {line} || ' ')"
-    for pattern, replacement in text.RULES_13A:
-        line = f"regexp_replace({line}, '{pattern}', '{_backrefs(replacement)}', 'g')"
+    for pattern, replacement in RULES:
+        line = f"regexp_replace({line}, '{pattern}', '{replacement}', 'g')"
     return kept(f"string_split({norm(line)}, ' ')")
 
 

@@ -30,6 +30,7 @@ CHECKS = (
 CHECK_FLAG_PCT = 1.0
 OUTLIER_FLAG_PCT = 5.0
 
+# The names of the profiled features in the output.
 FEATURES = {
     "document_chars": "dc",
     "summary_chars": "sc",
