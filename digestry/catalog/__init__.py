@@ -1,7 +1,7 @@
 """Registered queries with their SQL equivalents."""
 
 from digestry.catalog import (  # noqa: F401
-    boundaries, corpus, documents, feeds, reports, scoring, subwords,
+    boundaries, corpus, documents, feeds, files, reports, scoring, subwords,
 )
 from digestry.catalog.registry import ORACLES, QUERIES
 
