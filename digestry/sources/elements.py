@@ -187,9 +187,11 @@ def read_elements(
     spark: SparkSession, path: str, parsers: Mapping[bytes, Parser] = PARSERS, glob: str | None = None
 ) -> DataFrame:
     """``path, pos, kind, text``: positions count from 0 within a file; no shuffle."""
-    return file_elements(spark, path, parsers, glob).select(
-        "path", F.posexplode("elements").alias("pos", "e")
-    ).select("path", "pos", "e.kind", "e.text")
+    # The outer form: for the inner one Catalyst adds a filter on the size, which cuts each file twice.
+    numbered = file_elements(spark, path, parsers, glob).select(
+        "path", F.posexplode_outer("elements").alias("pos", "e")
+    )
+    return numbered.where("pos IS NOT NULL").select("path", "pos", "e.kind", "e.text")
 
 
 def read_documents(
