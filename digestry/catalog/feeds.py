@@ -8,10 +8,10 @@ from digestry.catalog.corpus import ALL_SHARDS, HARD, PROMPT_SQL, QUARTILES, wri
 from digestry.catalog.registry import query
 from digestry.catalog.views import PAIRS, WORDS, pairs, word_list
 from digestry.functions import prompts, tokens
-from digestry.operators import dedup, filters, order, quantiles
+from digestry.operators import dedup, filters, order, quantiles, sketches
 from digestry.plans import evaluate, feed
 from digestry.session import stored, work_path
-from digestry.streaming.feed import clean, start_feed
+from digestry.streaming.feed import clean, sketched_fences, start_feed
 
 OFFSET, LIMIT, EPOCHS, SEED, MAX_LENGTH = 37, 250, 3, 42, 128
 OVERHEAD = tokens.WORDS.count_text(prompts.SUMMARIZE.text("")) + 2
@@ -179,3 +179,93 @@ def batch_feed(spark, sf):
     rows = pairs(spark, sf)
     keys, fences = frozen_references(rows)
     return clean(rows, keys, fences)
+
+
+# 64 buckets for each factor of e, magnitudes of 1e-9 and below with zero.
+_SKETCHED = f"""{WORDS},
+valued AS (
+  SELECT split, source, 'ratio' AS feature, CAST(ratio AS DOUBLE) AS x FROM words WHERE {HARD}
+  UNION ALL SELECT split, source, 'document_words', dw FROM words WHERE {HARD}),
+sketched AS (
+  SELECT split, feature, sign(x) * floor(ln(greatest(abs(x), 1e-9::DOUBLE) / 1e-9::DOUBLE) * 64) AS bucket,
+         count(*) AS held, min(x) AS low, max(x) AS high
+  FROM valued GROUP BY ALL),
+placed AS (
+  SELECT *, sum(held) OVER (PARTITION BY split, feature) AS n,
+         sum(held) OVER (PARTITION BY split, feature ORDER BY bucket) - held AS before FROM sketched),
+ranked AS (
+  SELECT p.*, prob, (n - 1) * prob AS rank, place - before AS inner_place, side
+  FROM placed p, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) t(prob),
+       LATERAL (VALUES (floor((n - 1) * prob), 'f'), (ceil((n - 1) * prob), 'c')) s(place, side)
+  WHERE place >= before AND place < before + held),
+found AS (
+  SELECT split, feature, n, prob, max(rank) - floor(max(rank)) AS part,
+    max(low + (high - low) / greatest(held - 1, 1) * inner_place) FILTER (WHERE side = 'f') AS qf,
+    max(low + (high - low) / greatest(held - 1, 1) * inner_place) FILTER (WHERE side = 'c') AS qc,
+    max(low) FILTER (WHERE side = 'f') AS lf, max(low) FILTER (WHERE side = 'c') AS lc,
+    max(high) FILTER (WHERE side = 'f') AS hf, max(high) FILTER (WHERE side = 'c') AS hc
+  FROM ranked GROUP BY ALL),
+sketch_quantiles AS (
+  SELECT split, feature, n, prob, qf + (qc - qf) * part AS q, lf + (lc - lf) * part AS at_least,
+         hf + (hc - hf) * part AS at_most FROM found)"""
+
+
+def delivered_sketches(spark, sf) -> str:
+    """A folder with the sketches of each source, stored as one delivery after the other arrives."""
+    path = work_path(spark, "sketches")
+    measured = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
+    features = {"ratio": F.col("ratio"), "document_words": F.col("dw")}
+    by_source = stored(sketches.sketch(measured, ["source", "split"], features))
+    for half in (0, 1):  # two deliveries, by source
+        part = by_source.where(F.pmod(F.xxhash64("source"), F.lit(2)) == half)
+        sketches.store(part, path, str(half))
+    return path
+
+
+@query(
+    "sketched_quantiles",
+    f"""WITH {_SKETCHED}, exact AS (
+          SELECT split, feature, quantile_cont(x, [0.25, 0.5, 0.75]) AS e FROM valued GROUP BY ALL)
+        SELECT s.split, s.feature, CAST(n AS BIGINT) AS n, prob, round(q, 9) AS q,
+               round(at_least, 9) AS at_least, round(at_most, 9) AS at_most,
+               at_least <= v + 1e-12 AND v <= at_most + 1e-12 AS holds
+        FROM sketch_quantiles s JOIN (
+          SELECT split, feature, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS prob, unnest(e) AS v
+          FROM exact) USING (split, feature, prob)""",
+)
+def sketched_quantiles(spark, sf):
+    """Quartiles from merged deliveries; ``holds`` is the exact quantile of all rows within the bounds."""
+    held = sketches.stored_sketches(spark, delivered_sketches(spark, sf))
+    probs = (0.25, 0.5, 0.75)
+    measured = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
+    features = {"ratio": F.col("ratio"), "document_words": F.col("dw")}
+    exact = quantiles.exact_quantiles(measured, ["split"], features, probs)
+    both = sketches.quantiles(held, ["split"], probs).join(
+        exact.select("split", "feature", F.col("q").alias("e")), ["split", "feature"]
+    )
+    probed = F.arrays_zip(
+        F.array(*[F.lit(p) for p in probs]).alias("prob"), "q", "at_least", "at_most", "e"
+    )
+    rows = both.select("split", "feature", "n", F.explode_outer(probed).alias("z")).select(
+        "split", "feature", "n", "z.*"
+    )
+    holds = (F.col("at_least") <= F.col("e") + 1e-12) & (F.col("e") <= F.col("at_most") + 1e-12)
+    rounded = [F.round(c, 9).alias(c) for c in ("q", "at_least", "at_most")]
+    return rows.select("split", "feature", "n", "prob", *rounded, holds.alias("holds"))
+
+
+@query(
+    "sketched_feed",
+    f"""WITH {_SKETCHED}, fences AS (
+          SELECT split, max(q) FILTER (WHERE prob = 0.25) AS q1, max(q) FILTER (WHERE prob = 0.75) AS q3
+          FROM sketch_quantiles WHERE feature = 'ratio' GROUP BY split)
+        SELECT w.split, row_id, source, document, summary, {PROMPT_SQL} AS text
+        FROM words w JOIN fences USING (split)
+        WHERE {HARD} AND (q3 - q1 = 0 OR ratio BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))
+          AND (split = 'train' OR h NOT IN (SELECT h FROM words WHERE split = 'train'))""",
+)
+def sketched_feed(spark, sf):
+    """The feed with fences from merged sketches instead of a pass over all rows."""
+    rows = pairs(spark, sf)
+    keys = stored(dedup.document_keys(rows.where("split = 'train'")))
+    return clean(rows, keys, stored(sketched_fences(spark, delivered_sketches(spark, sf))))

@@ -19,7 +19,7 @@ BUCKETS_PER_E = 64
 TINY = 1e-9
 
 
-def _bucket(x: Column) -> Column:
+def value_bucket(x: Column) -> Column:
     """A non-decreasing function of ``x`` with buckets about 1.6% wide."""
     magnitude = F.floor(F.ln(F.greatest(F.abs(x), F.lit(TINY)) / F.lit(TINY)) * BUCKETS_PER_E)
     return F.when(x < 0, -magnitude).otherwise(magnitude).cast("int")
@@ -56,7 +56,7 @@ def exact_quantiles(
         .where(F.col("x").isNotNull())
         .groupBy(*group, "x")
         .agg(F.sum("w").alias("w"))
-        .withColumn("bucket", _bucket(F.col("x")))
+        .withColumn("bucket", value_bucket(F.col("x")))
     )
     whole = Window.partitionBy(*group)
     preceding = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
