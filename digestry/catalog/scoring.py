@@ -14,8 +14,9 @@ from digestry.catalog.views import (
     predictions,
     talk_pairs,
     token_vectors,
+    word_list,
 )
-from digestry.operators import scores
+from digestry.operators import metrics, scores
 from digestry.plans.evaluate import cross_comparison
 
 IDS = ["row_id", "system", "strategy"]
@@ -386,3 +387,51 @@ def _strategy_scores(spark, sf, metrics):
     return table.select("row_id", "pair", *[F.round(c, DIGITS).alias(c) for c in metrics])
 
 
+
+
+def _new_words(prediction: str, reference: str) -> tuple[int, int]:
+    said = set(prediction.split())
+    return len(said - set(reference.split())), len(said)
+
+
+def _length_ratio(prediction: str, reference: str) -> float:
+    return len(prediction) / max(len(reference), 1)
+
+
+_LONGEST = metrics.PairMetric(
+    "longest", lambda: 0, lambda s, p, r: max([s, *map(len, p)]), max, float
+)
+OWN_METRICS = (
+    metrics.ratio_of("new_words", _new_words), metrics.mean_of("length_ratio", _length_ratio), _LONGEST,
+)
+
+
+@query(
+    "own_metrics",
+    f"""WITH {PREDICTIONS}, said AS (
+          SELECT system, strategy, prediction, reference,
+                 list_distinct({word_list("prediction")}) AS p, list_distinct({word_list("reference")}) AS r
+          FROM predictions),
+        scored AS (
+          SELECT system, strategy,
+                 sum(len(list_filter(p, lambda w: NOT list_contains(r, w)))) / sum(len(p)) AS new_words,
+                 avg(length(prediction) / greatest(length(reference), 1)) AS length_ratio,
+                 CAST(max(length(prediction)) AS DOUBLE) AS longest
+          FROM said GROUP BY ALL),
+        long AS (UNPIVOT scored ON new_words, length_ratio, longest INTO NAME metric VALUE value)
+        SELECT b.strategy, b.metric, round(b.value, {DIGITS}) AS base, round(a.value, {DIGITS}) AS adapter,
+               round(a.value - b.value, {DIGITS}) AS delta,
+               CASE WHEN a.value = b.value THEN 'tie'
+                    WHEN (a.value > b.value) = (b.metric <> 'new_words') THEN 'adapter' ELSE 'base' END
+                 AS winner
+        FROM long b JOIN long a ON a.strategy = b.strategy AND a.metric = b.metric
+          AND b.system = 'base' AND a.system = 'adapter'""",
+)
+def own_metrics(spark, sf):
+    table = metrics.pair_metrics(predictions(spark, sf), BY, OWN_METRICS)
+    compared = scores.compare_systems(
+        table, ["strategy", "metric"], lower_is_better=("new_words",)
+    )
+    return compared.select(
+        "strategy", "metric", *[F.round(c, DIGITS).alias(c) for c in ("base", "adapter", "delta")], "winner"
+    )

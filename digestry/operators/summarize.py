@@ -293,11 +293,15 @@ def summarize_batches(
     min_summary: int,
     max_summary: int,
     tokenizer=tokens.WORDS,
+    live: int = 64,
 ) -> DataFrame:
     """``key, summary`` with a Python model: ``generate(prompts, min_tokens, max_tokens)``.
 
-    Takes the output of ``stage``. Within an Arrow batch, all documents advance together, so the
-    model sees one list of prompts per fold step or tree level instead of one prompt at a time.
+    Takes the output of ``stage``. Each task keeps ``live`` documents under way, from one Arrow batch into the
+    next, and takes up another as soon as one is done. So the model sees lists of up to ``live`` prompts until
+    the rows run out, however long single documents are. A document is at most ``live`` prompts of a tree
+    level at a time. Rows come out as they end, not in the order of the input; null and blank ones, and
+    documents without chunks, have an empty summary. A task that runs again asks the model again.
     """
     fits_extract = F.lit(True)
     parts = F.col("chunks") if strategy != "extract-abstract" else F.col("extract_chunks")
@@ -310,75 +314,120 @@ def summarize_batches(
     if strategy == "extract-abstract":
         document = F.when(goes_direct, document).otherwise(F.col("extracted"))
         goes_direct = goes_direct | fits_extract
+    # A document goes one way: the other form need not travel to Python.
     work = staged.select(
-        key, goes_direct.alias("direct"), document.alias("document"), parts.alias("parts")
+        key, F.when(goes_direct, document).alias("document"), F.when(~goes_direct, parts).alias("parts")
     )
-    combine = _tree_batch if strategy == "hierarchical" else _fold_batch
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [""] * len(batch)
-            whole = [
-                i
-                for i, (direct, d) in enumerate(zip(batch["direct"], batch["document"]))
-                if direct and d
-            ]
-            prompts = [SUMMARIZE.text(batch["document"].iat[i]) for i in whole]
-            for i, value in zip(whole, _ask(generate, prompts, min_summary, max_summary)):
-                out[i] = value
-            rest = {
-                i: list(p)
-                for i, (direct, p) in enumerate(zip(batch["direct"], batch["parts"]))
-                if not direct and len(p)
-            }
-            for i, value in combine(rest, generate, min_summary, max_summary).items():
-                out[i] = value
-            yield pd.DataFrame({key: batch[key], "summary": out})
+    steps = _tree_steps if strategy == "hierarchical" else _fold_steps
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    chunked = batch.column(2)[i].as_py()
+                    whole = batch.column(1)[i].as_py()
+                    given = [c or "" for c in chunked] if chunked else []
+                    if whole:
+                        yield batch.column(0)[i], _direct_steps(whole, min_summary, max_summary)
+                    else:
+                        yield batch.column(0)[i], steps(given, min_summary, max_summary)
+
+        done: list[tuple[pa.Scalar, str]] = []
+        for ended in _refilled(rows(), generate, live):
+            done.append(ended)
+            if len(done) >= SUMMARIES_HELD:
+                yield _summary_batch(key, done)
+                done = []
+        if done:
+            yield _summary_batch(key, done)
 
     key_type = staged.schema[key].dataType.simpleString()
-    return work.mapInPandas(run, f"{key} {key_type}, summary string")
+    return work.mapInArrow(run, f"{key} {key_type}, summary string")
 
 
-def _ask(generate: Generate, prompts: list[str], least: int, most: int) -> list[str]:
-    return generate(prompts, least, most) if prompts else []
+#: Summaries that go back to the JVM together.
+SUMMARIES_HELD = 256
+#: A prompt with its least and most tokens.
+Ask = tuple[str, int, int]
+#: Yields the prompts of a step, is sent their answers, and returns the summary.
+Steps = Generator[list[Ask], list[str], str]
 
 
-def _fold_batch(
-    parts: dict[int, list[str]], generate: Generate, least: int, most: int
-) -> dict[int, str]:
-    ids = list(parts)
-    held = dict(zip(ids, _ask(generate, [SUMMARIZE.text(parts[i][0]) for i in ids], 0, most)))
-    for at in range(1, max((len(p) for p in parts.values()), default=0)):
-        for closing in (False, True):
-            now = [i for i in ids if at < len(parts[i]) and (at == len(parts[i]) - 1) == closing]
-            prompts = [REFINE.text(held[i], parts[i][at]) for i in now]
-            held.update(zip(now, _ask(generate, prompts, least if closing else 0, most)))
+def _summary_batch(key: str, done: list[tuple[pa.Scalar, str]]) -> pa.RecordBatch:
+    keys = pa.array([k.as_py() for k, _ in done], type=done[0][0].type)
+    return pa.RecordBatch.from_arrays(
+        [keys, pa.array([s for _, s in done], type=pa.string())], names=[key, "summary"]
+    )
+
+
+def _refilled(
+    rows: Iterator[tuple[pa.Scalar, Steps]], generate: Generate, live: int
+) -> Iterator[tuple[pa.Scalar, str]]:
+    """Advance up to ``live`` documents together and take up the next row when one ends."""
+    if live < 1:
+        raise ValueError("at least one document must be under way")
+    under_way: list[tuple[pa.Scalar, Steps, list[Ask], list[str]]] = []
+    left = True
+    while left or under_way:
+        while left and len(under_way) < live:
+            row = next(rows, None)
+            if row is None:
+                left = False
+                break
+            key, steps = row
+            try:
+                under_way.append((key, steps, next(steps), []))
+            except StopIteration as end:
+                yield key, end.value
+        # One list of prompts a limit, each no longer than the number of documents under way may be.
+        chosen: dict[tuple[int, int], list[tuple[str, list[str]]]] = {}
+        room = live
+        for _, _, asked, answers in under_way:
+            for prompt, least, most in asked[len(answers) : len(answers) + room]:
+                chosen.setdefault((least, most), []).append((prompt, answers))
+                room -= 1
+        for (least, most), batch in chosen.items():
+            replies = generate([prompt for prompt, _ in batch], least, most)
+            if len(replies) != len(batch):
+                raise ValueError(f"{len(batch)} prompts got {len(replies)} answers")
+            for (_, answers), reply in zip(batch, replies):
+                answers.append(reply)
+        going = []
+        for key, steps, asked, answers in under_way:
+            if len(answers) < len(asked):
+                going.append((key, steps, asked, answers))
+                continue
+            try:
+                going.append((key, steps, steps.send(answers), []))
+            except StopIteration as end:
+                yield key, end.value
+        under_way = going
+
+
+def _direct_steps(document: str, least: int, most: int) -> Steps:
+    (summary,) = yield [(SUMMARIZE.text(document), least, most)]
+    return summary
+
+
+def _fold_steps(parts: list[str], least: int, most: int) -> Steps:
+    if not parts:
+        return ""
+    (held,) = yield [(SUMMARIZE.text(parts[0]), 0, most)]
+    for at in range(1, len(parts)):
+        closing = at == len(parts) - 1
+        (held,) = yield [(REFINE.text(held, parts[at]), least if closing else 0, most)]
     return held
 
 
-def _tree_batch(
-    parts: dict[int, list[str]], generate: Generate, least: int, most: int
-) -> dict[int, str]:
-    held = _level(parts, generate, 0, most, SUMMARIZE)
-    while any(len(h) > 1 for h in held.values()):
-        merged: dict[int, list[str]] = {}
-        for final in (False, True):
-            now = {
-                i: ["\n\n".join(h[j : j + 2]) for j in range(0, len(h), 2)]
-                for i, h in held.items()
-                if len(h) > 1 and (len(h) == 2) == final
-            }
-            merged.update(_level(now, generate, least if final else 0, most, MERGE))
-        held.update(merged)
-    return {i: h[0] for i, h in held.items()}
-
-
-def _level(
-    parts: dict[int, list[str]], generate: Generate, least: int, most: int, template: Template
-) -> dict[int, list[str]]:
-    flat = [(i, p) for i, ps in parts.items() for p in ps]
-    answers = iter(_ask(generate, [template.text(p) for _, p in flat], least, most))
-    return {i: [next(answers) for _ in ps] for i, ps in parts.items()}
+def _tree_steps(parts: list[str], least: int, most: int) -> Steps:
+    if not parts:
+        return ""
+    held = yield [(SUMMARIZE.text(part), 0, most) for part in parts]
+    while len(held) > 1:
+        floor = least if len(held) == 2 else 0
+        joined = ["\n\n".join(held[j : j + 2]) for j in range(0, len(held), 2)]
+        held = yield [(MERGE.text(part), floor, most) for part in joined]
+    return held[0]
 
 
 def generation_record(
