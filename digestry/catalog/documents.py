@@ -323,6 +323,45 @@ def hier_merge_rounds(spark, sf):
     )
 
 
+def opening_words(asked: list[str], least: int, most: int) -> list[str]:
+    """A model that reads its prompts: the first words of a document, or the summary so far with the first
+    words of the new section."""
+    answers = []
+    for prompt in asked:
+        template = prompts.REFINE if prompt.startswith(prompts.REFINE.parts[0]) else prompts.SUMMARIZE
+        body = prompt[len(template.parts[0]) : -len(template.parts[-1])]
+        if template is prompts.SUMMARIZE:
+            answers.append(" ".join(body.split()[: LEADS["base"]]))
+        else:
+            existing, section = body.split(template.parts[1], 1)
+            answers.append(" ".join([existing, *section.split()[:SECTION]]))
+    return answers
+
+
+@query(
+    "model_plugin",
+    f"""WITH {PAIRS}, {chunk_ctes("pairs", "document", "doc")}, parts AS (
+          SELECT row_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS pos FROM chunked_doc),
+        folded AS (
+          SELECT row_id, string_agg(array_to_string(list_slice({word_list("chunk")}, 1,
+                   CASE WHEN pos = 1 THEN {LEADS["base"]} ELSE {SECTION} END), ' '), ' ' ORDER BY pos)
+                   AS summary FROM parts GROUP BY row_id)
+        SELECT row_id, CASE WHEN {wc("document")} <= {ROOM}
+                 THEN array_to_string(list_slice({word_list("document")}, 1, {LEADS["base"]}), ' ')
+                 ELSE folded.summary END AS summary
+        FROM pairs LEFT JOIN folded USING (row_id)""",
+)
+def model_plugin(spark, sf):
+    staged = summarize.stage(
+        pairs(spark, sf), "row_id", ("map-refine",), CONTEXT, MAX_SEQUENCE, MAX_SUMMARY, "none",
+        tokens.CLEAN_WORDS,
+    )
+    return summarize.summarize_batches(
+        staged, "row_id", opening_words, "map-refine", CONTEXT, MIN_SUMMARY, MAX_SUMMARY,
+        tokens.CLEAN_WORDS, live=16,
+    )
+
+
 @query(
     "extract_abstract",
     f"""WITH RECURSIVE {PAIRS}, {ONE_LEAD}, {STRATEGY_CTES}

@@ -6,10 +6,12 @@ no driver loop. ``merge_by_rounds`` is the alternative that spreads the chunks o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Generator, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -297,10 +299,9 @@ def summarize_batches(
 ) -> DataFrame:
     """``key, summary`` with a Python model: ``generate(prompts, min_tokens, max_tokens)``.
 
-    Takes the output of ``stage``. Each task keeps ``live`` documents under way, from one Arrow batch into the
-    next, and takes up another as soon as one is done. So the model sees lists of up to ``live`` prompts until
-    the rows run out, however long single documents are. A document is at most ``live`` prompts of a tree
-    level at a time. Rows come out as they end, not in the order of the input; null and blank ones, and
+    Takes the output of ``stage``. Each task keeps documents under way from one Arrow batch into the next, and
+    takes up another as soon as one is done. So the model sees lists of ``live`` prompts until the rows run
+    out, however long single documents are. Rows come out as they end, not in the order of the input; null and blank ones, and
     documents without chunks, have an empty summary. A task that runs again asks the model again.
     """
     fits_extract = F.lit(True)
@@ -360,48 +361,61 @@ def _summary_batch(key: str, done: list[tuple[pa.Scalar, str]]) -> pa.RecordBatc
     )
 
 
+@dataclass
+class _UnderWay:
+    """A document whose prompts of the present step wait for answers."""
+
+    key: pa.Scalar
+    steps: Steps
+    answers: list[str]
+    missing: int = 0
+
+
 def _refilled(
     rows: Iterator[tuple[pa.Scalar, Steps]], generate: Generate, live: int
 ) -> Iterator[tuple[pa.Scalar, str]]:
-    """Advance up to ``live`` documents together and take up the next row when one ends."""
+    """Answer ``live`` prompts of equal limits together, always those that most prompts wait for.
+
+    Rows are taken up until one limit has ``live`` prompts waiting. A strategy has two limits, so fewer than
+    ``2 * live`` documents are under way, and lists are full until the rows run out.
+    """
     if live < 1:
-        raise ValueError("at least one document must be under way")
-    under_way: list[tuple[pa.Scalar, Steps, list[Ask], list[str]]] = []
+        raise ValueError("a list holds at least one prompt")
+    waiting: dict[tuple[int, int], deque[tuple[_UnderWay, int, str]]] = {}
+
+    def ask(document: _UnderWay, asked: list[Ask]) -> None:
+        document.answers, document.missing = [""] * len(asked), len(asked)
+        for place, (prompt, least, most) in enumerate(asked):
+            waiting.setdefault((least, most), deque()).append((document, place, prompt))
+
     left = True
-    while left or under_way:
-        while left and len(under_way) < live:
+    while True:
+        while left and max(map(len, waiting.values()), default=0) < live:
             row = next(rows, None)
             if row is None:
                 left = False
                 break
-            key, steps = row
-            try:
-                under_way.append((key, steps, next(steps), []))
-            except StopIteration as end:
-                yield key, end.value
-        # One list of prompts a limit, each no longer than the number of documents under way may be.
-        chosen: dict[tuple[int, int], list[tuple[str, list[str]]]] = {}
-        room = live
-        for _, _, asked, answers in under_way:
-            for prompt, least, most in asked[len(answers) : len(answers) + room]:
-                chosen.setdefault((least, most), []).append((prompt, answers))
-                room -= 1
-        for (least, most), batch in chosen.items():
-            replies = generate([prompt for prompt, _ in batch], least, most)
-            if len(replies) != len(batch):
-                raise ValueError(f"{len(batch)} prompts got {len(replies)} answers")
-            for (_, answers), reply in zip(batch, replies):
-                answers.append(reply)
-        going = []
-        for key, steps, asked, answers in under_way:
-            if len(answers) < len(asked):
-                going.append((key, steps, asked, answers))
-                continue
+            document = _UnderWay(row[0], row[1], [])
             try:
-                going.append((key, steps, steps.send(answers), []))
+                ask(document, next(document.steps))
             except StopIteration as end:
-                yield key, end.value
-        under_way = going
+                yield document.key, end.value
+        limits = max(waiting, key=lambda name: len(waiting[name]), default=None)
+        if limits is None or not waiting[limits]:
+            return
+        queue = waiting[limits]
+        taken = [queue.popleft() for _ in range(min(live, len(queue)))]
+        replies = generate([prompt for _, _, prompt in taken], *limits)
+        if len(replies) != len(taken):
+            raise ValueError(f"{len(taken)} prompts got {len(replies)} answers")
+        for (document, place, _), reply in zip(taken, replies):
+            document.answers[place] = reply
+            document.missing -= 1
+            if not document.missing:
+                try:
+                    ask(document, document.steps.send(document.answers))
+                except StopIteration as end:
+                    yield document.key, end.value
 
 
 def _direct_steps(document: str, least: int, most: int) -> Steps:

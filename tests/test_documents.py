@@ -4,6 +4,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -251,3 +252,46 @@ def test_rounds_remove_their_predecessors(spark):
     )
     merged = summarize.merge_by_rounds(chunks_, "id", summarize.spaced(30), 14, 48).collect()
     assert len(merged) == 1 and len(held() - before) == 1
+
+
+def under_way(sizes, kind):
+    for i, n in enumerate(sizes):
+        yield pa.scalar(i), kind([f"d{i}p{j}" for j in range(n)], 5, 20)
+
+
+@pytest.mark.parametrize("strategy", ["map-refine", "hierarchical"])
+def test_lists_of_prompts_stay_full(strategy):
+    rng = random.Random(4)
+    sizes = [rng.choice([1, 2, 3, 5]) for _ in range(300)] + [120, 90] + [2, 0, 4] * 40
+    kind = summarize._fold_steps if strategy == "map-refine" else summarize._tree_steps
+    ended, early, asked = [], [], 0
+
+    def rows():
+        yield from under_way(sizes, kind)
+        ended.append(True)
+
+    def model(prompts, least, most):
+        nonlocal asked
+        asked += len(prompts)
+        assert len(prompts) <= live
+        if not ended:
+            early.append(len(prompts))
+        return echo(prompts, least, most)
+
+    live = 16
+    got = {k.as_py(): v for k, v in summarize._refilled(rows(), model, live)}
+    assert sorted(got) == list(range(len(sizes)))
+    for i, n in enumerate(sizes):
+        assert got[i] == (brute_model([f"d{i}p{j}" for j in range(n)], strategy, 5, 20) if n else "")
+    # Every list is full until the rows run out; then the longest documents end step by step.
+    assert set(early) == {live} and sum(early) >= asked // 2
+    alone = {k.as_py(): v for k, v in summarize._refilled(under_way(sizes, kind), echo, 1)}
+    assert alone == got
+
+
+def test_a_model_must_answer_every_prompt():
+    with pytest.raises(ValueError, match="2 prompts got 1 answers"):
+        list(summarize._refilled(under_way([1, 1], summarize._fold_steps), lambda p, a, b: ["x"], 2))
+    with pytest.raises(ValueError):
+        list(summarize._refilled(under_way([1], summarize._fold_steps), echo, 0))
+    assert list(summarize._refilled(iter(()), echo, 4)) == []
