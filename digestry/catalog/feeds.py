@@ -210,10 +210,15 @@ sketch_quantiles AS (
          hf + (hc - hf) * part AS at_most FROM found)"""
 
 
-def delivered_sketches(spark, sf) -> str:
+def measured_pairs(spark, sf):
+    """The measures of the pairs within bounds, without their texts."""
+    kept = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
+    return kept.select("source", "split", "ratio", "dw")
+
+
+def delivered_sketches(spark, measured) -> str:
     """A folder with the sketches of each source, stored as one delivery after the other arrives."""
     path = work_path(spark, "sketches")
-    measured = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
     features = {"ratio": F.col("ratio"), "document_words": F.col("dw")}
     by_source = stored(sketches.sketch(measured, ["source", "split"], features))
     for half in (0, 1):  # two deliveries, by source
@@ -235,9 +240,9 @@ def delivered_sketches(spark, sf) -> str:
 )
 def sketched_quantiles(spark, sf):
     """Quartiles from merged deliveries; ``holds`` is the exact quantile of all rows within the bounds."""
-    held = sketches.stored_sketches(spark, delivered_sketches(spark, sf))
+    measured = stored(measured_pairs(spark, sf))  # texts are measured once for both
+    held = sketches.stored_sketches(spark, delivered_sketches(spark, measured))
     probs = (0.25, 0.5, 0.75)
-    measured = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
     features = {"ratio": F.col("ratio"), "document_words": F.col("dw")}
     exact = quantiles.exact_quantiles(measured, ["split"], features, probs)
     both = sketches.quantiles(held, ["split"], probs).join(
@@ -268,4 +273,4 @@ def sketched_feed(spark, sf):
     """The feed with fences from merged sketches instead of a pass over all rows."""
     rows = pairs(spark, sf)
     keys = stored(dedup.document_keys(rows.where("split = 'train'")))
-    return clean(rows, keys, stored(sketched_fences(spark, delivered_sketches(spark, sf))))
+    return clean(rows, keys, stored(sketched_fences(spark, delivered_sketches(spark, measured_pairs(spark, sf)))))
