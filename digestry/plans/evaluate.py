@@ -20,8 +20,8 @@ from digestry.operators.summarize import (
 )
 
 
-def test_sample(rows: DataFrame, order_by: list[str], n: int = 500) -> DataFrame:
-    """The first ``n`` rows in order, or all of them when there are fewer."""
+def test_sample(rows: DataFrame, order_by: list[str], n: int | None = 500) -> DataFrame:
+    """The first ``n`` rows in order, or all of them when there are fewer or ``n`` is None."""
     return row_window(rows, order_by, 0, n)
 
 
