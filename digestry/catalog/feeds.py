@@ -120,22 +120,20 @@ def stored_row_count(spark, sf):
     return feed.stored_row_count(spark, f"{sf}/documents.parquet")
 
 
-#: Below the rows that are stored, so that both the offset and the cap decide.
-SKIPPED, MOST_ROWS = 100, 700
+#: Rows that an earlier run has trained on.
+SKIPPED = 100
 
 
 @query(
     "step_plan",
-    f"""WITH n AS (
-          SELECT least(greatest(count(*) - {SKIPPED}, 0), {MOST_ROWS}) AS num_rows FROM documents),
+    f"""WITH {PAIRS}, n AS (SELECT greatest(count(*) - {SKIPPED}, 0) AS num_rows FROM pairs),
         s AS (SELECT num_rows, CAST(ceil(num_rows / 8.0) AS BIGINT) AS steps_per_epoch FROM n)
         SELECT num_rows, steps_per_epoch, steps_per_epoch * {EPOCHS} AS max_steps,
                CAST(greatest(1, floor(0.03::DOUBLE * (steps_per_epoch * {EPOCHS}))) AS BIGINT)
                  AS warmup_steps FROM s""",
 )
 def step_plan(spark, sf):
-    counted = feed.stored_row_count(spark, f"{sf}/documents.parquet")
-    return feed.plan_steps(counted, SKIPPED, MOST_ROWS, 2, 4, EPOCHS, 0.03)
+    return feed.plan_steps(pairs(spark, sf), SKIPPED, None, 2, 4, EPOCHS, 0.03)
 
 
 _CLEAN = f"""WITH {WORDS}, fences AS (

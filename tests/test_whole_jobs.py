@@ -25,3 +25,9 @@ def test_eval_sample_has_every_test_row(spark, many):
     got = QUERIES["eval_sample"](spark, many).collect()
     assert {r["row_id"] for r in got} == inked(lambda i: i % 10 == 1)
     assert len(got) > 500
+
+
+def test_step_plan_counts_every_prepared_row(spark, many):
+    got = QUERIES["step_plan"](spark, many).first()
+    assert got["num_rows"] == len(inked()) - 100
+    assert got["steps_per_epoch"] == -(-got["num_rows"] // 8)
