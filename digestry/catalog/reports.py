@@ -227,7 +227,7 @@ def shared_documents(spark, sf):
 
 @query(
     "scatter_sample",
-    f"WITH {WORDS} SELECT row_id, dw, sw FROM words ORDER BY row_id LIMIT 300",
+    f"WITH {WORDS} SELECT row_id, dw, sw FROM words",
 )
 def scatter_sample(spark, sf):
-    return profile.scatter_sample(pairs(spark, sf), n=300)
+    return profile.scatter_sample(pairs(spark, sf), n=None)

@@ -241,8 +241,9 @@ def histogram(
 
 
 def scatter_sample(
-    pairs: DataFrame, order_by: Sequence[str] = ("row_id",), n: int = 2000
+    pairs: DataFrame, order_by: Sequence[str] = ("row_id",), n: int | None = 2000
 ) -> DataFrame:
-    """Word counts of the first ``n`` rows; only their texts are read for counting."""
+    """Word counts of the first ``n`` rows, of which alone the texts are read for counting; of all rows
+    when ``n`` is None."""
     head = row_window(pairs, order_by, 0, n)
     return measures(head, order_by).select(*order_by, "dw", "sw")

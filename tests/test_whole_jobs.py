@@ -31,3 +31,8 @@ def test_step_plan_counts_every_prepared_row(spark, many):
     got = QUERIES["step_plan"](spark, many).first()
     assert got["num_rows"] == len(inked()) - 100
     assert got["steps_per_epoch"] == -(-got["num_rows"] // 8)
+
+
+def test_scatter_sample_has_every_row(spark, many):
+    got = {r["row_id"]: (r["dw"], r["sw"]) for r in QUERIES["scatter_sample"](spark, many).collect()}
+    assert got == {i: (2 + i % 5, 2) for i in inked()}
