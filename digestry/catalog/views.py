@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from digestry.functions import text
 from digestry.operators.filters import to_pairs
 from digestry.operators.summarize import STRATEGIES
+from digestry.session import dealt
 
 SYSTEMS = ("base", "adapter")
 #: The strategy of rank r leaves out every (DROPPED + r)-th word of the document.
@@ -22,8 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, source, split, document, summary``: the first line stands in for the summary."""
+    return _pairs_of(table(spark, sf_dir, "documents"))
+
+
+def dealt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pairs`` for costly work on each text: rows are dealt to all tasks first, as a file of one row
+    group is one task's, however many rows it has."""
+    return _pairs_of(dealt(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def _pairs_of(documents: DataFrame) -> DataFrame:
     tenth = F.col("doc_id") % 10
-    raw = table(spark, sf_dir, "documents").select(
+    raw = documents.select(
         F.col("doc_id").alias("row_id"),
         "source",
         F.when(tenth == 0, "validation").when(tenth == 1, "test").otherwise("train").alias("split"),
@@ -91,7 +102,7 @@ def talk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prediction_rows(
     spark: SparkSession,
     sf_dir: str,
-    source: Callable[[SparkSession, str], DataFrame] = pairs,
+    source: Callable[[SparkSession, str], DataFrame] = dealt_pairs,
     systems: tuple[str, ...] = SYSTEMS,
 ) -> DataFrame:
     """``row_id, reference, entries``: the whole document without some of its words stands in for model
@@ -117,11 +128,12 @@ def prediction_rows(
 
 
 def predictions(
-    spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = pairs
+    spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = dealt_pairs
 ) -> DataFrame:
     """``prediction_rows``, one row a system and strategy."""
     rows = prediction_rows(spark, sf_dir, source)
-    return rows.select("row_id", "reference", F.explode("entries").alias("e")).select(
+    # The outer form keeps Spark from making all predictions twice, once to test their number.
+    return rows.select("row_id", "reference", F.explode_outer("entries").alias("e")).select(
         "row_id", "e.system", "e.strategy", "e.strategy_rank", "e.prediction", "reference"
     )
 

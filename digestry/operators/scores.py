@@ -11,12 +11,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from digestry.functions import text
-from digestry.functions.stem import stem_line
+from digestry.functions import overlap, text
 
 BLEU_ORDERS = (1, 2, 3, 4)
 
@@ -65,60 +64,47 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x.split(), y.split()) for x, y in zip(a, b)], dtype="int32")
+ROUGE_KINDS = ("rouge1", "rouge2", "rougeL")
 
 
-ROUGE_KINDS = ("rouge1", "rouge2", "rougeL")
-ROUGE_ORDERS = (1, 2)
+def _counted(
+    pairs: DataFrame, left: Column, right: Column, names: Sequence[str], orders, lcs: bool, cut: overlap.Cut
+) -> DataFrame:
+    """Adds the columns ``names`` with what ``overlap.overlaps`` counts, in one pass over the pairs."""
+    wanted = tuple(orders)
+
+    @F.arrow_udf("array<int>")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        return overlap.overlaps(a, b, wanted, lcs, cut)
+
+    counted = pairs.withColumn("_counts", count(left, right))
+    return counted.withColumns(
+        {name: F.get("_counts", F.lit(i)) for i, name in enumerate(names)}
+    ).drop("_counts")
 
 
 def _with_rouge(pairs: DataFrame, kinds: Sequence[str], stemmed: bool) -> DataFrame:
     """Adds one F measure column per kind."""
-    lines = pairs
-    for side, line in (("prediction", "_pl"), ("reference", "_rl")):
-        joined = F.array_join(text.rouge_tokens(F.col(side)), " ")
-        lines = lines.withColumn(line, stem_line(joined) if stemmed else joined)
-    arrays = lines.withColumns(
-        {
-            "_p": F.array_remove(F.split("_pl", " "), ""),
-            "_r": F.array_remove(F.split("_rl", " "), ""),
-            "_lcs": _lcs(F.col("_pl"), F.col("_rl")) if "rougeL" in kinds else F.lit(0),
-            "_m": clipped_overlap(F.col("_pl"), F.col("_rl"), ROUGE_ORDERS),
-        }
-    ).withColumns({"_np": F.size("_p"), "_nr": F.size("_r")})
+    orders = [int(kind[-1]) for kind in kinds if kind != "rougeL"] or [1]
+    lcs = "rougeL" in kinds
+    texts = [F.lower(F.coalesce(c, F.lit(""))) for c in ("prediction", "reference")]
+    names = ["_np", "_nr", *[f"_m{n}" for n in orders], *(["_lcs"] if lcs else [])]
+    counted = _counted(pairs, *texts, names, orders, lcs, overlap.STEMMED if stemmed else overlap.ROUGE)
     values = {}
     for kind in kinds:
         if kind == "rougeL":
             values[kind] = f_measure(F.col("_lcs"), F.col("_np"), F.col("_nr"))
             continue
         n = int(kind[-1])
-        match = F.get("_m", F.lit(ROUGE_ORDERS.index(n)))
-        values[kind] = f_measure(match, _total("_np", n), _total("_nr", n))
-    scored = arrays.withColumns(values)
-    return scored.drop("_pl", "_rl", "_p", "_r", "_lcs", "_np", "_nr", "_m")
+        values[kind] = f_measure(F.col(f"_m{n}"), _total("_np", n), _total("_nr", n))
+    return counted.withColumns(values).drop(*names)
 
 
 def _with_bleu(pairs: DataFrame) -> DataFrame:
     """Adds the token counts ``_bnp``, ``_bnr`` and the matches ``_bm1`` to ``_bm4``."""
-    tokens = pairs.withColumns(
-        {
-            "_bp": text.bleu_tokens(F.col("prediction")),
-            "_br": text.bleu_tokens(F.col("reference")),
-        }
-    )
-    return tokens.withColumns(
-        {
-            "_bnp": F.size("_bp"),
-            "_bnr": F.size("_br"),
-            "_bm": clipped_overlap(
-                F.array_join("_bp", " "), F.array_join("_br", " "), BLEU_ORDERS
-            ),
-        }
-    ).select(
-        "*", *[F.get("_bm", F.lit(i)).alias(f"_bm{n}") for i, n in enumerate(BLEU_ORDERS)]
-    ).drop("_bp", "_br", "_bm")
+    texts = [F.coalesce(c, F.lit("")) for c in ("prediction", "reference")]
+    names = ["_bnp", "_bnr", *[f"_bm{n}" for n in BLEU_ORDERS]]
+    return _counted(pairs, *texts, names, BLEU_ORDERS, False, overlap.BLEU)
 
 
 def _total(length: str, n: int) -> Column:

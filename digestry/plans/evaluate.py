@@ -170,7 +170,7 @@ def strategy_pairs(rows: DataFrame, strategies: tuple[str, ...] = STRATEGIES) ->
 
     pairs = text.bind(paired, entries=F.col("entries"))
     return (
-        rows.select("row_id", F.explode(pairs).alias("e"))
+        rows.select("row_id", F.explode_outer(pairs).alias("e"))
         .select("row_id", "e.*")
         .where(F.col("prediction").isNotNull() & F.col("reference").isNotNull())
     )

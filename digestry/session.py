@@ -63,6 +63,13 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session shuffles to, by a hash of ``columns``. Only rows that are
+    equal in all of them are sure to meet, so repeated or null keys make no large task."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove the files of a table that ``stored`` has written and nobody reads any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:

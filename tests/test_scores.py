@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from digestry.functions.stem import stem
+from digestry.functions import overlap, text
+from digestry.functions.stem import stem, stem_line
 from digestry.operators import scores
 from tests.test_text import brute_13a
 
@@ -208,3 +209,30 @@ def test_published_comparison(spark):
     assert got["duration_sec"]["winner"] == "adapter" and got["x"]["winner"] == "tie"
     kinder = scores.compare_systems(df, lower_is_better=["duration_sec"])
     assert kinder.where("metric = 'duration_sec'").first()["winner"] == "base"
+
+
+ODD = [
+    "", " ", "a", "The cat. The cat, sat-on 3-4 1.5 ,,.. end.", "x&amp;y &quot;q&quot; <skipped> co-\nop a\nb\tc d",
+    "..,, 1,2 .5 5. -- 7-- (a) a\x1cb\x85c　d e", "İstanbul K ﬁ the the the cats running", "&am<skipped>p; - \n -\n",
+]
+
+
+@pytest.mark.parametrize("block", [1, 4 << 20])
+def test_overlaps_equal_plain_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap, "BLOCK_BYTES", block)
+    couples = [(a, b) for a in ODD for b in ODD] + [("a b c " * 50, "c a b a b " * 30), ("tired, tires.", "tire tiring")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(couples)], "i int, p string, r string").coalesce(1)
+    ways = {
+        "rouge": (overlap.ROUGE, F.lower, lambda c: F.array_join(text.rouge_tokens(F.col(c)), " ")),
+        "stemmed": (overlap.STEMMED, F.lower, lambda c: stem_line(F.array_join(text.rouge_tokens(F.col(c)), " "))),
+        "bleu": (overlap.BLEU, F.col, lambda c: F.array_join(text.bleu_tokens(F.col(c)), " ")),
+    }
+    for cut, given, plain in ways.values():
+        rows = df.select(*[f(c).alias(f"{n}{c}") for c in "pr" for n, f in (("g", given), ("t", plain))]).toArrow()
+        left, right = (rows[c].combine_chunks() for c in ("gp", "gr"))
+        got = overlap.overlaps(left, right, (1, 2, 3, 4), True, cut).to_pylist()
+        for a, b, found in zip(rows["tp"].to_pylist(), rows["tr"].to_pylist(), got):
+            a, b = a.split(), b.split()
+            assert found == [
+                len(a), len(b), *scores.shared_counts(a, b, (1, 2, 3, 4)), scores.lcs_length(a, b)
+            ]
