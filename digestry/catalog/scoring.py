@@ -126,6 +126,36 @@ rouge_l AS (
   SELECT {names}, {f_sql("lcs", "len(p)", "len(r)")} AS rougeL FROM tok_l JOIN lcs USING (k))"""
 
 
+def whole_lcs_ctes(src: str, ids: list[str]) -> str:
+    """``rouge_l`` for whole documents. A list holds, for each common length from 0, the smallest end
+    position in the prediction; each word of the reference brings its next position after any other there
+    and updates the list.
+    """
+    names = ", ".join(ids)
+    return f"""
+tok_l AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, {names}, {rouge_list("prediction")} AS p,
+         {rouge_list("reference")} AS r FROM {src}),
+found AS (
+  SELECT k, w, flatten(list_transform(range(1, len(js) + 1), lambda x: list_transform(
+           range(js[x] - coalesce(js[x - 1], 0)), lambda y: js[x]))) AS later
+  FROM (SELECT k, w, list(j ORDER BY j) AS js
+        FROM (SELECT k, unnest(p) AS w, generate_subscripts(p, 1) AS j FROM tok_l)
+        WHERE (k, w) IN (SELECT k, unnest(r) FROM tok_l) GROUP BY k, w)),
+met AS (
+  SELECT k, list_prepend([CAST(0 AS BIGINT)], list(later ORDER BY i)) AS met
+  FROM (SELECT k, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM tok_l) JOIN found USING (k, w)
+  GROUP BY k),
+lcs AS (
+  SELECT k, len(list_reduce(met, lambda ends, later: list_prepend(CAST(0 AS BIGINT), list_filter(
+           list_transform(list_zip(list_transform(ends, lambda e: later[e + 1]), ends[2:]), lambda z: least(z[1], z[2])),
+           lambda e: e IS NOT NULL)))) - 1 AS lcs
+  FROM met),
+rouge_l AS (
+  SELECT {names}, {f_sql("coalesce(lcs, 0)", "len(p)", "len(r)")} AS rougeL
+  FROM tok_l LEFT JOIN lcs USING (k))"""
+
+
 def bleu_ctes(src: str, ids: list[str], by: list[str]) -> str:
     """``bleu_sums`` and ``bleu_by``."""
     names, group = ", ".join(ids), ", ".join(by)
@@ -228,12 +258,13 @@ def _mean_rouge_l(rows):
 
 @query(
     "rouge_per_pair",
-    f"""WITH {PREDICTIONS}, {rouge_ctes("predictions", IDS)}
+    f"""WITH {PREDICTIONS}, {rouge_ctes("predictions", IDS)}, {whole_lcs_ctes("predictions", IDS)}
         SELECT row_id, system, strategy, round(rouge1, {DIGITS}) AS rouge1,
-               round(rouge2, {DIGITS}) AS rouge2 FROM rouge_n""",
+               round(rouge2, {DIGITS}) AS rouge2, round(rougeL, {DIGITS}) AS rougeL
+        FROM rouge_n JOIN rouge_l USING (row_id, system, strategy)""",
 )
 def rouge_per_pair(spark, sf):
-    return _pair_scores(predictions(spark, sf), NGRAMS)
+    return _pair_scores(predictions(spark, sf))
 
 
 @query(
@@ -245,12 +276,12 @@ def rouge_per_pair(spark, sf):
         FROM rouge_n JOIN rouge_l USING (row_id, system, strategy)""",
 )
 def rouge_per_pair_turns(spark, sf):
-    return _pair_scores(predictions(spark, sf, talk_pairs), scores.ROUGE_KINDS)
+    return _pair_scores(predictions(spark, sf, talk_pairs))
 
 
-def _pair_scores(rows, kinds):
-    table = scores.rouge_pairs(rows, IDS, kinds, stemmed=False)
-    return table.select(*IDS, *[F.round(c, DIGITS).alias(c) for c in kinds])
+def _pair_scores(rows):
+    table = scores.rouge_pairs(rows, IDS, stemmed=False)
+    return table.select(*IDS, *[F.round(c, DIGITS).alias(c) for c in scores.ROUGE_KINDS])
 
 
 @query("rouge_stemmed")

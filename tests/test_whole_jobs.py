@@ -36,3 +36,11 @@ def test_step_plan_counts_every_prepared_row(spark, many):
 def test_scatter_sample_has_every_row(spark, many):
     got = {r["row_id"]: (r["dw"], r["sw"]) for r in QUERIES["scatter_sample"](spark, many).collect()}
     assert got == {i: (2 + i % 5, 2) for i in inked()}
+
+
+def test_rouge_per_pair_has_every_metric_of_whole_documents(spark, many):
+    rows = QUERIES["rouge_per_pair"](spark, many)
+    assert rows.columns[3:] == ["rouge1", "rouge2", "rougeL"]
+    # Document "head 14 word word word word" against "head 14": every third word is left out.
+    got = {(r["system"], r["strategy"]): r["rougeL"] for r in rows.where("row_id = 14").collect()}
+    assert len(got) == 6 and got["adapter", "map-refine"] == round(2 * 0.25 * 0.5 / 0.75, 6)
