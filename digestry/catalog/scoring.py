@@ -198,10 +198,13 @@ scored AS (
   FROM rouge_n JOIN bleu_by USING ({group}) GROUP BY {group})"""
 
 
-def score_ctes(src: str, ids: list[str], by: list[str], shorter: str = "r") -> str:
+def score_ctes(
+    src: str, ids: list[str], by: list[str], shorter: str = "r", whole: bool = False
+) -> str:
     """``scored``: by and the four text metrics, rounded as reported."""
     names, group = ", ".join(ids), ", ".join(by)
-    return f"""{rouge_ctes(src, ids)}, {lcs_ctes(src, ids, shorter)}, {bleu_ctes(src, ids, by)},
+    common = whole_lcs_ctes(src, ids) if whole else lcs_ctes(src, ids, shorter)
+    return f"""{rouge_ctes(src, ids)}, {common}, {bleu_ctes(src, ids, by)},
 scored AS (
   SELECT {group}, round(avg(rouge1), 4) AS rouge1, round(avg(rouge2), 4) AS rouge2,
          round(avg(rougeL), 4) AS rougeL, round(max(bleu4), 2) AS bleu4
@@ -231,9 +234,7 @@ def rouge2(spark, sf):
     return table.withColumn("rouge2", F.round("rouge2", DIGITS))
 
 
-# Common subsequences of two whole documents are too slow in SQL: these queries have it for the n-gram
-# metrics only, and the rest is tested by brute force. ``*_turns`` score conversation turns, with SQL for
-# all metrics.
+# ``score_ngrams`` has the metrics that need no common subsequence; ``*_turns`` score conversation turns.
 NGRAMS = ("rouge1", "rouge2")
 
 
@@ -369,11 +370,10 @@ FROM both_systems"""
 
 @query(
     "compare_systems",
-    f"""WITH {PREDICTIONS}, {ngram_ctes('predictions', IDS, BY)},
-        {compare_sql(metrics="rouge1, rouge2, bleu4")}""",
+    f"WITH {PREDICTIONS}, {score_ctes('predictions', IDS, BY, whole=True)}, {compare_sql()}",
 )
 def compare_systems(spark, sf):
-    return _compared(scores.score(predictions(spark, sf), BY, stemmed=False, kinds=NGRAMS))
+    return _compared(scores.score(predictions(spark, sf), BY, stemmed=False))
 
 
 @query(

@@ -44,3 +44,8 @@ def test_rouge_per_pair_has_every_metric_of_whole_documents(spark, many):
     # Document "head 14 word word word word" against "head 14": every third word is left out.
     got = {(r["system"], r["strategy"]): r["rougeL"] for r in rows.where("row_id = 14").collect()}
     assert len(got) == 6 and got["adapter", "map-refine"] == round(2 * 0.25 * 0.5 / 0.75, 6)
+
+
+def test_compare_systems_has_every_metric_of_whole_documents(spark, many):
+    got = QUERIES["compare_systems"](spark, many).collect()
+    assert {r["metric"] for r in got} == {"rouge1", "rouge2", "rougeL", "bleu4"} and len(got) == 12
