@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from digestry.catalog.registry import query
 from digestry.catalog.scoring import BY, DIGITS, IDS, compare_sql, score_ctes
-from digestry.catalog.views import PAIRS, pairs, wc, word_list
+from digestry.catalog.views import PAIRS, dealt_pairs, pairs, wc, word_list
 from digestry.functions import prompts, text, tokens
 from digestry.operators import chunks, rank, scores, summarize
 from digestry.plans import evaluate
-from digestry.session import work_path
+from digestry.session import stored, work_path
 from digestry.sources import results
 
 # A small context, so that the long-document strategies run on the documents at hand.
@@ -18,6 +18,9 @@ CONTEXT, MAX_SEQUENCE, MIN_SUMMARY, MAX_SUMMARY = 160, 1024, 14, 48
 LEADS = {"base": 5, "adapter": 15}
 #: Words of each chunk after the first, as ``summarize.gathered`` takes them.
 SECTION = 2
+#: Longer summaries: a quarter as many words of each chunk after the first.
+LONG_LEADS = {"base": 30, "adapter": 40}
+LONG_SECTION = "(n // 4)"
 OVERHEAD = tokens.WORDS.count_text(prompts.SUMMARIZE.text(""))
 ROOM = CONTEXT - OVERHEAD - MAX_SUMMARY
 SIZE, OVERLAP = tokens.chunk_budget(CONTEXT, MAX_SEQUENCE, MAX_SUMMARY)
@@ -64,7 +67,7 @@ def lead_count(n: str, least: str) -> str:
     return f"least(greatest({n}, {least}), {MAX_SUMMARY})"
 
 
-def fold_ctes(tag: str, leads: str = "leads") -> str:
+def fold_ctes(tag: str, leads: str = "leads", section: str | int = SECTION) -> str:
     """``folded_tag``: row_id, system, summary. Needs ``chunked_tag`` and ``leads(system, n)``.
 
     The first chunk gives its words that lie evenly, each later one a few more, the last one as many as
@@ -74,7 +77,7 @@ def fold_ctes(tag: str, leads: str = "leads") -> str:
     return f"""
 opened_{tag} AS (
   SELECT row_id, system, pos, parts, chunk, len({word_list("chunk")}) AS words,
-         CASE WHEN pos = 1 THEN {lead_count("n", "0")} ELSE {SECTION} END AS k
+         CASE WHEN pos = 1 THEN {lead_count("n", "0")} ELSE {section} END AS k
   FROM (SELECT row_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS pos,
                len(chunks) AS parts FROM chunked_{tag}), {leads}),
 held_{tag} AS (
@@ -104,7 +107,15 @@ tree_{tag} AS (
 merged_{tag} AS (SELECT row_id, system, s AS summary FROM tree_{tag} WHERE parts = 1)"""
 
 
-LEADS_SQL = "leads(system, n) AS (VALUES " + ", ".join(f"('{s}', {n})" for s, n in LEADS.items()) + ")"
+def leads_sql(leads: dict[str, int]) -> str:
+    return "leads(system, n) AS (VALUES " + ", ".join(f"('{s}', {n})" for s, n in leads.items()) + ")"
+
+
+def long_summarizers() -> dict[str, summarize.Summarizer]:
+    return {s: summarize.gathered(n, n // 4) for s, n in LONG_LEADS.items()}
+
+
+LEADS_SQL = leads_sql(LEADS)
 ONE_LEAD = f"leads(system, n) AS (VALUES ('base', {LEADS['base']}))"
 
 INCIDENCE = rf"""
@@ -161,9 +172,12 @@ def direct_sql(body: str) -> str:
 
 
 _NAMES = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(summarize.STRATEGIES))
-STRATEGY_CTES = f"""{WALK}, {chunk_ctes("pairs", "document", "doc")},
+
+
+def strategy_ctes(section: str | int = SECTION) -> str:
+    return f"""{WALK}, {chunk_ctes("pairs", "document", "doc")},
 {chunk_ctes("extracts", "extracted", "ext")},
-{fold_ctes("doc")}, {tree_ctes("doc")}, {fold_ctes("ext")},
+{fold_ctes("doc", section=section)}, {tree_ctes("doc")}, {fold_ctes("ext", section=section)},
 generated AS MATERIALIZED (
   SELECT p.row_id, l.system, CASE k.rank {_NAMES} END AS strategy, k.rank AS strategy_rank,
          p.summary AS reference, p.document,
@@ -180,6 +194,9 @@ generated AS MATERIALIZED (
   LEFT JOIN extracts x ON x.row_id = p.row_id)"""
 
 
+STRATEGY_CTES = strategy_ctes()
+
+
 # ---- queries ------------------------------------------------------------------------------------
 
 
@@ -364,14 +381,15 @@ def model_plugin(spark, sf):
 
 @query(
     "extract_abstract",
-    f"""WITH RECURSIVE {PAIRS}, {ONE_LEAD}, {STRATEGY_CTES}
-        SELECT row_id, route, prediction AS summary FROM generated WHERE strategy_rank = 2""",
+    f"""WITH RECURSIVE {PAIRS}, {leads_sql(LONG_LEADS)}, {strategy_ctes(LONG_SECTION)}
+        SELECT row_id, route, prediction AS summary FROM generated
+        WHERE strategy_rank = 2 AND system = 'base'""",
 )
 def extract_abstract(spark, sf):
     rows = summarize.summarize(
-        pairs(spark, sf).select("row_id", "document"),
+        dealt_pairs(spark, sf).select("row_id", "document"),
         "row_id",
-        summarize.gathered(LEADS["base"], SECTION),
+        long_summarizers()["base"],
         ("extract-abstract",),
         **OPTIONS,
     )
@@ -411,7 +429,7 @@ def gen_record(spark, sf):
 )
 def strategy_predictions(spark, sf):
     rows = evaluate.predictions(
-        pairs(spark, sf), {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()}, **OPTIONS
+        dealt_pairs(spark, sf), {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()}, **OPTIONS
     )
     return rows.select("row_id", "system", "strategy", "route", "prediction")
 
@@ -423,7 +441,7 @@ _EVALUATED = f"""WITH RECURSIVE {PAIRS}, {LEADS_SQL}, {STRATEGY_CTES},
 @query("evaluate_all", f"{_EVALUATED}, {compare_sql()}")
 def evaluate_all(spark, sf):
     compared = evaluate.evaluate_and_compare(
-        pairs(spark, sf),
+        dealt_pairs(spark, sf),
         {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()},
         stemmed=False,
         **OPTIONS,
@@ -439,9 +457,10 @@ def evaluate_all(spark, sf):
 def result_table(spark, sf):
     """Scores saved strategy by strategy, as they finish, and read back."""
     out = work_path(spark, "scores")
+    rows = stored(dealt_pairs(spark, sf), "pairs")
     for strategy in summarize.STRATEGIES:
         table = evaluate.evaluate(
-            pairs(spark, sf),
+            rows,
             {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()},
             stemmed=False,
             strategies=(strategy,),
@@ -453,15 +472,14 @@ def result_table(spark, sf):
 
 @query(
     "result_json",
-    f"""{_EVALUATED} SELECT strategy, system, metric, value FROM (
+    f"""WITH RECURSIVE {PAIRS}, {leads_sql(LONG_LEADS)}, {strategy_ctes(LONG_SECTION)},
+        {score_ctes("generated", IDS, BY, whole=True)} SELECT strategy, system, metric, value FROM (
         UNPIVOT scored ON rouge1, rouge2, rougeL, bleu4 INTO NAME metric VALUE value)""",
 )
 def result_json(spark, sf):
     """The nested export, written and parsed back."""
     table = scores.score(
-        evaluate.predictions(
-            pairs(spark, sf), {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()}, **OPTIONS
-        ),
+        evaluate.predictions(dealt_pairs(spark, sf), long_summarizers(), **OPTIONS),
         BY,
         stemmed=False,
     )

@@ -57,11 +57,11 @@ def predictions(
         ]
     )
     by_system = staged.select(
-        "row_id", *keep, F.col("summary").alias("reference"), F.explode(each).alias("s")
+        "row_id", *keep, F.col("summary").alias("reference"), F.explode_outer(each).alias("s")
     )
     return by_system.select(
         "row_id", *keep, "reference", F.col("s.system").alias("system"),
-        F.explode("s.entries").alias("e"),
+        F.explode_outer("s.entries").alias("e"),
     ).select(
         "row_id",
         "system",

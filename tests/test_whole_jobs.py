@@ -49,3 +49,23 @@ def test_rouge_per_pair_has_every_metric_of_whole_documents(spark, many):
 def test_compare_systems_has_every_metric_of_whole_documents(spark, many):
     got = QUERIES["compare_systems"](spark, many).collect()
     assert {r["metric"] for r in got} == {"rouge1", "rouge2", "rougeL", "bleu4"} and len(got) == 12
+
+
+@pytest.fixture(scope="module")
+def long(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("long"))
+    words = " ".join(f"w{i}" for i in range(60))
+    few = spark.createDataFrame([(1, words, "en", "web")], "doc_id long, text string, lang string, source string")
+    few.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_extract_abstract_gives_thirty_words(spark, long):
+    (row,) = QUERIES["extract_abstract"](spark, long).collect()
+    assert len(row["summary"].split()) == 30
+
+
+def test_result_json_scores_thirty_and_forty_words(spark, long):
+    got = {(r["strategy"], r["system"]): r["value"] for r in QUERIES["result_json"](spark, long).where("metric = 'rougeL'").collect()}
+    assert len(got) == 6  # 30 or 40 of 60 words: F is 2 * 30 / 90 or 2 * 40 / 100
+    assert {k[1]: v for k, v in got.items()} == {"base": 0.6667, "adapter": 0.8}
