@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from digestry.catalog.corpus import ALL_SHARDS, HARD, PROMPT_SQL, QUARTILES, written_shards
 from digestry.catalog.registry import query
-from digestry.catalog.views import PAIRS, WORDS, pairs, word_list
+from digestry.catalog.views import PAIRS, WORDS, dealt_pairs, pairs, word_list
 from digestry.functions import prompts, tokens
 from digestry.operators import dedup, filters, order, quantiles, sketches
 from digestry.plans import evaluate, feed
@@ -174,7 +174,7 @@ def stream_feed(spark, sf):
 
 @query("batch_feed", _CLEAN)
 def batch_feed(spark, sf):
-    rows = pairs(spark, sf)
+    rows = stored(dealt_pairs(spark, sf), "pairs")  # texts are normalized once, for three readings
     keys, fences = frozen_references(rows)
     return clean(rows, keys, fences)
 
@@ -208,9 +208,9 @@ sketch_quantiles AS (
          hf + (hc - hf) * part AS at_most FROM found)"""
 
 
-def measured_pairs(spark, sf):
+def measured_pairs(rows):
     """The measures of the pairs within bounds, without their texts."""
-    kept = filters.hard_filter(filters.with_lengths(pairs(spark, sf), normalized=True))
+    kept = filters.hard_filter(filters.with_lengths(rows, normalized=True))
     return kept.select("source", "split", "ratio", "dw")
 
 
@@ -238,7 +238,7 @@ def delivered_sketches(spark, measured) -> str:
 )
 def sketched_quantiles(spark, sf):
     """Quartiles from merged deliveries; ``holds`` is the exact quantile of all rows within the bounds."""
-    measured = stored(measured_pairs(spark, sf))  # texts are measured once for both
+    measured = stored(measured_pairs(pairs(spark, sf)))  # texts are measured once for both
     held = sketches.stored_sketches(spark, delivered_sketches(spark, measured))
     probs = (0.25, 0.5, 0.75)
     features = {"ratio": F.col("ratio"), "document_words": F.col("dw")}
@@ -269,6 +269,6 @@ def sketched_quantiles(spark, sf):
 )
 def sketched_feed(spark, sf):
     """The feed with fences from merged sketches instead of a pass over all rows."""
-    rows = pairs(spark, sf)
+    rows = stored(dealt_pairs(spark, sf), "pairs")  # texts are normalized once, for three readings
     keys = stored(dedup.document_keys(rows.where("split = 'train'")))
-    return clean(rows, keys, stored(sketched_fences(spark, delivered_sketches(spark, measured_pairs(spark, sf)))))
+    return clean(rows, keys, stored(sketched_fences(spark, delivered_sketches(spark, measured_pairs(rows)))))
