@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from digestry.catalog.documents import LEADS, LEADS_SQL, OPTIONS, SECTION, STRATEGY_CTES
 from digestry.catalog.registry import query
-from digestry.catalog.views import PAIRS, SOURCES, norm, pairs, table, wc, word_list
+from digestry.catalog.views import PAIRS, SOURCES, dealt_pairs, norm, table, wc, word_list
 from digestry.operators import boundaries, summarize
 from digestry.plans import corpus, evaluate
-from digestry.session import work_path
+from digestry.session import stored, work_path
 from digestry.sources.pairs import SourceSpec, known_source
 
 DIGITS = 6
@@ -155,6 +155,7 @@ def run_metrics(spark, sf):
     run and are left out here."""
     out = work_path(spark, "runs")
     found = evaluate.timed_predictions(
-        pairs(spark, sf), {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()}, out, **OPTIONS
+        stored(dealt_pairs(spark, sf), "pairs"), {s: summarize.gathered(n, SECTION) for s, n in LEADS.items()}, out,
+        **OPTIONS,
     )
     return found.where("metric != 'duration_sec'").select("strategy", "system", "metric", "value")
