@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from digestry.catalog.registry import query
 from digestry.catalog.scoring import BY, DIGITS, IDS, compare_sql, score_ctes
-from digestry.catalog.views import PAIRS, dealt_pairs, pairs, wc, word_list
+from digestry.catalog.views import PAIRS, dealt_pairs, pairs, table, wc, word_list
 from digestry.functions import prompts, text, tokens
 from digestry.operators import chunks, rank, scores, summarize
 from digestry.plans import evaluate
@@ -266,7 +266,8 @@ def token_windows(spark, sf):
 )
 def sentence_degrees(spark, sf):
     listed = rank.with_sentences(pairs(spark, sf))
-    return rank.sentence_degrees(listed, "row_id").select(
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"))
+    return rank.sentence_degrees(listed, "row_id", ids).select(
         "row_id", "i", F.round("value", DIGITS).alias("degree")
     )
 

@@ -6,9 +6,9 @@ only, so one step of the walk is: sum rank over (word, sentence length), then re
 through each sentence's words. That is exact and linear in the words of a document, where the pair
 list is quadratic in its sentences.
 
-Documents are one row each and are ranked inside it, in memory linear in their words. On request,
-documents above a sentence limit go through the same step written as joins and aggregates, which
-spreads one document over many tasks.
+Documents are one row each and are ranked inside it, in memory linear in their words. Through the same
+step written as joins and aggregates, which spreads one document over many tasks, go on request documents
+above a sentence limit, and for edge weights the rows that share their key.
 """
 
 from __future__ import annotations
@@ -49,11 +49,9 @@ def with_sentences(df: DataFrame, column: str = "document") -> DataFrame:
     )
 
 
-def rank_lines(lines: Sequence[str]) -> np.ndarray:
-    """Ranks of one document's sentences, given as space-joined words."""
+def _line_step(lines: Sequence[str]):
+    """``_step`` of one document's sentences, given as space-joined words."""
     n = len(lines)
-    if n == 0:
-        return np.zeros(0)
     vocabulary: dict[str, int] = {}
     at, word, times, length = [], [], [], np.zeros(n)
     for i, line in enumerate(lines):
@@ -63,7 +61,20 @@ def rank_lines(lines: Sequence[str]) -> np.ndarray:
             at.append(i)
             word.append(vocabulary.setdefault(token, len(vocabulary)))
             times.append(count)
-    step = _step(np.array(at, int), np.array(word, int), np.array(times, float), length)
+    return _step(np.array(at, int), np.array(word, int), np.array(times, float), length)
+
+
+def degree_lines(lines: Sequence[str]) -> np.ndarray:
+    """The total edge weight of each of one document's sentences; 0 for those without words."""
+    return _line_step(lines)(np.ones(len(lines)))
+
+
+def rank_lines(lines: Sequence[str]) -> np.ndarray:
+    """Ranks of one document's sentences, given as space-joined words."""
+    n = len(lines)
+    if n == 0:
+        return np.zeros(0)
+    step = _line_step(lines)
     weight = step(np.ones(n)) + ROW_GUARD
     rank = np.full(n, 1.0 / n)
     for _ in range(MAX_ROUNDS):
@@ -123,6 +134,11 @@ def _ranks(lines: pd.Series) -> pd.Series:
     return pd.Series([rank_lines(line) for line in lines], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _degrees(lines: pd.Series) -> pd.Series:
+    return pd.Series([degree_lines(line) for line in lines], dtype=object)
+
+
 def word_incidence(df: DataFrame, key: str) -> DataFrame:
     """``key, i, word, times, length`` from ``word_lines``.
 
@@ -156,9 +172,20 @@ def graph_step(incidence: DataFrame, key: str, vector: DataFrame | None = None)
     )
 
 
-def sentence_degrees(df: DataFrame, key: str) -> DataFrame:
-    """``key, i, value``: the total edge weight of every sentence that has words."""
-    return graph_step(word_incidence(df, key), key)
+def sentence_degrees(df: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """``key, i, value``: the total edge weight of every sentence that has words, from ``word_lines``.
+
+    A row whose key is its own is worked in place, without a shuffle of its words. Rows that share a key
+    are one document, worked by joins; rows without a key give none. ``keys`` may hold the keys of ``df``
+    and others, where they cost less to read.
+    """
+    named = (df if keys is None else keys).where(F.col(key).isNotNull())
+    shared = stored(named.groupBy(key).count().where("count > 1").select(key), "shared_keys")
+    alone = df.where(F.col(key).isNotNull()).join(shared, key, "left_anti")
+    # The outer form keeps Spark from working each row twice, once to test its number of sentences.
+    in_row = alone.select(key, F.posexplode_outer(_degrees("word_lines")).alias("i", "value")).where("value > 0")
+    together = word_incidence(df.join(shared, key, "left_semi"), key)
+    return in_row.unionByName(graph_step(together, key))
 
 
 def rank_by_rounds(df: DataFrame, key: str) -> DataFrame:

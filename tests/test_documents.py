@@ -74,6 +74,30 @@ def test_ranks_by_rounds_equal_ranks_in_rows(spark):
     assert [e["pos"] for e in two] == [0, 1]
 
 
+def degrees_of(frame):
+    return sorted((r["row_id"], r["i"], round(r["value"], 9)) for r in frame.collect())
+
+
+def test_edge_weights_travel_only_for_shared_keys(spark):
+    texts = [". ".join(x or "1" for x in random_lines(s, 9)) + "." for s in range(8)] + ["One.", "1. 2.", " "]
+    df = rank.with_sentences(spark.createDataFrame(list(enumerate(texts)), "row_id int, document string"))
+    frame = rank.sentence_degrees(df, "row_id")
+    got = degrees_of(frame)
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert got == degrees_of(rank.graph_step(rank.word_incidence(df, "row_id"), "row_id"))
+    assert {r[0] for r in got} == set(range(9))
+
+
+def test_edge_weights_of_rows_with_one_key_are_one_documents(spark):
+    rows = [(1, "a b. c a."), (1, "a b. d."), (1, "a. b c d. a a."), (2, "a b."), (None, "a b."), (None, "b.")]
+    df = rank.with_sentences(spark.createDataFrame(rows, "row_id int, document string"))
+    got = degrees_of(rank.sentence_degrees(df, "row_id"))
+    assert got == degrees_of(rank.graph_step(rank.word_incidence(df, "row_id"), "row_id"))
+    assert [r[:2] for r in got] == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    ids = spark.createDataFrame([(1,), (1,), (2,), (2,), (None,), (3,)], "row_id int")
+    assert degrees_of(rank.sentence_degrees(df, "row_id", ids)) == got
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abcxyz", min_size=1, max_size=9), max_size=40), st.integers(3, 30), st.data())
 def test_word_chunks_cover_the_text(tokens, size, data):
