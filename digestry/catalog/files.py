@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
+from pathlib import Path
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +19,47 @@ from digestry.session import work_path
 from digestry.sources import elements
 
 BUNDLE = 16
+#: Files in a folder, which is listed by one task.
+FOLDER = 1024
 
 
 def _written(rows: DataFrame, out: str, gap: str) -> None:
-    """One file for ``BUNDLE`` neighbouring ids, each value followed by ``gap``."""
+    """One file for ``BUNDLE`` neighbouring ids, each value followed by ``gap``.
+
+    Tasks write a shared folder's files themselves: Spark's writer makes a folder of each, and Hadoop starts
+    several processes to set the modes of a local file. Other stores go through Spark's writer.
+    """
     bundled = rows.withColumn("file_no", F.expr(f"id div {BUNDLE}"))
     placed = bundled.repartition(F.col("file_no")).sortWithinPartitions("file_no", "id")
-    placed.select("file_no", F.coalesce("value", F.lit("")).alias("value")).write.partitionBy(
-        "file_no"
-    ).option("lineSep", gap).text(out)
+    values = placed.select("file_no", F.coalesce("value", F.lit("")).alias("value"))
+    place = urlsplit(out)
+    if place.scheme not in ("", "file"):
+        values.write.partitionBy("file_no").option("lineSep", gap).text(out)
+        return
+    write = _file_writer(unquote(place.path), gap.encode())
+    values.select("file_no", F.col("value").cast("binary")).mapInArrow(write, "files long").agg(
+        F.sum("files")
+    ).collect()
+
+
+def _file_writer(folder: str, gap: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``file_no, value``, in order, to files; a file has its name once it is whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches)
+        files = 0
+        for file_no, held in groupby(rows, key=itemgetter(0)):
+            place = Path(folder, "none" if file_no is None else str(file_no // FOLDER))
+            place.mkdir(parents=True, exist_ok=True)
+            begun = place / f".{uuid.uuid4().hex}"
+            with begun.open("wb") as sink:
+                for _, value in held:
+                    sink.write(value + gap)
+            begun.replace(place / f"file_no={file_no}")
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    return write
 
 
 def mixed_files(spark, sf) -> str:
@@ -32,7 +72,7 @@ def mixed_files(spark, sf) -> str:
 
 
 def _placed(rows: DataFrame, *rest: str) -> DataFrame:
-    part = r"/(txt|html)/file_no=([0-9]+)/"
+    part = r"/(txt|html)/(?:[^/]+/)?file_no=([0-9]+)(?:/|$)"
     return rows.select(
         F.regexp_extract("path", part, 1).alias("folder"),
         F.regexp_extract("path", part, 2).cast("long").alias("file_no"),

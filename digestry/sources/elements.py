@@ -1,7 +1,8 @@
 """Typed elements of mixed files: plain text, HTML and DOCX by what they hold, other types by a parser.
 
 A file is one row of ``binaryFile``, so the session's ``spark.sql.files.maxPartitionBytes`` bounds the bytes
-that a task reads, and a file beyond ``spark.sql.sources.binaryFile.maxLength`` is refused by name. Text and
+that a task reads, ``spark.sql.files.openCostInBytes`` how many small files (``OPEN_BYTES``, where the session
+does not set it), and a file beyond ``spark.sql.sources.binaryFile.maxLength`` is refused by name. Text and
 HTML are cut into elements by column expressions; one Arrow function sees the files that need a parser.
 """
 
@@ -41,6 +42,11 @@ ENTITIES = {
 }
 BULLET = r"[ \t]*(?:[-*•]|[0-9]{1,3}[.)])[ \t]"
 
+# What opening a file counts for when files are dealt to tasks. Spark's own 4 MB give a task few small files,
+# and every task starts over with Python.
+OPEN_COST = "spark.sql.files.openCostInBytes"
+OPEN_BYTES = 128 << 10
+
 # Two control characters that carry no text: they are removed from the input before they are used.
 _CUT, _NAMED = "\x01", "\x02"
 _ELEMENTS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
@@ -159,6 +165,8 @@ def file_elements(
     file with NUL bytes that no parser takes stops the job: nothing with bytes is left out. Spark
     reads no file of zero bytes, so these give no row; a blank file has no elements.
     """
+    if spark.conf.get(OPEN_COST, None) is None:
+        spark.conf.set(OPEN_COST, str(OPEN_BYTES))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

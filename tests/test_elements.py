@@ -2,9 +2,11 @@
 
 import io
 import zipfile
+from pathlib import Path
 
 import pytest
 
+from digestry.catalog import QUERIES, files
 from digestry.sources import elements
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -95,3 +97,49 @@ def test_binary_files_need_a_parser(spark, tmp_path):
 
     rows = elements.read_elements(spark, str(tmp_path), {**elements.PARSERS, b"%PDF": parse})
     assert by_file(rows, "pos", "text") == {"a.pdf": [(0, "one"), (1, "two")]}
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"number {i}")
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        rows = elements.read_documents(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() < 40  # a file a task, if opening one counts for 4 MB
+        assert {r["document"] for r in rows.collect()} == {f"number {i}" for i in range(300)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+@pytest.fixture
+def bundled(spark, tmp_path):
+    """Documents with a repeated id and a null text, and one page."""
+    texts = [(i, f"text {i}") for i in range(40)] + [(39, "text 39"), (16 * files.FOLDER, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = spark.createDataFrame([(5, "<html><p>one<li>two</html>")], "page_id long, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_bundles_are_files_of_few_folders(spark, bundled):
+    out = Path(files.mixed_files(spark, bundled))
+    held = {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file()}
+    assert {k: v.count("\n\n") for k, v in held.items() if k.startswith("txt")} == {
+        "txt/0/file_no=0": 16, "txt/0/file_no=1": 16, "txt/0/file_no=2": 9, f"txt/1/file_no={files.FOLDER}": 1,
+    }
+    assert held["txt/0/file_no=1"] == "".join(f"text {i}\n\n" for i in range(16, 32))
+    assert held["html/0/file_no=0"] == "<html><p>one<li>two</html>\n"
+
+
+def test_bundles_of_both_layouts_have_one_place(spark):
+    paths = ["file:/a/txt/0/file_no=7", "file:/a/txt/file_no=7/part-0.txt"]
+    got = files._placed(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert [tuple(r) for r in got] == [("txt", 7), ("txt", 7)]
+
+
+def test_ingest_files_gives_every_bundle(spark, bundled):
+    got = {(r["folder"], r["file_no"]): r["document"] for r in QUERIES["ingest_files"](spark, bundled).collect()}
+    assert set(got) == {("txt", 0), ("txt", 1), ("txt", 2), ("txt", files.FOLDER), ("html", 0)}
+    assert got["txt", files.FOLDER] == "" and got["html", 0] == "one"
+    assert got["txt", 2].split("\n\n") == [f"text {i}" for i in range(32, 40)] + ["text 39"]
