@@ -9,7 +9,7 @@ from digestry.catalog.documents import CONTEXT, MAX_SUMMARY, OVERLAP, SIZE
 from digestry.catalog.registry import query
 from digestry.catalog.views import norm, pairs, table, wc
 from digestry.functions import tokens
-from digestry.functions.subwords import Measured, SubwordTokenizer
+from digestry.functions.subwords import Measured, SubwordTokenizer, chars_per_token
 from digestry.operators import chunks
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,12 +40,11 @@ def truncate_subword(spark, sf):
 
 @query("fits_subword")
 def fits_subword(spark, sf):
-    tokenizer, rows = measured(spark, sf)
-    n = DOCUMENT().count()
-    return rows.select(
-        "row_id", n.alias("n_tokens"),
-        tokens.fits(n, CONTEXT, MAX_SUMMARY, tokenizer).alias("fits"),
-        F.round(DOCUMENT().chars_per_token(), 6).alias("chars_per_token"),
+    tokenizer = SubwordTokenizer.from_file(spark, VOCABULARY)
+    n = F.col("n_tokens")
+    return tokenizer.counted(pairs(spark, sf), n_tokens="document").select(
+        "row_id", n, tokens.fits(n, CONTEXT, MAX_SUMMARY, tokenizer).alias("fits"),
+        F.round(chars_per_token(F.col("document"), n), 6).alias("chars_per_token"),
     )
 
 

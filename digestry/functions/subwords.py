@@ -1,4 +1,4 @@
-"""Subword tokens: each text is encoded once, everything else is columns over its token ends."""
+"""Subword tokens: each text is encoded once, everything else is columns over its token ends or their number."""
 
 from __future__ import annotations
 
@@ -8,19 +8,26 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from digestry.functions import text
 
-#: Texts are encoded together up to so many characters.
-CHUNK_CHARS = 4 << 20
+#: Rows are encoded together up to so many bytes of text: what a Python worker holds beside its Arrow batch.
+CHUNK_BYTES = 512 << 10
 
 #: Texts to the ends of their tokens: offsets in characters, in order.
 Encode = Callable[[list[str]], list[list[int]]]
 
 
+def chars_per_token(text: Column, n: Column) -> Column:
+    """Of a text with ``n`` tokens; 4 where it has none."""
+    long = F.char_length(text) / F.greatest(n, F.lit(1))
+    return F.when(n > 0, F.greatest(F.lit(1.0), long)).otherwise(F.lit(4.0))
+
+
 @dataclass(frozen=True)
 class Measured:
     """A text and the ends of its tokens, both columns."""
@@ -41,9 +48,7 @@ class Measured:
         )
 
     def chars_per_token(self) -> Column:
-        n = self.count()
-        long = F.char_length(self.text) / F.greatest(n, F.lit(1))
-        return F.when(n > 0, F.greatest(F.lit(1.0), long)).otherwise(F.lit(4.0))
+        return chars_per_token(self.text, self.count())
 
     def windows(self, size: int, overlap: int) -> Column:
         """Overlapping windows of whole tokens, stepping until the tokens run out. A window starts
@@ -72,12 +77,14 @@ class SubwordTokenizer:
 
         @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
         def ends(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encode = load()
-            for batch in batches:
-                texts = [t or "" for t in batch.flatten().to_pylist()]
-                yield _nested(batch, [e for part in _parts(texts) for e in encode(part)])
+            return (_nested(rows, _flat(held)) for rows, held in _encoded(batches, load()))
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for rows, held in _encoded(batches, load()):
+                yield _nested(rows, pa.array([len(e) for e in held], pa.int32()))
 
-        self._ends = ends
+        self._ends, self._counts = ends, counts
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str) -> SubwordTokenizer:
@@ -103,9 +110,16 @@ class SubwordTokenizer:
     def measure(self, df: DataFrame, **columns: str) -> DataFrame:
         """Adds, under each name, the token ends of a text column. All columns of a row are encoded in
         one pass over the rows."""
+        return self._added(df, self._ends, columns)
+
+    def counted(self, df: DataFrame, **columns: str) -> DataFrame:
+        """``measure`` for the number of tokens alone, so that no ends come back from Python."""
+        return self._added(df, self._counts, columns)
+
+    def _added(self, df: DataFrame, found: Callable[[Column], Column], columns: dict[str, str]) -> DataFrame:
         names = list(columns)
-        held = df.withColumn("_ends", self._ends(F.array(*[F.col(columns[n]) for n in names])))
-        return held.withColumns({n: F.get("_ends", F.lit(i)) for i, n in enumerate(names)}).drop("_ends")
+        held = df.withColumn("_found", found(F.array(*[F.col(columns[n]) for n in names])))
+        return held.withColumns({n: F.get("_found", F.lit(i)) for i, n in enumerate(names)}).drop("_found")
 
     def count_text(self, value: str) -> int:
         """Tokens of one short text, on the driver: a prompt around documents."""
@@ -114,22 +128,35 @@ class SubwordTokenizer:
         return len(self._held([value])[0])
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for value in texts:
-        part.append(value)
-        size += len(value)
-        if size > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _encoded(
+    batches: Iterator[pa.ListArray], encode: Encode
+) -> Iterator[tuple[pa.ListArray, list[list[int]]]]:
+    """Some rows at a time and what their texts are encoded to."""
+    for batch in batches:
+        for rows in _parts(batch):
+            yield rows, encode([t or "" for t in rows.flatten().to_pylist()])
 
 
-def _nested(batch: pa.ListArray, ends: list) -> pa.Array:
-    """The ends of the texts of each row of ``batch``."""
+def _parts(batch: pa.ListArray) -> Iterator[pa.ListArray]:
+    """The rows of ``batch`` in runs that end with the row that fills ``CHUNK_BYTES``."""
+    sizes = pc.fill_null(pc.binary_length(batch.flatten()), 0).to_numpy()
+    filled = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    rows = batch.offsets.to_numpy().astype(np.int64)
+    done = filled[rows - rows[0]]
+    first = 0
+    while first < len(batch):
+        last = min(int(np.searchsorted(done, done[first] + CHUNK_BYTES)), len(batch))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _flat(ends: list) -> pa.Array:
     offsets = np.cumsum([0, *map(len, ends)]).astype(np.int32)
-    flat = np.concatenate([*ends, np.empty(0)]).astype(np.int32)
-    inner = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-    rows = batch.offsets.to_numpy().astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(rows - rows[0]), inner)
+    flat = np.concatenate([*ends, np.empty(0, np.int32)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _nested(rows: pa.ListArray, values: pa.Array) -> pa.Array:
+    """What the texts of each row of ``rows`` gave."""
+    offsets = rows.offsets.to_numpy().astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), values)

@@ -98,6 +98,37 @@ def test_subword_ends_of_odd_texts(spark, library):
     assert {len(r["b"]) for r in twice} == {2}
 
 
+def test_few_texts_are_encoded_at_a_time(spark):
+    """However many rows an Arrow batch has, a worker holds the tokens of few of them."""
+
+    def load():
+        def encode(texts):
+            if sum(map(len, texts)) > 1 << 20:
+                raise ValueError("too much text at once")
+            return [list(range(1, len(t) // 1000 + 1)) for t in texts]
+
+        return encode
+
+    tokenizer = SubwordTokenizer(load)
+    texts = [None if i % 7 == 3 else "x" * (1000 * (i % 180)) for i in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    rows = rows.withColumn("u", F.lit("y" * 2000))
+    found = tokenizer.measure(rows, e="t", f="u").select("id", "e", "f").collect()
+    counted = {r["id"]: (r["a"], r["b"]) for r in tokenizer.counted(rows, a="t", b="u").collect()}
+    assert len(found) == len(counted) == 200
+    for r in found:
+        n = len(texts[r["id"]] or "") // 1000
+        assert r["e"] == list(range(1, n + 1)) and r["f"] == [1, 2] and counted[r["id"]] == (n, 2)
+
+
+def test_counts_are_those_of_the_ends(spark):
+    tokenizer = SubwordTokenizer.from_file(spark, VOCABULARY)
+    texts = [None, "", " ", "é😀漢字 <|endoftext|>", "x" * 3000, "tail "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = tokenizer.counted(tokenizer.measure(rows, e="t"), n="t").collect()
+    assert [r["n"] for r in both] == [len(r["e"]) for r in both]
+
+
 # ---- chunks along separators ---------------------------------------------------------------------
 
 #: In plain words: the cuts of each level, as places in a text.
