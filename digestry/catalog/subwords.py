@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from digestry.catalog.documents import CONTEXT, MAX_SUMMARY, OVERLAP, SIZE
 from digestry.catalog.registry import query
-from digestry.catalog.views import norm, pairs, table, wc
+from digestry.catalog.views import dealt_pairs, norm, table, wc
 from digestry.functions import tokens
 from digestry.functions.subwords import Measured, SubwordTokenizer, chars_per_token
 from digestry.operators import chunks
+from digestry.session import dealt
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MAX_LENGTH, WINDOW, STRIDE_BACK = 256, 200, 40
@@ -18,7 +19,7 @@ MAX_LENGTH, WINDOW, STRIDE_BACK = 256, 200, 40
 
 def measured(spark, sf):
     tokenizer = SubwordTokenizer.from_file(spark, VOCABULARY)
-    return tokenizer, tokenizer.measure(pairs(spark, sf), d_ends="document", s_ends="summary")
+    return tokenizer, tokenizer.measure(dealt_pairs(spark, sf), d_ends="document", s_ends="summary")
 
 
 DOCUMENT = lambda: Measured(F.col("document"), F.col("d_ends"))
@@ -42,7 +43,7 @@ def truncate_subword(spark, sf):
 def fits_subword(spark, sf):
     tokenizer = SubwordTokenizer.from_file(spark, VOCABULARY)
     n = F.col("n_tokens")
-    return tokenizer.counted(pairs(spark, sf), n_tokens="document").select(
+    return tokenizer.counted(dealt_pairs(spark, sf), n_tokens="document").select(
         "row_id", n, tokens.fits(n, CONTEXT, MAX_SUMMARY, tokenizer).alias("fits"),
         F.round(chars_per_token(F.col("document"), n), 6).alias("chars_per_token"),
     )
@@ -59,7 +60,7 @@ def windows_subword(spark, sf):
 def chunk_subword(spark, sf):
     """Chunks of so many subword tokens at the document's own average, along separators."""
     tokenizer = SubwordTokenizer.from_file(spark, VOCABULARY)
-    docs = table(spark, sf, "documents").select(
+    docs = dealt(table(spark, sf, "documents"), "doc_id", "text").select(
         F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("document")
     )
     cut = chunks.with_chunks(

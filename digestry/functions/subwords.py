@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -68,6 +69,17 @@ class Measured:
         return text.bind(cut, ends=self.ends, text=self.text)
 
 
+@lru_cache(maxsize=1)
+def _library(definition: str):
+    """The library's tokenizer, held by a Python worker for all its tasks: one a task adds up."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
+
+
 class SubwordTokenizer:
     """A plug-in tokenizer. ``load`` gives an ``Encode``; a Python worker calls it once a task."""
 
@@ -92,14 +104,11 @@ class SubwordTokenizer:
         definition = spark.sparkContext.broadcast(Path(path).read_text())
 
         def load() -> Encode:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_str(definition.value)
-            tokenizer.no_padding()
-            tokenizer.no_truncation()
+            tokenizer = _library(definition.value)
 
             def encode(texts: list[str]) -> list[list[int]]:
-                coded = tokenizer.encode_batch(texts, add_special_tokens=False)
+                # one by one: the library's threads keep memory of their own, and tasks share the cores
+                coded = (tokenizer.encode(t, add_special_tokens=False) for t in texts)
                 # tokens that share a character end with it
                 return [np.maximum.accumulate([e for _, e in c.offsets] or [0])[: len(c)] for c in coded]
 

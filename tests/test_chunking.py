@@ -3,6 +3,7 @@ many chunks, against plain Python."""
 
 import random
 import re
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -16,6 +17,7 @@ from digestry.catalog.documents import CONTEXT, MAX_SUMMARY
 from digestry.catalog.feeds import BUFFER, SEED, written_shards
 from digestry.catalog.subwords import MAX_LENGTH, STRIDE_BACK, VOCABULARY, WINDOW
 from digestry.catalog.views import pairs, prediction_rows
+from digestry.functions import subwords
 from digestry.functions.prompts import SUMMARIZE
 from digestry.functions.subwords import Measured, SubwordTokenizer
 from digestry.operators import chunks, dedup, order, summarize
@@ -121,6 +123,11 @@ def test_few_texts_are_encoded_at_a_time(spark):
         assert r["e"] == list(range(1, n + 1)) and r["f"] == [1, 2] and counted[r["id"]] == (n, 2)
 
 
+def test_a_worker_holds_one_library_for_all_its_tasks(spark):
+    definition = Path(VOCABULARY).read_text()
+    assert subwords._library(definition) is subwords._library(str(definition))
+
+
 def test_counts_are_those_of_the_ends(spark):
     tokenizer = SubwordTokenizer.from_file(spark, VOCABULARY)
     texts = [None, "", " ", "é😀漢字 <|endoftext|>", "x" * 3000, "tail "]
