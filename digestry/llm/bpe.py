@@ -20,6 +20,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -35,9 +36,11 @@ from digestry.llm.common import body, ready, remembered
 
 NEVER = np.int64(1) << 40
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Texts are encoded together up to so many bytes.
-CHUNK = 16 << 20
+CHUNK = 4 << 20
+#: Texts come in Arrow batches of so many bytes, on the JVM's side and on the worker's.
+BATCH = 8 << 20
 #: Words of up to so many bytes are merged side by side in one array.
 SIDE_BY_SIDE = 32
 WORD_END = "</w>"
@@ -164,12 +167,12 @@ class Coder:
     def learn(self, new: list[str]) -> None:
         """Remember the ids of space-parted words that are not known yet."""
         findall = self.plain.findall
-        split = [
-            w if isinstance(w, tuple) else (w,) if w.isalpha() else findall(w) for w in new
-        ]
-        bare = list({p for pieces in split for p in pieces if p not in self.ids})
+        whole = [w for w in new if isinstance(w, str) and w.isalpha()]
+        parted = [w for w in new if not isinstance(w, str) or not w.isalpha()]
+        split = [w if isinstance(w, tuple) else findall(w) for w in parted]
+        bare = list({*whole, *(p for pieces in split for p in pieces if p not in self.ids)})
         self.ids.update(zip(bare, self.words_to_ids([w.encode() for w in bare])))
-        for word, pieces in zip(new, split):
+        for word, pieces in zip(parted, split):
             if len(pieces) != 1 or pieces[0] != word:
                 self.ids[word] = b"".join([self.ids[p] for p in pieces])
 
@@ -178,8 +181,8 @@ class Coder:
         if not raw:
             return []
         line = END.join([w.decode("latin-1") for w in raw]) + END
-        stops, guess = zip(*self.matcher.iter_long(line))
-        tokens, stops = np.array(guess), np.array(stops) + 1
+        found = np.fromiter(chain.from_iterable(self.matcher.iter_long(line)), dtype=np.int64)
+        tokens, stops = found[1::2], found[::2] + 1
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
         owner = np.searchsorted(np.cumsum(sizes), stops, side="left")
         failed = np.bincount(owner, self.length[tokens], len(raw)) != sizes  # not covered
@@ -304,10 +307,10 @@ class Coder:
         if None in found:
             new = [p for p, ids in zip(keys, found) if ids is None]
             if len(self.ids) + len(new) > REMEMBERED:
-                self.forget()
-                new = keys
+                self.forget()  # but for what stands in these texts, as frequent words do
+                self.ids.update((p, ids) for p, ids in zip(keys, found) if ids is not None)
             self.learn(new)
-            found = list(map(self.ids.__getitem__, keys))
+            found = [self.ids[p] if ids is None else ids for p, ids in zip(keys, found)]
         return found
 
     def encode(self, texts: pa.Array) -> pa.Array:
@@ -318,7 +321,7 @@ class Coder:
             texts = pc.if_else(np.isin(np.arange(len(texts)), list(odd)), "", texts)
         lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = pa.array([b"", *self.known([w for w in distinct if w])], pa.large_binary())
         place = np.cumsum([bool(w) for w in distinct], dtype=np.int64)
         place[[i for i, w in enumerate(distinct) if not w]] = 0
@@ -357,7 +360,7 @@ def coder(definition: str) -> Coder:
 
 def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """Read a vocabulary file on the driver and hand it to the workers: under 2 MB, fixed."""
-    return ready(spark).sparkContext.broadcast(Path(path).read_text())
+    return ready(spark, BATCH).sparkContext.broadcast(Path(path).read_text())
 
 
 def code(

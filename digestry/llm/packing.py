@@ -22,7 +22,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from digestry.llm.bpe import coder, slices
+from digestry.llm.bpe import BATCH, coder, slices
 from digestry.llm.common import body, ready, save
 
 WINDOW = 2048
@@ -110,7 +110,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``,
     and with ``keep_ids`` the piece's packed ids."""
-    spark = ready(docs.sparkSession)
+    spark = ready(docs.sparkSession, BATCH)
     bare = docs.select(F.col(key).alias("doc_id"), body(text).alias("text"))
     columns = schema(bare, "doc_id", keep_ids)
     names = [c.split()[0] for c in columns.split(", ")]

@@ -328,6 +328,34 @@ def test_bpe_memory_may_start_anew(library, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(library, text)
 
 
+def test_bpe_keeps_the_words_at_hand_when_its_memory_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    own = bpe.Coder(library.to_str())
+    learned = Counter()
+    learn = own.learn
+    own.learn = lambda new: (learned.update(new), learn(new))
+    texts = ["often seen " + " ".join(f"word{i * 40 + j}," for j in range(20)) for i in range(6)]
+    for text in texts:
+        ids = own.encode(pa.array([text])).to_pylist()[0]
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(library, text)
+        assert len(own.ids) < 150
+    assert learned["often"] == learned["seen"] == 1
+
+
+def test_texts_are_encoded_a_few_megabytes_at_a_time():
+    texts = [None, "", *["x" * (1 << 20)] * 24, "é" * (5 << 20), "last"]
+    runs = list(bpe.slices(pa.array(range(len(texts))), pa.array(texts)))
+    assert [k for keys, _ in runs for k in keys.to_pylist()] == list(range(len(texts)))
+    for _, values in runs:  # beyond its last text, a run has 4 MB at most
+        assert sum(len((t or "").encode()) for t in values.to_pylist()[:-1]) <= 4 << 20
+
+
+def test_packing_gets_its_texts_in_small_batches(spark, docs, vocabulary):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    assert packing.pack(docs(["a b", None]), "doc_id", "text", vocabulary).count() == 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
 def test_speculation_fails_only_where_merging_differs(library):
     """The verified cut is the exact one, and an unverified one is not taken."""
     own = bpe.Coder(library.to_str())
